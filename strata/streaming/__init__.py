@@ -1,0 +1,9 @@
+"""Streaming.
+
+The reference is batch only: it has no stream sources, watermarks, session
+or tumbling windows and no stateful operators, so nothing here is promised.
+Calendar windows (weekly / monthly / six-month bins) are batch aggregates in
+``strata.operators.agg``; every operator is a DataFrame function and can be
+applied unchanged to a ``readStream`` DataFrame wherever Spark's streaming
+rules allow the same plan.
+"""

@@ -214,3 +214,44 @@ def t_pvalue(t: pd.Series, dof: pd.Series) -> pd.Series:
     """Two-sided Student-t p-value, vectorised over an Arrow batch."""
     vals = [t_two_sided_p(a, b) if pd.notna(a) and pd.notna(b) else None for a, b in zip(t, dof)]
     return pd.Series(vals, dtype="float64")
+
+
+def sortable_double(df: DataFrame, c: Column) -> Column:
+    """Order-preserving double view of a numeric / date / timestamp column."""
+    dt = df.select(c.alias("_x")).schema["_x"].dataType
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if isinstance(dt, T.DateType):
+        return F.unix_date(c).cast("double")
+    return c.cast("double")
+
+
+def global_row_number(df: DataFrame, groups: list[str], order: list, out: str = "row_no",
+                      n_buckets: int | None = None) -> DataFrame:
+    """Exact ``row_number() over (partition by groups order by order)`` that
+    never puts a whole group into one task.
+
+    Rows are cut into value ranges of the first order column (boundaries
+    fitted once); a small table of counts per (group, range) gives each range
+    its offset and the row number inside a (group, range) comes from a
+    window over that slice only.  A group holding a third of the data is
+    thus split over ``n_buckets`` tasks.  ``order`` must be a total order
+    (end in a unique key) for the result to be deterministic.
+    """
+    spark = df.sparkSession
+    n_buckets = n_buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
+    tmp = df.withColumn("_lead", sortable_double(df, order_cols[0]))
+    bucket = value_ranges(tmp.select("_lead").where(F.col("_lead").isNotNull()), "_lead", n_buckets)
+    # nulls sort first (ascending default): give them bucket -1
+    tmp = tmp.withColumn("_bk", F.when(F.col("_lead").isNull(), F.lit(-1)).otherwise(bucket))
+    counts = tmp.groupBy(*groups, "_bk").agg(F.count(F.lit(1)).alias("_c"))
+    wc = Window.partitionBy(*groups).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*groups, "_bk", F.coalesce(F.sum("_c").over(wc), F.lit(0)).alias("_off"))
+    w = Window.partitionBy(*groups, "_bk").orderBy(*order_cols)
+    local = tmp.withColumn("_local_rn", F.row_number().over(w))
+    off = offsets.select(*[F.col(g).alias(f"_g_{g}") for g in groups], F.col("_bk").alias("_bk2"), "_off")
+    cond = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups] + [F.col("_bk") == F.col("_bk2")]
+    return (local.join(off, cond, "left")
+            .withColumn(out, F.col("_off") + F.col("_local_rn"))
+            .drop("_lead", "_bk", "_local_rn", "_off", "_bk2", *[f"_g_{g}" for g in groups]))

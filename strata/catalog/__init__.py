@@ -1,4 +1,4 @@
 """Benchmark bindings: importing this package registers every query."""
 
-from . import basics, longitudinal, scalars  # noqa: F401
+from . import aggregates, basics, longitudinal, scalars  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

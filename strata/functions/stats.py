@@ -255,3 +255,11 @@ def global_row_number(df: DataFrame, groups: list[str], order: list, out: str =
     return (local.join(off, cond, "left")
             .withColumn(out, F.col("_off") + F.col("_local_rn"))
             .drop("_lead", "_bk", "_local_rn", "_off", "_bk2", *[f"_g_{g}" for g in groups]))
+
+
+def pair_corr(x, y) -> Column:
+    """Pearson correlation over rows where both are present (like ``corr``)
+    but null instead of an ANSI divide-by-zero error for a constant side."""
+    x, y = col_(x).cast("double"), col_(y).cast("double")
+    xx, yy = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(xx, yy), F.sqrt(F.var_pop(xx) * F.var_pop(yy)))

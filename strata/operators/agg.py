@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import safe_div
-from ..functions.stats import t_pvalue
+from ..functions.stats import pair_corr, t_pvalue
 
 _FNS = {
     "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "count": F.count,
@@ -130,7 +130,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     long form (a, b, corr); one aggregate computes the upper triangle."""
     cols = list(cols)
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    row = df.agg(*[F.corr(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")).alias(f"c{i}_{j}")
+    row = df.agg(*[pair_corr(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")).alias(f"c{i}_{j}")
                    for i, j in pairs],
                  *[F.stddev_samp(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)])
     entries = []
@@ -150,7 +150,7 @@ def corr_with_target(df: DataFrame, cols: Sequence[str], target: str, min_obs: i
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
-        aggs += [F.corr(x, y).alias(f"r{i}"), F.count(F.when(x.isNotNull() & y.isNotNull(), 1)).alias(f"n{i}")]
+        aggs += [pair_corr(x, y).alias(f"r{i}"), F.count(F.when(x.isNotNull() & y.isNotNull(), 1)).alias(f"n{i}")]
     row = df.agg(*aggs)
     entries = [F.struct(F.lit(c).alias("feature"), F.col(f"r{i}").alias("corr"), F.col(f"n{i}").alias("n_obs"))
                for i, c in enumerate(cols)]

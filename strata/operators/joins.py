@@ -141,8 +141,11 @@ def nearest_match(left: DataFrame, right: DataFrame, eq: Sequence[tuple[str, str
     u = u.select("*", F.last(rv, True).over(w_prev).alias("_pv"), F.last(rk, True).over(w_prev).alias("_pk"),
                  F.first(rv, True).over(w_next).alias("_nv"), F.first(rk, True).over(w_next).alias("_nk"))
     # carries across ranges: last / first right value of every (block, range)
-    per = (R.withColumn("_g", rng).groupBy(*part)
-           .agg(F.max_by(F.struct("_v", "_rk"), "_v").alias("_hi"), F.min_by(F.struct("_v", "_rk"), "_v").alias("_lo")))
+    # every (block, range) cell, also those holding only left rows, so the
+    # carry reaches across empty ranges
+    right_v = F.when(F.col("_side") == 1, F.col("_v"))
+    per = (u.groupBy(*part)
+           .agg(F.max_by(F.struct("_v", "_rk"), right_v).alias("_hi"), F.min_by(F.struct("_v", "_rk"), right_v).alias("_lo")))
     wc_prev = Window.partitionBy(*blocks).orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
     wc_next = Window.partitionBy(*blocks).orderBy("_g").rowsBetween(1, Window.unboundedFollowing)
     carry = per.select(*part, F.last("_hi", True).over(wc_prev).alias("_cp"), F.first("_lo", True).over(wc_next).alias("_cn"))
@@ -151,8 +154,9 @@ def nearest_match(left: DataFrame, right: DataFrame, eq: Sequence[tuple[str, str
                  F.coalesce("_pv", "_cp._v").alias("pv"), F.when(F.col("_pv").isNotNull(), F.col("_pk")).otherwise(F.col("_cp._rk")).alias("pk"),
                  F.coalesce("_nv", "_cn._v").alias("nv"), F.when(F.col("_nv").isNotNull(), F.col("_nk")).otherwise(F.col("_cn._rk")).alias("nk")))
     dp, dn = F.col("_v") - F.col("pv"), F.col("nv") - F.col("_v")
-    okp, okn = dp <= tol, dn <= tol
-    take_prev = okp & (~okn | F.col("nv").isNull() | (dp < dn) | ((dp == dn) & (F.col("pk") <= F.col("nk"))))
+    okp, okn = F.coalesce(dp <= tol, F.lit(False)), F.coalesce(dn <= tol, F.lit(False))
+    prev_wins = F.coalesce((dp < dn) | ((dp == dn) & (F.col("pk") <= F.col("nk"))), F.lit(False))
+    take_prev = okp & (~okn | prev_wins)
     take_next = okn & ~take_prev
     return x.select(F.col("_lk").alias(lkey),
                     F.when(take_prev, F.col("pk")).when(take_next, F.col("nk")).alias(f"match_{rkey}"),

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.nulls import clip, flag, safe_div
-from ..functions.stats import fit_stats, t_pvalue
+from ..functions.stats import fit_stats, pair_corr, t_pvalue
 from .windows import _as_list, subject_window
 
 
@@ -92,7 +92,7 @@ def trend_moments(df: DataFrame, key, order, t: str, y: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.count_distinct(t_).alias("_nt"),
         F.min(t_).alias("t_min"), F.max(t_).alias("t_max"),
         F.regr_slope(y_, t_).alias("slope"),
-        F.corr(y_, t_).alias("r"),
+        pair_corr(y_, t_).alias("r"),
         F.var_pop(y_).alias("_vy"),
         F.count(F.when(first, y_)).alias("n1"), F.count(F.when(second, y_)).alias("n2"),
         F.avg(F.when(first, y_)).alias("m1"), F.avg(F.when(second, y_)).alias("m2"),

@@ -345,3 +345,162 @@ def d29(spark, sf):
 @register("d30_box_sum_category", f"""WITH {BIO} SELECT {K}, round(ln(1 + cdrsb), 6) AS cdrsb_log, CASE WHEN cdrsb < 1 THEN 0 WHEN cdrsb <= 4 THEN 1 WHEN cdrsb > 4 THEN 2 END AS cdrsb_category FROM bio""")
 def d30(spark, sf):
     return rounded(D.box_sum_category(bio(spark, sf), "cdrsb").select("l_orderkey", "l_linenumber", "cdrsb_log", "cdrsb_category"))
+
+
+# -- R1-R12 ---------------------------------------------------------------------
+# Risk table: one row per lineitem; biomarker risk (D3), genetic risk = allele
+# count of the part's brand (D17), demographic risk = customer age z (via
+# orders), behavioural component = discount (already 0..0.1), carrier flag.
+
+def risk_table(spark, sf):
+    b = D.biomarker_scores(bio(spark, sf), "ab42", "tau", "ptau")
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_discount")
+    g = D.genotype_features(table(spark, sf, "part").select("p_partkey", "p_brand"), "p_brand")
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    s = subj(spark, sf).select("c_custkey", "age")
+    t = (b.join(li, ["l_orderkey", "l_linenumber"]).join(g, li.l_partkey == g.p_partkey, "left")
+         .join(o, F.col("l_orderkey") == o.o_orderkey, "left").join(s, F.col("o_custkey") == s.c_custkey, "left"))
+    return t.select("l_orderkey", "l_linenumber", "biomarker_risk_score", F.col("e4_allele_count").cast("double").alias("genetic_risk"),
+                    "age", F.col("l_discount").alias("behavioral_risk"), "e4_carrier")
+
+
+RISK = f"""{BIO}, b AS (SELECT {K}, {rmean([z('ab42'), z('tau'), z('ptau')])} AS biomarker_risk_score FROM bio),
+rt AS (SELECT b.l_orderkey, b.l_linenumber, biomarker_risk_score,
+  CAST(least(greatest(length(p_brand) - length(replace(p_brand, '4', '')), 0), 2) AS DOUBLE) AS genetic_risk,
+  50 + (c_acctbal + 1000) / 11000 * 60 AS age, l_discount AS behavioral_risk, CAST(contains(p_brand, '4') AS INTEGER) AS e4_carrier
+  FROM b JOIN lineitem l ON b.l_orderkey = l.l_orderkey AND b.l_linenumber = l.l_linenumber LEFT JOIN part ON l_partkey = p_partkey
+  LEFT JOIN orders ON b.l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey)"""
+
+
+def _mm(c):
+    return f"(({c}) - (SELECT min({c}) FROM rt)) / ((SELECT max({c}) - min({c}) FROM rt) + 1e-6)"
+
+
+COMPOSITE_SQL = f"""(coalesce({_mm('genetic_risk')}, 0) * 0.2 + coalesce({_mm('age')}, 0) * 0.15 + coalesce({_mm('biomarker_risk_score')}, 0) * 0.25
+  + coalesce(behavioral_risk, 0) * 0.1) / 0.7"""
+
+
+def scored(spark, sf):
+    comps = {"genetic": ("genetic_risk", R.RISK_WEIGHTS["genetic"]), "demographic": ("age", R.RISK_WEIGHTS["demographic"]),
+             "biomarker": ("biomarker_risk_score", R.RISK_WEIGHTS["biomarker"]),
+             "behavioral": ("behavioral_risk", R.RISK_WEIGHTS["behavioral"])}
+    return R.risk_category(R.composite_risk(risk_table(spark, sf), comps))
+
+
+CAT_SQL = "CASE WHEN s >= 0 AND s <= 0.33 THEN 'Low' WHEN s > 0.33 AND s <= 0.66 THEN 'Moderate' WHEN s > 0.66 AND s <= 1.0 THEN 'High' END"
+SCORED = f"""{RISK}, sc AS (SELECT *, {COMPOSITE_SQL} AS s FROM rt), cat AS (SELECT *, {CAT_SQL} AS risk_category FROM sc)"""
+
+
+@register("r1_composite_risk", f"WITH {RISK} SELECT {K}, round({COMPOSITE_SQL}, 6) AS composite_risk_score FROM rt")
+def r1(spark, sf):
+    return rounded(scored(spark, sf).select("l_orderkey", "l_linenumber", "composite_risk_score"))
+
+
+@register("r2_risk_category", f"WITH {SCORED} SELECT {K}, risk_category FROM cat")
+def r2(spark, sf):
+    return scored(spark, sf).select("l_orderkey", "l_linenumber", "risk_category")
+
+
+@register("r3_cross_modal", f"""WITH {RISK} SELECT {K}, round({rmean(['CAST(genetic_risk IS NOT NULL AS DOUBLE)', 'CAST(biomarker_risk_score IS NOT NULL AS DOUBLE)'])}, 6) AS multimodal_completeness,
+  round(genetic_risk * ln(1 + coalesce(age, (SELECT median(age) FROM rt))), 6) AS genetic_age_interaction,
+  round(behavioral_risk * (1 - biomarker_risk_score), 6) AS lifestyle_biomarker_interaction,
+  round({rmean(['biomarker_risk_score', 'genetic_risk'])}, 6) AS neuroimaging_combined_risk FROM rt""")
+def r3(spark, sf):
+    t = risk_table(spark, sf).withColumn("_cg", F.col("genetic_risk").isNotNull().cast("double")) \
+        .withColumn("_cb", F.col("biomarker_risk_score").isNotNull().cast("double"))
+    out = R.cross_modal(t, ["_cg", "_cb"], "genetic_risk", "age", "behavioral_risk", "biomarker_risk_score",
+                        ["biomarker_risk_score", "genetic_risk"])
+    return rounded(out.select("l_orderkey", "l_linenumber", "multimodal_completeness", "genetic_age_interaction",
+                              "lifestyle_biomarker_interaction", "neuroimaging_combined_risk"))
+
+
+@register("r4_completeness_score", f"""WITH {RISK}, c AS (SELECT {K}, 1 - {rmean(['CAST(genetic_risk IS NOT NULL AS DOUBLE)', 'CAST(biomarker_risk_score IS NOT NULL AS DOUBLE)'])} AS s FROM rt)
+SELECT {K}, round(s, 6) AS composite_risk_score, {CAT_SQL} AS risk_category FROM c""")
+def r4(spark, sf):
+    t = risk_table(spark, sf).withColumn("_cg", F.col("genetic_risk").isNotNull().cast("double")) \
+        .withColumn("_cb", F.col("biomarker_risk_score").isNotNull().cast("double"))
+    out = R.completeness_score(R.cross_modal(t, ["_cg", "_cb"]))
+    return rounded(out.select("l_orderkey", "l_linenumber", "composite_risk_score", "risk_category"))
+
+
+PROFILE_SQL = f"""p AS (SELECT avg(s) FILTER (WHERE e4_carrier = 0) AS mean_non_carrier, stddev_samp(s) FILTER (WHERE e4_carrier = 0) AS std_non_carrier,
+  count(s) FILTER (WHERE e4_carrier = 0) AS count_non_carrier, avg(s) FILTER (WHERE e4_carrier = 1) AS mean_carrier,
+  stddev_samp(s) FILTER (WHERE e4_carrier = 1) AS std_carrier, count(s) FILTER (WHERE e4_carrier = 1) AS count_carrier FROM cat)"""
+
+
+@register("r5_carrier_profile", f"""WITH {SCORED}, {PROFILE_SQL}
+SELECT round(mean_non_carrier, 6) AS mean_non_carrier, round(std_non_carrier, 6) AS std_non_carrier, count_non_carrier, round(mean_carrier, 6) AS mean_carrier,
+  round(std_carrier, 6) AS std_carrier, count_carrier, round(mean_carrier / mean_non_carrier, 6) AS risk_multiplier, round(mean_carrier - std_carrier, 6) AS high_risk_threshold FROM p""")
+def r5(spark, sf):
+    return rounded(R.carrier_profile(scored(spark, sf), "e4_carrier", "composite_risk_score"))
+
+
+@register("r6_carrier_adjust", f"""WITH {SCORED}, {PROFILE_SQL}
+SELECT {K}, CASE WHEN e4_carrier = 1 THEN 'High_Genetic_Risk' WHEN e4_carrier = 0 THEN 'Low_Genetic_Risk' END AS genetic_risk_stratum,
+  round(CASE WHEN e4_carrier = 1 THEN s * (SELECT mean_carrier / mean_non_carrier FROM p) ELSE s END, 6) AS genetic_adjusted_risk FROM cat""")
+def r6(spark, sf):
+    out = R.carrier_adjust(scored(spark, sf), "e4_carrier", "composite_risk_score")
+    return rounded(out.select("l_orderkey", "l_linenumber", "genetic_risk_stratum", "genetic_adjusted_risk"))
+
+
+HIER_SQL = """CASE WHEN risk_category = 'Low' AND e4_carrier = 1 THEN 'Low_Risk_APOE4_Carrier'
+  WHEN risk_category = 'Moderate' AND biomarker_risk_score > (SELECT quantile_cont(biomarker_risk_score, 0.75) FROM cat) THEN 'Moderate_Risk_High_Biomarkers'
+  WHEN risk_category = 'High' AND e4_carrier = 0 THEN 'High_Risk_Non_APOE4' WHEN risk_category = 'High' AND e4_carrier = 1 THEN 'Critical_High_Risk_APOE4' ELSE 'Other' END"""
+
+
+@register("r7_hierarchical_stratum", f"WITH {SCORED} SELECT {K}, {HIER_SQL} AS hierarchical_stratum FROM cat")
+def r7(spark, sf):
+    return R.hierarchical_stratum(scored(spark, sf), "risk_category", "e4_carrier", "biomarker_risk_score").select(
+        "l_orderkey", "l_linenumber", "hierarchical_stratum")
+
+
+THR_SQL = """CASE WHEN biomarker_risk_score >= (SELECT quantile_cont(biomarker_risk_score, 0.67) FROM cat) THEN 'High_Biomarker_Risk'
+  WHEN biomarker_risk_score <= (SELECT quantile_cont(biomarker_risk_score, 0.33) FROM cat) THEN 'Low_Biomarker_Risk' ELSE 'Moderate_Biomarker_Risk' END"""
+
+
+@register("r8_threshold_stratum", f"WITH {SCORED} SELECT {K}, {THR_SQL} AS biomarker_stratum FROM cat")
+def r8(spark, sf):
+    return R.threshold_stratum(scored(spark, sf), "biomarker_risk_score").select("l_orderkey", "l_linenumber", "biomarker_stratum")
+
+
+@register("r9_cluster_stratum")
+def r9(spark, sf):
+    t = risk_table(spark, sf)
+    return R.cluster_stratum(t, ["biomarker_risk_score", "genetic_risk"]).select(
+        "l_orderkey", "l_linenumber", "biomarker_cluster", "biomarker_stratum")
+
+
+def _combined(spark, sf):
+    s = scored(spark, sf)
+    s = R.carrier_adjust(s, "e4_carrier", "composite_risk_score")
+    s = R.hierarchical_stratum(s, "risk_category", "e4_carrier", "biomarker_risk_score")
+    s = R.threshold_stratum(s, "biomarker_risk_score")
+    return R.combined_stratum(s)
+
+
+@register("r10_combined_stratum", f"""WITH {SCORED}, h AS (SELECT *, {HIER_SQL} AS hs, {THR_SQL} AS bs FROM cat)
+SELECT {K}, CASE WHEN (e4_carrier = 1 AND hs = 'Critical_High_Risk_APOE4') OR (bs = 'High_Biomarker_Risk' AND risk_category = 'High') THEN 'Critical_Multi_Risk' ELSE 'Standard_Risk' END AS comprehensive_stratum FROM h""")
+def r10(spark, sf):
+    return _combined(spark, sf).select("l_orderkey", "l_linenumber", "comprehensive_stratum")
+
+
+@register("r11_stratum_metrics", f"""WITH {SCORED}, h AS (SELECT {K}, risk_category, {HIER_SQL} AS hierarchical_stratum FROM cat)
+SELECT 'total_samples' AS metric, count(*)::DOUBLE AS value FROM h
+UNION ALL SELECT 'stratification_completeness', round((count(l_orderkey) + count(l_linenumber) + count(risk_category) + count(hierarchical_stratum)) / (count(*) * 4.0), 6) FROM h
+UNION ALL SELECT 'risk_category_unique_strata', count(DISTINCT risk_category)::DOUBLE FROM h
+UNION ALL SELECT 'hierarchical_stratum_unique_strata', count(DISTINCT hierarchical_stratum)::DOUBLE FROM h
+UNION ALL SELECT 'risk_category_' || risk_category || '_proportion', round(count(*)::DOUBLE / (SELECT count(risk_category) FROM h), 6) FROM h WHERE risk_category IS NOT NULL GROUP BY risk_category
+UNION ALL SELECT 'hierarchical_stratum_' || hierarchical_stratum || '_proportion', round(count(*)::DOUBLE / (SELECT count(*) FROM h), 6) FROM h GROUP BY hierarchical_stratum""")
+def r11(spark, sf):
+    s = R.hierarchical_stratum(scored(spark, sf), "risk_category", "e4_carrier", "biomarker_risk_score")
+    s = s.select("l_orderkey", "l_linenumber", "risk_category", "hierarchical_stratum")
+    return rounded(R.stratum_metrics(s, ["risk_category", "hierarchical_stratum"]))
+
+
+@register("r12_consensus_stratum")
+def r12(spark, sf):
+    s = _combined(spark, sf)
+    lab = lambda c: F.regexp_extract(F.col(c), "(Low|Moderate|High|Critical)", 1)
+    s = s.select("l_orderkey", "l_linenumber", lab("risk_category").alias("a"), lab("biomarker_stratum").alias("b"),
+                 lab("hierarchical_stratum").alias("c"))
+    return R.consensus_stratum(s, ["a", "b", "c"]).select("l_orderkey", "l_linenumber", "consensus_stratum")

@@ -163,8 +163,9 @@ def stratum_metrics(df: DataFrame, strata: Sequence[str]) -> DataFrame:
                  *[F.count_distinct(c).alias(f"u{i}") for i, c in enumerate(strata)])
     base = row.select(F.explode(F.array(
         F.struct(F.lit("total_samples").alias("metric"), F.col("n").cast("double").alias("value")),
-        F.struct(F.lit("stratification_completeness"), F.col("comp").cast("double")),
-        *[F.struct(F.lit(f"{c}_unique_strata"), F.col(f"u{i}").cast("double")) for i, c in enumerate(strata)])).alias("e")).select("e.*")
+        F.struct(F.lit("stratification_completeness").alias("metric"), F.col("comp").cast("double").alias("value")),
+        *[F.struct(F.lit(f"{c}_unique_strata").alias("metric"), F.col(f"u{i}").cast("double").alias("value"))
+          for i, c in enumerate(strata)])).alias("e")).select("e.*")
     parts = [base]
     for c in strata:
         vc = value_counts(df, c)

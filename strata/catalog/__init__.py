@@ -1,4 +1,4 @@
 """Benchmark bindings: importing this package registers every query."""
 
-from . import aggregates, basics, features, images, joins, longitudinal, models, quality, scalars, transforms  # noqa: F401
+from . import aggregates, basics, features, images, joins, longitudinal, models, quality, scalars, sources, transforms  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -311,13 +311,22 @@ def fit_progression(df: DataFrame, label: str, feats: Sequence[str], key: str) -
     return res[0].unionByName(res[1])
 
 
+def _silhouette(model, data: DataFrame, features: str = "features", prediction: str = "prediction") -> float | None:
+    """Silhouette of a fitted clustering; null when it produced fewer than
+    two non-empty clusters (the score is undefined)."""
+    pred = model.transform(data)
+    if pred.select(prediction).distinct().limit(2).count() < 2:
+        return None
+    return float(ClusteringEvaluator(featuresCol=features, predictionCol=prediction).evaluate(pred))
+
+
 def fit_kmeans_auto(df: DataFrame, feats: Sequence[str], ks: Sequence[int] = range(2, 8), seed: int = 42) -> DataFrame:
     """Silhouette (squared Euclidean) for each k; one row per k."""
     a = assemble(df.dropna(subset=list(feats)), feats)
     rows = []
     for k in ks:
         m = KMeans(k=k, seed=seed).fit(a)
-        rows.append((int(k), float(ClusteringEvaluator().evaluate(m.transform(a))), float(m.summary.trainingCost)))
+        rows.append((int(k), _silhouette(m, a), float(m.summary.trainingCost)))
     out = df.sparkSession.createDataFrame(rows, "k int, silhouette double, cost double")
     return out.withColumn("best", (F.col("silhouette") == F.max("silhouette").over(Window.partitionBy())).cast("int"))
 
@@ -342,7 +351,7 @@ def fit_bisecting_auto(df: DataFrame, feats: Sequence[str], ks: Sequence[int] =
     rows = []
     for k in ks:
         m = BisectingKMeans(k=k, seed=seed).fit(a)
-        rows.append((int(k), float(ClusteringEvaluator().evaluate(m.transform(a)))))
+        rows.append((int(k), _silhouette(m, a)))
     out = df.sparkSession.createDataFrame(rows, "k int, silhouette double")
     return out.withColumn("best", (F.col("silhouette") == F.max("silhouette").over(Window.partitionBy())).cast("int"))
 

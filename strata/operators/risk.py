@@ -131,7 +131,11 @@ def cluster_stratum(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = (2,
     best = None
     for k in ks:
         m = KMeans(k=k, seed=seed, featuresCol="_f", predictionCol="_c").fit(data)
-        s = ClusteringEvaluator(featuresCol="_f", predictionCol="_c").evaluate(m.transform(data))
+        pred = m.transform(data)
+        if pred.select("_c").distinct().limit(2).count() < 2:
+            s = float("-inf")
+        else:
+            s = ClusteringEvaluator(featuresCol="_f", predictionCol="_c").evaluate(pred)
         if best is None or s > best[0]:
             best = (s, m)
     pred = best[1].transform(data)

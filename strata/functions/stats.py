@@ -85,32 +85,91 @@ def stats_frame(df: DataFrame, spec: Mapping[str, Iterable[str]], approx: bool =
     return df.agg(*exprs)
 
 
+# Above this many values in one group, exact quantiles switch from Spark's
+# ``percentile`` (a value -> count map held by one task) to the distributed
+# bracketing selection of ``exact_quantiles``.
+EXACT_MAP_MAX_ROWS = 10_000_000
+
+
+def exact_map_max_rows(df: DataFrame) -> int:
+    """Session override ``spark.strata.exactMapMaxRows`` (tests force the
+    distributed path with 0)."""
+    return int(df.sparkSession.conf.get("spark.strata.exactMapMaxRows", str(EXACT_MAP_MAX_ROWS)))
+
+
 def fit_stats(df: DataFrame, spec: Mapping[str, Iterable[str]], approx: bool = False) -> dict:
     """Run the one-pass aggregate(s) and return ``{(col, stat): value}``.
 
-    Exact percentiles are batched at most ``_PERCENTILE_BATCH`` columns per
-    job; everything else goes in the first job.
+    Plain statistics and the non-null count of every quantile column come
+    from one job.  Exact quantiles then use ``percentile`` (at most
+    ``_PERCENTILE_BATCH`` columns per job) while every column holds at most
+    ``EXACT_MAP_MAX_ROWS`` values, and the distributed ``exact_quantiles``
+    (all columns in one melted pass) beyond that.
     """
     spec = {c: list(s) for c, s in spec.items()}
     plain = {c: [s for s in ss if _quantile_name(s) is None] for c, ss in spec.items()}
     quant = {c: [s for s in ss if _quantile_name(s) is not None] for c, ss in spec.items()}
     out: dict = {}
-    jobs = []
     plain = {c: s for c, s in plain.items() if s}
     quant_cols = [c for c, s in quant.items() if s]
-    if plain:
-        jobs.append(plain)
-    for i in range(0, len(quant_cols), _PERCENTILE_BATCH):
-        jobs.append({c: quant[c] for c in quant_cols[i:i + _PERCENTILE_BATCH]})
-    for job in jobs:
-        row = stats_frame(df, job, approx).first()
-        for c, ss in job.items():
-            for s in ss:
-                v = row[f"{c}__{s}"]
-                out[(c, s)] = None if v is None or (isinstance(v, float) and math.isnan(v)) else v
+    first = [stat_expr(c, s, approx).alias(f"{c}__{s}") for c, ss in plain.items() for s in ss]
+    first += [F.count(F.col(c)).alias(f"{c}__qcount") for c in quant_cols]
+    row = df.agg(*first).first() if first else None
+    for c, ss in plain.items():
+        for s in ss:
+            v = row[f"{c}__{s}"]
+            out[(c, s)] = None if v is None or (isinstance(v, float) and math.isnan(v)) else v
+    if not quant_cols:
+        return out
+    big = max(row[f"{c}__qcount"] for c in quant_cols) > exact_map_max_rows(df)
+    if approx or not big:
+        for i in range(0, len(quant_cols), _PERCENTILE_BATCH):
+            job = {c: quant[c] for c in quant_cols[i:i + _PERCENTILE_BATCH]}
+            r = stats_frame(df, job, approx).first()
+            for c, ss in job.items():
+                for s_ in ss:
+                    v = r[f"{c}__{s_}"]
+                    out[(c, s_)] = None if v is None or (isinstance(v, float) and math.isnan(v)) else v
+        return out
+    qs = sorted({_quantile_name(s_) for c in quant_cols for s_ in quant[c]})
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v"))
+                                          for c in quant_cols])).alias("_e")).select("_e._col", "_e._v")
+    res = {r["_col"]: r for r in exact_quantiles(long, ["_col"], "_v", qs).collect()}
+    for c in quant_cols:
+        for s_ in quant[c]:
+            r = res.get(c)
+            out[(c, s_)] = r[f"q{qs.index(_quantile_name(s_))}"] if r is not None else None
     return out
 
 
+def group_quantiles(df: DataFrame, keys: list[str], c: str, qs: list[float], names: list[str] | None = None) -> DataFrame:
+    """Exact per-group quantiles as columns ``names`` (default q0, q1, ...).
+    Groups holding at most ``EXACT_MAP_MAX_ROWS`` values use Spark's
+    ``percentile`` (a bounded value map); larger groups -- a hot key holding a
+    third of the data -- go through the distributed selection of
+    ``exact_quantiles``, so no task ever holds such a group's values."""
+    names = names or [f"q{i}" for i in range(len(qs))]
+    x = F.col(c).cast("double")
+    limit = exact_map_max_rows(df)
+    sizes = df.groupBy(*keys).agg(F.count(x).alias("_n"))
+    big_keys = sizes.where(F.col("_n") > limit).select(*keys)
+    if keys and big_keys.limit(1).count() == 0:
+        agg = df.groupBy(*keys).agg(F.percentile(x, list(qs)).alias("_q"))
+        return agg.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    if not keys:
+        if sizes.first()["_n"] <= limit:
+            agg = df.agg(F.percentile(x, list(qs)).alias("_q"))
+        else:
+            return exact_quantiles(df, [], c, list(qs)).select(*[F.col(f"q{i}").alias(n) for i, n in enumerate(names)])
+        return agg.select(*[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    small = df.join(sizes.where(F.col("_n") <= limit).select(*keys), keys, "left_semi")
+    small_q = small.groupBy(*keys).agg(F.percentile(x, list(qs)).alias("_q")).select(
+        *keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    big = df.join(big_keys, keys, "left_semi")
+    big_q = exact_quantiles(big, keys, c, list(qs)).select(*keys, *[F.col(f"q{i}").alias(n) for i, n in enumerate(names)])
+    return small_q.unionByName(big_q)
+
+
 def lit_or_null(v) -> Column:
     return F.lit(v).cast("double") if v is not None else F.lit(None).cast("double")
 
@@ -263,3 +322,95 @@ def pair_corr(x, y) -> Column:
     x, y = col_(x).cast("double"), col_(y).cast("double")
     xx, yy = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
     return F.try_divide(F.covar_pop(xx, yy), F.sqrt(F.var_pop(xx) * F.var_pop(yy)))
+
+
+# ---------------------------------------------------------------------------
+# Exact quantiles without a single-task value map.
+
+def exact_quantiles(df: DataFrame, keys: list[str], c: str, qs: list[float], accuracy: int = 10000,
+                    max_bracket: int = 50000, max_rounds: int = 8) -> DataFrame:
+    """Exact linear-interpolation quantiles (pandas / ``percentile``) of
+    ``c`` per group of ``keys`` (global when ``keys`` is empty), as columns
+    ``q0``, ``q1``, ... in the order of ``qs``.
+
+    Spark's exact ``percentile`` keeps a value -> count map of a whole group
+    in one task; a group holding a third of the data would not fit.  Here
+    each needed rank r is first bracketed by a bounded sketch
+    (``percentile_approx``); exact counts give the number of values below the
+    bracket and inside it; brackets holding at most ``max_bracket`` values are
+    resolved by sorting just those values, larger ones are narrowed with a
+    new sketch over the bracket only.  Every step is a partial aggregate, so
+    a hot group is reduced map-side.  The bracket check makes the result exact
+    whatever the sketch error (a failed bracket is widened and retried).
+    """
+    x = df.select(*keys, F.col(c).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    if not keys:
+        x = x.withColumn("_g0", F.lit(0))
+        keys_ = ["_g0"]
+    else:
+        keys_ = list(keys)
+    delta = 3.0 / accuracy
+    # ranks needed: floor / ceil of q (n - 1) for every q (0-based)
+    g = x.groupBy(*keys_).agg(F.count(F.lit(1)).alias("_n"))
+    tgt = []
+    for i, q in enumerate(qs):
+        pos = F.lit(float(q)) * (F.col("_n") - 1)
+        tgt.append(F.struct(F.lit(i).alias("qi"), F.lit(0).alias("side"), F.floor(pos).cast("long").alias("r"),
+                            (pos - F.floor(pos)).alias("frac")))
+        tgt.append(F.struct(F.lit(i).alias("qi"), F.lit(1).alias("side"), F.ceil(pos).cast("long").alias("r"),
+                            (pos - F.floor(pos)).alias("frac")))
+    targets = g.select(*keys_, "_n", F.explode(F.array(*tgt)).alias("t")).select(*keys_, "_n", "t.*")
+    # first bracket: sketch of the whole group at the target fraction +/- delta
+    sk = x.groupBy(*keys_).agg(F.percentile_approx("_x", [i / 1000.0 for i in range(0, 1001)], accuracy).alias("_sk"))
+    targets = (targets.join(sk, keys_)
+               .withColumn("_p", (F.col("r") + 0.5) / F.col("_n"))
+               .withColumn("a", F.element_at("_sk", (F.greatest(F.floor((F.col("_p") - delta) * 1000), F.lit(0)) + 1).cast("int")))
+               .withColumn("b", F.element_at("_sk", (F.least(F.ceil((F.col("_p") + delta) * 1000), F.lit(1000)) + 1).cast("int")))
+               .withColumn("below", F.lit(0).cast("long")).drop("_sk", "_p"))
+    done = None
+    tk = [*keys_, "qi", "side"]
+    for _ in range(max_rounds):
+        j = x.join(targets.select(*tk, "a", "b"), keys_)
+        cnt = j.groupBy(*tk).agg(F.count_if(F.col("_x") < F.col("a")).alias("_below"),
+                                 F.count_if((F.col("_x") >= F.col("a")) & (F.col("_x") <= F.col("b"))).alias("_in"))
+        t = targets.drop("below").join(cnt, tk).withColumnRenamed("_below", "below")
+        ok = (F.col("below") <= F.col("r")) & (F.col("r") < F.col("below") + F.col("_in"))
+        t = t.withColumn("_ok", ok).cache()
+        bad = t.where(~F.col("_ok"))
+        good = t.where(F.col("_ok"))
+        tie = good.where(F.col("a") == F.col("b")).select(*tk, "frac", F.col("a").alias("v"))
+        small = good.where((F.col("a") < F.col("b")) & (F.col("_in") <= max_bracket))
+        large = good.where((F.col("a") < F.col("b")) & (F.col("_in") > max_bracket))
+        sel = (x.join(small.select(*tk, "a", "b", "r", "below", "frac"), keys_)
+               .where((F.col("_x") >= F.col("a")) & (F.col("_x") <= F.col("b")))
+               .groupBy(*tk, "r", "below", "frac").agg(F.sort_array(F.collect_list("_x")).alias("_vals"))
+               .select(*tk, "frac", F.element_at("_vals", (F.col("r") - F.col("below") + 1).cast("int")).alias("v")))
+        resolved = tie.unionByName(sel)
+        done = resolved if done is None else done.unionByName(resolved)
+        # narrow large brackets with a sketch over the bracket rows only; widen failed ones
+        nxt_large = None
+        if large.limit(1).count():
+            inner = (x.join(large.select(*tk, "a", "b"), keys_)
+                     .where((F.col("_x") >= F.col("a")) & (F.col("_x") <= F.col("b")))
+                     .groupBy(*tk).agg(F.percentile_approx("_x", [i / 1000.0 for i in range(0, 1001)], accuracy).alias("_sk")))
+            nxt_large = (large.join(inner, tk)
+                         .withColumn("_p", (F.col("r") - F.col("below") + 0.5) / F.col("_in"))
+                         .withColumn("a", F.element_at("_sk", (F.greatest(F.floor((F.col("_p") - delta) * 1000), F.lit(0)) + 1).cast("int")))
+                         .withColumn("b", F.element_at("_sk", (F.least(F.ceil((F.col("_p") + delta) * 1000), F.lit(1000)) + 1).cast("int")))
+                         .select(*keys_, "_n", "qi", "side", "r", "frac", "a", "b"))
+        nxt_bad = None
+        if bad.limit(1).count():
+            nxt_bad = bad.select(*keys_, "_n", "qi", "side", "r", "frac", F.lit(float("-inf")).alias("a"),
+                                 F.lit(float("inf")).alias("b"))
+        parts = [p for p in (nxt_large, nxt_bad) if p is not None]
+        if not parts:
+            break
+        targets = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        targets = targets.withColumn("below", F.lit(0).cast("long"))
+    # interpolate between the floor and ceil ranks
+    lo = done.where(F.col("side") == 0).select(*keys_, "qi", "frac", F.col("v").alias("v_lo"))
+    hi = done.where(F.col("side") == 1).select(*keys_, "qi", F.col("v").alias("v_hi"))
+    val = lo.join(hi, [*keys_, "qi"]).select(*keys_, "qi", (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac")).alias("v"))
+    wide = val.groupBy(*keys_).pivot("qi", list(range(len(qs)))).agg(F.first("v"))
+    wide = wide.select(*keys_, *[F.col(str(i)).alias(f"q{i}") for i in range(len(qs))])
+    return wide.drop("_g0") if not keys else wide

@@ -15,19 +15,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import safe_div
-from ..functions.stats import pair_corr, t_pvalue
+from ..functions.stats import group_quantiles, pair_corr, t_pvalue
 
 _FNS = {
-    "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "count": F.count,
-    "median": lambda c: F.percentile(c, 0.5), "sum": F.sum,
+    "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "count": F.count, "sum": F.sum,
 }
 
 
 def agg_profile(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
                 fns: Sequence[str] = ("mean", "std", "min", "max"), suffix: str = "") -> DataFrame:
-    """A1: per group, every statistic of every measure as ``{col}_{fn}{suffix}``."""
-    return df.groupBy(*keys).agg(*[_FNS[f](F.col(c).cast("double") if f != "count" else F.col(c)).alias(f"{c}_{f}{suffix}")
-                                   for c in cols for f in fns])
+    """A1: per group, every statistic of every measure as ``{col}_{fn}{suffix}``
+    (``median`` is exact, via the size-aware grouped quantiles)."""
+    plain = [f for f in fns if f != "median"]
+    out = df.groupBy(*keys).agg(*[_FNS[f](F.col(c).cast("double") if f != "count" else F.col(c)).alias(f"{c}_{f}{suffix}")
+                                  for c in cols for f in plain])
+    if "median" in fns:
+        for c in cols:
+            out = out.join(group_quantiles(df, list(keys), c, [0.5], [f"{c}_median{suffix}"]), list(keys), "left")
+        out = out.select(*keys, *[f"{c}_{f}{suffix}" for c in cols for f in fns])
+    return out
 
 
 def agg_calendar(df: DataFrame, key: str, ts: str, unit: str, cols: Sequence[str],
@@ -59,7 +65,11 @@ def weekday_weekend_variation(df: DataFrame, key: str, ts: str, cols: Sequence[s
 
 def median_per_key(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """A4: exact median of each column per key (collapse repeated measurements)."""
-    return df.groupBy(*keys).agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in cols])
+    out = None
+    for c in cols:
+        m = group_quantiles(df, list(keys), c, [0.5], [c])
+        out = m if out is None else out.join(m, list(keys), "full")
+    return out
 
 
 def value_counts(df: DataFrame, c: str, normalize: bool = True) -> DataFrame:
@@ -119,10 +129,12 @@ def stratum_profile(df: DataFrame, stratum: str, target: str, digits: int = 3) -
     """A10: mean / std / count / median / min / max of ``target`` per stratum,
     rounded to 3 decimals."""
     y = F.col(target).cast("double")
-    return df.groupBy(stratum).agg(
+    g = df.groupBy(stratum).agg(
         F.round(F.avg(y), digits).alias("mean"), F.round(F.stddev_samp(y), digits).alias("std"),
-        F.count(y).alias("count"), F.round(F.percentile(y, 0.5), digits).alias("median"),
-        F.round(F.min(y), digits).alias("min"), F.round(F.max(y), digits).alias("max"))
+        F.count(y).alias("count"), F.round(F.min(y), digits).alias("min"), F.round(F.max(y), digits).alias("max"))
+    med = group_quantiles(df, [stratum], target, [0.5], ["_med"])
+    return g.join(med, [stratum], "left").select(stratum, "mean", "std", "count", F.round("_med", digits).alias("median"),
+                                                 "min", "max")
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import group_quantiles
+
 
 def pixels_from_array(df: DataFrame, image: str, arr: str, width: int) -> DataFrame:
     """Long pixel table from an array column laid out row-major ``width`` wide."""
@@ -28,10 +30,11 @@ def intensity_stats(px: DataFrame) -> DataFrame:
     v = F.col("v")
     g = px.groupBy("image_id").agg(
         F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
-        F.percentile(v, [0.5, 0.25, 0.75]).alias("_q"), F.skewness(v).alias("_sk"), F.kurtosis(v).alias("_ku"))
+        F.skewness(v).alias("_sk"), F.kurtosis(v).alias("_ku"))
+    g = g.join(group_quantiles(px, ["image_id"], "v", [0.5, 0.25, 0.75], ["median", "p25", "p75"]), "image_id")
     flat = F.col("std") == 0
-    return g.select("image_id", "mean", "std", "min", "max", F.col("_q")[0].alias("median"), F.col("_q")[1].alias("p25"),
-                    F.col("_q")[2].alias("p75"), (F.col("max") - F.col("min")).alias("contrast"),
+    return g.select("image_id", "mean", "std", "min", "max", "median", "p25",
+                    "p75", (F.col("max") - F.col("min")).alias("contrast"),
                     F.when(flat, 0.0).otherwise(F.col("_sk")).alias("skewness"),
                     F.when(flat, 0.0).otherwise(F.col("_ku") + 3.0).alias("kurtosis"))
 
@@ -98,10 +101,12 @@ def region_stats(px: DataFrame, threshold: DataFrame | None = None, region: str
     above the image's threshold (default: Otsu)."""
     thr = threshold if threshold is not None else otsu_threshold(px)
     m = px.join(thr, "image_id").where(F.col("v") > F.col("otsu_threshold"))
-    return m.groupBy("image_id").agg(
+    g = m.groupBy("image_id").agg(
         F.avg("v").alias(f"{region}_mean"), F.stddev_pop("v").alias(f"{region}_std"),
-        F.percentile("v", 0.5).alias(f"{region}_median"), F.min("v").alias(f"{region}_min"),
-        F.max("v").alias(f"{region}_max"), F.count(F.lit(1)).alias(f"{region}_volume"))
+        F.min("v").alias(f"{region}_min"), F.max("v").alias(f"{region}_max"), F.count(F.lit(1)).alias(f"{region}_volume"))
+    med = group_quantiles(m, ["image_id"], "v", [0.5], [f"{region}_median"])
+    return g.join(med, "image_id").select("image_id", f"{region}_mean", f"{region}_std", f"{region}_median",
+                                          f"{region}_min", f"{region}_max", f"{region}_volume")
 
 
 def band_ratios(px: DataFrame, cuts: Sequence[float] = (0.7, 0.4, 0.2)) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.stats import fit_stats, lit_or_null
+from ..functions.stats import fit_stats, group_quantiles, lit_or_null
 from ..session import cut_lineage
 
 
@@ -48,7 +48,10 @@ def impute(df: DataFrame, cols: Sequence[str], how: str = "median") -> DataFrame
 
 def impute_by_group(df: DataFrame, group: str, cols: Sequence[str]) -> DataFrame:
     """Fill with the group median, then with the global median."""
-    med = df.groupBy(group).agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(f"_gm_{c}") for c in cols])
+    med = None
+    for c in cols:
+        m = group_quantiles(df, [group], c, [0.5], [f"_gm_{c}"])
+        med = m if med is None else med.join(m, group, "full")
     st = fit_stats(df, {c: ["median"] for c in cols})
     j = df.join(med, group, "left")
     return j.select([F.coalesce(F.col(c).cast("double"), F.col(f"_gm_{c}"), lit_or_null(st[(c, "median")])).alias(c)

@@ -81,8 +81,11 @@ def attach_lookup(df: DataFrame, lookup: DataFrame, keys, cols: Sequence[str]) -
 def attach_group_stat(df: DataFrame, keys, col: str, fn: str = "mean", out: str | None = None) -> DataFrame:
     """Per-group aggregate attached back to every row (aggregate, then join)."""
     keys = _list(keys)
-    f = {"mean": F.avg, "sum": F.sum, "max": F.max, "min": F.min, "count": F.count,
-         "median": lambda c: F.percentile(c, 0.5), "std": F.stddev_samp}[fn]
+    if fn == "median":
+        from ..functions.stats import group_quantiles
+        g = group_quantiles(df, keys, col, [0.5], [out or f"{col}_median"])
+        return df.join(g, keys, "left")
+    f = {"mean": F.avg, "sum": F.sum, "max": F.max, "min": F.min, "count": F.count, "std": F.stddev_samp}[fn]
     g = df.groupBy(*keys).agg(f(F.col(col)).alias(out or f"{col}_{fn}"))
     return df.join(g, keys, "left")
 

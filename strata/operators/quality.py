@@ -297,17 +297,13 @@ def imbalance_ratio(df: DataFrame, c: str) -> DataFrame:
 
 def describe_exact(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Q13: count, mean, std, min, exact quartiles, max per column (long)."""
-    aggs = []
-    for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), F.percentile(x, [0.25, 0.5, 0.75]).alias(f"q{i}"), F.max(x).alias(f"hi{i}")]
-    row = df.agg(*aggs)
-    entries = [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("count"), F.col(f"a{i}").alias("mean"),
-                        F.col(f"s{i}").alias("std"), F.col(f"lo{i}").alias("min"), F.col(f"q{i}")[0].alias("p25"),
-                        F.col(f"q{i}")[1].alias("p50"), F.col(f"q{i}")[2].alias("p75"), F.col(f"hi{i}").alias("max"))
-               for i, c in enumerate(cols)]
-    return row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    from ..functions.stats import fit_stats
+    st = fit_stats(df, {c: ["count", "mean", "std", "min", "q0.25", "q0.5", "q0.75", "max"] for c in cols})
+    rows = [(c, st[(c, "count")], st[(c, "mean")], st[(c, "std")], st[(c, "min")], st[(c, "q0.25")],
+             st[(c, "q0.5")], st[(c, "q0.75")], st[(c, "max")]) for c in cols]
+    schema = ("column string, count long, mean double, std double, min double, p25 double, p50 double, "
+              "p75 double, max double")
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def missing_corr(df: DataFrame, cols: Sequence[str]) -> DataFrame:

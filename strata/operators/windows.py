@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import safe_div
+from ..functions.stats import group_quantiles
 from ..functions.stats import rank_pct as _rank_pct
 
 
@@ -104,7 +105,7 @@ def last_visit(df: DataFrame, key, order) -> DataFrame:
 def fill_group_median(df: DataFrame, group, y: str, out: str | None = None) -> DataFrame:
     """Fill nulls of ``y`` with the exact median of its group."""
     keys = _as_list(group)
-    med = df.groupBy(*keys).agg(F.percentile(F.col(y).cast("double"), 0.5).alias("_med"))
+    med = group_quantiles(df, keys, y, [0.5], ["_med"])
     return (df.join(med, keys, "left")
             .withColumn(out or y, F.coalesce(F.col(y).cast("double"), F.col("_med")))
             .drop("_med"))

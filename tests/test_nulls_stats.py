@@ -82,3 +82,24 @@ def test_row_stats_match_pandas(spark):
     for r, (m, s) in zip(got, zip(pdf.mean(axis=1), pdf.std(axis=1))):
         assert (r["m"] is None and pd.isna(m)) or r["m"] == pytest.approx(m)
         assert (r["s"] is None and pd.isna(s)) or r["s"] == pytest.approx(s)
+
+
+@pytest.mark.parametrize("limit", ["0", "300"])
+def test_group_quantiles_distributed_path_is_exact(spark, limit):
+    """Groups above the size limit go through the bracketing selection; the
+    result must equal pandas' linear-interpolation quantiles exactly."""
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"g": np.repeat([0, 1, 2], [2000, 200, 30]),
+                        "x": np.round(rng.gamma(2.0, 3.0, 2230), 1)})
+    pdf.loc[::13, "x"] = np.nan
+    spark.conf.set("spark.strata.exactMapMaxRows", limit)
+    try:
+        got = S.group_quantiles(spark.createDataFrame(pdf), ["g"], "x", [0.05, 0.5, 0.95]).toPandas()
+        glob = S.fit_stats(spark.createDataFrame(pdf), {"x": ["q0.05", "median", "q0.95"]})
+    finally:
+        spark.conf.unset("spark.strata.exactMapMaxRows")
+    exp = pdf.groupby("g")["x"].quantile([0.05, 0.5, 0.95]).unstack()
+    got = got.set_index("g").sort_index()
+    assert np.allclose(got.values, exp.values, atol=1e-12)
+    assert glob[("x", "median")] == pytest.approx(pdf["x"].median(), abs=1e-12)
+    assert glob[("x", "q0.95")] == pytest.approx(pdf["x"].quantile(0.95), abs=1e-12)

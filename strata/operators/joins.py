@@ -172,42 +172,63 @@ def greedy_match(left: DataFrame, right: DataFrame, eq: Sequence[tuple[str, str]
     the nearest (ties -> smallest right key) still-unused right row of the
     same block within ``tol``.
 
-    Two left rows can only compete if their tolerance windows reach a common
-    right row, so the candidate pairs (J7) are grouped into chains of
-    overlapping windows per block and each chain is matched in one pandas
-    call; chains are independent, so the result equals the sequential one.
+    Two left rows compete only when their tolerance windows reach a common
+    right row, so right rows are cut into chains (a gap > 2 tol between
+    consecutive right values of a block starts a new chain), each left row is
+    routed to the one chain its window can reach (equi-join on value
+    buckets, no candidate pairs), and each chain is matched in one pandas
+    call with a sorted search.  Chains are independent, so the result equals
+    the fully sequential one.
     """
-    lcols = list(dict.fromkeys([*[a for a, _ in eq], lkey, lorder, lcol]))
-    cand = tolerance_join(left.select(*lcols),
-                          right.select(*[F.col(b).alias(f"_r_{b}") for _, b in eq], rkey, rcol)
-                          .withColumnRenamed(rcol, "_rv"),
-                          [(a, f"_r_{b}") for a, b in eq], lcol, "_rv", tol)
-    blocks = [a for a, _ in eq]
-    # chains: right values of a block sorted; a gap > 2 * tol starts a new chain
-    rv = cand.select(*blocks, "_rv").distinct()
-    w = Window.partitionBy(*blocks).orderBy("_rv")
-    chains = (rv.withColumn("_gap", (F.col("_rv") - F.lag("_rv").over(w) > 2 * tol).cast("int"))
-              .withColumn("_chain", F.sum(F.coalesce("_gap", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-              .drop("_gap"))
-    c = cand.join(chains, [*blocks, "_rv"])
+    blocks = [f"_b{i}" for i in range(len(eq))]
+    width = float(tol) if tol > 0 else 1.0
+    R = right.select(*[F.col(b).alias(n) for (_, b), n in zip(eq, blocks)], F.col(rkey).alias("_rk"),
+                     F.col(rcol).cast("double").alias("_rv")).where(F.col("_rv").isNotNull())
+    L = left.select(*[F.col(a).alias(n) for (a, _), n in zip(eq, blocks)], F.col(lkey).alias("_lk"),
+                    F.col(lorder).alias("_lo"), F.col(lcol).cast("double").alias("_lv")).where(F.col("_lv").isNotNull())
+    w = Window.partitionBy(*blocks).orderBy("_rv", "_rk")
+    chained = (R.withColumn("_gap", F.coalesce((F.col("_rv") - F.lag("_rv").over(w) > 2 * tol).cast("int"), F.lit(0)))
+               .withColumn("_chain", F.sum("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_gap"))
+    # chain extent, spread over the value buckets it touches (bounded by value range / tol)
+    ext = chained.groupBy(*blocks, "_chain").agg(F.min("_rv").alias("_cmin"), F.max("_rv").alias("_cmax"))
+    ext = ext.select(*[F.col(b).alias(f"_e{b}") for b in blocks], F.col("_chain").alias("_echain"), "_cmin", "_cmax",
+                     F.explode(F.sequence(F.floor((F.col("_cmin") - tol) / width).cast("long"),
+                                          F.floor((F.col("_cmax") + tol) / width).cast("long"))).alias("_ebk"))
+    Lb = L.withColumn("_bk", F.floor(F.col("_lv") / width).cast("long"))
+    cond = [F.col(b) == F.col(f"_e{b}") for b in blocks] + [F.col("_bk") == F.col("_ebk")]
+    routed = (Lb.join(ext, cond)
+              .where((F.col("_lv") >= F.col("_cmin") - tol) & (F.col("_lv") <= F.col("_cmax") + tol))
+              .select(*blocks, F.col("_echain").alias("_chain"), "_lk", "_lo", "_lv"))
     schema = T.StructType([T.StructField(lkey, left.schema[lkey].dataType),
                            T.StructField(f"match_{rkey}", right.schema[rkey].dataType),
                            T.StructField("diff", T.DoubleType())])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        okeys = list(dict.fromkeys([lorder, lkey]))
-        pdf = pdf.sort_values([*okeys, "diff", rkey])
-        used, out = set(), []
-        for _, grp in pdf.groupby(okeys, sort=False):
-            free = grp[~grp[rkey].isin(used)]
-            if len(free):
-                best = free.iloc[0]
-                used.add(best[rkey])
-                out.append((best[lkey], best[rkey], float(best["diff"])))
+    def run(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+        import bisect
+        if lp.empty or rp.empty:
+            return pd.DataFrame({lkey: [], f"match_{rkey}": [], "diff": []})
+        rp = rp.sort_values(["_rv", "_rk"])
+        vals = rp["_rv"].tolist()
+        keys = rp["_rk"].tolist()
+        free = [True] * len(vals)
+        out = []
+        for lk, v in lp.sort_values(["_lo", "_lk"])[["_lk", "_lv"]].itertuples(index=False):
+            i = bisect.bisect_left(vals, v - tol)
+            best = None
+            while i < len(vals) and vals[i] <= v + tol:
+                if free[i]:
+                    cand = (abs(vals[i] - v), keys[i], i)
+                    if best is None or cand < best:
+                        best = cand
+                i += 1
+            if best is not None:
+                free[best[2]] = False
+                out.append((lk, best[1], float(best[0])))
         return pd.DataFrame(out, columns=[lkey, f"match_{rkey}", "diff"])
 
-    sel = list(dict.fromkeys([*blocks, "_chain", lkey, lorder, rkey, "diff"]))
-    return c.select(*sel).groupBy(*blocks, "_chain").applyInPandas(run, schema)
+    return (routed.groupBy(*blocks, "_chain")
+            .cogroup(chained.select(*blocks, "_chain", "_rk", "_rv").groupBy(*blocks, "_chain"))
+            .applyInPandas(run, schema))
 
 
 def key_overlap(sources: Mapping[str, DataFrame], key: str) -> DataFrame:

@@ -69,7 +69,7 @@ ORD_NUM = "(date_diff('day', DATE '1970-01-01', visit_date) * 100000000 + visit_
 
 @register("a5_first_non_null", f"""WITH {VISITS_NULL}
 SELECT subject, round(arg_min(score, {ORD_NUM}) FILTER (WHERE score IS NOT NULL), 6) AS score,
-  arg_min(visit_date, {ORD_NUM}) AS visit_date FROM visits GROUP BY subject""")
+  CAST(arg_min(visit_date, {ORD_NUM}) AS VARCHAR) AS visit_date FROM visits GROUP BY subject""")
 def a5(spark, sf):
     v = visits(spark, sf, with_nulls=True)
     return rounded(W.first_non_null(v.select("subject", "score", "visit_date", "visit_id"), "subject",
@@ -178,7 +178,7 @@ def a15(spark, sf):
     return rounded(A.time_bin_profile(visits(spark, sf), "t_months", "score"))
 
 
-@register("a16_monthly_mean", "SELECT CAST(date_trunc('month', ts) AS DATE) AS month, round(avg(value), 6) AS mean, count(value) AS count FROM events GROUP BY 1")
+@register("a16_monthly_mean", "SELECT CAST(CAST(date_trunc('month', ts) AS DATE) AS VARCHAR) AS month, round(avg(value), 6) AS mean, count(value) AS count FROM events GROUP BY 1")
 def a16(spark, sf):
     return rounded(A.monthly_mean(table(spark, sf, "events"), "ts", "value"))
 
@@ -192,3 +192,15 @@ def a16y(spark, sf):
 SELECT round(regr_slope(m, ordinal), 6) AS slope, count(*) AS n_groups FROM m""")
 def a17(spark, sf):
     return rounded(A.trend_of_means(visits(spark, sf), "ordinal", "score"))
+
+
+@register("l3_top_features", f"""WITH {LI_NULL}, c AS (
+  SELECT 'l_quantity' AS feature, corr(l_quantity, l_extendedprice) AS corr FROM li
+  UNION ALL SELECT 'l_discount', corr(l_discount, l_extendedprice) FROM li
+  UNION ALL SELECT 'l_tax', corr(l_tax, l_extendedprice) FROM li
+  UNION ALL SELECT 'l_partkey', corr(l_partkey, l_extendedprice) FROM li)
+SELECT feature, round(corr, 6) AS corr FROM c ORDER BY abs(corr) DESC, feature LIMIT 2""")
+def l3(spark, sf):
+    from ..operators.select import top_features
+    scores = A.corr_with_target(li_null(spark, sf), ["l_quantity", "l_discount", "l_tax", "l_partkey"], "l_extendedprice")
+    return rounded(top_features(scores.select("feature", "corr"), "corr", 2))

@@ -69,7 +69,7 @@ def daily(spark, sf):
                  F.sum(F.when(F.hour("ts") < 6, v)).alias("night_activity_minutes")))
 
 
-DAILY = """daily AS (SELECT user_id AS subject_id, CAST(ts AS DATE) AS date, round(sum(value) * 100) AS steps,
+DAILY = """daily AS (SELECT user_id AS subject_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, round(sum(value) * 100) AS steps,
   sum(value) FILTER (WHERE event_type = 'click') AS activity_minutes, sum(value) FILTER (WHERE event_type = 'view') AS sleep_minutes,
   CAST(count(*) FILTER (WHERE event_type = 'error') AS DOUBLE) AS sleep_disruptions, sum(value) FILTER (WHERE event_type = 'purchase') AS sedentary_hours,
   sum(value) FILTER (WHERE hour(ts) < 6) AS night_activity_minutes FROM events GROUP BY 1, 2)"""

@@ -81,7 +81,7 @@ register("g5_progression_overview", PROGRESSION_SQL)(progression_overview)
 
 @register("w1_lag_per_subject", f"""WITH {VISITS}
 SELECT subject, visit_id, round(score, 6) AS score, round(lag(score) OVER ({WIN}), 6) AS prev_score,
-  lag(visit_date) OVER ({WIN}) AS prev_visit_date FROM visits""")
+  CAST(lag(visit_date) OVER ({WIN}) AS VARCHAR) AS prev_visit_date FROM visits""")
 def w1(spark, sf):
     v = visits(spark, sf).select(KEY, "visit_id", "visit_date", "score")
     return rounded(W.lag_per_subject(v, KEY, ORDER, ["score", "visit_date"]).drop("visit_date"))
@@ -146,7 +146,7 @@ def w7(spark, sf):
 
 
 @register("w8_last_visit", f"""WITH {VISITS}
-SELECT subject, visit_id, visit_date, round(score, 6) AS score FROM (
+SELECT subject, visit_id, CAST(visit_date AS VARCHAR) AS visit_date, round(score, 6) AS score FROM (
   SELECT *, row_number() OVER (PARTITION BY subject ORDER BY visit_date DESC, visit_id DESC) AS rn FROM visits) WHERE rn = 1""")
 def w8(spark, sf):
     v = visits(spark, sf).select(KEY, "visit_id", "visit_date", "score")
@@ -275,8 +275,8 @@ def g8(spark, sf):
 
 @register("g9_temporal_summary", f"""WITH {VISITS}, p AS (SELECT subject, count(*) AS v FROM visits GROUP BY subject)
 SELECT (SELECT count(*) FROM visits) AS observations, count(*) AS subjects, round(avg(v), 6) AS visits_mean,
-  min(v) AS visits_min, max(v) AS visits_max, (SELECT min(visit_date) FROM visits) AS t_min,
-  (SELECT max(visit_date) FROM visits) AS t_max FROM p""")
+  min(v) AS visits_min, max(v) AS visits_max, CAST((SELECT min(visit_date) FROM visits) AS VARCHAR) AS t_min,
+  CAST((SELECT max(visit_date) FROM visits) AS VARCHAR) AS t_max FROM p""")
 def g9(spark, sf):
     return rounded(G.temporal_summary(visits(spark, sf), KEY, "visit_date"))
 

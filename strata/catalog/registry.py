@@ -21,13 +21,27 @@ def register(name: str, sql: str | None = None):
     def deco(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return dates_as_text(fn(spark, sf_dir))
+
+        run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn
     return deco
 
 
+def dates_as_text(df: DataFrame) -> DataFrame:
+    """DATE columns as ISO text, so both engines hand identical values to
+    the comparison (timestamps are left as they are)."""
+    if not any(isinstance(f.dataType, T.DateType) for f in df.schema.fields):
+        return df
+    return df.select([F.date_format(F.col(f.name), "yyyy-MM-dd").alias(f.name) if isinstance(f.dataType, T.DateType)
+                      else F.col(f.name) for f in df.schema.fields])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -23,7 +23,7 @@ def f2(spark, sf):
     return rounded(e.select("event_id", S.parse_number(txt).alias("value")))
 
 
-@register("f3_parse_date", """SELECT o_orderkey, CAST(try_strptime(CASE WHEN o_orderkey % 11 = 0 THEN 'unknown' ELSE strftime(o_orderdate, '%m-%Y') END, '%m-%Y') AS DATE) AS birth_month FROM orders""")
+@register("f3_parse_date", """SELECT o_orderkey, CAST(CAST(try_strptime(CASE WHEN o_orderkey % 11 = 0 THEN 'unknown' ELSE strftime(o_orderdate, '%m-%Y') END, '%m-%Y') AS DATE) AS VARCHAR) AS birth_month FROM orders""")
 def f3(spark, sf):
     o = table(spark, sf, "orders")
     txt = F.when(F.col("o_orderkey") % 11 == 0, F.lit("unknown")).otherwise(F.date_format("o_orderdate", "MM-yyyy"))

@@ -155,7 +155,7 @@ def t14(spark, sf):
 @register("t15_flag_sd_anomalies", """WITH s AS (SELECT avg(l_quantity) mq, stddev_samp(l_quantity) sq, avg(l_discount) md, stddev_samp(l_discount) sd FROM lineitem),
 f AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity > mq + 2 * sq AS INTEGER) AS anomalous_l_quantity, CAST(l_discount < md - 2 * sd AS INTEGER) AS anomalous_l_discount FROM lineitem, s)
 SELECT *, greatest(anomalous_l_quantity, anomalous_l_discount) AS any_anomaly,
-  sum(greatest(anomalous_l_quantity, anomalous_l_discount)) OVER (PARTITION BY l_orderkey) AS total_anomalies FROM f""")
+  CAST(sum(greatest(anomalous_l_quantity, anomalous_l_discount)) OVER (PARTITION BY l_orderkey) AS BIGINT) AS total_anomalies FROM f""")
 def t15(spark, sf):
     out = S.flag_sd_anomalies(table(spark, sf, "lineitem"), "l_orderkey", high=["l_quantity"], low=["l_discount"])
     return out.select("l_orderkey", "l_linenumber", "anomalous_l_quantity", "anomalous_l_discount", "any_anomaly",

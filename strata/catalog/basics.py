@@ -10,8 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import nulls as N
-from ..functions import scalar as S
 from ..operators import select as P
 from .registry import register, rounded, table
 

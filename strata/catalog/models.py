@@ -280,7 +280,6 @@ def m24(spark, sf):
 
 @register("m25_save_load_model")
 def m25(spark, sf):
-    import tempfile
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
     df, feats = M.prepare_matrix(model_table(spark, sf).drop("o_orderstatus"), "y", keep=["o_orderkey"])

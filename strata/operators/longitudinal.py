@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.nulls import clip, flag, safe_div
+from ..functions.nulls import clip, safe_div
 from ..functions.stats import fit_stats, pair_corr, t_pvalue
 from .windows import _as_list, subject_window
 

@@ -14,7 +14,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..operators.agg import median_per_key
 from ..operators.joins import left_join_suffixed

@@ -289,3 +289,30 @@ def m25(spark, sf):
     path = f"{base.rstrip('/')}/models/linear_{abs(hash(sf)) % 10**8}"
     M.save_model(pipe, path)
     return rounded(M.load_model(path).transform(df).select("o_orderkey", "y", "prediction"))
+
+
+@register("m10_auc_ovr")
+def m10b(spark, sf):
+    """Macro one-vs-rest AUC of a balanced logistic model's class probabilities."""
+    d, _ = cls_table(spark, sf)
+    m = M.fit_classifier(d.where("is_train = 1"), "label", "logistic")
+    pred = m.transform(d.where("is_train = 0"))
+    classes = [float(r["label"]) for r in d.select("label").distinct().orderBy("label").collect()]
+    return rounded(M.auc_ovr(pred, "label", "probability", classes))
+
+
+@register("g10_score_horizons_model")
+def g10m(spark, sf):
+    """Last visit of every subject x 6 / 12 / 24 months ahead, scored by a
+    progression model (linear regression of the score on time and the
+    ordinal) fitted on all visits."""
+    from pyspark.ml.feature import VectorAssembler
+    from ..operators import longitudinal as G
+    from ..operators import windows as W
+    from .longitudinal import KEY, ORDER, visits
+    v = visits(spark, sf)
+    va = VectorAssembler(inputCols=["t_months", "ordinal"], outputCol="features")
+    model = LinearRegression(featuresCol="features", labelCol="score").fit(va.transform(v))
+    grid = G.score_horizons(W.last_visit(v, KEY, ORDER), "t_months").withColumn("t_months", F.col("future_t"))
+    scored = model.transform(va.transform(grid))
+    return rounded(scored.select(KEY, "horizon_months", "future_t", F.col("prediction").alias("predicted_score")))

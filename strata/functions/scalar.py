@@ -171,8 +171,11 @@ def missing_flag(c) -> Column:
 
 
 def to_epoch(c) -> Column:
-    """timestamp / date -> epoch seconds."""
-    return F.unix_timestamp(col_(c).cast("timestamp"))
+    """timestamp / date -> epoch seconds.  A zone-less timestamp is read
+    as UTC wall-clock time (independent of the session time zone)."""
+    x = col_(c)
+    days = F.datediff(F.to_date(x), F.lit("1970-01-01").cast("date")).cast("long")
+    return days * 86400 + F.hour(x) * 3600 + F.minute(x) * 60 + F.second(x)
 
 
 def scale_to_max(c, max_value: float, threshold: float | None = None) -> Column:

@@ -37,12 +37,12 @@ def a1(spark, sf):
     return rounded(A.agg_profile(activity(spark, sf), ["subject_id"], ["value", "click_value"]))
 
 
-@register("a2_agg_calendar_week", f"WITH {ACT} SELECT subject_id, weekofyear(ts) AS week, {_prof_sql(['value'], '_weekly')} FROM act GROUP BY subject_id, weekofyear(ts)")
+@register("a2_agg_calendar_week", f"WITH {ACT} SELECT subject_id, CAST(weekofyear(ts) AS INTEGER) AS week, {_prof_sql(['value'], '_weekly')} FROM act GROUP BY subject_id, weekofyear(ts)")
 def a2w(spark, sf):
     return rounded(A.agg_calendar(activity(spark, sf), "subject_id", "ts", "week", ["value"]))
 
 
-@register("a2_agg_calendar_month", f"WITH {ACT} SELECT subject_id, month(ts) AS month, {_prof_sql(['value'], '_monthly')} FROM act GROUP BY subject_id, month(ts)")
+@register("a2_agg_calendar_month", f"WITH {ACT} SELECT subject_id, CAST(month(ts) AS INTEGER) AS month, {_prof_sql(['value'], '_monthly')} FROM act GROUP BY subject_id, month(ts)")
 def a2m(spark, sf):
     return rounded(A.agg_calendar(activity(spark, sf), "subject_id", "ts", "month", ["value"]))
 
@@ -183,7 +183,7 @@ def a16(spark, sf):
     return rounded(A.monthly_mean(table(spark, sf, "events"), "ts", "value"))
 
 
-@register("a16_yearly_counts", "SELECT year(o_orderdate) AS year, count(*) AS count FROM orders GROUP BY 1")
+@register("a16_yearly_counts", "SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS count FROM orders GROUP BY 1")
 def a16y(spark, sf):
     return A.yearly_counts(table(spark, sf, "orders"), "o_orderdate")
 

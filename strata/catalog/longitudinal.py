@@ -100,7 +100,7 @@ b AS (SELECT *, count(*) OVER (PARTITION BY subject) AS nv,
   first_value(score) OVER ({WIN}) AS fs, first_value(visit_date) OVER ({WIN}) AS fd FROM visits)
 SELECT subject, visit_id, round(CASE WHEN nv > 1 THEN fs END, 6) AS baseline_value,
   round(score - CASE WHEN nv > 1 THEN fs END, 6) AS change_from_baseline,
-  CASE WHEN nv > 1 THEN date_diff('day', fd, visit_date) END AS days_since_baseline FROM b""")
+  CAST(CASE WHEN nv > 1 THEN date_diff('day', fd, visit_date) END AS INTEGER) AS days_since_baseline FROM b""")
 def w3(spark, sf):
     v = visits(spark, sf)
     return rounded(W.baseline_change(v, KEY, ORDER, "score", "visit_date")
@@ -180,7 +180,7 @@ def w11(spark, sf):
 c AS (SELECT *, count(*) OVER (PARTITION BY subject) AS nv, score - lag(score) OVER ({WIN}) AS d,
   date_diff('day', lag(visit_date) OVER ({WIN}), visit_date) AS dd,
   date_diff('day', first_value(visit_date) OVER ({WIN}), visit_date) AS dsb FROM visits),
-a AS (SELECT visit_id, CASE WHEN nv > 1 THEN dsb END AS days_since_baseline, CASE WHEN nv > 1 THEN d END AS ch,
+a AS (SELECT visit_id, CAST(CASE WHEN nv > 1 THEN dsb END AS INTEGER) AS days_since_baseline, CASE WHEN nv > 1 THEN d END AS ch,
   CASE WHEN nv > 1 THEN d * 365.25 / nullif(dd, 0) END AS an FROM c),
 q AS (SELECT quantile_cont(ch, 0.05) a1, quantile_cont(ch, 0.95) a2, quantile_cont(an, 0.05) b1, quantile_cont(an, 0.95) b2 FROM a)
 SELECT visit_id, days_since_baseline, round(ch, 6) AS score_change, round(an, 6) AS score_change_annual,
@@ -196,7 +196,7 @@ def g1(spark, sf):
 
 @register("g2_transitions", f"""WITH {VISITS}
 SELECT visit_id, lag(ordinal) OVER ({WIN}) AS diagnosis_prev, ordinal - lag(ordinal) OVER ({WIN}) AS diagnosis_transition,
-  CASE WHEN lag(ordinal) OVER ({WIN}) IS NOT NULL THEN date_diff('day', lag(visit_date) OVER ({WIN}), visit_date) END AS days_to_transition
+  CAST(CASE WHEN lag(ordinal) OVER ({WIN}) IS NOT NULL THEN date_diff('day', lag(visit_date) OVER ({WIN}), visit_date) END AS INTEGER) AS days_to_transition
 FROM visits""")
 def g2(spark, sf):
     v = visits(spark, sf)

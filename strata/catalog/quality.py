@@ -14,9 +14,9 @@ LI_GROUPS = {"amount": ["l_quantity", "l_extendedprice"], "price_terms": ["l_dis
 @register("q1_profile_columns", """SELECT 'c_custkey' AS "column", 'bigint' AS dtype, count(c_custkey) AS non_null, round(100.0 * (count(*) - count(c_custkey)) / count(*), 6) AS null_pct,
   count(DISTINCT c_custkey) AS n_distinct, CAST(min(c_custkey) AS DOUBLE) AS min, CAST(max(c_custkey) AS DOUBLE) AS max, round(avg(c_custkey), 6) AS mean, round(stddev_samp(c_custkey), 6) AS std,
   CAST(NULL AS INTEGER) AS min_len, CAST(NULL AS INTEGER) AS max_len FROM customer
-UNION ALL SELECT 'c_name', 'string', count(c_name), round(100.0 * (count(*) - count(c_name)) / count(*), 6), count(DISTINCT c_name), NULL, NULL, NULL, NULL, min(length(c_name)), max(length(c_name)) FROM customer
+UNION ALL SELECT 'c_name', 'string', count(c_name), round(100.0 * (count(*) - count(c_name)) / count(*), 6), count(DISTINCT c_name), NULL, NULL, NULL, NULL, CAST(min(length(c_name)) AS INTEGER), CAST(max(length(c_name)) AS INTEGER) FROM customer
 UNION ALL SELECT 'c_acctbal', 'double', count(c_acctbal), round(100.0 * (count(*) - count(c_acctbal)) / count(*), 6), count(DISTINCT c_acctbal), min(c_acctbal), max(c_acctbal), round(avg(c_acctbal), 6), round(stddev_samp(c_acctbal), 6), NULL, NULL FROM customer
-UNION ALL SELECT 'c_mktsegment', 'string', count(c_mktsegment), round(100.0 * (count(*) - count(c_mktsegment)) / count(*), 6), count(DISTINCT c_mktsegment), NULL, NULL, NULL, NULL, min(length(c_mktsegment)), max(length(c_mktsegment)) FROM customer""")
+UNION ALL SELECT 'c_mktsegment', 'string', count(c_mktsegment), round(100.0 * (count(*) - count(c_mktsegment)) / count(*), 6), count(DISTINCT c_mktsegment), NULL, NULL, NULL, NULL, CAST(min(length(c_mktsegment)) AS INTEGER), CAST(max(length(c_mktsegment)) AS INTEGER) FROM customer""")
 def q1(spark, sf):
     c = table(spark, sf, "customer")
     return rounded(Q.profile_columns(c, ["c_custkey", "c_name", "c_acctbal", "c_mktsegment"]))

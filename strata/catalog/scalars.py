@@ -45,12 +45,12 @@ def f5(spark, sf):
     return rounded(li.select("l_orderkey", "l_linenumber", v.alias("value"), u.alias("unit")))
 
 
-@register("f6_date_parts", "SELECT o_orderkey, year(o_orderdate) AS year, month(o_orderdate) AS month, day(o_orderdate) AS day FROM orders")
+@register("f6_date_parts", "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month, CAST(day(o_orderdate) AS INTEGER) AS day FROM orders")
 def f6(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", *S.date_parts("o_orderdate"))
 
 
-@register("f7_calendar_flags", """SELECT event_id, isodow(ts) - 1 AS day_of_week, CAST(isodow(ts) >= 6 AS INTEGER) AS is_weekend, weekofyear(ts) AS iso_week FROM events""")
+@register("f7_calendar_flags", """SELECT event_id, CAST(isodow(ts) - 1 AS INTEGER) AS day_of_week, CAST(isodow(ts) >= 6 AS INTEGER) AS is_weekend, CAST(weekofyear(ts) AS INTEGER) AS iso_week FROM events""")
 def f7(spark, sf):
     return table(spark, sf, "events").select("event_id", *S.calendar_flags("ts"))
 
@@ -188,7 +188,7 @@ def f24(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", S.to_epoch("o_orderdate").alias("epoch_s"))
 
 
-@register("f25_length_range", "SELECT min(length(text)) AS text_min_len, max(length(text)) AS text_max_len, min(length(lang)) AS lang_min_len, max(length(lang)) AS lang_max_len FROM documents")
+@register("f25_length_range", "SELECT CAST(min(length(text)) AS INTEGER) AS text_min_len, CAST(max(length(text)) AS INTEGER) AS text_max_len, CAST(min(length(lang)) AS INTEGER) AS lang_min_len, CAST(max(length(lang)) AS INTEGER) AS lang_max_len FROM documents")
 def f25(spark, sf):
     from ..operators.quality import length_range
     return length_range(table(spark, sf, "documents"), ["text", "lang"])

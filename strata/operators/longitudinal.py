@@ -19,11 +19,12 @@ from pyspark.sql import types as T
 
 from ..functions.nulls import clip, safe_div
 from ..functions.stats import fit_stats, pair_corr, t_pvalue
+from ..session import cut_lineage
 from .windows import _as_list, subject_window
 
 
 def annualised_change(df: DataFrame, key, order, date: str, y: str, prefix: str | None = None,
-                      lo_q: float = 0.05, hi_q: float = 0.95) -> DataFrame:
+                      lo_q: float = 0.05, hi_q: float = 0.95, materialize: bool = True) -> DataFrame:
     """G1: days since baseline, change since the previous visit and the change
     annualised by the days between the two visits (``d * 365.25 / days``,
     zero days -> null), plus both changes clipped to the 5th / 95th
@@ -41,6 +42,10 @@ def annualised_change(df: DataFrame, key, order, date: str, y: str, prefix: str
         F.when(multi, change).alias(f"{p}_change"),
         F.when(multi, safe_div(change * 365.25, F.datediff(F.col(date), prev_d))).alias(f"{p}_change_annual"),
     )
+    if materialize:
+        # the windowed table feeds the quantile fit and the final projection:
+        # write it once (reliable checkpoint) instead of re-sorting it per action
+        out = cut_lineage(out)
     return winsorize_columns(out, [f"{p}_change", f"{p}_change_annual"], lo_q, hi_q)
 
 

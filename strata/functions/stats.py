@@ -187,9 +187,10 @@ def rank_pct(df: DataFrame, c: str, out: str, ascending: bool = True,
     n_ranges = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sign = 1.0 if ascending else -1.0
     key = F.col(c).cast("double") * F.lit(sign)
-    counts = (df.select(key.alias("_v")).where(F.col("_v").isNotNull())
-              .groupBy("_v").agg(F.count(F.lit(1)).alias("_n")))
-    ranges = value_ranges(counts, "_v", n_ranges)
+    vals = df.select(key.alias("_v")).where(F.col("_v").isNotNull())
+    counts = vals.groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
+    # range boundaries from a sketch of the scanned column (no shuffle needed)
+    ranges = value_ranges(vals, "_v", n_ranges)
     w = Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     local = counts.withColumn("_b", ranges).withColumn(
         "_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import clip, flag, safe_div
@@ -157,8 +157,13 @@ def flag_quantile(df: DataFrame, c: str, q: float, side: str = "low", inclusive:
 
 def label_encode(df: DataFrame, c: str, out: str | None = None, max_values: int = 100000) -> DataFrame:
     """Alphabetical code 0..k-1 of the distinct values (null stays null).
-    The distinct values form a small table joined back (AQE broadcasts it when
-    small); codes come from a window over distinct values only."""
-    codes = (df.select(c).where(F.col(c).isNotNull()).distinct()
-             .withColumn(out or f"{c}_code", (F.dense_rank().over(Window.orderBy(c)) - 1).cast("int")))
-    return df.join(codes, c, "left")
+    Like a string indexer, the sorted distinct labels (at most ``max_values``,
+    checked) become a literal map applied in one projection."""
+    labels = [r[c] for r in df.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c)
+              .limit(max_values + 1).collect()]
+    if len(labels) > max_values:
+        raise ValueError(f"{c}: more than {max_values} labels")
+    if not labels:
+        return df.withColumn(out or f"{c}_code", F.lit(None).cast("int"))
+    m = F.create_map(*[x for i, v in enumerate(labels) for x in (F.lit(v), F.lit(i))])
+    return df.withColumn(out or f"{c}_code", F.element_at(m, F.col(c)).cast("int"))

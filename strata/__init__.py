@@ -13,3 +13,18 @@ DataFrame / SQL API, so Catalyst and AQE plan it.  Sub-packages:
 """
 
 __version__ = "0.1.0"
+
+
+def _ship_by_value() -> None:
+    """Pickle this package's functions by value, so Python workers (on any
+    node, from any working directory) run grouped-pandas and vectorised UDF
+    code without needing the package installed there."""
+    import sys
+    try:
+        from pyspark import cloudpickle
+        cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    except Exception:  # noqa: BLE001 - older cloudpickle: workers then import the package
+        pass
+
+
+_ship_by_value()

@@ -135,7 +135,10 @@ def impute_knn(df: DataFrame, key: str, features: Sequence[str], targets: Sequen
         cand = donors.mapInPandas(_topk_candidates(recv, features, targets, k, group), _CAND)
         w = Window.partitionBy("_rk", "_t").orderBy("_d", "_dk")
         top = cand.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k)
-        picked.append(top.groupBy("_rk", "_t").agg(F.avg("_val").alias("_fill")))
+        fills_ch = top.groupBy("_rk", "_t").agg(F.avg("_val").alias("_fill"))
+        # each chunk's fills are written once (reliable checkpoint): the final
+        # plan stays a union of scans however many chunks there are
+        picked.append(cut_lineage(fills_ch) if n_chunks > 1 else fills_ch)
     fills = picked[0]
     for p in picked[1:]:
         fills = fills.unionByName(p)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import types
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -59,6 +62,15 @@ def words_of(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]
     return flat.filter(full), ends[offsets]
 
 
+def per_worker(key: str, make):
+    """One object per Python worker process, kept from task to task (workers
+    are reused); `make` builds it where the process has none yet."""
+    store = sys.modules.setdefault("_strata_worker_store", types.ModuleType("_strata_worker_store"))
+    if not hasattr(store, key):
+        setattr(store, key, make())
+    return getattr(store, key)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Smallest id reachable from every id that has an edge: (id, component).
 

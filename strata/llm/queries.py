@@ -5,9 +5,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from strata.llm.chunk_pieces import decode_pieces, encode_pieces
+from strata.llm.complement_packing import pack_documents
 from strata.llm.golomb_dedup import exact_dedup
+from strata.llm.subword_quality import classify_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +41,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op5_exact_dedup(spark, sf_dir):
     """Exact dedup of every whole text of `documents`."""
     return exact_dedup(table(spark, sf_dir, "documents")).drop("suspect")
+
+
+@register("op2_sentencepiece")
+def op2_sentencepiece(spark, sf_dir):
+    """ids of every whole text of `documents` and their decoded text, as
+    digests."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    both = decode_pieces(encode_pieces(table(spark, sf_dir, "documents"), model), model)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@register("op4_best_fit_packing")
+def op4_best_fit_packing(spark, sf_dir):
+    """Every document's tokens packed into sequences of at most 2048."""
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
+
+
+@register("op10_quality_classifier")
+def op10_quality_classifier(spark, sf_dir):
+    """Quality score of every whole text of `documents`."""
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -18,13 +18,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import per_worker, slices, whole_texts
+from strata.llm.common import merged, per_worker, whole_texts
 
 #: FIXED VALUE: the library's white-space marker.
 MARKER = "▁"
 
 #: Distinct chunks a worker process keeps with their ids before its table starts anew.
-CHUNK_TABLE = 1_000_000
+CHUNK_TABLE = 500_000
 
 _RUNS = re.compile(" *[^ ]+| +")
 
@@ -113,13 +113,12 @@ def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
 
     def encode(batches):
         table = per_worker(f"chunks_{zlib.crc32(model)}", lambda: ChunkTable(model))
-        for batch in batches:
-            for run in slices(batch):
-                chunks, offsets = marked_words(run.column("text"))
-                ids, size = table.lookup(chunks)
-                upto = np.concatenate([[0], np.cumsum(size)])[offsets]
-                yield pa.RecordBatch.from_arrays([run.column("doc_id"), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids, pa.int32()))],
-                                                 names=["doc_id", "ids"])
+        for run in merged(batches):
+            chunks, offsets = marked_words(run.column("text"))
+            ids, size = table.lookup(chunks)
+            upto = np.concatenate([[0], np.cumsum(size)])[offsets]
+            yield pa.RecordBatch.from_arrays([run.column("doc_id"), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids, pa.int32()))],
+                                             names=["doc_id", "ids"])
 
     return docs.mapInArrow(encode, f"doc_id {kind}, ids array<int>")
 
@@ -137,7 +136,9 @@ def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:
 
         pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
         for batch in batches:
-            texts = [pieces.decode(i) if i else "" for i in (x.as_py() for x in batch.column("ids"))]
+            ids = batch.column("ids")
+            flat, at = ids.flatten().to_numpy(), ids.offsets.to_numpy() - ids.offsets[0].as_py()
+            texts = [pieces.decode(flat[i:j].tolist()) if j > i else "" for i, j in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
     return encoded.mapInArrow(decode, f"doc_id {kind}, ids array<int>, decoded string")

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strata.session import cut_lineage
 
@@ -49,6 +50,23 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4_000_000):
         yield batch.slice(start)
 
 
+def merged(batches, column: str = "text", most: int = 8_000_000):
+    """The rows of the batches again, in batches of about `most` bytes of text
+    (a longer text makes a batch of its own)."""
+    held, used = [], 0
+    for batch in batches:
+        for run in slices(batch, column, most):
+            n = pc.sum(pc.binary_length(run.column(column))).as_py() or 0
+            if held and used + n > most:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, used = [], 0
+            if run.num_rows:
+                held.append(run)
+                used += n
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def words_of(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
     """The words [^\\x20\\x09-\\x0D]+ of the texts (A-Z lower-cased), flat, and
     the offsets of each text's words (one more than texts)."""
@@ -71,6 +89,20 @@ def per_worker(key: str, make):
     return getattr(store, key)
 
 
+#: Ids up to which a list is broadcast (8 MB of longs); longer lists are shuffled.
+BROADCAST_IDS = 1_000_000
+
+
+def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """docs left_semi or left_anti the (written) list `ids` on doc_id.  The
+    list is counted: up to BROADCAST_IDS ids go to every executor, and texts
+    stay where they are; more are joined by a shuffle."""
+    ids = ids.select("doc_id").distinct()
+    if isinstance(ids.schema["doc_id"].dataType, T.NumericType) and ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, "doc_id", how).select(*docs.columns)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Smallest id reachable from every id that has an edge: (id, component).
 

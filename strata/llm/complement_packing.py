@@ -21,13 +21,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import per_worker, slices, whole_texts, words_of
+from strata.llm.common import merged, per_worker, whole_texts, words_of
 from strata.session import cut_lineage
 
 #: FIXED VALUES: tokens of a sequence, and the id that ends a document.
 CAPACITY = 2048
 END_ID = 0
 
+#: FIXED VALUE: ASCII punctuation.
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
 #: Distinct words a worker process keeps with their ids before its table starts anew.
 WORD_TABLE = 1_000_000
 
@@ -58,26 +61,45 @@ class WordTable:
         marks = ids == self.MARK_ID
         return ids[~marks], np.diff(np.flatnonzero(marks), prepend=-1) - 1
 
+    def _gather(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = self.size[row]
+        at = np.repeat(self.first[row] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return self.ids[at], size
+
+    def _append(self, words: list[str], ids: list[np.ndarray], size: np.ndarray) -> None:
+        self.first = np.append(self.first, len(self.ids) + np.cumsum(size) - size)
+        self.size = np.append(self.size, size)
+        self.ids = np.concatenate([self.ids, *ids])
+        for w in words:
+            self.rows[w] = len(self.rows)
+
     def _add(self, words: list[str]) -> None:
-        # the tokenizer lower-cases: an ASCII word shares the row of its lower-case form
-        marked = [w for w in words if "<|" in w]
-        plain = list(dict.fromkeys(w.lower() if w.isascii() else w for w in words if "<|" not in w))
-        plain = [w for w in plain if w not in self.rows]
+        # A word is its core and the punctuation after it, which the tokenizer parts from a letter or digit before; and an
+        # ASCII core is lower-cased by it.  So words share the rows of their parts.
+        parts = []
+        for w in words:
+            core = w.rstrip(PUNCTUATION)
+            if not core or len(core) == len(w) or not core[-1].isalnum() or "<|" in w:
+                core = w
+            parts.append((core.lower() if core.isascii() and "<|" not in core else core, w[len(core):]))
+        new = [p for p in dict.fromkeys(p for pair in parts for p in pair) if p and p not in self.rows]
+        plain = [p for p in new if "<|" not in p]
         found = [self._segment(plain[k:k + 2000]) for k in range(0, len(plain), 2000)]
-        for w in marked:
-            ids = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32)
-            found.append((ids, np.array([len(ids)])))
-        for w in plain + marked:
-            self.rows[w] = len(self.rows)
-        size = np.concatenate([s for _, s in found] or [np.empty(0, np.int64)])
-        # words of which only the lower-case form is segmented come last and point to it
-        alias = [w for w in words if w not in self.rows]
-        rows = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size]), np.concatenate([self.size, size])
-        to = np.fromiter((self.rows[w.lower()] for w in alias), np.int64, len(alias))
-        self.first, self.size = np.append(rows[0], rows[0][to]), np.append(rows[1], rows[1][to])
-        self.ids = np.concatenate([self.ids, *(i for i, _ in found)])
-        for w in alias:
-            self.rows[w] = len(self.rows)
+        if found:
+            self._append(plain, [i for i, _ in found], np.concatenate([n for _, n in found]))
+        for w in new:
+            if "<|" in w:
+                ids = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32)
+                self._append([w], [ids], np.array([len(ids)]))
+        whole = [(w, core, end) for w, (core, end) in zip(words, parts) if w not in self.rows]
+        if whole:
+            nothing = self.rows.get("")
+            if nothing is None:
+                self._append([""], [], np.array([0]))
+                nothing = self.rows[""]
+            row = np.fromiter((self.rows[p] if p else nothing for _, core, end in whole for p in (core, end)), np.int64, 2 * len(whole))
+            ids, size = self._gather(row)
+            self._append([w for w, _, _ in whole], [ids], size.reshape(-1, 2).sum(axis=1))
 
     def lookup(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all the words, flat; number of ids of each word)."""
@@ -91,9 +113,7 @@ class WordTable:
         if not len(words):
             return np.empty(0, np.uint32), np.empty(0, np.int64)
         row = np.fromiter(map(self.rows.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
-        size = self.size[row]
-        at = np.repeat(self.first[row] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        return self.ids[at], size
+        return self._gather(row)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
@@ -113,31 +133,30 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     def cut(batches):
         table = per_worker(f"words_{zlib.crc32(tokenizer_json.encode())}", lambda: WordTable(tokenizer_json))
         seen, part = np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
-        for batch in batches:
-            for run in slices(batch):
-                words, offsets = words_of(run.column("text"), lower=False)
-                ids, size = table.lookup(words)
-                upto = np.concatenate([[0], np.cumsum(size)])[offsets]
-                at, piece, start, length, crc, rank, kept = [], [], [], [], [], [], []
-                for d in range(run.num_rows):
-                    own = np.append(ids[upto[d]:upto[d + 1]], np.uint32(end_id)).astype("<u4")
-                    for p, s in enumerate(range(0, len(own), capacity)):
-                        one = own[s:s + capacity]
-                        at.append(d)
-                        piece.append(p)
-                        start.append(s)
-                        length.append(len(one))
-                        crc.append(zlib.crc32(one.tobytes()))
-                        rank.append(seen[len(one)])
-                        seen[len(one)] += 1
-                        if keep_ids:
-                            kept.append(one.astype(np.int32))
-                cols = [run.column("doc_id").take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                        pa.array(length, pa.int64())]
-                if keep_ids:
-                    cols.append(pa.array(kept, pa.list_(pa.int32())))
-                cols += [pa.array(crc, pa.int64()), pa.array([part] * len(at), pa.int32()), pa.array(rank, pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+        for run in merged(batches):
+            words, offsets = words_of(run.column("text"), lower=False)
+            ids, size = table.lookup(words)
+            upto = np.concatenate([[0], np.cumsum(size)])[offsets]
+            at, piece, start, length, crc, rank, kept = [], [], [], [], [], [], []
+            for d in range(run.num_rows):
+                own = np.append(ids[upto[d]:upto[d + 1]], np.uint32(end_id)).astype("<u4")
+                for p, s in enumerate(range(0, len(own), capacity)):
+                    one = own[s:s + capacity]
+                    at.append(d)
+                    piece.append(p)
+                    start.append(s)
+                    length.append(len(one))
+                    crc.append(zlib.crc32(one.tobytes()))
+                    rank.append(seen[len(one)])
+                    seen[len(one)] += 1
+                    if keep_ids:
+                        kept.append(one.astype(np.int32))
+            cols = [run.column("doc_id").take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
+                    pa.array(length, pa.int64())]
+            if keep_ids:
+                cols.append(pa.array(kept, pa.list_(pa.int32())))
+            cols += [pa.array(crc, pa.int64()), pa.array([part] * len(at), pa.int32()), pa.array(rank, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     names = ["doc_id", "piece", "start", "length", *(["ids"] if keep_ids else []), "ids_crc32", "_part", "_rank"]
     types = [kind, "int", "bigint", "bigint", *(["array<int>"] if keep_ids else []), "bigint", "int", "bigint"]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import SPACES, whole_texts
+from strata.llm.common import SPACES, by_ids, whole_texts
 from strata.session import cut_lineage
 
 #: Rows of one sender block and fingerprints of one owner range, at most about.
@@ -167,7 +167,7 @@ def exact_dedup(docs: DataFrame, extra_bits: int = 16) -> DataFrame:
     suspects = rows.filter("suspect")
 
     # byte verification: equal texts meet as one key of a partial aggregate, so a hot text shrinks before the shuffle
-    texts = docs.join(suspects.select("doc_id").distinct(), "doc_id", "left_semi").select(norm.alias("norm"))
+    texts = by_ids(docs, suspects, "left_semi").select(norm.alias("norm"))
     forms = texts.groupBy("norm").agg(F.count("*").alias("n")).select(F.sha2(F.col("norm").cast("binary"), 256).alias("h"))
     clash = forms.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").limit(1).collect()
     if clash:

@@ -9,9 +9,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.llm.bootstrap_pii import KINDS, find_pii, joined
 from strata.llm.chunk_pieces import decode_pieces, encode_pieces
+from strata.llm.circulant_minhash import near_components
 from strata.llm.complement_packing import pack_documents
 from strata.llm.golomb_dedup import exact_dedup
+from strata.llm.maxent_lm import score_texts
+from strata.llm.pivot_index import vector_links
 from strata.llm.subword_quality import classify_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +68,31 @@ def op4_best_fit_packing(spark, sf_dir):
 def op10_quality_classifier(spark, sf_dir):
     """Quality score of every whole text of `documents`."""
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op3_minhash_near_dedup")
+def op3_minhash_near_dedup(spark, sf_dir):
+    """Near-duplicate components of every whole text of `documents`."""
+    return near_components(table(spark, sf_dir, "documents"))
+
+
+@register("op8_bootstrap_pii")
+def op8_bootstrap_pii(spark, sf_dir):
+    """Personal data in every whole text of `documents`."""
+    found = find_pii(table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        joined(F.sort_array(F.concat("base", "more"))).alias("spans"))
+
+
+@register("op6_maxent_lm")
+def op6_maxent_lm(spark, sf_dir):
+    """Language-model and base scores of every whole text of `documents`."""
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
+@register("op1_pivot_near_dedup")
+def op1_pivot_near_dedup(spark, sf_dir):
+    """Links and components of all rows of `embeddings`."""
+    return vector_links(table(spark, sf_dir, "embeddings"))

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm.bootstrap_pii import KINDS, find_pii, joined
+from strata.llm.chain_dedup import repeated_passages
 from strata.llm.chunk_pieces import decode_pieces, encode_pieces
 from strata.llm.circulant_minhash import near_components
 from strata.llm.complement_packing import pack_documents
 from strata.llm.golomb_dedup import exact_dedup
+from strata.llm.list_asof import filter_captures
 from strata.llm.maxent_lm import score_texts
 from strata.llm.pivot_index import vector_links
 from strata.llm.subword_quality import classify_quality
@@ -96,3 +98,72 @@ def op6_maxent_lm(spark, sf_dir):
 def op1_pivot_near_dedup(spark, sf_dir):
     """Links and components of all rows of `embeddings`."""
     return vector_links(table(spark, sf_dir, "embeddings"))
+
+
+def dated_captures(spark, sf_dir):
+    """Stand-in input: `pages` carries no fetch dates, so each page gets one
+    from its id."""
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.expr("date_add(date'2021-01-01', cast(pmod(page_id * 7919, 1461) as int))").alias("fetched"))
+
+
+def dated_entries(spark, sf_dir):
+    """Stand-in input: list events for the hosts of `pages`.  Every host is
+    listed as itself, by its domain or with a path, removed later, and every
+    other one is listed again."""
+    hosts = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("host")).groupBy("host").agg(
+        F.min("page_id").alias("m"), F.min("url").alias("u"))
+    hosts = hosts.filter("host <> ''").selectExpr(
+        "CASE WHEN m % 4 = 0 THEN 'trusted' ELSE 'unsafe' END AS list", "CASE WHEN m % 4 = 0 THEN 'allow' ELSE 'block' END AS verdict",
+        "CASE m % 3 WHEN 0 THEN 'host' WHEN 1 THEN 'domain' ELSE 'prefix' END AS kind",
+        "CASE m % 3 WHEN 0 THEN host WHEN 1 THEN regexp_extract(host, '([^.]+[.][^.]+)$', 1) ELSE concat(host, regexp_extract(u, '^[a-z]+://[^/?#]+(/[^/?#]*)', 1)) END AS pattern",
+        "date_add(date'2021-01-01', cast(m * 37 % 1200 as int)) AS d0", "m")
+    shown = "explode(filter(array(named_struct('day', d0, 'action', 'add'), named_struct('day', date_add(d0, cast(60 + m % 500 as int)), 'action', 'remove'), " \
+            "named_struct('day', CASE WHEN m % 2 = 0 THEN date_add(d0, cast(150 + m % 500 as int)) END, 'action', 'add')), e -> e.day IS NOT NULL)) AS e"
+    return hosts.selectExpr("list", "verdict", "kind", "pattern", shown).select("list", "verdict", "kind", "pattern", "e.day", "e.action")
+
+
+@register("op9_url_list_asof", """
+    WITH captures AS (
+      SELECT page_id, url, DATE '2021-01-01' + CAST(page_id * 7919 % 1461 AS INTEGER) AS fetched,
+             regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '[.]$', '') AS host,
+             regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS path FROM pages),
+    hosts AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, min(page_id) AS m, min(url) AS u FROM pages GROUP BY 1),
+    entries AS (
+      SELECT CASE WHEN m % 4 = 0 THEN 'trusted' ELSE 'unsafe' END AS list, CASE WHEN m % 4 = 0 THEN 'allow' ELSE 'block' END AS verdict,
+             CASE m % 3 WHEN 0 THEN 'host' WHEN 1 THEN 'domain' ELSE 'prefix' END AS kind,
+             CASE m % 3 WHEN 0 THEN host WHEN 1 THEN regexp_extract(host, '([^.]+[.][^.]+)$', 1)
+                        ELSE host || regexp_extract(u, '^[a-z]+://[^/?#]+(/[^/?#]*)', 1) END AS pattern,
+             DATE '2021-01-01' + CAST(m * 37 % 1200 AS INTEGER) AS d0, m FROM hosts WHERE host <> ''),
+    events AS (
+      SELECT list, verdict, kind, pattern, d0 AS day, 1 AS is_on FROM entries UNION ALL
+      SELECT list, verdict, kind, pattern, d0 + CAST(60 + m % 500 AS INTEGER), 0 FROM entries UNION ALL
+      SELECT list, verdict, kind, pattern, d0 + CAST(150 + m % 500 AS INTEGER), 1 FROM entries WHERE m % 2 = 0),
+    daily AS (SELECT list, verdict, kind, pattern, day, min(is_on) AS is_on FROM events GROUP BY ALL),
+    intervals AS (SELECT *, lead(day) OVER (PARTITION BY list, verdict, kind, pattern ORDER BY day) AS until FROM daily),
+    asked AS (
+      SELECT page_id, fetched, 'host' AS kind, host AS pattern FROM captures WHERE host <> '' UNION ALL
+      SELECT page_id, fetched, 'domain', array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.')
+        FROM (SELECT page_id, fetched, host, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM captures WHERE host <> '') UNION ALL
+      SELECT page_id, fetched, 'prefix', host || array_to_string(list_slice(string_split(path, '/'), 1, i + 1), '/')
+        FROM (SELECT page_id, fetched, host, path, unnest(range(1, len(string_split(path, '/')))) AS i FROM captures WHERE host <> '' AND path <> '')),
+    active AS (
+      SELECT a.page_id, i.pattern, i.day, i.verdict,
+             row_number() OVER (PARTITION BY a.page_id ORDER BY length(i.pattern) DESC, i.kind DESC, i.verdict DESC, i.list DESC, i.pattern DESC) AS r,
+             count(*) OVER (PARTITION BY a.page_id) AS n
+      FROM asked a JOIN intervals i ON a.kind = i.kind AND a.pattern = i.pattern AND i.is_on = 1 AND i.day <= a.fetched AND (i.until IS NULL OR a.fetched < i.until))
+    SELECT c.page_id, c.host, strftime(c.fetched, '%Y-%m-%d') AS fetched, coalesce(a.n, 0) AS n_active, a.pattern AS ruling,
+           strftime(a.day, '%Y-%m-%d') AS listed_from, coalesce(a.verdict = 'block', false) AS blocked
+    FROM captures c LEFT JOIN active a ON a.page_id = c.page_id AND a.r = 1
+""")
+def op9_url_list_asof(spark, sf_dir):
+    """Every capture of `pages` judged by the list entries active when it was
+    fetched."""
+    done = filter_captures(dated_captures(spark, sf_dir), dated_entries(spark, sf_dir))
+    return done.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("fetched", "listed_from")})
+
+
+@register("op7_chained_passages")
+def op7_chained_passages(spark, sf_dir):
+    """Passages of at least 50 words that documents share, over every whole
+    text of `documents`."""
+    return repeated_passages(table(spark, sf_dir, "documents"))

@@ -16,8 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strata.llm.common import slices, whole_texts, words_of
+from strata.llm.common import slices, small_batches, whole_texts, words_of
 
 #: Hash buckets of words and of character n-grams, and the vectors' length.
 BUCKETS_LOG2 = 18
@@ -159,33 +160,48 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS):
     return vectors @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0])
 
 
-def score_quality(docs: DataFrame, weights: np.ndarray, bias: float, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score and predicted for every row of `docs`.
-
-    The score reads the whole text and nothing else; a null text counts as
-    empty and gets the score of the bias.  held_out: crc32(doc_id as text)
-    mod 5 is 0 (a null doc_id is held out).  Repeated rows are scored each.
-    """
-    docs = whole_texts(docs)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def with_score(docs: DataFrame, weights: np.ndarray, bias: float, name: str = "score") -> DataFrame:
+    """`docs`, all columns, plus the score of the whole text (null: empty)."""
+    small_batches(docs.sparkSession)
     weights = weights.astype(np.float32)
 
     def score(batches):
         for batch in batches:
             for run in slices(batch):
+                texts = pc.fill_null(run.column("text"), "")
                 total, count = np.zeros(run.num_rows), np.zeros(run.num_rows)
-                for bucket, doc in features(run.column("text")):
+                for bucket, doc in features(texts):
                     total += np.bincount(doc, weights[bucket], run.num_rows)
                     count += np.bincount(doc, minlength=run.num_rows)
                 odds = total / np.maximum(count, 1) + bias
                 p = 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
-                yield pa.RecordBatch.from_arrays([run.column("doc_id"), pa.array(p)], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([*run.columns, pa.array(p)], names=[*run.schema.names, name])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    return docs.mapInArrow(score, schema)
+
 
-    scored = docs.mapInArrow(score, f"doc_id {kind}, score double")
+def score_quality(docs: DataFrame, weights: np.ndarray, bias: float, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score and predicted for every row of `docs`.
+
+    The score reads the whole text and nothing else; a null text counts as
+    empty and gets the score of the bias.  held_out: crc32(doc_id as text)
+    mod 5 is 0 (a null doc_id is held out).  Repeated rows are scored each.
+    """
+    scored = with_score(whole_texts(docs), weights, bias)
     return scored.select("doc_id", F.expr("coalesce(crc32(cast(doc_id as string)) % 5 = 0, true)").alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs`, with all their columns, that a classifier fitted on
+    `labels` (doc_id, quality) does not reject."""
+    name = "_score"
+    while name in docs.columns:
+        name += "_"
+    return with_score(docs, *fit(docs, labels, per_class), name).filter(F.col(name) >= threshold).drop(name)
+
+
 def classify_quality(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
     """`score_quality` by a classifier fitted on `labels` (doc_id, quality)."""
     return score_quality(docs, *fit(docs, labels, per_class), threshold)

@@ -1,17 +1,17 @@
-"""Exact column statistics in one pass, average percentile rank without a
-single-partition window, and the Student-t tail probability.
-
-``fit_stats`` is the "fit" half of a fit / transform pair: one aggregate job
-returns one row; operators then use the values as literals (same pattern as
-Spark ML's scalers).  Exact quantiles use ``percentile`` (linear
-interpolation, the pandas default); pass ``approx=True`` for
-``percentile_approx`` on very wide / very large inputs.
+"""Exact column statistics, quantiles, ranks and row numbers without a
+single-task group, and the Student-t tail probability.
+
+``fit_stats`` is the "fit" half of a fit / transform pair: aggregates return
+one row; operators then use the values as literals (same pattern as Spark
+ML's scalers).  Exact quantiles (linear interpolation, the pandas default)
+come from range-partitioned counts of distinct values at every size; pass
+``approx=True`` for ``percentile_approx``.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,12 +19,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
 from .nulls import col_
 
-# Columns per aggregate when exact percentiles are involved: each keeps a
-# value -> count map in memory, so very wide requests are split.
-_PERCENTILE_BATCH = 20
-
 
 def corrected_skew(c) -> Column:
     """Bias-corrected sample skewness (pandas ``Series.skew``):
@@ -85,141 +82,108 @@ def stats_frame(df: DataFrame, spec: Mapping[str, Iterable[str]], approx: bool =
     return df.agg(*exprs)
 
 
-# Above this many values in one group, exact quantiles switch from Spark's
-# ``percentile`` (a value -> count map held by one task) to the distributed
-# bracketing selection of ``exact_quantiles``.
-EXACT_MAP_MAX_ROWS = 10_000_000
-
-
-def exact_map_max_rows(df: DataFrame) -> int:
-    """Session override ``spark.strata.exactMapMaxRows`` (tests force the
-    distributed path with 0)."""
-    return int(df.sparkSession.conf.get("spark.strata.exactMapMaxRows", str(EXACT_MAP_MAX_ROWS)))
-
-
 def fit_stats(df: DataFrame, spec: Mapping[str, Iterable[str]], approx: bool = False) -> dict:
-    """Run the one-pass aggregate(s) and return ``{(col, stat): value}``.
+    """Run the aggregates and return ``{(col, stat): value}``.
 
-    Plain statistics and the non-null count of every quantile column come
-    from one job.  Exact quantiles then use ``percentile`` (at most
-    ``_PERCENTILE_BATCH`` columns per job) while every column holds at most
-    ``EXACT_MAP_MAX_ROWS`` values, and the distributed ``exact_quantiles``
-    (all columns in one melted pass) beyond that.
+    Plain statistics come from one job.  Quantiles come from the same job
+    when ``approx``; exact ones from one ``group_quantiles`` over all their
+    columns, whatever their size.
     """
     spec = {c: list(s) for c, s in spec.items()}
-    plain = {c: [s for s in ss if _quantile_name(s) is None] for c, ss in spec.items()}
-    quant = {c: [s for s in ss if _quantile_name(s) is not None] for c, ss in spec.items()}
+    quant = {} if approx else {c: [s for s in ss if _quantile_name(s) is not None] for c, ss in spec.items()}
+    quant = {c: ss for c, ss in quant.items() if ss}
+    plain = {c: [s for s in ss if s not in quant.get(c, ())] for c, ss in spec.items()}
+    plain = {c: ss for c, ss in plain.items() if ss}
     out: dict = {}
-    plain = {c: s for c, s in plain.items() if s}
-    quant_cols = [c for c, s in quant.items() if s]
-    first = [stat_expr(c, s, approx).alias(f"{c}__{s}") for c, ss in plain.items() for s in ss]
-    first += [F.count(F.col(c)).alias(f"{c}__qcount") for c in quant_cols]
-    row = df.agg(*first).first() if first else None
-    for c, ss in plain.items():
-        for s in ss:
-            v = row[f"{c}__{s}"]
-            out[(c, s)] = None if v is None or (isinstance(v, float) and math.isnan(v)) else v
-    if not quant_cols:
-        return out
-    big = max(row[f"{c}__qcount"] for c in quant_cols) > exact_map_max_rows(df)
-    if approx or not big:
-        for i in range(0, len(quant_cols), _PERCENTILE_BATCH):
-            job = {c: quant[c] for c in quant_cols[i:i + _PERCENTILE_BATCH]}
-            r = stats_frame(df, job, approx).first()
-            for c, ss in job.items():
-                for s_ in ss:
-                    v = r[f"{c}__{s_}"]
-                    out[(c, s_)] = None if v is None or (isinstance(v, float) and math.isnan(v)) else v
-        return out
-    qs = sorted({_quantile_name(s_) for c in quant_cols for s_ in quant[c]})
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v"))
-                                          for c in quant_cols])).alias("_e")).select("_e._col", "_e._v")
-    res = {r["_col"]: r for r in exact_quantiles(long, ["_col"], "_v", qs).collect()}
-    for c in quant_cols:
-        for s_ in quant[c]:
-            r = res.get(c)
-            out[(c, s_)] = r[f"q{qs.index(_quantile_name(s_))}"] if r is not None else None
+
+    def put(c, s, v):
+        out[(c, s)] = None if v is None or (isinstance(v, float) and math.isnan(v)) else v
+
+    if plain:
+        row = stats_frame(df, plain, approx).first()
+        for c, ss in plain.items():
+            for s in ss:
+                put(c, s, row[f"{c}__{s}"])
+    if quant:
+        qs = sorted({_quantile_name(s) for ss in quant.values() for s in ss})
+        melted = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v")) for c in quant])).alias("_e"))
+        res = {r["_col"]: r for r in group_quantiles(melted.select("_e._col", "_e._v"), ["_col"], "_v", qs).collect()}
+        for c, ss in quant.items():
+            for s in ss:
+                put(c, s, res[c][f"q{qs.index(_quantile_name(s))}"] if c in res else None)
     return out
 
 
+def same_keys(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """``a`` joined with ``b`` on ``keys``, null equal to null; ``b`` adds its
+    other columns."""
+    b = b.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in b.columns if c not in keys])
+    cond = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return a.join(b, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def value_positions(df: DataFrame, keys: list[str], c: str) -> DataFrame:
+    """One row per group and distinct value: keys, ``_v``, ``_n`` (how often;
+    0 for null), ``_before`` (smaller values of the group) and ``_size`` (its
+    non-null values).
+
+    Equal values are one row from the first partial aggregate on.  The rows
+    are range-partitioned by (keys, value), each partition counts by itself,
+    and a table with one row per group and partition supplies the offsets, so
+    neither a large group nor a frequent value meets in one task.
+    """
+    counts = df.select(*keys, F.col(c).cast("double").alias("_v")).groupBy(*keys, "_v").agg(F.count("_v").alias("_n"))
+    # written once: the partition of a row must not change between its two uses
+    rows = cut_lineage(counts.repartitionByRange(*keys, "_v").withColumn("_p", F.spark_partition_id()))
+    own = Window.partitionBy(*keys, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    held = rows.groupBy(*keys, "_p").agg(F.sum("_n").alias("_t"))
+    held = held.select(*keys, "_p", F.coalesce(F.sum("_t").over(Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+                       F.sum("_t").over(Window.partitionBy(*keys)).alias("_size"))
+    rows = same_keys(rows.withColumn("_own", F.coalesce(F.sum("_n").over(own), F.lit(0))), held, [*keys, "_p"])
+    return rows.select(*keys, "_v", "_n", (F.col("_off") + F.col("_own")).alias("_before"), "_size")
+
+
 def group_quantiles(df: DataFrame, keys: list[str], c: str, qs: list[float], names: list[str] | None = None) -> DataFrame:
-    """Exact per-group quantiles as columns ``names`` (default q0, q1, ...).
-    Groups holding at most ``EXACT_MAP_MAX_ROWS`` values use Spark's
-    ``percentile`` (a bounded value map); larger groups -- a hot key holding a
-    third of the data -- go through the distributed selection of
-    ``exact_quantiles``, so no task ever holds such a group's values."""
+    """Exact quantiles with linear interpolation (pandas, ``percentile``) per
+    group, null keys being a group, as columns ``names`` (default q0, q1,
+    ...); null for a group without values.  Without keys one row, always.
+
+    The value at each needed rank is picked from ``value_positions`` by one
+    partial aggregate; there is no other path for large groups.
+    """
     names = names or [f"q{i}" for i in range(len(qs))]
-    x = F.col(c).cast("double")
-    limit = exact_map_max_rows(df)
-    sizes = df.groupBy(*keys).agg(F.count(x).alias("_n"))
-    big_keys = sizes.where(F.col("_n") > limit).select(*keys)
-    if keys and big_keys.limit(1).count() == 0:
-        agg = df.groupBy(*keys).agg(F.percentile(x, list(qs)).alias("_q"))
-        return agg.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    if not keys:
-        if sizes.first()["_n"] <= limit:
-            agg = df.agg(F.percentile(x, list(qs)).alias("_q"))
-        else:
-            return exact_quantiles(df, [], c, list(qs)).select(*[F.col(f"q{i}").alias(n) for i, n in enumerate(names)])
-        return agg.select(*[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    small = df.join(sizes.where(F.col("_n") <= limit).select(*keys), keys, "left_semi")
-    small_q = small.groupBy(*keys).agg(F.percentile(x, list(qs)).alias("_q")).select(
-        *keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    big = df.join(big_keys, keys, "left_semi")
-    big_q = exact_quantiles(big, keys, c, list(qs)).select(*keys, *[F.col(f"q{i}").alias(n) for i, n in enumerate(names)])
-    return small_q.unionByName(big_q)
+    rows = value_positions(df, list(keys), c)
+    aggs = []
+    for i, q in enumerate(qs):
+        pos = F.lit(float(q)) * (F.col("_size") - 1)
+        for side, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+            there = (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_n"))
+            aggs.append(F.max(F.when(there, F.col("_v"))).alias(f"_{side}{i}"))
+    got = rows.groupBy(*keys).agg(F.max("_size").alias("_size"), *aggs)
+    out = []
+    for i, (q, n) in enumerate(zip(qs, names)):
+        pos = F.lit(float(q)) * (F.col("_size") - 1)
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        out.append(F.when(lo == hi, lo).otherwise((F.ceil(pos) - pos) * lo + (pos - F.floor(pos)) * hi).alias(n))
+    return got.select(*keys, *out)
 
 
 def lit_or_null(v) -> Column:
     return F.lit(v).cast("double") if v is not None else F.lit(None).cast("double")
 
 
-def rank_pct(df: DataFrame, c: str, out: str, ascending: bool = True,
-             n_ranges: int | None = None) -> DataFrame:
+def rank_pct(df: DataFrame, c: str, out: str, ascending: bool = True) -> DataFrame:
     """Average-rank percentile ``(rank + (ties - 1) / 2) / n_non_null``
     (pandas ``rank(pct=True)``), null for null input.
 
-    No global single-partition window: distinct values with their counts are
-    range-partitioned, each range computes running counts locally, and a
-    small table of per-range totals (one row per range) supplies offsets.
+    Ranks are those of the distinct values (``value_positions``), joined back
+    by value; both sides of that join are shuffled by nothing else, so a
+    frequent value can be split.
     """
-    spark = df.sparkSession
-    n_ranges = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sign = 1.0 if ascending else -1.0
-    key = F.col(c).cast("double") * F.lit(sign)
-    vals = df.select(key.alias("_v")).where(F.col("_v").isNotNull())
-    counts = vals.groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
-    # range boundaries from a sketch of the scanned column (no shuffle needed)
-    ranges = value_ranges(vals, "_v", n_ranges)
-    w = Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    local = counts.withColumn("_b", ranges).withColumn(
-        "_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    # one row per range: tiny, so the running offset over ranges is cheap
-    totals = local.groupBy("_b").agg(F.sum("_n").alias("_tot"))
-    wo = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_b", F.coalesce(F.sum("_tot").over(wo), F.lit(0)).alias("_off"),
-                            F.sum("_tot").over(Window.partitionBy()).alias("_total"))
-    ranks = (local.join(F.broadcast(offsets), "_b")
-             .select("_v", ((F.col("_off") + F.col("_before") + (F.col("_n") + 1) / 2.0)
-                            / F.col("_total")).alias(out)))
-    return (df.withColumn("_v", key)
-            .join(ranks, "_v", "left")
-            .drop("_v"))
-
-
-def value_ranges(df: DataFrame, c: str, n_ranges: int) -> Column:
-    """Deterministic range id of ``c``: boundaries are fitted once (approx.
-    quantiles of the column, returned to the driver as ``n_ranges - 1``
-    numbers) and the id is the count of boundaries below the value."""
-    if n_ranges <= 1:
-        return F.lit(0)
-    qs = [i / n_ranges for i in range(1, n_ranges)]
-    row = df.agg(F.percentile_approx(F.col(c), qs, 10000).alias("b")).first()
-    bounds = sorted(set(b for b in (row["b"] or []) if b is not None))
-    if not bounds:
-        return F.lit(0)
-    arr = F.array(*[F.lit(float(b)) for b in bounds])
-    return F.size(F.filter(arr, lambda b: b < F.col(c)))
+    key = F.col(c).cast("double") * F.lit(1.0 if ascending else -1.0)
+    ranks = value_positions(df.select(key.alias("_v")).where(F.col("_v").isNotNull()), [], "_v")
+    ranks = cut_lineage(ranks.select("_v", ((F.col("_before") + (F.col("_n") + 1) / 2.0) / F.col("_size")).alias(out)))
+    return df.withColumn("_v", key).join(ranks, "_v", "left").drop("_v")
 
 
 # ---------------------------------------------------------------------------
@@ -276,45 +240,24 @@ def t_pvalue(t: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series(vals, dtype="float64")
 
 
-def sortable_double(df: DataFrame, c: Column) -> Column:
-    """Order-preserving double view of a numeric / date / timestamp column."""
-    dt = df.select(c.alias("_x")).schema["_x"].dataType
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    if isinstance(dt, T.DateType):
-        return F.unix_date(c).cast("double")
-    return c.cast("double")
-
-
-def global_row_number(df: DataFrame, groups: list[str], order: list, out: str = "row_no",
-                      n_buckets: int | None = None) -> DataFrame:
+def global_row_number(df: DataFrame, groups: list[str], order: list, out: str = "row_no") -> DataFrame:
     """Exact ``row_number() over (partition by groups order by order)`` that
     never puts a whole group into one task.
 
-    Rows are cut into value ranges of the first order column (boundaries
-    fitted once); a small table of counts per (group, range) gives each range
-    its offset and the row number inside a (group, range) comes from a
-    window over that slice only.  A group holding a third of the data is
-    thus split over ``n_buckets`` tasks.  ``order`` must be a total order
-    (end in a unique key) for the result to be deterministic.
+    Rows are range-partitioned and sorted by groups and the whole order, so
+    that a group, or rows that agree on the first order column, spread over
+    partitions.  Row numbers inside a partition and a table with one row per
+    group and partition give the rest.  ``order`` must be a total order (end
+    in a unique key) for the result to be deterministic.
     """
-    spark = df.sparkSession
-    n_buckets = n_buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    tmp = df.withColumn("_lead", sortable_double(df, order_cols[0]))
-    bucket = value_ranges(tmp.select("_lead").where(F.col("_lead").isNotNull()), "_lead", n_buckets)
-    # nulls sort first (ascending default): give them bucket -1
-    tmp = tmp.withColumn("_bk", F.when(F.col("_lead").isNull(), F.lit(-1)).otherwise(bucket))
-    counts = tmp.groupBy(*groups, "_bk").agg(F.count(F.lit(1)).alias("_c"))
-    wc = Window.partitionBy(*groups).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*groups, "_bk", F.coalesce(F.sum("_c").over(wc), F.lit(0)).alias("_off"))
-    w = Window.partitionBy(*groups, "_bk").orderBy(*order_cols)
-    local = tmp.withColumn("_local_rn", F.row_number().over(w))
-    off = offsets.select(*[F.col(g).alias(f"_g_{g}") for g in groups], F.col("_bk").alias("_bk2"), "_off")
-    cond = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups] + [F.col("_bk") == F.col("_bk2")]
-    return (local.join(off, cond, "left")
-            .withColumn(out, F.col("_off") + F.col("_local_rn"))
-            .drop("_lead", "_bk", "_local_rn", "_off", "_bk2", *[f"_g_{g}" for g in groups]))
+    by = [*groups, *order]
+    # written once: the place of a row must not change between its two uses
+    rows = cut_lineage(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_p", F.shiftright("_at", 33))
+    held = rows.groupBy(*groups, "_p").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(*groups).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    held = cut_lineage(held.select(*groups, "_p", (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_shift")))
+    return same_keys(rows, held, [*groups, "_p"]).withColumn(out, F.col("_at") + F.col("_shift")).drop("_at", "_p", "_shift")
 
 
 def pair_corr(x, y) -> Column:
@@ -323,95 +266,3 @@ def pair_corr(x, y) -> Column:
     x, y = col_(x).cast("double"), col_(y).cast("double")
     xx, yy = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
     return F.try_divide(F.covar_pop(xx, yy), F.sqrt(F.var_pop(xx) * F.var_pop(yy)))
-
-
-# ---------------------------------------------------------------------------
-# Exact quantiles without a single-task value map.
-
-def exact_quantiles(df: DataFrame, keys: list[str], c: str, qs: list[float], accuracy: int = 10000,
-                    max_bracket: int = 50000, max_rounds: int = 8) -> DataFrame:
-    """Exact linear-interpolation quantiles (pandas / ``percentile``) of
-    ``c`` per group of ``keys`` (global when ``keys`` is empty), as columns
-    ``q0``, ``q1``, ... in the order of ``qs``.
-
-    Spark's exact ``percentile`` keeps a value -> count map of a whole group
-    in one task; a group holding a third of the data would not fit.  Here
-    each needed rank r is first bracketed by a bounded sketch
-    (``percentile_approx``); exact counts give the number of values below the
-    bracket and inside it; brackets holding at most ``max_bracket`` values are
-    resolved by sorting just those values, larger ones are narrowed with a
-    new sketch over the bracket only.  Every step is a partial aggregate, so
-    a hot group is reduced map-side.  The bracket check makes the result exact
-    whatever the sketch error (a failed bracket is widened and retried).
-    """
-    x = df.select(*keys, F.col(c).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    if not keys:
-        x = x.withColumn("_g0", F.lit(0))
-        keys_ = ["_g0"]
-    else:
-        keys_ = list(keys)
-    delta = 3.0 / accuracy
-    # ranks needed: floor / ceil of q (n - 1) for every q (0-based)
-    g = x.groupBy(*keys_).agg(F.count(F.lit(1)).alias("_n"))
-    tgt = []
-    for i, q in enumerate(qs):
-        pos = F.lit(float(q)) * (F.col("_n") - 1)
-        tgt.append(F.struct(F.lit(i).alias("qi"), F.lit(0).alias("side"), F.floor(pos).cast("long").alias("r"),
-                            (pos - F.floor(pos)).alias("frac")))
-        tgt.append(F.struct(F.lit(i).alias("qi"), F.lit(1).alias("side"), F.ceil(pos).cast("long").alias("r"),
-                            (pos - F.floor(pos)).alias("frac")))
-    targets = g.select(*keys_, "_n", F.explode(F.array(*tgt)).alias("t")).select(*keys_, "_n", "t.*")
-    # first bracket: sketch of the whole group at the target fraction +/- delta
-    sk = x.groupBy(*keys_).agg(F.percentile_approx("_x", [i / 1000.0 for i in range(0, 1001)], accuracy).alias("_sk"))
-    targets = (targets.join(sk, keys_)
-               .withColumn("_p", (F.col("r") + 0.5) / F.col("_n"))
-               .withColumn("a", F.element_at("_sk", (F.greatest(F.floor((F.col("_p") - delta) * 1000), F.lit(0)) + 1).cast("int")))
-               .withColumn("b", F.element_at("_sk", (F.least(F.ceil((F.col("_p") + delta) * 1000), F.lit(1000)) + 1).cast("int")))
-               .withColumn("below", F.lit(0).cast("long")).drop("_sk", "_p"))
-    done = None
-    tk = [*keys_, "qi", "side"]
-    for _ in range(max_rounds):
-        j = x.join(targets.select(*tk, "a", "b"), keys_)
-        cnt = j.groupBy(*tk).agg(F.count_if(F.col("_x") < F.col("a")).alias("_below"),
-                                 F.count_if((F.col("_x") >= F.col("a")) & (F.col("_x") <= F.col("b"))).alias("_in"))
-        t = targets.drop("below").join(cnt, tk).withColumnRenamed("_below", "below")
-        ok = (F.col("below") <= F.col("r")) & (F.col("r") < F.col("below") + F.col("_in"))
-        t = t.withColumn("_ok", ok).cache()
-        bad = t.where(~F.col("_ok"))
-        good = t.where(F.col("_ok"))
-        tie = good.where(F.col("a") == F.col("b")).select(*tk, "frac", F.col("a").alias("v"))
-        small = good.where((F.col("a") < F.col("b")) & (F.col("_in") <= max_bracket))
-        large = good.where((F.col("a") < F.col("b")) & (F.col("_in") > max_bracket))
-        sel = (x.join(small.select(*tk, "a", "b", "r", "below", "frac"), keys_)
-               .where((F.col("_x") >= F.col("a")) & (F.col("_x") <= F.col("b")))
-               .groupBy(*tk, "r", "below", "frac").agg(F.sort_array(F.collect_list("_x")).alias("_vals"))
-               .select(*tk, "frac", F.element_at("_vals", (F.col("r") - F.col("below") + 1).cast("int")).alias("v")))
-        resolved = tie.unionByName(sel)
-        done = resolved if done is None else done.unionByName(resolved)
-        # narrow large brackets with a sketch over the bracket rows only; widen failed ones
-        nxt_large = None
-        if large.limit(1).count():
-            inner = (x.join(large.select(*tk, "a", "b"), keys_)
-                     .where((F.col("_x") >= F.col("a")) & (F.col("_x") <= F.col("b")))
-                     .groupBy(*tk).agg(F.percentile_approx("_x", [i / 1000.0 for i in range(0, 1001)], accuracy).alias("_sk")))
-            nxt_large = (large.join(inner, tk)
-                         .withColumn("_p", (F.col("r") - F.col("below") + 0.5) / F.col("_in"))
-                         .withColumn("a", F.element_at("_sk", (F.greatest(F.floor((F.col("_p") - delta) * 1000), F.lit(0)) + 1).cast("int")))
-                         .withColumn("b", F.element_at("_sk", (F.least(F.ceil((F.col("_p") + delta) * 1000), F.lit(1000)) + 1).cast("int")))
-                         .select(*keys_, "_n", "qi", "side", "r", "frac", "a", "b"))
-        nxt_bad = None
-        if bad.limit(1).count():
-            nxt_bad = bad.select(*keys_, "_n", "qi", "side", "r", "frac", F.lit(float("-inf")).alias("a"),
-                                 F.lit(float("inf")).alias("b"))
-        parts = [p for p in (nxt_large, nxt_bad) if p is not None]
-        if not parts:
-            break
-        targets = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        targets = targets.withColumn("below", F.lit(0).cast("long"))
-    # interpolate between the floor and ceil ranks
-    lo = done.where(F.col("side") == 0).select(*keys_, "qi", "frac", F.col("v").alias("v_lo"))
-    hi = done.where(F.col("side") == 1).select(*keys_, "qi", F.col("v").alias("v_hi"))
-    val = lo.join(hi, [*keys_, "qi"]).select(*keys_, "qi", (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac")).alias("v"))
-    wide = val.groupBy(*keys_).pivot("qi", list(range(len(qs)))).agg(F.first("v"))
-    wide = wide.select(*keys_, *[F.col(str(i)).alias(f"q{i}") for i in range(len(qs))])
-    return wide.drop("_g0") if not keys else wide

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import safe_div
-from ..functions.stats import group_quantiles, pair_corr, t_pvalue
+from ..functions.stats import group_quantiles, pair_corr, same_keys, t_pvalue
 
 _FNS = {
     "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "count": F.count, "sum": F.sum,
@@ -25,13 +25,13 @@ _FNS = {
 def agg_profile(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
                 fns: Sequence[str] = ("mean", "std", "min", "max"), suffix: str = "") -> DataFrame:
     """A1: per group, every statistic of every measure as ``{col}_{fn}{suffix}``
-    (``median`` is exact, via the size-aware grouped quantiles)."""
+    (``median`` is exact, null keys being a group)."""
     plain = [f for f in fns if f != "median"]
     out = df.groupBy(*keys).agg(*[_FNS[f](F.col(c).cast("double") if f != "count" else F.col(c)).alias(f"{c}_{f}{suffix}")
                                   for c in cols for f in plain])
     if "median" in fns:
         for c in cols:
-            out = out.join(group_quantiles(df, list(keys), c, [0.5], [f"{c}_median{suffix}"]), list(keys), "left")
+            out = same_keys(out, group_quantiles(df, list(keys), c, [0.5], [f"{c}_median{suffix}"]), list(keys))
         out = out.select(*keys, *[f"{c}_{f}{suffix}" for c in cols for f in fns])
     return out
 
@@ -133,7 +133,7 @@ def stratum_profile(df: DataFrame, stratum: str, target: str, digits: int = 3) -
         F.round(F.avg(y), digits).alias("mean"), F.round(F.stddev_samp(y), digits).alias("std"),
         F.count(y).alias("count"), F.round(F.min(y), digits).alias("min"), F.round(F.max(y), digits).alias("max"))
     med = group_quantiles(df, [stratum], target, [0.5], ["_med"])
-    return g.join(med, [stratum], "left").select(stratum, "mean", "std", "count", F.round("_med", digits).alias("median"),
+    return same_keys(g, med, [stratum]).select(stratum, "mean", "std", "count", F.round("_med", digits).alias("median"),
                                                  "min", "max")
 
 

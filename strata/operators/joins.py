@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.stats import value_ranges
+from ..functions.stats import group_quantiles, same_keys
+from ..session import cut_lineage
 
 
 def _list(x) -> list:
@@ -81,9 +82,7 @@ def attach_group_stat(df: DataFrame, keys, col: str, fn: str = "mean", out: str
     """Per-group aggregate attached back to every row (aggregate, then join)."""
     keys = _list(keys)
     if fn == "median":
-        from ..functions.stats import group_quantiles
-        g = group_quantiles(df, keys, col, [0.5], [out or f"{col}_median"])
-        return df.join(g, keys, "left")
+        return same_keys(df, group_quantiles(df, keys, col, [0.5], [out or f"{col}_median"]), keys)
     f = {"mean": F.avg, "sum": F.sum, "max": F.max, "min": F.min, "count": F.count, "std": F.stddev_samp}[fn]
     g = df.groupBy(*keys).agg(f(F.col(col)).alias(out or f"{col}_{fn}"))
     return df.join(g, keys, "left")
@@ -111,58 +110,44 @@ def tolerance_join(left: DataFrame, right: DataFrame, eq: Sequence[tuple[str, st
 
 
 def nearest_match(left: DataFrame, right: DataFrame, eq: Sequence[tuple[str, str]], lkey: str, lcol: str,
-                  rkey: str, rcol: str, tol: float, n_ranges: int | None = None) -> DataFrame:
+                  rkey: str, rcol: str, tol: float) -> DataFrame:
     """For every left row, the right row with the smallest ``|l - r|``
-    within ``tol`` (same block keys); ties -> smallest right key.
-
-    Right rows are reduced to one row per (block, value) (smallest key), then
-    left and right rows are merged in value order.  Inside each (block,
-    value-range) the nearest right value below / above comes from running
-    windows; ranges with no right row before / after take it from a small
-    per-range table.  No pairs are formed, and a hot block is spread over
-    value ranges."""
-    spark = left.sparkSession
-    n_ranges = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    within ``tol`` (same block keys); ties -> smallest right key.  Rows with
+    a null block key or value match nothing.
+
+    Both sides are first reduced to distinct (block, value), the right side
+    with its smallest key, so a value that many rows share is one row here.
+    The values are range-partitioned by (block, value); the nearest right
+    value below / above comes from running windows inside a partition, and a
+    table with one row per block and partition carries it across.  No pairs
+    are formed, and a hot block is spread over partitions."""
     blocks = [f"_b{i}" for i in range(len(eq))]
     L = left.select(*[F.col(a).alias(b) for (a, _), b in zip(eq, blocks)], F.col(lkey).alias("_lk"),
-                    F.col(lcol).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    R = (right.select(*[F.col(b_).alias(b) for (_, b_), b in zip(eq, blocks)], F.col(rkey).alias("_rk"),
-                      F.col(rcol).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-         .groupBy(*blocks, "_v").agg(F.min("_rk").alias("_rk")))
-    u = (L.withColumn("_side", F.lit(0)).withColumn("_rk", F.lit(None).cast(R.schema["_rk"].dataType))
-         .unionByName(R.withColumn("_side", F.lit(1)).withColumn("_lk", F.lit(None).cast(L.schema["_lk"].dataType))))
-    rng = value_ranges(u.select("_v"), "_v", n_ranges)
-    u = u.withColumn("_g", rng)
-    # sort: value, then right rows before left rows at equal value (a right row
-    # at the same value is a zero-distance candidate either way)
-    part = [*blocks, "_g"]
-    w_prev = Window.partitionBy(*part).orderBy("_v", F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
-    w_next = Window.partitionBy(*part).orderBy("_v", F.desc("_side")).rowsBetween(0, Window.unboundedFollowing)
-    rv = F.when(F.col("_side") == 1, F.col("_v"))
-    rk = F.when(F.col("_side") == 1, F.col("_rk"))
-    u = u.select("*", F.last(rv, True).over(w_prev).alias("_pv"), F.last(rk, True).over(w_prev).alias("_pk"),
-                 F.first(rv, True).over(w_next).alias("_nv"), F.first(rk, True).over(w_next).alias("_nk"))
-    # carries across ranges: last / first right value of every (block, range)
-    # every (block, range) cell, also those holding only left rows, so the
-    # carry reaches across empty ranges
-    right_v = F.when(F.col("_side") == 1, F.col("_v"))
-    per = (u.groupBy(*part)
-           .agg(F.max_by(F.struct("_v", "_rk"), right_v).alias("_hi"), F.min_by(F.struct("_v", "_rk"), right_v).alias("_lo")))
-    wc_prev = Window.partitionBy(*blocks).orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    wc_next = Window.partitionBy(*blocks).orderBy("_g").rowsBetween(1, Window.unboundedFollowing)
-    carry = per.select(*part, F.last("_hi", True).over(wc_prev).alias("_cp"), F.first("_lo", True).over(wc_next).alias("_cn"))
-    x = (u.where(F.col("_side") == 0).join(carry, part, "left")
-         .select(*blocks, "_lk", "_v",
-                 F.coalesce("_pv", "_cp._v").alias("pv"), F.when(F.col("_pv").isNotNull(), F.col("_pk")).otherwise(F.col("_cp._rk")).alias("pk"),
-                 F.coalesce("_nv", "_cn._v").alias("nv"), F.when(F.col("_nv").isNotNull(), F.col("_nk")).otherwise(F.col("_cn._rk")).alias("nk")))
-    dp, dn = F.col("_v") - F.col("pv"), F.col("nv") - F.col("_v")
+                    F.col(lcol).cast("double").alias("_v")).dropna(subset=[*blocks, "_v"])
+    R = right.select(*[F.col(b_).alias(b) for (_, b_), b in zip(eq, blocks)], F.col(rkey).alias("_rk"),
+                     F.col(rcol).cast("double").alias("_v")).dropna(subset=[*blocks, "_v"])
+    none = F.lit(None).cast(R.schema["_rk"].dataType)
+    u = R.unionByName(L.select(*blocks, none.alias("_rk"), "_v")).groupBy(*blocks, "_v").agg(F.min("_rk").alias("_rk"))
+    u = cut_lineage(u.repartitionByRange(*blocks, "_v").withColumn("_p", F.spark_partition_id()))
+    here = F.when(F.col("_rk").isNotNull(), F.struct("_v", "_rk"))
+    w = Window.partitionBy(*blocks, "_p").orderBy("_v")
+    near = u.select("*", F.last(here, True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_prev"),
+                    F.first(here, True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("_next"))
+    # every (block, partition) has a row here, also where it holds only left values
+    per = u.groupBy(*blocks, "_p").agg(F.max(here).alias("_hi"), F.min(here).alias("_lo"))
+    wc = Window.partitionBy(*blocks).orderBy("_p")
+    carry = per.select(*blocks, "_p", F.last("_hi", True).over(wc.rowsBetween(Window.unboundedPreceding, -1)).alias("_cp"),
+                       F.first("_lo", True).over(wc.rowsBetween(1, Window.unboundedFollowing)).alias("_cn"))
+    near = near.join(carry, [*blocks, "_p"])
+    p, n = F.coalesce("_prev", "_cp"), F.coalesce("_next", "_cn")
+    dp, dn = F.col("_v") - p["_v"], n["_v"] - F.col("_v")
     okp, okn = F.coalesce(dp <= tol, F.lit(False)), F.coalesce(dn <= tol, F.lit(False))
-    prev_wins = F.coalesce((dp < dn) | ((dp == dn) & (F.col("pk") <= F.col("nk"))), F.lit(False))
+    prev_wins = F.coalesce((dp < dn) | ((dp == dn) & (p["_rk"] <= n["_rk"])), F.lit(False))
     take_prev = okp & (~okn | prev_wins)
     take_next = okn & ~take_prev
-    return x.select(F.col("_lk").alias(lkey),
-                    F.when(take_prev, F.col("pk")).when(take_next, F.col("nk")).alias(f"match_{rkey}"),
-                    F.when(take_prev, dp).when(take_next, dn).alias("diff")).where(F.col(f"match_{rkey}").isNotNull())
+    best = near.select(*blocks, "_v", F.when(take_prev, p["_rk"]).when(take_next, n["_rk"]).alias("_m"),
+                       F.when(take_prev, dp).when(take_next, dn).alias("_d")).where(F.col("_m").isNotNull())
+    return L.join(cut_lineage(best), [*blocks, "_v"]).select(F.col("_lk").alias(lkey), F.col("_m").alias(f"match_{rkey}"), F.col("_d").alias("diff"))
 
 
 def greedy_match(left: DataFrame, right: DataFrame, eq: Sequence[tuple[str, str]], lkey: str, lorder: str,

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.nulls import clip, finite
-from ..functions.stats import fit_stats, group_quantiles, lit_or_null, rank_pct
+from ..functions.stats import fit_stats, group_quantiles, lit_or_null, rank_pct, same_keys
 from .scale import label_encode, scale_standard
 from .select import NUMERIC, hash_unit
 
@@ -362,7 +362,7 @@ def cluster_profile(df: DataFrame, cluster: str, y: str, feats: Sequence[str]) -
     g = df.groupBy(cluster).agg(F.avg(t).alias("target_mean"), F.stddev_samp(t).alias("target_std"),
                                 F.count(t).alias("count"), *[F.avg(F.col(c).cast("double")).alias(f"{c}_mean") for c in feats])
     med = group_quantiles(df, [cluster], y, [0.5], ["target_median"])
-    return g.join(med, [cluster], "left").select(cluster, "target_mean", "target_std", "count", "target_median",
+    return same_keys(g, med, [cluster]).select(cluster, "target_mean", "target_std", "count", "target_median",
                                                  *[f"{c}_mean" for c in feats])
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,19 +39,26 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when nothing is set
-    (local tests) fall back to a fresh folder under the temp dir."""
+    """The folder in the cluster's ``spark.checkpoint.dir``.  Only a local
+    session, whose executors are this process, may go without the setting and
+    gets a fresh folder under the temp dir; on a cluster its absence is an
+    error."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-        return configured
-    local = tempfile.mkdtemp(prefix="strata-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(local)
-    return local
+    if not configured:
+        if not is_local(sc.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="strata-ckpt-")
+    sc.setCheckpointDir(configured)
+    return configured
+
+
+def is_local(master: str) -> bool:
+    """Whether a master URL runs everything in the driver's process."""
+    return master == "local" or master.startswith("local[")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

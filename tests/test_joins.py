@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 
 from strata.operators import joins as J
+from tests.helpers import shuffle_partitions
 
 
 def demo(seed, n_left=40, n_right=60):
@@ -29,11 +30,12 @@ def test_tolerance_join_matches_brute_force(spark, seed):
     assert got == exp
 
 
-@pytest.mark.parametrize("seed,n_ranges", [(0, 1), (1, 4), (2, 8)])
-def test_nearest_match_matches_brute_force(spark, seed, n_ranges):
+@pytest.mark.parametrize("seed,parts", [(0, 1), (1, 4), (2, 8)])
+def test_nearest_match_matches_brute_force(spark, seed, parts):
+    shuffle_partitions(spark, parts)
     left, right = demo(seed)
     got = J.nearest_match(spark.createDataFrame(left), spark.createDataFrame(right), [("b", "rb")],
-                          "lid", "v", "rid", "rv", 2.0, n_ranges=n_ranges).toPandas()
+                          "lid", "v", "rid", "rv", 2.0).toPandas()
     pairs = brute_pairs(left, right, 2.0).sort_values(["lid", "diff", "rid"])
     exp = pairs.groupby("lid").head(1)
     assert dict(zip(got["lid"], got["match_rid"])) == dict(zip(exp["lid"], exp["rid"]))
@@ -65,3 +67,18 @@ def test_left_join_suffix(spark):
     r = spark.createDataFrame([(1, 20.0, "a")], "k int, x double, y string")
     out = J.left_join_suffixed(l, r, "k")
     assert out.columns == ["k", "x", "x_src", "y"]
+
+
+def test_a_cluster_needs_a_shared_checkpoint_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from strata.session import ensure_checkpoint_dir, is_local
+
+    set_to = []
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None, setCheckpointDir=set_to.append)
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: default))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(session)
+    session.conf.get = lambda key, default: "hdfs:///shared"
+    assert ensure_checkpoint_dir(session) == "hdfs:///shared" and set_to == ["hdfs:///shared"]
+    assert is_local("local") and is_local("local[8]") and not is_local("local-cluster[3,2,1024]") and not is_local("yarn")

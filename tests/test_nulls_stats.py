@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strata.functions import nulls as N
 from strata.functions import stats as S
+from tests.helpers import shuffle_partitions
 
 
 def test_flag_null_is_zero(spark):
@@ -48,21 +49,23 @@ def test_constant_column_skew_zero(spark):
     assert S.fit_stats(df, {"x": ["skew"]})[("x", "skew")] == 0.0
 
 
-@pytest.mark.parametrize("n_ranges", [1, 3, 8])
-def test_rank_pct_average_ties(spark, n_ranges):
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_rank_pct_average_ties(spark, parts):
+    shuffle_partitions(spark, parts)
     vals = [1.0, 2.0, 2.0, 4.0, 9.0, None, 2.0, 7.0]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, x double")
-    got = {r["i"]: r["p"] for r in S.rank_pct(df, "x", "p", n_ranges=n_ranges).collect()}
+    got = {r["i"]: r["p"] for r in S.rank_pct(df, "x", "p").collect()}
     exp = pd.Series(vals, dtype=float).rank(pct=True)
     for i, e in enumerate(exp):
         assert (got[i] is None and pd.isna(e)) or got[i] == pytest.approx(e)
 
 
 def test_global_row_number_matches_window(spark):
+    shuffle_partitions(spark, 7)
     rng = np.random.default_rng(1)
     pdf = pd.DataFrame({"g": rng.integers(0, 3, 500), "t": rng.integers(0, 50, 500).astype(float), "k": np.arange(500)})
     df = spark.createDataFrame(pdf)
-    got = S.global_row_number(df, ["g"], ["t", "k"], "rn", n_buckets=7).toPandas().sort_values("k")
+    got = S.global_row_number(df, ["g"], ["t", "k"], "rn").toPandas().sort_values("k")
     exp = pdf.sort_values(["g", "t", "k"]).assign(rn=lambda d: d.groupby("g").cumcount() + 1).sort_values("k")
     assert got["rn"].tolist() == exp["rn"].tolist()
 
@@ -84,22 +87,40 @@ def test_row_stats_match_pandas(spark):
         assert (r["s"] is None and pd.isna(s)) or r["s"] == pytest.approx(s)
 
 
-@pytest.mark.parametrize("limit", ["0", "300"])
-def test_group_quantiles_distributed_path_is_exact(spark, limit):
-    """Groups above the size limit go through the bracketing selection; the
-    result must equal pandas' linear-interpolation quantiles exactly."""
+def test_global_row_number_spreads_one_date(spark):
+    """Half of the rows share the first order column and one group."""
+    shuffle_partitions(spark, 8)
+    pdf = pd.DataFrame({"g": ["a"] * 900 + [None] * 100, "d": [1] * 500 + list(range(500)), "k": np.arange(1000)[::-1]})
+    df = spark.createDataFrame(pdf)
+    got = S.global_row_number(df, ["g"], ["d", "k"], "rn")
+    assert max(r["count"] for r in got.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()) < 500
+    got = got.toPandas().sort_values("k")
+    exp = pdf.sort_values(["d", "k"]).assign(rn=lambda d: d.groupby("g", dropna=False).cumcount() + 1).sort_values("k")
+    assert got["rn"].tolist() == exp["rn"].tolist()
+
+
+@pytest.mark.parametrize("values", ["gamma", "two", "fifty"])
+@pytest.mark.parametrize("parts", [1, 8])
+def test_quantiles_are_exact(spark, values, parts):
+    """Continuous, two-value and fifty-value columns, a hot group, a null key
+    and a group without values."""
+    shuffle_partitions(spark, parts)
     rng = np.random.default_rng(3)
-    pdf = pd.DataFrame({"g": np.repeat([0, 1, 2], [2000, 200, 30]),
-                        "x": np.round(rng.gamma(2.0, 3.0, 2230), 1)})
+    x = {"gamma": np.round(rng.gamma(2.0, 3.0, 2234), 1), "two": (np.arange(2234) // 2 % 2).astype(float),
+         "fifty": rng.integers(1, 51, 2234).astype(float)}[values]
+    pdf = pd.DataFrame({"g": ["hot"] * 2000 + ["b"] * 200 + [None] * 30 + ["none"] * 4, "x": x})
     pdf.loc[::13, "x"] = np.nan
-    spark.conf.set("spark.strata.exactMapMaxRows", limit)
-    try:
-        got = S.group_quantiles(spark.createDataFrame(pdf), ["g"], "x", [0.05, 0.5, 0.95]).toPandas()
-        glob = S.fit_stats(spark.createDataFrame(pdf), {"x": ["q0.05", "median", "q0.95"]})
-    finally:
-        spark.conf.unset("spark.strata.exactMapMaxRows")
-    exp = pdf.groupby("g")["x"].quantile([0.05, 0.5, 0.95]).unstack()
-    got = got.set_index("g").sort_index()
-    assert np.allclose(got.values, exp.values, atol=1e-12)
-    assert glob[("x", "median")] == pytest.approx(pdf["x"].median(), abs=1e-12)
-    assert glob[("x", "q0.95")] == pytest.approx(pdf["x"].quantile(0.95), abs=1e-12)
+    pdf.loc[pdf["g"] == "none", "x"] = np.nan
+    df = spark.createDataFrame([(g, None if np.isnan(v) else float(v)) for g, v in pdf.itertuples(index=False)], "g string, x double")
+    qs = [0.05, 0.5, 0.95]
+    got = {r["g"]: [r[f"q{i}"] for i in range(3)] for r in S.group_quantiles(df, ["g"], "x", qs).collect()}
+    exp = pdf.groupby("g", dropna=False)["x"].quantile(qs).unstack()
+    assert got.pop("none") == [None] * 3
+    assert set(got) == {"hot", "b", None}
+    for g, v in got.items():
+        row = exp.loc[g] if g is not None else exp.loc[exp.index.isna()].iloc[0]
+        assert np.allclose(v, row.values, atol=1e-12)
+    glob = S.fit_stats(df, {"x": ["q0.05", "median", "q0.95", "mean"]})
+    assert [glob[("x", s)] for s in ("q0.05", "median", "q0.95")] == pytest.approx(pdf["x"].quantile(qs).tolist(), abs=1e-12)
+    one = S.group_quantiles(df.where("g = 'none'"), [], "x", [0.5]).collect()
+    assert [r["q0"] for r in one] == [None]

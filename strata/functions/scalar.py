@@ -113,16 +113,13 @@ def one_hot_columns(c: str, values: Sequence, prefix: str | None = None) -> list
     return [flag(F.col(c) == F.lit(v)).alias(f"{prefix}_{str(v).lower().replace(' ', '_')}") for v in values]
 
 
-def category_values(df: DataFrame, c: str, top: int | None = None, max_values: int = 1000) -> list:
+def category_values(df: DataFrame, c: str, top: int | None = None) -> list:
     """Distinct values of a categorical column (most frequent first, ties by
-    value).  Refuses columns with more than ``max_values`` categories rather
-    than pulling an unbounded list to the driver."""
-    counts = df.where(F.col(c).isNotNull()).groupBy(c).count()
-    rows = counts.orderBy(F.desc("count"), F.asc(c)).limit((top or max_values) + 1).collect()
-    if top is None and len(rows) > max_values:
-        raise ValueError(f"{c}: more than {max_values} categories")
-    rows = rows[:top] if top else rows
-    return [r[c] for r in rows]
+    value): all of them, or the ``top`` ones.  Each becomes a column of the
+    result, so their number is that of the columns the caller asks for;
+    columns with many values are better numbered by ``label_encode``."""
+    rows = df.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), F.asc(c))
+    return [r[c] for r in (rows.limit(top) if top else rows).collect()]
 
 
 def char_count_flags(c, ch: str) -> tuple[Column, Column]:

@@ -7,11 +7,11 @@ coordinates); a donor must have the target present; the imputed value is the
 mean of the k nearest donors (ties -> smaller donor key); a receiver with no
 comparable donor gets the column mean.
 
-Scale: receivers (rows with a gap) are processed in chunks whose size is
-checked before they are shipped to the tasks; donors stay distributed.  For
-every Arrow batch of donors, ``mapInPandas`` keeps only the k best candidates
-per receiver (plus exact ties), so the shuffle carries about k rows per
-receiver per batch, never all receiver x donor pairs.
+Scale: receivers (rows with a gap) and donors are cut into blocks of a bounded
+size, inside their group where there is one, and every pair of blocks is one
+``cogroup`` call that keeps the k best candidates per receiver and target, so
+the shuffle behind it carries k rows per receiver and donor block, never all
+pairs.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.stats import fit_stats, group_quantiles, lit_or_null
+from ..functions.stats import fit_stats, group_quantiles, lit_or_null, same_keys
 from ..session import cut_lineage
 
 
@@ -51,97 +51,91 @@ def impute_by_group(df: DataFrame, group: str, cols: Sequence[str]) -> DataFrame
     med = None
     for c in cols:
         m = group_quantiles(df, [group], c, [0.5], [f"_gm_{c}"])
-        med = m if med is None else med.join(m, group, "full")
+        med = m if med is None else same_keys(med, m, [group])
     st = fit_stats(df, {c: ["median"] for c in cols})
-    j = df.join(med, group, "left")
+    j = same_keys(df, med, [group])
     return j.select([F.coalesce(F.col(c).cast("double"), F.col(f"_gm_{c}"), lit_or_null(st[(c, "median")])).alias(c)
                      if c in cols else F.col(c) for c in df.columns])
 
 
-_CAND = T.StructType([T.StructField("_rk", T.LongType()), T.StructField("_t", T.IntegerType()),
-                      T.StructField("_dk", T.LongType()), T.StructField("_d", T.DoubleType()),
-                      T.StructField("_val", T.DoubleType())])
 
-
-def _topk_candidates(recv: pd.DataFrame, features: list[str], targets: list[str], k: int, group: str | None,
-                     tile: int = 128):
-    """mapInPandas body: for every Arrow batch of donors, the k nearest
-    donors of each (receiver, target) -- plus donors tied with the k-th
-    distance, so the final pick can break ties by donor key exactly.
-    Receivers are tiled so that memory is tile x batch x features."""
-    rx_all = recv[features].to_numpy(dtype=float)
-    rkeys_all = recv["_key"].to_numpy()
-    rgrp_all = recv[group].to_numpy() if group else None
+def _best_donors(features: list[str], targets: list[str], k: int, tile: int = 128):
+    """cogroup body: for every receiver of a block and every target it lacks,
+    the k nearest donors of the other block (ties -> smaller donor key)."""
     n_feat = len(features)
-    tidx = [features.index(t) for t in targets]
-
-    def fn(batches):
-        for b in batches:
-            dx = b[features].to_numpy(dtype=float)
-            dkeys = b["_key"].to_numpy()
-            dgrp = b[group].to_numpy() if group else None
-            pdn = ~np.isnan(dx)
-            for r0 in range(0, len(rx_all), tile):
-                rx = rx_all[r0:r0 + tile]
-                prn = ~np.isnan(rx)
-                both = prn[:, None, :] & pdn[None, :, :]
-                diff = np.where(both, rx[:, None, :] - dx[None, :, :], 0.0)
-                n_both = both.sum(axis=2)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    dist = np.sqrt((diff * diff).sum(axis=2) * n_feat / n_both)
-                dist[n_both == 0] = np.inf
-                if group:
-                    dist[rgrp_all[r0:r0 + tile][:, None] != dgrp[None, :]] = np.inf
-                for ti, fi in enumerate(tidx):
-                    need = np.isnan(rx[:, fi])
-                    has = ~np.isnan(dx[:, fi])
-                    if not need.any() or not has.any():
-                        continue
-                    d = dist[np.ix_(need, has)]
-                    kk = min(k, d.shape[1])
-                    kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
-                    ri, ci = np.nonzero((d <= kth[:, None]) & np.isfinite(d))
-                    if len(ri):
-                        yield pd.DataFrame({"_rk": rkeys_all[r0:r0 + tile][need][ri].astype("int64"),
-                                            "_t": np.full(len(ri), ti, dtype="int32"),
-                                            "_dk": dkeys[has][ci].astype("int64"), "_d": d[ri, ci],
-                                            "_val": dx[has, fi][ci]})
+
+    def fn(recv: pd.DataFrame, donors: pd.DataFrame) -> pd.DataFrame:
+        # donors in key order: among equal distances the first k are the smallest keys
+        donors = donors.sort_values("_key", kind="stable")
+        rx_all, dx = recv[features].to_numpy(dtype=float), donors[features].to_numpy(dtype=float)
+        rkeys, dkeys = recv["_key"].to_numpy(), donors["_key"].to_numpy()
+        pdn, found = ~np.isnan(dx), []
+        for r0 in range(0, len(rx_all), tile):
+            rx = rx_all[r0:r0 + tile]
+            prn = ~np.isnan(rx)
+            both = prn[:, None, :] & pdn[None, :, :]
+            diff = np.where(both, rx[:, None, :] - dx[None, :, :], 0.0)
+            n_both = both.sum(axis=2)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                dist = np.sqrt((diff * diff).sum(axis=2) * n_feat / n_both)
+            dist[n_both == 0] = np.inf
+            for ti, t in enumerate(targets):
+                fi = features.index(t)
+                need, has = np.flatnonzero(~prn[:, fi]), np.flatnonzero(pdn[:, fi])
+                if not len(need) or not len(has):
+                    continue
+                d = dist[np.ix_(need, has)]
+                kk = min(k, d.shape[1])
+                kth = np.partition(d, kk - 1, axis=1)[:, kk - 1:kk]
+                closer, tied = d < kth, d == kth
+                tied &= np.cumsum(tied, axis=1) <= kk - closer.sum(axis=1, keepdims=True)
+                ri, ci = np.nonzero((closer | tied) & np.isfinite(d))
+                found.append(pd.DataFrame({"_rk": rkeys[r0:r0 + tile][need][ri], "_t": np.full(len(ri), ti, dtype="int32"),
+                                           "_dk": dkeys[has][ci], "_d": d[ri, ci], "_val": dx[has, fi][ci]}))
+        if not found:
+            return pd.DataFrame({"_rk": [], "_t": [], "_dk": [], "_d": [], "_val": []})
+        return pd.concat(found)
     return fn
 
 
 def impute_knn(df: DataFrame, key: str, features: Sequence[str], targets: Sequence[str] | None = None,
-               k: int = 5, group: str | None = None, chunk_rows: int = 2000) -> DataFrame:
+               k: int = 5, group: str | None = None, receiver_rows: int = 2000, donor_rows: int = 20000) -> DataFrame:
     """T3 (and T4 with ``group``): kNN imputation of ``targets`` (default all
-    features) from the other rows; ``key`` must be a unique integer key."""
+    features) from the other rows, or those of the same group; ``key`` is a
+    key of any type and must be unique and not null (an error else).  A group
+    that is null has no donors.
+
+    Compares every receiver with every donor of its group, block by block, in
+    one distributed job.
+    """
     features = list(features)
     targets = list(targets or features)
-    spark = df.sparkSession
-    base = df.withColumn("_key", F.col(key).cast("long"))
+    base = df.withColumn("_key", F.col(key))
+    repeated = base.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col("_key").isNull()).limit(1).collect()
+    if repeated:
+        raise ValueError(f"{key} is null or not unique: {repeated[0]['_key']!r}")
     miss = F.lit(False)
     for t in targets:
         miss = miss | F.col(t).isNull()
-    recv_all = base.where(miss)
-    n_recv = recv_all.count()
-    if n_recv == 0:
-        return df
     means = fit_stats(df, {t: ["mean"] for t in targets})
-    n_chunks = max(1, -(-n_recv // chunk_rows))
-    cols = ["_key", *features] + ([group] if group and group not in features else [])
-    donors = base.select(*cols)
-    picked = []
-    for ch in range(n_chunks):
-        part = recv_all.where(F.pmod(F.xxhash64("_key"), F.lit(n_chunks)) == ch) if n_chunks > 1 else recv_all
-        recv = part.select(*cols).toPandas()   # bounded by chunk_rows (checked count above)
-        cand = donors.mapInPandas(_topk_candidates(recv, features, targets, k, group), _CAND)
-        w = Window.partitionBy("_rk", "_t").orderBy("_d", "_dk")
-        top = cand.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k)
-        fills_ch = top.groupBy("_rk", "_t").agg(F.avg("_val").alias("_fill"))
-        # each chunk's fills are written once (reliable checkpoint): the final
-        # plan stays a union of scans however many chunks there are
-        picked.append(cut_lineage(fills_ch) if n_chunks > 1 else fills_ch)
-    fills = picked[0]
-    for p in picked[1:]:
-        fills = fills.unionByName(p)
+    rows = base.select("_key", (F.col(group) if group else F.lit(0)).alias("_grp"), *[F.col(f).cast("double").alias(f) for f in features], miss.alias("_miss"))
+    rows = rows.where(F.col("_grp").isNotNull())
+    blocks = cut_lineage(rows.groupBy("_grp").agg(
+        F.greatest(F.lit(1), F.ceil(F.count_if("_miss") / receiver_rows)).cast("int").alias("_nr"),
+        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / donor_rows)).cast("int").alias("_nd")))
+    rows = rows.join(blocks, "_grp")
+    mine = F.xxhash64("_key")
+    recv = rows.where("_miss").withColumn("_r", F.pmod(mine, F.col("_nr")).cast("int")).withColumn("_dd", F.explode(F.expr("sequence(0, _nd - 1)")))
+    donors = rows.withColumn("_dd", F.pmod(mine, F.col("_nd")).cast("int")).withColumn("_r", F.explode(F.expr("sequence(0, _nr - 1)")))
+    cols = ["_grp", "_r", "_dd", "_key", *features]
+    recv, donors = recv.select(cols), donors.select(*[F.col(c).alias(c) for c in cols])
+    kind = base.schema["_key"].dataType
+    schema = T.StructType([T.StructField("_rk", kind), T.StructField("_t", T.IntegerType()), T.StructField("_dk", kind),
+                           T.StructField("_d", T.DoubleType()), T.StructField("_val", T.DoubleType())])
+    by = ["_grp", "_r", "_dd"]
+    cand = recv.groupBy(*by).cogroup(donors.groupBy(*by)).applyInPandas(_best_donors(features, targets, k), schema)
+    w = Window.partitionBy("_rk", "_t").orderBy("_d", "_dk")
+    fills = cand.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).groupBy("_rk", "_t").agg(F.avg("_val").alias("_fill"))
     wide = fills.groupBy(F.col("_rk").alias("_key")).pivot("_t", list(range(len(targets)))).agg(F.first("_fill"))
     out = base.join(wide, "_key", "left")
     sel = []
@@ -157,11 +151,12 @@ def impute_knn(df: DataFrame, key: str, features: Sequence[str], targets: Sequen
 def impute_by_group_knn(df: DataFrame, key: str, group: str, features: Sequence[str], targets: Sequence[str],
                         k: int = 5, min_rows: int = 10) -> DataFrame:
     """T4: kNN within the group for groups with more than ``min_rows`` rows,
-    group median for the others."""
+    group median for the others and for rows whose group is null."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_gn"))
-    j = df.join(sizes, group, "left")
-    big = j.where(F.col("_gn") > min_rows).drop("_gn")
-    small = j.where(~(F.col("_gn") > min_rows)).drop("_gn")
+    j = same_keys(df, sizes, [group])
+    enough = (F.col("_gn") > min_rows) & F.col(group).isNotNull()
+    big = j.where(enough).drop("_gn")
+    small = j.where(~enough).drop("_gn")
     return (impute_knn(big, key, features, targets, k, group=group)
             .unionByName(impute_by_group(small, group, list(targets))))
 

@@ -188,45 +188,78 @@ def gap_guarded_change(df: DataFrame, key, order, days: str, y: str, min_gap: fl
 # ---------------------------------------------------------------------------
 # G7 change points: PELT with an RBF kernel cost on min-max normalised series.
 
-def _rbf_gram(x: np.ndarray) -> np.ndarray:
-    """Gram matrix exp(-gamma * d^2) with gamma = 1 / median(d^2) over pairs
-    and the scaled distances clipped to [1e-2, 1e2] (the kernel convention
-    of the change-point library the reference calls)."""
-    d2 = (x[:, None] - x[None, :]) ** 2
-    iu = np.triu_indices(len(x), 1)
-    med = float(np.median(d2[iu])) if len(x) > 1 else 0.0
-    gamma = 1.0 / med if med != 0 else 1.0
-    scaled = np.clip(d2 * gamma, 1e-2, 1e2)
-    np.fill_diagonal(scaled, 0.0)
-    return np.exp(-scaled)
+def median_squared_distance(x: np.ndarray) -> float:
+    """Median of (x_i - x_j)^2 over all pairs, in memory linear in ``x``: the
+    value at a rank is found by bisection over the bits of doubles, with the
+    pairs up to a value counted by binary searches in the sorted series."""
+    x = np.sort(np.asarray(x, dtype=float))
+    n, pairs = len(x), len(x) * (len(x) - 1) // 2
+    if not pairs:
+        return 0.0
+    first = np.arange(n)
+
+    def up_to(limit: float) -> int:
+        low, high = first.copy(), np.full(n, n - 1)      # last j with (x_j - x_i)^2 <= limit
+        while (low < high).any():
+            mid = (low + high + 1) // 2
+            near = (x[mid] - x) ** 2 <= limit
+            low, high = np.where(near, mid, low), np.where(near, high, mid - 1)
+        return int((low - first).sum())
+
+    def at_rank(k: int) -> float:
+        low, high = 0, int(np.float64((x[-1] - x[0]) ** 2).view(np.int64))
+        while low < high:
+            mid = (low + high) // 2
+            if up_to(float(np.int64(mid).view(np.float64))) > k:
+                high = mid
+            else:
+                low = mid + 1
+        return float(np.int64(low).view(np.float64))
+
+    lower = at_rank((pairs - 1) // 2)
+    return lower if pairs % 2 else (lower + at_rank(pairs // 2)) / 2
 
 
 def pelt_rbf(x: np.ndarray, penalty: float = 2.0, min_size: int = 2) -> list[int]:
     """Exact PELT (pruned optimal partitioning) with the kernel cost
-    c(a, b) = sum_i K_ii - sum_{i,j in [a,b)} K_ij / (b - a).
-    Returns segment ends, the last one being ``len(x)``."""
+    c(a, b) = sum_i K_ii - sum_{i,j in [a,b)} K_ij / (b - a), where
+    K_ij = exp(-gamma d^2), gamma = 1 / median(d^2) and the scaled distances
+    are clipped to [1e-2, 1e2].  Returns segment ends, the last one being
+    ``len(x)``.
+
+    Memory is linear: only the kernel sums of the segments that end at the
+    current point are kept, and each new point adds its own column to them.
+    """
+    x = np.asarray(x, dtype=float)
     n = len(x)
-    k = _rbf_gram(x)
-    s = np.zeros((n + 1, n + 1))
-    s[1:, 1:] = k.cumsum(0).cumsum(1)
-    diag = np.concatenate([[0.0], np.cumsum(np.diag(k))])
-
-    def cost(a: int, b: int) -> float:
-        return (diag[b] - diag[a]) - (s[b, b] - s[a, b] - s[b, a] + s[a, a]) / (b - a)
-
-    best = {0: 0.0}
-    path = {0: []}
-    admissible: list[int] = []
-    for end in [t for t in range(min_size, n) ] + [n]:
-        admissible.append(end - min_size)
-        scored = [(best[a] + cost(a, end) + penalty, a) for a in admissible if a in best]
-        if not scored:
+    med = median_squared_distance(x)
+    gamma = 1.0 / med if med != 0 else 1.0
+    sums = np.zeros(n + 1)                               # of K over [a, end) x [a, end)
+    best, back = np.full(n + 1, np.inf), np.zeros(n + 1, int)
+    best[0] = 0.0
+    admissible = np.empty(0, int)
+    for end in range(1, n + 1):
+        new = end - 1
+        column = np.exp(-np.clip((x[:new] - x[new]) ** 2 * gamma, 1e-2, 1e2))
+        sums[:new] += 2 * np.cumsum(column[::-1])[::-1] + 1
+        sums[new] = 1.0
+        if end < min_size:
+            continue
+        admissible = np.append(admissible, end - min_size)
+        admissible = admissible[np.isfinite(best[admissible])]
+        if not len(admissible):
             continue
-        val, arg = min(scored, key=lambda z: z[0])
-        best[end] = val
-        path[end] = path[arg] + [end]
-        admissible = [a for v, a in scored if v <= val + penalty]
-    return path.get(n, [n])
+        size = end - admissible
+        scored = best[admissible] + size - sums[admissible] / size + penalty
+        pick = int(scored.argmin())
+        best[end], back[end] = scored[pick], admissible[pick]
+        admissible = admissible[scored <= scored[pick] + penalty]
+    if not np.isfinite(best[n]) or n == 0:
+        return [n]
+    ends = [n]
+    while back[ends[-1]] > 0:
+        ends.append(int(back[ends[-1]]))
+    return ends[::-1]
 
 
 CP_SCHEMA = T.StructType([T.StructField("subject", T.StringType()), T.StructField("n_points", T.IntegerType()),
@@ -235,25 +268,21 @@ CP_SCHEMA = T.StructType([T.StructField("subject", T.StringType()), T.StructFiel
 
 
 def change_points(df: DataFrame, key: str, order, y: str, min_points: int = 5, penalty: float = 2.0,
-                  min_size: int = 2, max_points: int = 5000) -> DataFrame:
+                  min_size: int = 2) -> DataFrame:
     """Change points per subject with >= ``min_points`` non-null values:
     min-max normalise (``(v - min) / (max - min + 1e-8)``), PELT with the RBF
     cost, keep breakpoints strictly inside ``(0, n - 1)``.
 
     The kernel cost needs the whole ordered series, so each subject is one
-    pandas call.  Subjects longer than ``max_points`` (an O(n^2) kernel) are
-    not cut: they are returned with ``n_change_points = null`` so the caller
-    sees them.
+    pandas call, whatever its length; memory grows linearly with the series.
+    Rows without a subject are no series.
     """
     order = _as_list(order)
-    vals = df.where(F.col(y).isNotNull())
-    sizes = vals.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    small = vals.join(sizes.where((F.col("_n") >= min_points) & (F.col("_n") <= max_points)), key, "left_semi")
-    big = sizes.where(F.col("_n") > max_points).select(
-        F.col(key).cast("string").alias("subject"), F.col("_n").cast("int").alias("n_points"),
-        F.lit(None).cast("int").alias("n_change_points"), F.lit(None).cast("array<int>").alias("change_points"))
+    vals = df.where(F.col(y).isNotNull() & F.col(key).isNotNull())
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) < min_points:
+            return pd.DataFrame(columns=CP_SCHEMA.names, dtype=object)
         pdf = pdf.sort_values(order)
         v = pdf[y].to_numpy(dtype=float)
         v = (v - v.min()) / (v.max() - v.min() + 1e-8)
@@ -261,8 +290,7 @@ def change_points(df: DataFrame, key: str, order, y: str, min_points: int = 5, p
         return pd.DataFrame({"subject": [str(pdf[key].iloc[0])], "n_points": [len(v)],
                              "n_change_points": [len(cps)], "change_points": [cps]})
 
-    res = small.select(key, *order, y).groupBy(key).applyInPandas(run, CP_SCHEMA)
-    return res.unionByName(big)
+    return vals.select(key, *order, y).groupBy(key).applyInPandas(run, CP_SCHEMA)
 
 
 def change_point_summary(cp: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import clip, flag, safe_div
-from ..functions.stats import fit_stats, lit_or_null
+from ..functions.stats import fit_stats, global_row_number, lit_or_null
 
 
 def _lit(v) -> Column:
@@ -155,15 +155,13 @@ def flag_quantile(df: DataFrame, c: str, q: float, side: str = "low", inclusive:
     return df.withColumn(out or f"{c}_{side}_q{int(q * 100)}", flag(cond))
 
 
-def label_encode(df: DataFrame, c: str, out: str | None = None, max_values: int = 100000) -> DataFrame:
-    """Alphabetical code 0..k-1 of the distinct values (null stays null).
-    Like a string indexer, the sorted distinct labels (at most ``max_values``,
-    checked) become a literal map applied in one projection."""
-    labels = [r[c] for r in df.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c)
-              .limit(max_values + 1).collect()]
-    if len(labels) > max_values:
-        raise ValueError(f"{c}: more than {max_values} labels")
-    if not labels:
-        return df.withColumn(out or f"{c}_code", F.lit(None).cast("int"))
-    m = F.create_map(*[x for i, v in enumerate(labels) for x in (F.lit(v), F.lit(i))])
-    return df.withColumn(out or f"{c}_code", F.element_at(m, F.col(c)).cast("int"))
+def label_encode(df: DataFrame, c: str, out: str | None = None) -> DataFrame:
+    """Code 0..k-1 of the distinct values in their order (null stays
+    null).  The distinct values are numbered where they are and joined back,
+    so their number does not matter."""
+    labels = df.select(F.col(c).alias("_label")).where(F.col("_label").isNotNull()).distinct()
+    codes = global_row_number(labels, [], ["_label"], "_code").select("_label", (F.col("_code") - 1).cast("int").alias("_code"))
+    name = out or f"{c}_code"
+    kept = [F.col(x) for x in df.columns if x != name]
+    return df.join(codes, F.col(c) == F.col("_label"), "left").select(*kept, F.col("_code").alias(name))
+

@@ -28,8 +28,8 @@ def knn_brute(pdf, feats, targets, k):
     return out
 
 
-@pytest.mark.parametrize("chunk_rows", [1000, 7])
-def test_knn_imputation_matches_brute_force(spark, chunk_rows):
+@pytest.mark.parametrize("receivers,donors", [(2000, 20000), (7, 20000), (7, 11)])
+def test_knn_imputation_matches_brute_force(spark, receivers, donors):
     rng = np.random.default_rng(5)
     n = 60
     pdf = pd.DataFrame({"key": np.arange(n), "a": rng.normal(0, 1, n).round(2), "b": rng.normal(5, 2, n).round(2),
@@ -37,7 +37,27 @@ def test_knn_imputation_matches_brute_force(spark, chunk_rows):
     pdf.loc[rng.choice(n, 12, replace=False), "a"] = np.nan
     pdf.loc[rng.choice(n, 9, replace=False), "b"] = np.nan
     feats = ["a", "b", "c"]
-    got = I.impute_knn(spark.createDataFrame(pdf), "key", feats, ["a", "b"], k=3, chunk_rows=chunk_rows).toPandas()
+    got = I.impute_knn(spark.createDataFrame(pdf), "key", feats, ["a", "b"], k=3, receiver_rows=receivers, donor_rows=donors).toPandas()
     exp = knn_brute(pdf, feats, ["a", "b"], 3)
     got = got.sort_values("key").reset_index(drop=True)
     assert np.allclose(got[["a", "b"]].to_numpy(float), exp[["a", "b"]].to_numpy(float), atol=1e-9)
+
+
+def test_knn_with_text_keys_and_many_ties(spark):
+    """All donors are equally far: the k smallest keys are taken."""
+    rows = [(f"k{i:02d}", 1.0, float(i), "g") for i in range(30)] + [("r", 1.0, None, "g")]
+    df = spark.createDataFrame(rows, "key string, a double, b double, g string")
+    got = {r["key"]: r["b"] for r in I.impute_knn(df, "key", ["a", "b"], ["b"], k=4, donor_rows=7).collect()}
+    assert got["r"] == 1.5
+    with pytest.raises(ValueError, match="not unique"):
+        I.impute_knn(df.union(df.limit(1)), "key", ["a", "b"], ["b"])
+
+
+def test_group_knn_keeps_rows_without_a_group(spark):
+    rows = [(i, None if i % 14 == 0 else "ab"[i % 2], float(i % 7), None if i % 5 == 0 else float(i)) for i in range(70)]
+    df = spark.createDataFrame(rows, "key int, g string, a double, b double")
+    got = I.impute_by_group_knn(df, "key", "g", ["a", "b"], ["b"]).collect()
+    assert sorted(r["key"] for r in got) == list(range(70)) and all(r["b"] is not None for r in got)
+    lone = [r[3] for r in rows if r[1] is None and r[3] is not None]
+    fill = {r["key"]: r["b"] for r in got}
+    assert fill[0] == pytest.approx(np.median(lone)) and fill[14] == 14.0

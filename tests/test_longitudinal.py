@@ -66,10 +66,19 @@ def test_progression_pattern(spark):
     assert got.loc["c", "pattern"] == "progressive"
 
 
+def rbf_gram(x):
+    """The kernel matrix the cost is defined by."""
+    d2 = (x[:, None] - x[None, :]) ** 2
+    med = float(np.median(d2[np.triu_indices(len(x), 1)])) if len(x) > 1 else 0.0
+    scaled = np.clip(d2 * (1.0 / med if med else 1.0), 1e-2, 1e2)
+    np.fill_diagonal(scaled, 0.0)
+    return np.exp(-scaled)
+
+
 def _dp_optimal(x, pen, min_size):
     """Brute-force optimal partitioning (no pruning) with the same cost."""
     n = len(x)
-    k = G._rbf_gram(x)
+    k = rbf_gram(x)
     def cost(a, b):
         sub = k[a:b, a:b]
         return np.trace(sub) - sub.sum() / (b - a)
@@ -89,6 +98,21 @@ def test_pelt_equals_exhaustive(seed):
     assert G.pelt_rbf(x, 2.0, 2) == _dp_optimal(x, 2.0, 2)
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 51])
+def test_median_squared_distance(n):
+    rng = np.random.default_rng(n)
+    for x in (rng.normal(size=n), rng.integers(0, 3, n).astype(float), np.zeros(n)):
+        d2 = ((x[:, None] - x[None, :]) ** 2)[np.triu_indices(n, 1)]
+        assert G.median_squared_distance(x) == (np.median(d2) if len(d2) else 0.0)
+
+
+def test_long_series_are_analysed(spark):
+    v = np.concatenate([np.zeros(3000), np.ones(3000)]) + np.random.default_rng(0).normal(0, .05, 6000)
+    df = spark.createDataFrame([("s", i, float(x)) for i, x in enumerate(v)] + [(None, 1, 1.0)], "s string, k int, y double")
+    r = G.change_points(df, "s", ["k"], "y").collect()
+    assert len(r) == 1 and r[0]["n_points"] == 6000 and r[0]["change_points"] == [3000]
+
+
 def test_trend_classes(spark):
     rows = []
     for i in range(6):

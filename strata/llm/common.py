@@ -80,6 +80,25 @@ def words_of(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]
     return flat.filter(full), ends[offsets]
 
 
+def key_groups(batches, key: str):
+    """Tables of whole keys from sorted batches, with the rows at which a key
+    begins and, last, their number."""
+    held = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        held = t if held is None else pa.concat_tables([held, t])
+        k = held.column(key).to_numpy()
+        cuts = np.flatnonzero(np.diff(k)) + 1
+        if not len(cuts):
+            continue
+        held = held.combine_chunks()
+        yield held.slice(0, int(cuts[-1])), np.concatenate([[0], cuts])
+        held = held.slice(int(cuts[-1]))
+    if held is not None and held.num_rows:
+        k = held.column(key).to_numpy()
+        yield held.combine_chunks(), np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1, [held.num_rows]])
+
+
 def per_worker(key: str, make):
     """One object per Python worker process, kept from task to task (workers
     are reused); `make` builds it where the process has none yet."""
@@ -103,36 +122,36 @@ def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(ids, "doc_id", how).select(*docs.columns)
 
 
+def settled(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """`df`, written to the checkpoint folder and read in as few partitions as
+    `rows` rows each need.  Small intermediate tables, which many steps read,
+    then cost each of those steps a few files and not one per shuffle
+    partition; large ones keep their partitions."""
+    df = cut_lineage(df)
+    return df.coalesce(max(1, -(-df.count() // rows)))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Smallest id reachable from every id that has an edge: (id, component).
 
-    Alternates large-star and small-star steps until the edges no longer
-    change; each round is two grouped minima and two equi-joins, and every
-    round's edges are written to the checkpoint folder.  Raises if it does
-    not converge within `max_rounds` (the rounds grow with the logarithm of
-    the number of ids).
+    Alternates large-star and small-star steps until every id points at one
+    smaller id that points nowhere.  Each round is two grouped minima and two
+    equi-joins; its edges are written to the checkpoint folder, and so are the
+    minima that ids with many edges are joined with, so that such a join can
+    be split.  Raises if it does not converge within `max_rounds` (the rounds
+    grow with the logarithm of the number of ids).
     """
-    def seal(df):
-        df = cut_lineage(df.distinct())
-        row = df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        return df, tuple(row)
-
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v")
-    e, before = seal(e)
+    e = settled(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
     for _ in range(max_rounds):
-        if before[0] == 0:
+        once = e.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+        if once and e.join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty():
             break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        e = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        e = cut_lineage(e.distinct())
-        low = cut_lineage(e.groupBy("u").agg(F.min("v").alias("m")))
-        e = e.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")) \
-            .union(low.select("u", F.col("m").alias("v")))
-        e, after = seal(e)
-        if after == before:
-            break
-        before = after
+        low = settled(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = settled(small.union(low.select("u", F.col("m").alias("v"))).distinct())
     else:
         raise RuntimeError(f"components did not converge within {max_rounds} rounds")
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()

@@ -17,19 +17,18 @@ import math
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import connected_components
+from strata.llm.common import connected_components, key_groups
 from strata.session import cut_lineage
 
 #: FIXED VALUE: the smallest cosine of a link.
 COSINE = 0.93
 
 #: Pivots per square root of the number of vectors, and the fitted sample's bound at any size.
-PIVOTS_PER_ROOT, MOST_PIVOTS = 4.0, 100_000
+PIVOTS_PER_ROOT, MOST_PIVOTS = 2.0, 100_000
 #: Pivots whose cosine is above this describe the same place; the later one is left out.
 PIVOT_APART = 0.8
 #: Length of a vector's prefix of nearest pivots, of which two must be shared.
@@ -65,90 +64,110 @@ def choose_pivots(distinct: DataFrame, total: int, per_root: float = PIVOTS_PER_
 
 
 def inverted_lists(distinct: DataFrame, pivots: dict[int, np.ndarray], prefix: int = PREFIX) -> DataFrame:
-    """label, dim, p, q, id, size, prefix, vector: every vector once for each
-    pair p < q of its `prefix` nearest pivots.  With fewer than two pivots
-    there is one list per label."""
+    """label, dim, p, q, id, size, prefix, unit: every vector, scaled to
+    length 1 (as bytes of doubles), once for each pair p < q of its `prefix`
+    nearest pivots.  With fewer than two pivots there is one list per label."""
     def post(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             dims = batch.column("dim").to_numpy()
             rows = batch.column("vector").to_pylist()
+            scaled: list = [None] * len(rows)
             at, ps, qs, pre = [], [], [], []
             for dim in np.unique(dims):
                 mine = np.flatnonzero(dims == dim)
+                own = unit([rows[i] for i in mine])
+                for i, v in zip(mine, own):
+                    scaled[i] = v.tobytes()
                 piv = pivots.get(int(dim), np.zeros((0, int(dim))))
                 n = min(prefix, len(piv))
                 if n < 2:
-                    at += mine.tolist()
-                    ps += [-1] * len(mine)
-                    qs += [-1] * len(mine)
-                    pre += [[-1, -1]] * len(mine)
+                    at.append(mine)
+                    ps.append(np.full(len(mine), -1, np.int32))
+                    qs.append(np.full(len(mine), -1, np.int32))
+                    pre.append([np.full(2, -1, np.int32).tobytes()] * len(mine))
                     continue
-                near = unit([rows[i] for i in mine]) @ piv.T
+                near = own @ piv.T
                 first = np.argpartition(-near, n - 1, axis=1)[:, :n]
                 order = np.argsort(-np.take_along_axis(near, first, 1), axis=1, kind="stable")
-                first = np.take_along_axis(first, order, 1)
+                first = np.take_along_axis(first, order, 1).astype(np.int32)
                 low = np.sort(first, axis=1)
                 for a, b in combinations(range(n), 2):
-                    at += mine.tolist()
-                    ps += low[:, a].tolist()
-                    qs += low[:, b].tolist()
-                    pre += first.tolist()
-            take = pa.array(at, pa.int64())
+                    at.append(mine)
+                    ps.append(low[:, a])
+                    qs.append(low[:, b])
+                    pre.append([f.tobytes() for f in first])
+            take = pa.array(np.concatenate(at))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c).take(take) for c in ("label", "dim", "id", "size", "vector")]
-                + [pa.array(ps, pa.int32()), pa.array(qs, pa.int32()), pa.array(pre, pa.list_(pa.int32()))],
-                names=["label", "dim", "id", "size", "vector", "p", "q", "prefix"])
+                [batch.column(c).take(take) for c in ("label", "dim", "id", "size")]
+                + [pa.array(np.concatenate(ps)), pa.array(np.concatenate(qs)), pa.array([x for own in pre for x in own], pa.binary()), pa.array(scaled, pa.binary()).take(take)],
+                names=["label", "dim", "id", "size", "p", "q", "prefix", "unit"])
 
     types = dict(distinct.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in ("label", "dim", "id", "size", "vector")) + ", p int, q int, prefix array<int>"
+    schema = ", ".join(f"{c} {types[c]}" for c in ("label", "dim", "id", "size")) + ", p int, q int, prefix binary, unit binary"
     return distinct.select("label", "dim", "id", "size", "vector").mapInArrow(post, schema)
 
 
 def verify_blocks(lists: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
-    """id, links (weighted by `size` of the linked vectors), other (a linked
-    vector that stands for its group in the block, or null): one row per block
-    and linked vector."""
+    """id, links (weighted by `size` of the linked vectors), other (the first
+    vector of its linked group in the block): one row per block and linked
+    vector."""
     key = ["label", "dim", "p", "q"]
     long = cut_lineage(lists.groupBy(*key).agg(F.count("*").alias("m")).filter("m > 1").withColumn("blocks", F.ceil(F.col("m") / block).cast("int")))
     held = lists.join(long.drop("m"), key)
     mine = F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int")
     # block pairs (x, y), x <= y: a vector of block b goes to every pair that has b
     held = held.withColumn("b", mine).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    held = held.withColumn("x", F.least("b", "o")).withColumn("y", F.greatest("b", "o"))
+    held = held.withColumn("x", F.least("b", "o")).withColumn("y", F.greatest("b", "o")).withColumn("g", F.xxhash64(*key, "x", "y"))
+    held = held.repartition(*key, "x", "y").sortWithinPartitions("g", *key, "x", "y", "id")
     kind = dict(lists.dtypes)["id"]
 
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable")
-        vec, ids, size = unit(list(pdf["vector"])), pdf["id"].to_numpy(), pdf["size"].to_numpy()
+    def one(p, q, mixed, vec, size, side, pre):
+        """(rows with links, their weighted number, first row of their group)."""
         linked = vec @ vec.T >= cosine
         np.fill_diagonal(linked, False)
-        if pdf["x"].iat[0] != pdf["y"].iat[0]:
-            side = pdf["b"].to_numpy()
+        if mixed:
             linked &= side[:, None] != side[None, :]
-        if linked.any():
-            # this is the pair's first shared list unless it also shares a lower pivot
-            p, q, pre = pdf["p"].iat[0], pdf["q"].iat[0], np.stack(pdf["prefix"].to_numpy())
-            lower = np.unique(pre[(pre < q) & (pre != p)])
-            if len(lower):
-                has = np.zeros((len(ids), len(lower)), np.float32)
-                rows, cols = np.nonzero((pre < q) & (pre != p))
-                has[rows, np.searchsorted(lower, pre[rows, cols])] = 1
-                linked &= has @ has.T == 0
-        count = linked @ size
-        on = np.flatnonzero(count)
-        # a tree over each group of linked vectors: walk to the smallest reachable row
-        root = np.arange(len(ids))
+        if not linked.any():
+            return None
+        # this is the pair's first shared list unless it also shares a lower pivot
+        other = (pre < q) & (pre != p)
+        lower = np.unique(pre[other])
+        if len(lower):
+            has = np.zeros((len(vec), len(lower)), np.float32)
+            rows, cols = np.nonzero(other)
+            has[rows, np.searchsorted(lower, pre[rows, cols])] = 1
+            linked &= has @ has.T == 0
+        root = np.arange(len(vec))
         while True:
-            low = np.minimum(root, np.where(linked, root[None, :], len(ids)).min(axis=1, initial=len(ids)))
+            low = np.minimum(root, np.where(linked, root[None, :], len(vec)).min(axis=1))
             low = np.minimum(low, low[low])
             if (low == root).all():
                 break
             root = low
-        return pd.DataFrame({"id": ids[on], "links": count[on].astype(np.int64), "other": ids[root[on]]})
-
-    return held.groupBy(*key, "x", "y").applyInPandas(verify, f"id {kind}, links long, other {kind}")
+        count = linked @ size
+        on = np.flatnonzero(count)
+        return on, count[on], root[on]
+
+    def verify(batches):
+        for table, cuts in key_groups(batches, "g"):
+            ids = table.column("id").combine_chunks()
+            p, q, x, y, b, dim, size = (table.column(c).to_numpy() for c in ("p", "q", "x", "y", "b", "dim", "size"))
+            unit_, prefix = table.column("unit").to_pylist(), table.column("prefix").to_pylist()
+            at, links, other = [], [], []
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                got = one(p[i], q[i], x[i] != y[i], np.frombuffer(b"".join(unit_[i:j])).reshape(j - i, dim[i]), size[i:j], b[i:j],
+                          np.frombuffer(b"".join(prefix[i:j]), np.int32).reshape(j - i, -1)) if j - i > 1 else None
+                if got:
+                    at.append(i + got[0])
+                    links.append(got[1])
+                    other.append(i + got[2])
+            if at:
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(at))), pa.array(np.concatenate(links).astype(np.int64)),
+                                                  ids.take(pa.array(np.concatenate(other)))], names=["id", "links", "other"])
+
+    return held.select("g", "id", "size", "p", "q", "x", "y", "b", "dim", "prefix", "unit").mapInArrow(verify, f"id {kind}, links long, other {kind}")
 
 
 def vector_links(vectors: DataFrame, cosine: float = COSINE, per_root: float = PIVOTS_PER_ROOT, prefix: int = PREFIX, block: int = BLOCK) -> DataFrame:

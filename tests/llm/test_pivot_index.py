@@ -69,11 +69,13 @@ def test_links_against_brute_force(spark, monkeypatch, block):
 
 def test_recall_of_borderline_links(spark):
     # pairs whose cosine is just above the threshold
-    rows = groups(3, 300, 2, 0.36, dim=48, labels=4)
+    rows = groups(3, 300, 2, 0.265, dim=48, labels=4)
     got, _ = run(spark, rows)
     want = brute(rows)
     true = sum(w[1] for w in want)
-    assert true > 100 and sum(g[1] for g in got) >= 0.9 * true
+    found = sum(g[1] for g in got)
+    print("borderline recall", found, true)
+    assert true > 100 and found >= 0.9 * true
 
 
 def test_every_pair_is_counted_once(spark):

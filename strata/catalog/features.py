@@ -103,10 +103,24 @@ def d4(spark, sf):
     return rounded(D.zscore_interactions(bio(spark, sf), "ab42", "tau").select("l_orderkey", "l_linenumber", "ab42_x_tau", "ab42_minus_tau"))
 
 
-@register("d5_biomarker_transforms")
+def _log_sql(c, limit=1.5):
+    """log1p of a positive column whose skewness exceeds the limit, else null."""
+    skew = f"(SELECT avg(power({c} - (SELECT avg({c}) FROM bio), 3)) / power(var_pop({c}), 1.5) * sqrt(count({c}) * (count({c}) - 1.0)) / (count({c}) - 2) FROM bio)"
+    return f"round(CASE WHEN (SELECT min({c}) FROM bio) > 0 AND abs({skew}) > {limit} THEN ln(1 + {c}) END, 6) AS {c}_log"
+
+
+def _pct_sql(c):
+    return (f"round(CASE WHEN {c} IS NOT NULL THEN (rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0)"
+            f" / (SELECT count({c}) FROM bio) END, 6) AS {c}_percentile")
+
+
+@register("d5_biomarker_transforms", f"""WITH {BIO} SELECT {K}, {_log_sql('ab42')}, {_log_sql('tau')}, {_log_sql('ptau')},
+  {_pct_sql('ab42')}, {_pct_sql('tau')}, {_pct_sql('ptau')} FROM bio""")
 def d5(spark, sf):
-    return rounded(D.biomarker_transforms(bio(spark, sf), ["ab42", "tau"]).select(
-        "l_orderkey", "l_linenumber", "ab42_percentile", "tau_percentile"))
+    cols = ["ab42", "tau", "ptau"]
+    out = D.biomarker_transforms(bio(spark, sf), cols)
+    logs = [F.col(f"{c}_log") if f"{c}_log" in out.columns else F.lit(None).cast("double").alias(f"{c}_log") for c in cols]
+    return rounded(out.select("l_orderkey", "l_linenumber", *logs, *[f"{c}_percentile" for c in cols]))
 
 
 @register("d6_cognitive_scales", f"""WITH {BIO} SELECT {K}, round(mmse / 30.0, 6) AS mmse_normalized, round((mmse - 24) / 30.0, 6) AS mmse_threshold_distance,
@@ -435,9 +449,10 @@ def r5(spark, sf):
     return rounded(R.carrier_profile(scored(spark, sf), "e4_carrier", "composite_risk_score"))
 
 
-@register("r6_carrier_adjust", f"""WITH {SCORED}, {PROFILE_SQL}
+@register("r6_carrier_adjust", f"""WITH {SCORED},
+f AS MATERIALIZED (SELECT avg(s) FILTER (WHERE e4_carrier = 1) / avg(s) FILTER (WHERE e4_carrier = 0) AS multiplier FROM cat)
 SELECT {K}, CASE WHEN e4_carrier = 1 THEN 'High_Genetic_Risk' WHEN e4_carrier = 0 THEN 'Low_Genetic_Risk' END AS genetic_risk_stratum,
-  round(CASE WHEN e4_carrier = 1 THEN s * (SELECT mean_carrier / mean_non_carrier FROM p) ELSE s END, 6) AS genetic_adjusted_risk FROM cat""")
+  round(CASE WHEN e4_carrier = 1 THEN s * multiplier ELSE s END, 6) AS genetic_adjusted_risk FROM cat CROSS JOIN f""")
 def r6(spark, sf):
     out = R.carrier_adjust(scored(spark, sf), "e4_carrier", "composite_risk_score")
     return rounded(out.select("l_orderkey", "l_linenumber", "genetic_risk_stratum", "genetic_adjusted_risk"))

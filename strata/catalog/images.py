@@ -53,12 +53,25 @@ def i3(spark, sf):
     return rounded(I.region_stats(p, thr))
 
 
-@register("i4_otsu_threshold")
+OTSU_SQL = f"""{PX}, rng AS (SELECT image_id, min(v) AS lo, max(v) AS hi FROM px GROUP BY image_id),
+ed AS (SELECT image_id, lo, hi, CASE WHEN hi > lo THEN lo ELSE lo - 0.5 END AS a, CASE WHEN hi > lo THEN (hi - lo) / 256 ELSE 1.0 / 256 END AS w FROM rng),
+cnt AS (SELECT image_id, CAST(least(floor((v - a) / w), 255) AS INTEGER) AS b, count(*) AS c FROM px JOIN ed USING (image_id) GROUP BY ALL),
+h AS (SELECT ed.image_id, lo, hi, g.b, coalesce(c, 0) AS c, a + (g.b + 0.5) * w AS ctr FROM ed CROSS JOIN range(0, 256) g(b) LEFT JOIN cnt ON cnt.image_id = ed.image_id AND cnt.b = g.b),
+cum AS (SELECT *, sum(c) OVER up AS w1, sum(c * ctr) OVER up AS s1, sum(c) OVER down AS w2, sum(c * ctr) OVER down AS s2 FROM h
+  WINDOW up AS (PARTITION BY image_id ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), down AS (PARTITION BY image_id ORDER BY b ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+bv AS (SELECT image_id, lo, hi, b, ctr, coalesce(w1 * w2 * power(s1 / nullif(w1, 0) - s2 / nullif(w2, 0), 2), -1) AS bv FROM cum WHERE b < 255),
+otsu AS (SELECT image_id, CASE WHEN hi > lo THEN ctr ELSE lo END AS otsu_threshold FROM
+  (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY round(bv, 6) DESC, b) AS r FROM bv) WHERE r = 1)"""
+
+
+@register("i4_otsu_threshold", f"WITH {OTSU_SQL} SELECT image_id, round(otsu_threshold, 6) AS otsu_threshold FROM otsu")
 def i4(spark, sf):
     return rounded(I.otsu_threshold(px(spark, sf), 256))
 
 
-@register("i4_region_stats_otsu")
+@register("i4_region_stats_otsu", f"""WITH {OTSU_SQL} SELECT image_id, round(avg(v), 6) AS whole_brain_mean, round(stddev_pop(v), 6) AS whole_brain_std,
+  round(median(v), 6) AS whole_brain_median, round(min(v), 6) AS whole_brain_min, round(max(v), 6) AS whole_brain_max, count(*) AS whole_brain_volume
+FROM px JOIN otsu USING (image_id) WHERE v > otsu_threshold GROUP BY image_id""")
 def i4b(spark, sf):
     return rounded(I.region_stats(px(spark, sf)))
 

@@ -35,19 +35,20 @@ CUST = """cf AS (SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey % 5 <> 0 TH
 FEATS = ["acctbal", "nation", "n_orders", "price"]
 
 
-def _knn_sql(group: bool = False) -> str:
-    present = " + ".join(f"CAST(r.{f} IS NOT NULL AND d.{f} IS NOT NULL AS INTEGER)" for f in FEATS)
-    ss = " + ".join(f"coalesce((r.{f} - d.{f}) * (r.{f} - d.{f}), 0)" for f in FEATS)
+def _knn_sql(group: bool = False, feats=FEATS, src: str = "", extra: str = "") -> str:
+    present = " + ".join(f"CAST(r.{f} IS NOT NULL AND d.{f} IS NOT NULL AS INTEGER)" for f in feats)
+    ss = " + ".join(f"coalesce((r.{f} - d.{f}) * (r.{f} - d.{f}), 0)" for f in feats)
     geq = "AND r.c_mktsegment = d.c_mktsegment" if group else ""
     parts = []
     for t in ("acctbal", "price"):
         parts.append(f"""k_{t} AS (SELECT rk, avg(v) AS fill FROM (SELECT r.c_custkey AS rk, d.{t} AS v,
-   row_number() OVER (PARTITION BY r.c_custkey ORDER BY sqrt(({ss}) * 4.0 / ({present})), d.c_custkey) AS rn
-   FROM cf r JOIN cf d ON r.{t} IS NULL AND d.{t} IS NOT NULL AND ({present}) > 0 {geq}) WHERE rn <= 5 GROUP BY rk)""")
-    return f"""WITH {CUST}, {", ".join(parts)}
+   row_number() OVER (PARTITION BY r.c_custkey ORDER BY sqrt(({ss}) * {float(len(feats))} / ({present})), d.c_custkey) AS rn
+   FROM {src or 'cf'} r JOIN {src or 'cf'} d ON r.{t} IS NULL AND d.{t} IS NOT NULL AND ({present}) > 0 {geq}) WHERE rn <= 5 GROUP BY rk)""")
+    made = f"{src} AS ({SPARSE}), " if src else ""
+    return f"""WITH {CUST}, {made}{", ".join(parts)}
 SELECT c_custkey, round(coalesce(acctbal, k_acctbal.fill, (SELECT avg(acctbal) FROM cf)), 6) AS acctbal,
-  round(coalesce(price, k_price.fill, (SELECT avg(price) FROM cf)), 6) AS price
-FROM cf LEFT JOIN k_acctbal ON c_custkey = k_acctbal.rk LEFT JOIN k_price ON c_custkey = k_price.rk"""
+  round(coalesce(price, k_price.fill, (SELECT avg(price) FROM cf)), 6) AS price{extra}
+FROM {src or 'cf'} LEFT JOIN k_acctbal ON c_custkey = k_acctbal.rk LEFT JOIN k_price ON c_custkey = k_price.rk"""
 
 
 @register("t1_impute_median", f"WITH {LI_NULL} SELECT l_orderkey, l_linenumber, coalesce(l_quantity, (SELECT median(l_quantity) FROM li)) AS l_quantity, round(coalesce(l_discount, (SELECT median(l_discount) FROM li)), 6) AS l_discount FROM li")
@@ -84,7 +85,11 @@ def t4(spark, sf):
     return rounded(out.select("c_custkey", "acctbal", "price"))
 
 
-@register("t5_impute_auto")
+#: two of three rows lack "sparse", so it is filled with its median before the others are filled by neighbours
+SPARSE = """SELECT *, coalesce(CASE WHEN c_custkey % 3 = 0 THEN nation END, (SELECT median(nation) FROM cf WHERE c_custkey % 3 = 0)) AS sparse FROM cf"""
+
+
+@register("t5_impute_auto", _knn_sql(feats=[*FEATS, "sparse"], src="cs", extra=", round(sparse, 6) AS sparse"))
 def t5(spark, sf):
     f = cust_features(spark, sf).withColumn("sparse", F.when(F.col("c_custkey") % 3 == 0, F.col("nation")))
     return rounded(I.impute_auto(f, "c_custkey", ["acctbal", "price", "sparse"], FEATS + ["sparse"])

@@ -67,8 +67,9 @@ def zscore_interactions(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select("*", (z[a] * z[b]).alias(f"{a}_x_{b}"), (z[a] - z[b]).alias(f"{a}_minus_{b}"))
 
 
-def biomarker_transforms(df: DataFrame, cols: Sequence[str], skew_threshold: float = 1.0) -> DataFrame:
-    """log1p of positive skewed markers and the percentile rank of each."""
+def biomarker_transforms(df: DataFrame, cols: Sequence[str], skew_threshold: float = 1.5) -> DataFrame:
+    """log1p of positive markers whose skewness exceeds the threshold, and
+    the percentile rank of each marker."""
     from .scale import log_if_skewed
     out, _ = log_if_skewed(df, cols, skew_threshold)
     for c in cols:

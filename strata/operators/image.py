@@ -68,7 +68,7 @@ def histogram_entropy(px: DataFrame, bins: int = 50) -> DataFrame:
 def otsu_threshold(px: DataFrame, bins: int = 256) -> DataFrame:
     """I4: Otsu threshold per image on a ``bins``-bin histogram over
     [min, max]: the bin centre maximising the between-class variance
-    w1(k) w2(k+1) (m1(k) - m2(k+1))^2 (first maximum); a flat image returns
+    w1(k) w2(k+1) (m1(k) - m2(k+1))^2 (first maximum, to 6 decimals); a flat image returns
     its value.  All bins of an image (a bounded grid) are materialised so
     that empty bins count as in the histogram definition."""
     idx, width, lo = _bin_index(bins)
@@ -91,7 +91,8 @@ def otsu_threshold(px: DataFrame, bins: int = 256) -> DataFrame:
          .withColumn("_w2n", F.lead("_w2").over(w)).withColumn("_m2n", F.lead("_m2").over(w)))
     var = F.col("_w1") * F.col("_w2n") * F.pow(F.col("_m1") - F.col("_m2n"), 2)
     h = h.withColumn("_var", F.coalesce(var, F.lit(-1.0))).where(F.col("_b") < bins - 1)
-    best = h.groupBy("image_id").agg(F.max_by("_ctr", F.struct("_var", -F.col("_b"))).alias("_t"),
+    # variances that agree to 6 decimals are one: sums in another order must not pick another bin
+    best = h.groupBy("image_id").agg(F.max_by("_ctr", F.struct(F.round("_var", 6), -F.col("_b"))).alias("_t"),
                                      F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"))
     return best.select("image_id", F.when(F.col("_hi") > F.col("_lo"), F.col("_t")).otherwise(F.col("_lo")).alias("otsu_threshold"))
 

@@ -61,17 +61,20 @@ def _found(kind: str, pattern: str, text: Column, possible: Column) -> Column:
     """array of (kind, i, gap before match i, match, left word, right word)."""
     kept = F.when(possible, text).otherwise(F.lit(""))
     pieces, matches = F.split(kept, pattern, -1), F.regexp_extract_all(kept, F.lit(pattern), F.lit(0))
+    # matches meet the text before and after them as arrays, so that a text is cut once and not once for each match
+    both = F.zip_with(matches, pieces, lambda m, p: F.struct(m.alias("m"), p.alias("p")))
     if kind == "run":
         def left(piece):
             return F.lower(F.regexp_extract(F.substring(piece, F.greatest(F.lit(1), F.length(piece) - REACH + 1), F.lit(REACH)), rf"([^{_SP}]++)[{_SP}]*+$", 1))
 
         def right(piece):
-            return F.lower(F.regexp_extract(F.substring(piece, F.lit(1), F.lit(REACH)), rf"^[{_SP}]*+([^{_SP}]++)", 1))
+            return F.lower(F.regexp_extract(F.substring(F.coalesce(piece, F.lit("")), F.lit(1), F.lit(REACH)), rf"^[{_SP}]*+([^{_SP}]++)", 1))
+
+        both = F.zip_with(both, F.slice(pieces, 2, 1 << 30), lambda a, q: F.struct(a["m"].alias("m"), a["p"].alias("p"), left(a["p"]).alias("left"), right(q).alias("right")))
     else:
-        left = right = lambda piece: F.lit("")
-    return F.transform(matches, lambda m, i: F.struct(
-        F.lit(kind).alias("kind"), i.alias("i"), F.length(F.get(pieces, i)).cast("long").alias("gap"), m.alias("match"),
-        left(F.get(pieces, i)).alias("left"), right(F.get(pieces, i + 1)).alias("right")))
+        both = F.transform(both, lambda a: F.struct(a["m"].alias("m"), a["p"].alias("p"), F.lit("").alias("left"), F.lit("").alias("right")))
+    return F.transform(F.filter(both, lambda a: a["m"].isNotNull()), lambda a, i: F.struct(
+        F.lit(kind).alias("kind"), i.alias("i"), F.length(a["p"]).cast("long").alias("gap"), a["m"].alias("match"), a["left"].alias("left"), a["right"].alias("right")))
 
 
 def matches_of(docs: DataFrame) -> DataFrame:
@@ -177,19 +180,25 @@ def redact(docs: DataFrame, **how) -> DataFrame:
     such a column, follows the text.  Only texts with spans meet the list of
     spans; other rows and columns pass unchanged."""
     spans = find_pii(docs.select("doc_id", "text"), **how)
-    spans = spans.select("text_key", F.sort_array(F.concat("base", "more")).alias("_spans")).filter("size(_spans) > 0").dropDuplicates(["text_key"])
-    spans = cut_lineage(spans)
-    state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc, s):
-        from_, gap = F.greatest(acc["at"], s["start"]), s["start"] - acc["at"]
-        text = F.concat(F.substring(F.col("text"), (acc["at"] + 1).cast("int"), gap.cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        new = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(text))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), new.alias("out"))
+    spans = spans.select("text_key", F.concat("base", "more").alias("s")).filter("size(s) > 0").dropDuplicates(["text_key"])
+    spans = spans.select("text_key", F.explode("s").alias("s")).select("text_key", "s.*")
+    # overlapping spans become one; each knows where the one before it ended
+    so_far = Window.partitionBy("text_key").orderBy("start", "rank", "end")
+    spans = spans.withColumn("new", (F.col("start") >= F.coalesce(F.max("end").over(so_far.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
+    spans = spans.withColumn("island", F.sum("new").over(so_far)).groupBy("text_key", "island").agg(
+        F.min(F.struct("start", "rank", "kind")).alias("first"), F.max("end").alias("stop"))
+    spans = spans.withColumn("after", F.coalesce(F.lag("stop").over(Window.partitionBy("text_key").orderBy("island")), F.lit(0).cast("long")))
+    spans = spans.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("island", "after", F.col("first.start").alias("start"), "stop", F.col("first.kind").alias("kind")))).alias("_spans"))
+    spans = cut_lineage(spans.withColumnRenamed("text_key", "_key"))
 
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    both = docs.withColumn("_key", key).join(spans.withColumnRenamed("text_key", "_key"), "_key", "left")
-    done = F.aggregate("_spans", state, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
+    both = docs.withColumn("_key", key).join(spans, "_key", "left")
+
+    def between(after, until):
+        return F.substring(F.col("text"), (after + 1).cast("int"), (until - after).cast("int"))
+
+    done = F.concat(F.array_join(F.transform("_spans", lambda s: F.concat(between(s["after"], s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))), ""),
+                    between(F.element_at("_spans", -1)["stop"], F.length("text")))
     both = both.withColumn("text", F.when(F.col("_spans").isNotNull(), done).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         both = both.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

@@ -6,21 +6,23 @@ so all coordinates of a shingle are one run of the second permutation.  Bands
 of the signature propose documents; every link is confirmed on the full
 shingle sets.  Documents with equal sets are one class from the start.
 
-In a band's bucket not all pairs are formed.  Each round takes one hub per
-bucket and tests it against the members that are not yet connected to it;
-buckets whose members are all connected drop out.  When what is left is small
-against the buckets themselves, all pairs of members that are still apart are
-tested, so no candidate link between two components is lost.
+In a band's bucket not all pairs are formed.  First one hub per bucket, the
+member that shares buckets most, is tested against the other members; buckets
+whose members are then all connected drop out.  In the others, members that
+are still apart are tested against all members that they are apart from: pair
+by pair in small buckets, and large buckets, which overlap, by blocks of the
+documents they hold together.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import by_ids, connected_components, slices, whole_texts, words_of
+from strata.llm.common import by_ids, connected_components, settled, slices, whole_texts, words_of
 from strata.session import cut_lineage
 
 #: FIXED VALUES: words of a shingle; a link has 100 * intersection >= PERCENT * union.
@@ -30,8 +32,10 @@ PERCENT = 75
 #: Bands and rows of a band: a pair at the threshold shares a band with a chance of 1 - (1 - 0.75**4)**32 = 0.999995.
 BANDS, ROWS = 32, 4
 UNIVERSE_LOG2 = 20
-#: Hub rounds at most before all remaining pairs are tested.
-HUB_ROUNDS = 8
+#: Members of a bucket up to which its pairs are tested one by one.
+SMALL_BUCKET = 64
+#: Documents of one block, and shingles that it holds about.
+BLOCK, BLOCK_SHINGLES = 500, 200_000
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -103,7 +107,7 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
 
         circulant = Circulant(bands, rows)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=2_000_000):
                 size, key, band = [], [], []
                 for s in shingle_sets(part.column("text")):
                     size.append(len(s))
@@ -138,19 +142,70 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return both.filter(f"100 * cast(i as long) >= {percent} * (n - i)").select("a", "b").distinct()
 
 
-def _apart(live: DataFrame, component: DataFrame | None) -> DataFrame:
-    """Members (key, id, n, label) of the buckets whose members are not all in
-    one component, with the bucket's largest component as `main`."""
-    labelled = live.withColumn("label", F.col("id")) if component is None else live.join(
-        component.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    labelled = cut_lineage(labelled.select("key", "id", "n", "label"))
-    per = labelled.groupBy("key", "label").agg(F.count("*").alias("m"))
-    main = per.groupBy("key").agg(F.max(F.struct(F.col("m"), F.col("label"))).alias("top"), F.count("*").alias("labels"), F.sum("m").alias("members"))
-    main = cut_lineage(main.filter("labels > 1").select("key", F.col("top.label").alias("main"), (F.col("members") - F.col("top.m")).alias("others"), "members"))
-    return labelled.join(main, "key"), main
-
-
-def near_components(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def _apart(live: DataFrame, component: DataFrame) -> DataFrame:
+    """Members (key, id, n, m, label) of the buckets whose members are not all
+    in one component, with the bucket's largest component as `main`."""
+    labelled = live.join(component.withColumnRenamed("component", "label"), "id", "left")
+    labelled = settled(labelled.select("key", "id", "n", "m", F.coalesce("label", "id").alias("label")))
+    per = labelled.groupBy("key", "label").agg(F.count("*").alias("c"))
+    main = per.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1")
+    main = settled(main.select("key", F.col("top.label").alias("main")))
+    return settled(labelled.join(main, "key"))
+
+
+def block_links(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) between members (cluster, id, n, label) of one cluster and
+    different labels: for every document outside its cluster's largest label
+    at least one link to each label it has links to.  All those documents are
+    compared with all of the cluster, a block against a block, by exact
+    intersections of the full sets."""
+    main = members.groupBy("cluster", "label").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.max(F.struct("c", "label")).alias("top"))
+    members = members.join(settled(main.select("cluster", F.col("top.label").alias("main"))), "cluster").withColumn("far", F.col("label") != F.col("main"))
+
+    def blocks(of):
+        count, held = F.sum(F.when(of, 1).otherwise(0)), F.sum(F.when(of, F.col("n")).otherwise(0))
+        return F.greatest(F.lit(1), F.ceil(count / BLOCK), F.ceil(held / BLOCK_SHINGLES)).cast("int")
+
+    shape = settled(members.groupBy("cluster").agg(blocks(F.col("far")).alias("far_blocks"), blocks(F.lit(True)).alias("all_blocks")))
+    rows = members.join(shape, "cluster").join(sets, "id")
+    hashed = F.xxhash64("id", F.lit(17))
+    far = rows.filter("far").select("cluster", F.pmod(hashed, F.col("far_blocks")).cast("int").alias("x"), F.explode(F.expr("sequence(0, all_blocks - 1)")).alias("y"),
+                                    F.lit(0).alias("side"), "id", "label", "shingles")
+    every = rows.select("cluster", F.explode(F.expr("sequence(0, far_blocks - 1)")).alias("x"), F.pmod(hashed, F.col("all_blocks")).cast("int").alias("y"),
+                        F.lit(1).alias("side"), "id", "label", "shingles")
+    kind = dict(members.dtypes)["id"]
+
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["side", "id"], kind="stable")
+        size = pdf["shingles"].map(len).to_numpy()
+        n = int((pdf["side"] == 0).sum())
+        owner = np.repeat(np.arange(len(pdf)), size)
+        _, column, count = np.unique(np.concatenate([np.empty(0, np.int64), *pdf["shingles"]]), return_inverse=True, return_counts=True)
+        shared = count[column] > 1
+        owner, column = owner[shared], column[shared]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        inter = np.zeros((n, len(pdf) - n), np.float32)
+        column = np.unique(column, return_inverse=True)[1]
+        for k in range(0, int(column.max(initial=-1)) + 1, 4096):
+            a, b = np.searchsorted(column, [k, k + 4096])
+            x = np.zeros((len(pdf), 4096), np.float32)
+            x[owner[a:b], column[a:b] - k] = 1
+            inter += x[:n] @ x[n:].T
+        label = np.unique(pdf["label"].to_numpy(), return_inverse=True)[1]
+        linked = 100 * inter >= percent * (size[:n, None] + size[None, n:] - inter)
+        linked &= label[:n, None] != label[None, n:]
+        ids, out = pdf["id"].to_numpy(), []
+        for i in np.flatnonzero(linked.any(axis=1)):
+            to = np.flatnonzero(linked[i])
+            for j in to[np.unique(label[n + to], return_index=True)[1]]:
+                out.append((ids[i], ids[n + j]))
+        return pd.DataFrame(out, columns=["a", "b"]).astype({"a": ids.dtype, "b": ids.dtype})
+
+    return far.union(every).groupBy("cluster", "x", "y").applyInPandas(verify, f"a {kind}, b {kind}")
+
+
+def near_components(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, small_bucket: int = SMALL_BUCKET) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, n_shingles,
     component_id (smallest doc_id reachable by links), kept.
 
@@ -161,45 +216,39 @@ def near_components(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     rows out; other columns are ignored.
     """
     sketched = cut_lineage(sketch(docs, bands, rows))
-    classes = cut_lineage(sketched.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id")))
+    classes = settled(sketched.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id")))
     reps = sketched.join(classes, (sketched["set_key"] == classes["set_key"]) & (sketched["doc_id"] == classes["id"]), "left_semi")
     members = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    shared = cut_lineage(members.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter("x <> y").select("key"))
-    live = cut_lineage(members.join(shared, "key").distinct())
-    sets = cut_lineage(full_sets(by_ids(docs, live.select(F.col("id").alias("doc_id")), "left_semi")).dropDuplicates(["id"]))
+    shared = members.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y"), F.count("*").alias("m")).filter("x <> y")
+    live = settled(members.join(settled(shared.select("key", "m")), "key").distinct())
+    sets = settled(full_sets(by_ids(docs, live.select(F.col("id").alias("doc_id")), "left_semi")).dropDuplicates(["id"]), 2000)
 
     similar_size = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    links, tested, component = None, None, None
-    total = live.count()
-    for turn in range(HUB_ROUNDS + 1):
-        apart, main = _apart(live, component)
-        work = main.agg(F.sum(F.col("others") * F.col("members"))).first()[0] or 0
-        if not work:
-            break
-        last = turn == HUB_ROUNDS or work <= 2 * total
-        if last:
-            one = apart.filter("label <> main").select("key", F.col("id").alias("x"), F.col("label").alias("lx"), F.col("n").alias("na"))
-        else:
-            hub = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id"), F.col("label"), F.col("n"))).alias("t")
-            hubs = cut_lineage(apart.filter("label = main").groupBy("key").agg(hub))
-            one = hubs.select("key", F.col("t.id").alias("x"), F.col("t.label").alias("lx"), F.col("t.n").alias("na"))
-        other = apart.select("key", F.col("id").alias("y"), F.col("label").alias("ly"), F.col("n").alias("nb"))
-        pairs = one.join(other, "key").filter(f"lx <> ly and {similar_size}") \
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs)
-        found = cut_lineage(confirmed(pairs, sets, percent))
-        links = found if links is None else cut_lineage(links.union(found))
-        tested = pairs if tested is None else cut_lineage(tested.union(pairs))
-        component = cut_lineage(connected_components(links))
-        if last:
-            break
-
-    if component is not None:
-        classes = classes.join(component, "id", "left")
-    else:
-        classes = classes.withColumn("component", F.col("id"))
+    pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
+    # one hub per bucket, the same in the buckets it shares
+    often = settled(live.groupBy("id").agg(F.sum("m").alias("often")))
+    hubs = live.join(often, "id").groupBy("key").agg(F.min(F.struct(-F.col("often"), F.col("id"), F.col("n"))).alias("t"))
+    hubs = settled(hubs.select("key", F.col("t.id").alias("x"), F.col("t.n").alias("na")))
+    other = live.select("key", F.col("id").alias("y"), F.col("n").alias("nb"))
+    tested = settled(hubs.join(other, "key").filter(f"x <> y and {similar_size}").select(*pair).distinct())
+    component = settled(connected_components(confirmed(tested, sets, percent)))
+
+    apart = _apart(live, component)
+    large = apart.filter(F.col("m") > small_bucket)
+    stars = large.join(settled(large.groupBy("key").agg(F.min("id").alias("x"))), "key")
+    cluster = settled(connected_components(stars.select(F.col("x").alias("a"), F.col("id").alias("b"))).withColumnRenamed("component", "cluster"))
+    small = apart.filter(F.col("m") <= small_bucket).join(cluster, "id", "left")
+    one = small.filter("label <> main").select("key", F.col("id").alias("x"), F.col("label").alias("lx"), F.col("n").alias("na"), F.col("cluster").alias("cx"))
+    other = small.select("key", F.col("id").alias("y"), F.col("label").alias("ly"), F.col("n").alias("nb"), F.col("cluster").alias("cy"))
+    pairs = one.join(other, "key").filter(f"lx <> ly and {similar_size} and (cx = cy) is not true").select(*pair).distinct()
+    pairs = settled(pairs.join(tested, ["a", "b"], "left_anti"))
+    clustered = large.select("id", "n", "label").distinct().join(cluster, "id")
+    # what is connected already is carried on as one link per document
+    known = component.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+    found = confirmed(pairs, sets, percent).union(block_links(clustered, sets, percent)).union(known)
+    component = settled(connected_components(found))
+
+    classes = classes.join(component, "id", "left")
     named = cut_lineage(classes.select("set_key", F.coalesce("component", "id").alias("component_id")))
     out = sketched.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     alone = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))

@@ -3,7 +3,9 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
+from strata.llm import circulant_minhash
 from strata.llm.circulant_minhash import Circulant, near_components, shingle_sets
 from tests.llm.cases import docs_of, no_docs, odd_docs, rows, words
 
@@ -60,7 +62,9 @@ def test_odd_rows(spark):
     assert len(unnamed) == 2 and all(r.component_id is None and r.kept for r in unnamed)
 
 
-def test_chains_and_borders_against_brute_force(spark):
+@pytest.mark.parametrize("small_bucket,block", [(64, 500), (2, 500), (2, 5)])
+def test_chains_and_borders_against_brute_force(spark, monkeypatch, small_bucket, block):
+    monkeypatch.setattr(circulant_minhash, "BLOCK", block)
     r = random.Random(5)
     texts = []
     for g in range(6):
@@ -72,7 +76,7 @@ def test_chains_and_borders_against_brute_force(spark):
             base = w if r.random() < 0.5 else base
             texts.append(" ".join(w))
     sizes, component = brute(list(enumerate(texts)))
-    got = {x.doc_id: x for x in near_components(docs_of(spark, texts).repartition(5)).collect()}
+    got = {x.doc_id: x for x in near_components(docs_of(spark, texts).repartition(5), small_bucket=small_bucket).collect()}
     assert [got[i].n_shingles for i in range(len(texts))] == sizes
     assert [got[i].component_id for i in range(len(texts))] == component
 

@@ -7,8 +7,8 @@ DataFrame / SQL API, so Catalyst and AQE plan it.  Sub-packages:
 * ``sources``    readers, writers, inventory checks
 * ``operators``  selection, joins, aggregation, windows, longitudinal,
                  imputation, scaling, features, risk, quality, images, ML
-* ``plans``      multi-step compositions (integration, feature waves)
-* ``streaming``  nothing to stream: the reference is batch only
+* ``plans``      multi-step compositions (integration)
+* ``llm``        training-data operators (optional; nothing else imports it)
 * ``catalog``    bindings of the operators onto the benchmark tables
 """
 

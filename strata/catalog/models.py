@@ -9,13 +9,17 @@ order status.  Metric operators are checked on fixed (y, yhat) pairs:
 
 from __future__ import annotations
 
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+import zlib
+from functools import reduce
+
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from ..operators import ml as M
+from ..operators.scale import scale_standard
 from ..operators.select import split_random
-from ..session import ensure_checkpoint_dir
-from .longitudinal import SCALE
+from ..session import cut_lineage, ensure_checkpoint_dir
+from .longitudinal import KEY, ORDER, SCALE, VISITS, visits
 from .registry import register, rounded, table
 
 FEATS = ["c_acctbal", "c_nationkey", "n_lines", "qty", "disc", "tax", "prio"]
@@ -35,7 +39,8 @@ def model_table(spark, sf):
 
 def prepared(spark, sf):
     df, feats = M.prepare_matrix(model_table(spark, sf).drop("o_orderstatus"), "y", keep=["o_orderkey"])
-    return M.assemble(split_random(df, "o_orderkey"), feats), feats
+    # written once: every fit and every fold reads the matrix
+    return cut_lineage(M.assemble(split_random(df, "o_orderkey"), feats)), feats
 
 
 M1_SQL = f"""WITH li AS (SELECT l_orderkey, count(*) AS n_lines, sum(l_quantity) AS qty, avg(l_discount) AS disc, avg(l_tax) AS tax FROM lineitem GROUP BY 1),
@@ -78,18 +83,27 @@ def cls_table(spark, sf):
     df, feats = M.prepare_matrix(model_table(spark, sf).drop("y"), "o_orderstatus", keep=["o_orderkey"])
     from ..operators.scale import label_encode
     df = label_encode(df, "o_orderstatus", "label").withColumn("label", F.col("label").cast("double"))
-    return M.assemble(split_random(df, "o_orderkey"), feats), feats
+    return cut_lineage(M.assemble(split_random(df, "o_orderkey"), feats)), feats
+
+
+def _classifier_scores(d, kinds):
+    parts = []
+    for kind in kinds:
+        m = M.fit_classifier(d.where("is_train = 1"), "label", kind)
+        parts.append(M.classification_metrics(m.transform(d.where("is_train = 0")), "label", "prediction").withColumn("model", F.lit(kind)))
+    return rounded(reduce(lambda a, b: a.unionByName(b), parts))
 
 
 @register("m4_fit_classifier")
 def m4(spark, sf):
+    return _classifier_scores(cls_table(spark, sf)[0], ("logistic", "rf", "svm"))
+
+
+@register("m4_fit_boosted_classifier")
+def m4b(spark, sf):
+    """Boosted trees on open orders against all others."""
     d, _ = cls_table(spark, sf)
-    out = None
-    for kind in ("logistic", "rf"):
-        m = M.fit_classifier(d.where("is_train = 1"), "label", kind)
-        r = M.classification_metrics(m.transform(d.where("is_train = 0")), "label", "prediction").withColumn("model", F.lit(kind))
-        out = r if out is None else out.unionByName(r)
-    return rounded(out)
+    return _classifier_scores(d.withColumn("label", (F.col("o_orderstatus") == "O").cast("double")), ("gbt",))
 
 
 @register("m5_class_weights", """WITH c AS (SELECT o_orderstatus, count(*) AS nc FROM orders GROUP BY 1)
@@ -100,9 +114,10 @@ def m5(spark, sf):
 
 @register("m6_grid_search")
 def m6(spark, sf):
-    d, _ = prepared(spark, sf)
-    cv = M.grid_search(d, LinearRegression(featuresCol="features", labelCol="y"), {"regParam": [0.0, 0.01, 0.1]}, "y", k=5)
-    return spark.createDataFrame([(float(v),) for v in cv.avgMetrics], "cv_rmse double")
+    """The linear kinds; each grid point is fitted on 5 folds."""
+    d, feats = prepared(spark, sf)
+    z = M.assemble(scale_standard(d.drop("features"), feats, suffix="_z"), [f"{c}_z" for c in feats])
+    return rounded(M.grid_search(z, "y", "o_orderkey", ("ridge", "lasso", "elastic_net")))
 
 
 @register("m7_cross_validate")
@@ -207,12 +222,22 @@ def m14(spark, sf):
 
 @register("m15_fit_stacking")
 def m15(spark, sf):
-    ensure_checkpoint_dir(spark)
     d, _ = prepared(spark, sf)
-    bases = {"lin": LinearRegression(featuresCol="features", labelCol="y"),
-             "rf": RandomForestRegressor(featuresCol="features", labelCol="y", numTrees=30, seed=42)}
-    oof, meta = M.fit_stacking(d, "y", "o_orderkey", bases, k=5)
-    return rounded(oof.join(d.select("o_orderkey", "y"), "o_orderkey"))
+    m = M.fit_stacking(d.where("is_train = 1"), "y", "o_orderkey")
+    return rounded(m.transform(d.where("is_train = 0")).select("o_orderkey", "y", "pred_rf", "pred_ridge", "prediction"))
+
+
+@register("m15_stacking_oof")
+def m15b(spark, sf):
+    d, _ = prepared(spark, sf)
+    return rounded(M.fit_stacking(d.where("is_train = 1"), "y", "o_orderkey").oof)
+
+
+@register("m15_fit_stacking_classifier")
+def m15c(spark, sf):
+    d, _ = cls_table(spark, sf)
+    m = M.fit_stacking(d.where("is_train = 1"), "label", "o_orderkey", task="classification")
+    return m.transform(d.where("is_train = 0")).select("o_orderkey", "label", "pred_rf", "pred_lr", "prediction")
 
 
 @register("m16_fit_experts")
@@ -222,31 +247,68 @@ def m16(spark, sf):
     return rounded(out.select("o_orderkey", "y", "expert_customer", "expert_lines"))
 
 
+PROGRESSION = ["change_from_baseline", "rate_of_change", "overall_slope", "max_value", "min_value", "variability"]
+
+
+def progression_table(spark, sf):
+    return M.progression_features(visits(spark, sf), KEY, ORDER, "t_months", "score")
+
+
+@register("m17_progression_features", f"""WITH {VISITS}, n AS (SELECT *, count(*) OVER s AS n,
+  score - first_value(score) OVER o AS change_from_baseline,
+  (score - lag(score) OVER o) / nullif(t_months - lag(t_months) OVER o, 0) AS rate_of_change,
+  coalesce(covar_pop(score, t_months) OVER s / nullif(var_pop(t_months) OVER s, 0), 0) AS slope,
+  max(score) OVER s AS max_value, min(score) OVER s AS min_value, stddev_samp(score) OVER s AS variability
+  FROM visits WINDOW s AS (PARTITION BY subject), o AS (PARTITION BY subject ORDER BY visit_date, visit_id))
+SELECT visit_id, round(change_from_baseline, 6) AS change_from_baseline, round(rate_of_change, 6) AS rate_of_change, round(CASE WHEN n >= 3 THEN slope END, 6) AS overall_slope,
+  round(max_value, 6) AS max_value, round(min_value, 6) AS min_value, round(variability, 6) AS variability FROM n WHERE n >= 2""")
+def m17f(spark, sf):
+    return rounded(progression_table(spark, sf).select("visit_id", *PROGRESSION))
+
+
 @register("m17_fit_progression")
 def m17(spark, sf):
-    df, feats = M.prepare_matrix(model_table(spark, sf).drop("o_orderstatus"), "y", keep=["o_orderkey"])
-    return rounded(M.fit_progression(df, "y", feats, "o_orderkey"))
+    return rounded(M.fit_progression(progression_table(spark, sf), "score", [*PROGRESSION, "ordinal", "t_months"], "visit_id"))
 
 
 def _cluster_input(spark, sf):
-    from ..operators.scale import scale_standard
     df, _ = M.prepare_matrix(model_table(spark, sf).drop("o_orderstatus"), "y", keep=["o_orderkey"])
     return scale_standard(df, ["qty", "disc", "c_acctbal"], suffix="_z")
 
 
+CLUSTER_BY = ["qty_z", "disc_z", "c_acctbal_z"]
+
+
 @register("m18_fit_kmeans_auto")
 def m18(spark, sf):
-    return rounded(M.fit_kmeans_auto(_cluster_input(spark, sf), ["qty_z", "disc_z", "c_acctbal_z"], range(2, 8)))
+    return rounded(M.cluster_auto(_cluster_input(spark, sf), CLUSTER_BY, "kmeans")[1])
+
+
+@register("m21_phenotype_profile")
+def m21c(spark, sf):
+    """Profile of the clusters that bisecting k-means finds."""
+    rows = M.cluster_auto(_cluster_input(spark, sf), CLUSTER_BY, "bisecting")[0]
+    return rounded(M.cluster_profile(rows, "cluster", "y", ["qty", "disc", "c_acctbal"]))
 
 
 @register("m19_fit_gmm_auto")
 def m19(spark, sf):
-    return rounded(M.fit_gmm_auto(_cluster_input(spark, sf), ["qty_z", "disc_z", "c_acctbal_z"], range(2, 6)))
+    return rounded(M.cluster_auto(_cluster_input(spark, sf), CLUSTER_BY, "gmm")[1])
+
+
+@register("m19_gmm_assignment")
+def m19b(spark, sf):
+    return M.cluster_auto(_cluster_input(spark, sf), CLUSTER_BY, "gmm")[0].select("o_orderkey", "cluster")
 
 
 @register("m20_fit_bisecting_auto")
 def m20(spark, sf):
-    return rounded(M.fit_bisecting_auto(_cluster_input(spark, sf), ["qty_z", "disc_z", "c_acctbal_z"], range(2, 8)))
+    return rounded(M.cluster_auto(_cluster_input(spark, sf), CLUSTER_BY, "bisecting")[1])
+
+
+@register("m20_bisecting_assignment")
+def m20b(spark, sf):
+    return M.cluster_auto(_cluster_input(spark, sf), CLUSTER_BY, "bisecting")[0].select("o_orderkey", "cluster")
 
 
 @register("m21_cluster_profile", f"""SELECT o_orderpriority, round(avg(o_totalprice / {SCALE}), 6) AS target_mean, round(stddev_samp(o_totalprice / {SCALE}), 6) AS target_std,
@@ -263,6 +325,13 @@ def m22(spark, sf):
     return rounded(proj.select("o_orderkey", F.col("pca")[0].alias("pc1"), F.col("pca")[1].alias("pc2")))
 
 
+@register("m22_pca_variance")
+def m22b(spark, sf):
+    df, _ = M.prepare_matrix(model_table(spark, sf).drop("o_orderstatus"), "y", keep=["o_orderkey"])
+    ratios = M.pca(df, ["qty", "disc", "tax", "c_acctbal"], 2)[1]
+    return rounded(spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(ratios)], "component int, explained_variance double"))
+
+
 @register("m23_predict_clipped")
 def m23(spark, sf):
     d, _ = prepared(spark, sf)
@@ -286,7 +355,7 @@ def m25(spark, sf):
     pipe = Pipeline(stages=[VectorAssembler(inputCols=feats, outputCol="features"),
                             LinearRegression(featuresCol="features", labelCol="y")]).fit(df)
     base = spark.sparkContext.getCheckpointDir() or ensure_checkpoint_dir(spark)
-    path = f"{base.rstrip('/')}/models/linear_{abs(hash(sf)) % 10**8}"
+    path = f"{base.rstrip('/')}/models/linear_{zlib.crc32(sf.encode())}"
     M.save_model(pipe, path)
     return rounded(M.load_model(path).transform(df).select("o_orderkey", "y", "prediction"))
 

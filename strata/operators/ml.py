@@ -9,26 +9,30 @@ stacking) cut lineage into the checkpoint folder between rounds.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from itertools import product
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.nulls import clip, finite
 from ..functions.stats import fit_stats, group_quantiles, lit_or_null, rank_pct, same_keys
+from ..session import cut_lineage
 from .scale import label_encode, scale_standard
 from .select import NUMERIC, hash_unit
+from .windows import subject_window
 
 
 # -- M1 ---------------------------------------------------------------------------
@@ -94,26 +98,96 @@ def class_weights(df: DataFrame, y: str, out: str = "class_weight", manual: Mapp
 
 
 def fit_classifier(df: DataFrame, label: str, kind: str = "logistic", features: str = "features", seed: int = 42):
-    """M4: balanced logistic regression, random forest, boosted trees and
-    linear SVM (one-vs-rest for more than two classes)."""
+    """M4: logistic regression, random forest and linear SVM with balanced
+    class weights, and boosted trees; SVM and boosted trees are one-vs-rest
+    for more than two classes."""
+    w = class_weights(df, label, "_w")
+    common = {"featuresCol": features, "labelCol": label}
     if kind == "logistic":
-        w = class_weights(df, label, "_w")
-        return LogisticRegression(featuresCol=features, labelCol=label, weightCol="_w", maxIter=100).fit(w)
+        return LogisticRegression(**common, weightCol="_w", maxIter=500).fit(w)
     if kind == "rf":
-        return RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=100, seed=seed).fit(df)
-    base = GBTClassifier(featuresCol=features, labelCol=label, maxIter=50, seed=seed) if kind == "gbt" \
-        else LinearSVC(featuresCol=features, labelCol=label, maxIter=100)
-    return OneVsRest(classifier=base, featuresCol=features, labelCol=label).fit(df)
-
-
-def grid_search(df: DataFrame, est, grid: Mapping, label: str, k: int = 5, seed: int = 42):
-    """M6: k-fold grid search minimising RMSE."""
-    pg = ParamGridBuilder()
-    for p, vals in grid.items():
-        pg = pg.addGrid(getattr(est, p), list(vals))
-    cv = CrossValidator(estimator=est, estimatorParamMaps=pg.build(), numFolds=k, seed=seed,
-                        evaluator=RegressionEvaluator(labelCol=label, metricName="rmse"))
-    return cv.fit(df)
+        return RandomForestClassifier(**common, weightCol="_w", numTrees=100, maxDepth=10, seed=seed).fit(w)
+    if kind == "gbt":
+        base = GBTClassifier(**common, maxIter=100, maxDepth=4, subsamplingRate=0.5, seed=seed)
+        return base.fit(df) if _n_classes(df, label) <= 2 else OneVsRest(classifier=base, **common).fit(df)
+    if kind == "svm":
+        base = LinearSVC(**common, weightCol="_w", maxIter=500)
+        return base.fit(w) if _n_classes(df, label) <= 2 else OneVsRest(classifier=base, weightCol="_w", **common).fit(w)
+    raise ValueError(kind)
+
+
+def _n_classes(df: DataFrame, label: str) -> int:
+    """2 if the labels are 0 and 1 at most, else more."""
+    return 2 if df.where(~F.col(label).isin(0, 1)).isEmpty() else 3
+
+
+# FIXED VALUES: the values each kind of model is searched over.
+GRIDS = {
+    "ridge": {"alpha": [0.1, 1.0, 10.0, 100.0]},
+    "lasso": {"alpha": [0.001, 0.01, 0.1, 1.0]},
+    "elastic_net": {"alpha": [0.01, 0.1, 1.0], "l1_ratio": [0.1, 0.5, 0.9]},
+    "random_forest": {"n_estimators": [50, 100, 200], "max_depth": [5, 10, None], "min_samples_split": [2, 5]},
+    "gradient_boosting": {"n_estimators": [50, 100, 200], "learning_rate": [0.01, 0.1, 0.2], "max_depth": [3, 5, 7]},
+}
+
+
+def penalised(label: str, l1: float, l2: float, sd: float, features: str = "features") -> LinearRegression:
+    """Least squares on the mean of half the squares plus l1 |w| and
+    l2 / 2 |w|^2.  Spark fits the label divided by its standard deviation
+    ``sd`` (population), which leaves l1 as it is and divides l2 by it."""
+    reg = l1 + l2 * sd
+    return LinearRegression(featuresCol=features, labelCol=label, regParam=reg, elasticNetParam=l1 / reg if reg else 0.0, standardization=False)
+
+
+def size_and_sd(df: DataFrame, label: str) -> tuple[int, float]:
+    row = df.agg(F.count(label), F.stddev_pop(label)).first()
+    return row[0], row[1] or 1.0
+
+
+def grid_estimator(kind: str, params: Mapping, label: str, n: float, sd: float, features: str = "features", seed: int = 42):
+    """The estimator of one grid point, for ``n`` rows and a label with
+    standard deviation ``sd`` (a ridge penalty alpha on the sum of squares is
+    alpha / n on their mean).  No depth limit is the deepest tree Spark
+    builds."""
+    common = {"featuresCol": features, "labelCol": label}
+    if kind == "ridge":
+        return penalised(label, 0.0, params["alpha"] / n, sd, features)
+    if kind == "lasso":
+        return penalised(label, params["alpha"], 0.0, sd, features)
+    if kind == "elastic_net":
+        return penalised(label, params["alpha"] * params["l1_ratio"], params["alpha"] * (1 - params["l1_ratio"]), sd, features)
+    depth = 30 if params["max_depth"] is None else params["max_depth"]
+    if kind == "random_forest":
+        return RandomForestRegressor(**common, numTrees=params["n_estimators"], maxDepth=depth,
+                                     minInstancesPerNode=max(1, params["min_samples_split"] // 2), seed=seed)
+    return GBTRegressor(**common, maxIter=params["n_estimators"], stepSize=params["learning_rate"], maxDepth=depth, seed=seed)
+
+
+def grid_search(df: DataFrame, label: str, key, kinds: Sequence[str] = tuple(GRIDS), k: int = 5,
+                grids: Mapping[str, Mapping] = GRIDS, features: str = "features") -> DataFrame:
+    """M6: k-fold grid search over the regularisation, forest and boosting
+    parameters: one row per kind and grid point with its parameters (JSON),
+    mean RMSE over the folds and whether it is the best of its kind.  Folds
+    come from the key's hash; the folded matrix is written once."""
+    f = cut_lineage(fold_column(df, key, k))
+    n, sd = size_and_sd(f, label)
+    n = n * (k - 1) / k
+    rows = []
+    for kind in kinds:
+        scores = []
+        for values in product(*grids[kind].values()):
+            params = dict(zip(grids[kind], values))
+            est = grid_estimator(kind, params, label, n, sd, features)
+            errors = []
+            for i in range(k):
+                pred = est.fit(f.where(F.col("fold") != i)).transform(f.where(F.col("fold") == i))
+                errors.append(pred.agg(F.sqrt(F.avg(F.pow(F.col(label) - F.col("prediction"), 2)))).first()[0])
+            errors = [e for e in errors if e is not None]
+            scores.append((kind, json.dumps(params), sum(errors) / len(errors) if errors else None))
+        low = min((s[2] for s in scores if s[2] is not None), default=None)
+        best = next((j for j, s in enumerate(scores) if s[2] == low), None)
+        rows += [(*s, int(j == best)) for j, s in enumerate(scores)]
+    return df.sparkSession.createDataFrame(rows, "model string, params string, cv_rmse double, best int")
 
 
 def fold_column(df: DataFrame, key, k: int, label: str | None = None, seed: int = 42, out: str = "fold") -> DataFrame:
@@ -131,7 +205,7 @@ def cross_validate(df: DataFrame, est, label: str, key, k: int = 5, metric: str
                    stratify: bool = False, prediction: str = "prediction") -> DataFrame:
     """M7: k-fold scores: one row per fold plus mean / std rows (RMSE for
     regression, weighted F1 for classification)."""
-    f = fold_column(df, key, k, label if stratify else None)
+    f = cut_lineage(fold_column(df, key, k, label if stratify else None))
     rows = []
     for i in range(k):
         model = est.fit(f.where(F.col("fold") != i))
@@ -263,49 +337,98 @@ def fit_bagging(df: DataFrame, label: str, n: int = 10, classify: bool = False,
                subsamplingRate=1.0, seed=seed).fit(df)
 
 
-def fit_stacking(df: DataFrame, label: str, key: str, bases: Mapping[str, object], k: int = 5,
-                 features: str = "features") -> tuple[DataFrame, object]:
+class Stacking:
+    """M15, fitted: base models on all rows and the model on top of their
+    predictions."""
+
+    def __init__(self, oof: DataFrame, bases: Mapping[str, object], meta):
+        self.oof, self.bases, self.meta = oof, dict(bases), meta
+
+    def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
+        """``df`` plus ``pred_<base>`` of every base model and the stacked
+        prediction."""
+        names = list(df.columns)
+        for name, m in self.bases.items():
+            df = m.transform(df).select(*names, F.col("prediction").alias(f"pred_{name}"))
+            names.append(f"pred_{name}")
+        done = self.meta.transform(assemble(df, [f"pred_{n}" for n in self.bases], "_meta"))
+        return done.select(*names, F.col("prediction").alias(out))
+
+
+def stacking_bases(label: str, task: str, n: int, sd: float, features: str = "features") -> dict:
+    """Level-0 models: forest of 50 trees and ridge (alpha 1) or logistic
+    regression (C = 1); kernel machines are not built."""
+    common = {"featuresCol": features, "labelCol": label}
+    if task == "regression":
+        return {"rf": RandomForestRegressor(**common, numTrees=50, seed=42), "ridge": penalised(label, 0.0, 1.0 / n, sd, features)}
+    return {"rf": RandomForestClassifier(**common, numTrees=50, seed=42), "lr": LogisticRegression(**common, regParam=1.0 / n, standardization=False, maxIter=1000)}
+
+
+def fit_stacking(df: DataFrame, label: str, key: str, bases: Mapping[str, object] | None = None, k: int = 5,
+                 features: str = "features", task: str = "regression") -> Stacking:
     """Out-of-fold predictions of every base model (k folds by key hash)
-    become the meta features of a linear meta model.  Returns the OOF table
-    and the fitted meta model."""
-    from ..session import cut_lineage
-    f = fold_column(df, key, k)
-    oof = None
+    train the model on top, ridge with alpha 0.1 or logistic regression; the
+    base models are then fitted anew on all rows.  The folded matrix is
+    written once; ``oof`` of the result holds the out-of-fold predictions."""
+    f = cut_lineage(fold_column(df, key, k))
+    n, sd = size_and_sd(f, label)
+    bases = dict(bases or stacking_bases(label, task, n, sd, features))
+    oof = f.select(key, label)
     for name, est in bases.items():
-        parts = []
-        for i in range(k):
-            m = est.fit(f.where(F.col("fold") != i))
-            parts.append(m.transform(f.where(F.col("fold") == i)).select(key, F.col("prediction").alias(f"pred_{name}")))
-        p = parts[0]
-        for q in parts[1:]:
-            p = p.unionByName(q)
-        p = cut_lineage(p)
-        oof = p if oof is None else oof.join(p, key)
-    meta_in = assemble(oof.join(df.select(key, label), key), [f"pred_{n}" for n in bases], "_meta")
-    meta = LinearRegression(featuresCol="_meta", labelCol=label).fit(meta_in)
-    return oof, meta
-
-
-def fit_experts(df: DataFrame, label: str, groups: Mapping[str, Sequence[str]], key: str) -> DataFrame:
-    """One forest per modality group; its predictions become fusion
-    feature columns ``expert_<group>``."""
+        parts = [est.fit(f.where(F.col("fold") != i)).transform(f.where(F.col("fold") == i)).select(key, F.col("prediction").alias(f"pred_{name}"))
+                 for i in range(k)]
+        oof = oof.join(cut_lineage(reduce(DataFrame.unionByName, parts)), key)
+    meta_in = assemble(oof, [f"pred_{name}" for name in bases], "_meta")
+    meta = (penalised(label, 0.0, 0.1 / n, sd, "_meta") if task == "regression"
+            else LogisticRegression(featuresCol="_meta", labelCol=label, regParam=1.0 / n, standardization=False, maxIter=1000))
+    return Stacking(oof, {name: est.fit(f) for name, est in bases.items()}, meta.fit(meta_in))
+
+
+def fit_experts(df: DataFrame, label: str, groups: Mapping[str, Sequence[str]], key: str, task: str = "regression") -> DataFrame:
+    """One forest of 100 trees per modality group; its predictions become
+    fusion feature columns ``expert_<group>``."""
+    forest = RandomForestRegressor if task == "regression" else RandomForestClassifier
     out = df
     for g, cols in groups.items():
         a = assemble(df, cols, "_gf")
-        m = RandomForestRegressor(featuresCol="_gf", labelCol=label, numTrees=50, seed=42).fit(a)
+        m = forest(featuresCol="_gf", labelCol=label, numTrees=100, seed=42).fit(a)
         out = out.join(m.transform(a).select(key, F.col("prediction").alias(f"expert_{g}")), key)
     return out
 
 
+def progression_features(df: DataFrame, key: str, order, t: str, y: str) -> DataFrame:
+    """Rows of subjects with at least two visits, plus change_from_baseline,
+    rate_of_change (per time since the visit before; null without time
+    between), overall_slope (least squares over the subject's visits; null
+    for two, 0 where a time or value is missing or time stands still),
+    max_value, min_value and variability (sample standard deviation)."""
+    w, wall = subject_window(key, order), Window.partitionBy(key)
+    yv, tv = F.col(y).cast("double"), F.col(t).cast("double")
+    n = F.count(F.lit(1)).over(wall)
+    whole = (F.count(yv).over(wall) == n) & (F.count(tv).over(wall) == n)
+    slope = F.try_divide(F.covar_pop(tv, yv).over(wall), F.var_pop(tv).over(wall))
+    return (df.withColumn("_n", n)
+            .withColumn("change_from_baseline", yv - F.first(yv).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+            .withColumn("rate_of_change", F.try_divide(yv - F.lag(yv).over(w), tv - F.lag(tv).over(w)))
+            .withColumn("overall_slope", F.when(n >= 3, F.when(whole, F.coalesce(slope, F.lit(0.0))).otherwise(0.0)))
+            .withColumn("max_value", F.max(yv).over(wall)).withColumn("min_value", F.min(yv).over(wall))
+            .withColumn("variability", F.stddev_samp(yv).over(wall))
+            .where(F.col("_n") >= 2).drop("_n"))
+
+
 def fit_progression(df: DataFrame, label: str, feats: Sequence[str], key: str) -> DataFrame:
-    """Linear and forest models on the prepared longitudinal features;
+    """Linear model and forest (100 trees, depth 10) on
+    ``progression_features`` and time, missing values filled with medians;
     returns M8 metrics per model on a hash-split hold-out."""
     from .select import split_random
-    a = assemble(split_random(df, key), feats)
+    st = fit_stats(df, {c: ["median"] for c in [*feats, label]})
+    full = [c for c in feats if st[(c, "median")] is not None]
+    filled = df.select(key, *[F.coalesce(F.col(c).cast("double"), lit_or_null(st[(c, "median")])).alias(c) for c in [*full, label]])
+    a = cut_lineage(assemble(split_random(filled, key), full))
     train, test = a.where("is_train = 1"), a.where("is_train = 0")
     res = []
     for name, est in (("linear_regression", LinearRegression(featuresCol="features", labelCol=label)),
-                      ("random_forest", RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=100, seed=42))):
+                      ("random_forest", RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=100, maxDepth=10, seed=42))):
         pred = est.fit(train).transform(test)
         res.append(regression_metrics(pred, label, "prediction").withColumn("model", F.lit(name)))
     return res[0].unionByName(res[1])
@@ -320,40 +443,43 @@ def _silhouette(model, data: DataFrame, features: str = "features", prediction:
     return float(ClusteringEvaluator(featuresCol=features, predictionCol=prediction).evaluate(pred))
 
 
-def fit_kmeans_auto(df: DataFrame, feats: Sequence[str], ks: Sequence[int] = range(2, 8), seed: int = 42) -> DataFrame:
-    """Silhouette (squared Euclidean) for each k; one row per k."""
-    a = assemble(df.dropna(subset=list(feats)), feats)
-    rows = []
-    for k in ks:
-        m = KMeans(k=k, seed=seed).fit(a)
-        rows.append((int(k), _silhouette(m, a), float(m.summary.trainingCost)))
-    out = df.sparkSession.createDataFrame(rows, "k int, silhouette double, cost double")
-    return out.withColumn("best", (F.col("silhouette") == F.max("silhouette").over(Window.partitionBy())).cast("int"))
+def _best(rows: list[tuple], at: int, pick) -> int | None:
+    """k of the best scored row (the first of equal ones)."""
+    scored = [r for r in rows if r[at] is not None]
+    return pick(scored, key=lambda r: r[at])[0] if scored else None
 
 
-def fit_gmm_auto(df: DataFrame, feats: Sequence[str], ks: Sequence[int] = range(2, 8), seed: int = 42) -> DataFrame:
-    """Gaussian mixtures; BIC = p ln n - 2 log L with p = k (d + d (d + 1) / 2) + k - 1."""
-    a = assemble(df.dropna(subset=list(feats)), feats)
-    n, d = a.count(), len(feats)
-    rows = []
-    for k in ks:
-        m = GaussianMixture(k=k, seed=seed).fit(a)
-        ll = float(m.summary.logLikelihood)
-        p = k * (d + d * (d + 1) / 2) + k - 1
-        rows.append((int(k), ll, p * math.log(n) - 2 * ll))
-    out = df.sparkSession.createDataFrame(rows, "k int, log_likelihood double, bic double")
-    return out.withColumn("best", (F.col("bic") == F.min("bic").over(Window.partitionBy())).cast("int"))
-
+def cluster_auto(df: DataFrame, feats: Sequence[str], method: str = "kmeans", ks: Sequence[int] = range(2, 8),
+                 seed: int = 42) -> tuple[DataFrame, DataFrame, object]:
+    """Cluster with the best k.  k-means (best of 10 starts by cost)
+    and bisecting k-means take the k with the largest silhouette (squared
+    Euclidean), Gaussian mixtures the one with the smallest BIC
+    p ln n - 2 log L, p = k (d + d (d + 1) / 2) + k - 1.
 
-def fit_bisecting_auto(df: DataFrame, feats: Sequence[str], ks: Sequence[int] = range(2, 8), seed: int = 42) -> DataFrame:
-    """Divisive (bisecting k-means) clustering, k by silhouette."""
-    a = assemble(df.dropna(subset=list(feats)), feats)
-    rows = []
+    Returns the rows of ``df`` without gaps in ``feats`` plus ``cluster``, the
+    scan (one row per k, ``best`` marked) and the fitted model, whose
+    ``transform`` assigns new rows.  The assembled matrix is written once."""
+    a = cut_lineage(assemble(df.dropna(subset=list(feats)), feats))
+    n, d, rows, models = a.count(), len(feats), [], {}
     for k in ks:
-        m = BisectingKMeans(k=k, seed=seed).fit(a)
-        rows.append((int(k), _silhouette(m, a)))
-    out = df.sparkSession.createDataFrame(rows, "k int, silhouette double")
-    return out.withColumn("best", (F.col("silhouette") == F.max("silhouette").over(Window.partitionBy())).cast("int"))
+        if method == "gmm":
+            m = GaussianMixture(k=k, seed=seed).fit(a)
+            ll = float(m.summary.logLikelihood)
+            p = k * (d + d * (d + 1) / 2) + k - 1
+            rows.append((int(k), ll, p * math.log(n) - 2 * ll))
+        elif method == "kmeans":
+            starts = [KMeans(k=k, seed=seed + i).fit(a) for i in range(10)]
+            m = min(starts, key=lambda x: x.summary.trainingCost)
+            rows.append((int(k), _silhouette(m, a), float(m.summary.trainingCost)))
+        else:
+            m = BisectingKMeans(k=k, seed=seed).fit(a)
+            rows.append((int(k), _silhouette(m, a)))
+        models[int(k)] = m
+    names = {"gmm": "k int, log_likelihood double, bic double", "kmeans": "k int, silhouette double, cost double"}.get(method, "k int, silhouette double")
+    best = _best(rows, 2, min) if method == "gmm" else _best(rows, 1, max)
+    scan = df.sparkSession.createDataFrame([(*r, int(r[0] == best)) for r in rows], names + ", best int")
+    chosen = models[best if best is not None else int(list(ks)[0])]
+    return chosen.transform(a).select(*df.columns, F.col("prediction").alias("cluster")), scan, chosen
 
 
 def cluster_profile(df: DataFrame, cluster: str, y: str, feats: Sequence[str]) -> DataFrame:

@@ -41,14 +41,21 @@ def q3(spark, sf):
     return Q.id_candidates(table(spark, sf, "lineitem"))
 
 
-@register("q4_date_candidates", """SELECT 'text' AS "column", round(count(*) FILTER (WHERE try_strptime(trim(text), '%Y-%m-%d') IS NOT NULL)::DOUBLE / count(text), 6) AS parse_share, 0 AS name_hint, 0 AS is_candidate FROM (
-  SELECT CASE WHEN doc_id % 3 = 0 THEN 'not a date' ELSE strftime(DATE '2020-01-01' + CAST(doc_id AS INTEGER), '%Y-%m-%d') END AS text FROM documents)
-UNION ALL SELECT 'lang', 0.0, 0, 0 FROM (SELECT 1) UNION ALL SELECT 'source', 0.0, 0, 0 FROM (SELECT 1)""")
+def _q4_sql(src, cols):
+    return " UNION ALL ".join(f"""SELECT '{c}' AS "column", round(count(try_cast(trim({e}) AS TIMESTAMP))::DOUBLE / count({e}), 6) AS parse_share,
+  {int('date' in c)} AS name_hint, CAST({int('date' in c)} = 1 OR count(try_cast(trim({e}) AS TIMESTAMP)) >= 0.8 * count({e}) AS INTEGER) AS is_candidate FROM {src}""" for c, e in cols.items())
+
+
+@register("q4_date_candidates", _q4_sql("documents", {c: c for c in ("text", "lang", "source")}))
 def q4(spark, sf):
-    d = table(spark, sf, "documents")
-    txt = F.when(F.col("doc_id") % 3 == 0, F.lit("not a date")).otherwise(
-        F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), F.col("doc_id").cast("int")), "yyyy-MM-dd"))
-    return rounded(Q.date_candidates(d.select(txt.alias("text"), "lang", "source"), 0.8))
+    return rounded(Q.date_candidates(table(spark, sf, "documents"), 0.8))
+
+
+@register("q4_date_candidates_orders", _q4_sql("orders", {"ordered": "strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d')", "o_orderstatus": "o_orderstatus", "o_orderpriority": "o_orderpriority"}))
+def q4b(spark, sf):
+    """The order date as text, beside the other text columns."""
+    o = table(spark, sf, "orders")
+    return rounded(Q.date_candidates(o.select(F.date_format(F.to_date("o_orderdate"), "yyyy-MM-dd").alias("ordered"), "o_orderstatus", "o_orderpriority"), 0.8))
 
 
 @register("q5_date_ranges", """SELECT 'l_shipdate' AS "column", min(l_shipdate) AS min_date, max(l_shipdate) AS max_date, count(l_shipdate) AS valid_dates, count(*) - count(l_shipdate) AS missing_dates FROM lineitem

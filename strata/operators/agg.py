@@ -10,6 +10,7 @@ is null (pairwise complete), as Spark's ``corr`` does.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -137,22 +138,25 @@ def stratum_profile(df: DataFrame, stratum: str, target: str, digits: int = 3) -
                                                  "min", "max")
 
 
+#: Pairs of one aggregate: more expressions than its generated code can hold would be interpreted.
+CORR_TILE = 300
+
+
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson correlation of every ordered pair (pairwise complete) in
-    long form (a, b, corr); one aggregate computes the upper triangle."""
+    long form (a, b, corr); the upper triangle is computed in aggregates of
+    CORR_TILE pairs (one, for up to 25 columns)."""
     cols = list(cols)
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    row = df.agg(*[pair_corr(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")).alias(f"c{i}_{j}")
-                   for i, j in pairs],
-                 *[F.stddev_samp(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)])
-    entries = []
-    for i, j in pairs:
-        for a, b in ((i, j), (j, i)):
-            entries.append(F.struct(F.lit(cols[a]).alias("a"), F.lit(cols[b]).alias("b"), F.col(f"c{i}_{j}").alias("corr")))
-    for i, c in enumerate(cols):
-        entries.append(F.struct(F.lit(c).alias("a"), F.lit(c).alias("b"),
-                                F.when(F.col(f"s{i}") > 0, F.lit(1.0)).alias("corr")))
-    return row.select(F.explode(F.array(*entries)).alias("e")).select("e.a", "e.b", "e.corr")
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    parts = []
+    for k in range(0, len(pairs), CORR_TILE):
+        tile = pairs[k:k + CORR_TILE]
+        x = [F.col(c).cast("double") for c in cols]
+        row = df.agg(*[(pair_corr(x[i], x[j]) if i < j else F.when(F.stddev_samp(x[i]) > 0, F.lit(1.0))).alias(f"c{i}_{j}") for i, j in tile])
+        entries = [F.struct(F.lit(cols[a]).alias("a"), F.lit(cols[b]).alias("b"), F.col(f"c{i}_{j}").alias("corr"))
+                   for i, j in tile for a, b in dict.fromkeys([(i, j), (j, i)])]
+        parts.append(row.select(F.explode(F.array(*entries)).alias("e")).select("e.a", "e.b", "e.corr"))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def corr_with_target(df: DataFrame, cols: Sequence[str], target: str, min_obs: int = 10) -> DataFrame:

@@ -9,6 +9,7 @@ group by all columns (a shuffle, pre-aggregated map-side).
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,23 +44,35 @@ def length_range(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                                                 F.max(F.length(c)).alias(f"{c}_max_len"))])
 
 
+#: Distinct counts of one aggregate: Spark copies every row once for each of them.
+DISTINCT_BATCH = 8
+
+
+def distinct_counts(df: DataFrame, names: Mapping[str, str], approx: bool = False) -> list[DataFrame]:
+    """One-row frames with the distinct count of each column, under the given
+    names; exact counts in batches of DISTINCT_BATCH columns."""
+    if approx:
+        return [df.agg(*[F.approx_count_distinct(c).alias(n) for c, n in names.items()])] if names else []
+    cols = list(names)
+    return [df.agg(*[F.count_distinct(F.col(c)).alias(names[c]) for c in cols[i:i + DISTINCT_BATCH]]) for i in range(0, len(cols), DISTINCT_BATCH)]
+
+
 def profile_columns(df: DataFrame, cols: Sequence[str] | None = None, approx_distinct: bool = False) -> DataFrame:
     """Q1: one row per column: type, non-null count, null %, distinct count,
     numeric min / max / mean / std, string min / max length."""
     cols = list(cols or df.columns)
-    cd = F.approx_count_distinct if approx_distinct else F.count_distinct
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(cols):
         k = _kind(df, c)
         x = F.col(c)
-        aggs += [F.count_if(~_missing(df, c)).alias(f"nn{i}"), cd(x).alias(f"nd{i}")]
+        aggs.append(F.count_if(~_missing(df, c)).alias(f"nn{i}"))
         if k == "numeric":
             xd = x.cast("double")
             aggs += [F.min(xd).alias(f"mn{i}"), F.max(xd).alias(f"mx{i}"), F.avg(xd).alias(f"av{i}"),
                      F.stddev_samp(xd).alias(f"sd{i}")]
         if k == "string":
             aggs += [F.min(F.length(x)).alias(f"ln{i}"), F.max(F.length(x)).alias(f"lx{i}")]
-    row = df.agg(*aggs)
+    row = reduce(_one_row_concat, distinct_counts(df, {c: f"nd{i}" for i, c in enumerate(cols)}, approx_distinct), df.agg(*aggs))
     dbl, lng = F.lit(None).cast("double"), F.lit(None).cast("int")
     entries = []
     for i, c in enumerate(cols):
@@ -253,14 +266,14 @@ def final_checks(df: DataFrame, target: str, category: str | None = None) -> Dat
     return r.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 
 
-def modelling_quality(df: DataFrame, target: str) -> DataFrame:
+def modelling_quality(df: DataFrame, target: str, approx_distinct: bool = False) -> DataFrame:
     """Q10: rows, features, target missing, mean missing % over features,
     duplicate rows, constant features; long form."""
     feats = [c for c in df.columns if c != target]
     a = df.agg(F.count(F.lit(1)).alias("_rows"), F.count_if(F.col(target).isNull()).alias("_tm"),
-               *[F.count_if(_missing(df, c)).alias(f"m{i}") for i, c in enumerate(feats)],
-               *[F.count_distinct(c).alias(f"d{i}") for i, c in enumerate(feats)])
-    r = _one_row_concat(a, _duplicate_rows(df))
+               *[F.count_if(_missing(df, c)).alias(f"m{i}") for i, c in enumerate(feats)])
+    counts = distinct_counts(df, {c: f"d{i}" for i, c in enumerate(feats)}, approx_distinct)
+    r = reduce(_one_row_concat, [_duplicate_rows(df), *counts], a)
     mean_missing = sum((100.0 * F.col(f"m{i}") / F.col("_rows") for i in range(len(feats))), F.lit(0.0)) / len(feats)
     const = sum(((F.col(f"d{i}") <= 1).cast("int") for i in range(len(feats))), F.lit(0))
     return _metrics_long(r, [("rows", F.col("_rows")), ("features", F.lit(len(feats))), ("target_missing", F.col("_tm")),

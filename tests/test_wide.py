@@ -1,4 +1,4 @@
-"""Profiles and correlations of a 163-column table."""
+"""Profiles of a 163-column table, correlations over more than one tile."""
 
 import numpy as np
 import pandas as pd
@@ -18,5 +18,12 @@ def test_wide_tables(spark):
     assert approx == pdf.nunique().to_dict()
     quality = {r["metric"]: r["value"] for r in Q.modelling_quality(df, "c0").collect()}
     assert quality["constant_features"] == 1 and quality["features"] == 162
-    got = A.corr_matrix(df, list(pdf)).toPandas().pivot(index="a", columns="b", values="corr").loc[list(pdf), list(pdf)]
-    assert got.shape == (163, 163) and np.allclose(got.to_numpy(float), pdf.corr().to_numpy(), atol=1e-9, equal_nan=True)
+
+
+def test_correlations_over_two_tiles(spark, monkeypatch):
+    monkeypatch.setattr(A, "CORR_TILE", 40)
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame(rng.integers(0, 9, size=(60, 11)).astype(float), columns=[f"c{i}" for i in range(11)])
+    pdf["c7"] = 1.0
+    got = A.corr_matrix(spark.createDataFrame(pdf), list(pdf)).toPandas().pivot(index="a", columns="b", values="corr").loc[list(pdf), list(pdf)]
+    assert got.shape == (11, 11) and np.allclose(got.to_numpy(float), pdf.corr().to_numpy(), atol=1e-9, equal_nan=True)

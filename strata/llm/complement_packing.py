@@ -32,7 +32,7 @@ END_ID = 0
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 #: Distinct words a worker process keeps with their ids before its table starts anew.
-WORD_TABLE = 1_000_000
+WORD_TABLE = 600_000
 
 
 class WordTable:
@@ -133,7 +133,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     def cut(batches):
         table = per_worker(f"words_{zlib.crc32(tokenizer_json.encode())}", lambda: WordTable(tokenizer_json))
         seen, part = np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
-        for run in merged(batches):
+        for run in merged(batches, most=4_000_000):
             words, offsets = words_of(run.column("text"), lower=False)
             ids, size = table.lookup(words)
             upto = np.concatenate([[0], np.cumsum(size)])[offsets]

@@ -26,6 +26,8 @@ DIMENSIONS = 8
 NGRAMS = (3, 4)
 #: Labelled documents of each class that training takes at most.
 SAMPLE_PER_CLASS = 2500
+#: Bytes of text of one numpy run; its arrays take about 50 times as much.
+RUN_BYTES = 1_000_000
 #: Score from which a document counts as good.
 THRESHOLD = 0.3
 
@@ -64,11 +66,12 @@ def features(texts: pa.Array):
         h = _word_hashes(words)
         doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(offsets))
         yield _bucket(h), doc
-        same = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
-        yield _bucket(np.where(same, np.uint32(77), np.uint32(78))), doc[1:]
-    points = np.frombuffer("\0".join(texts.to_pylist()).encode("utf-32-le", "replace"), np.uint32)
+        inside = doc[1:] == doc[:-1]
+        yield _bucket(np.where(h[1:] == h[:-1], np.uint32(77), np.uint32(78)))[inside], doc[1:][inside]
+    # an end mark closes every text, and belongs to it
+    points = np.frombuffer("".join(t + "\0" for t in texts.to_pylist()).encode("utf-32-le"), np.uint32)
     sizes = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-    doc = np.repeat(np.arange(len(texts), dtype=np.int32), sizes + 1)[:len(points)]
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), sizes + 1)
     for n in NGRAMS:
         if len(points) < n:
             continue
@@ -76,7 +79,6 @@ def features(texts: pa.Array):
         for k in range(1, n):
             h = (h ^ (h >> np.uint32(13))) * np.uint32(3266489917) + points[k:len(points) - n + 1 + k]
         inside = doc[:len(h)] == doc[n - 1:n - 1 + len(h)]
-        # the gap between two texts belongs to the earlier one; n-grams that end in it are its end marks
         yield _bucket(h)[inside], doc[:len(h)][inside]
 
 
@@ -135,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS):
 
     def shares(batches):
         for batch in batches:
-            for run in slices(batch):
+            for run in slices(batch, most=RUN_BYTES):
                 found = _compact(run.column("text"))
                 yield pa.RecordBatch.from_arrays([run.column("doc_id"), run.column("label"), pa.array([b for b, _ in found], pa.list_(pa.int32())),
                                                   pa.array([s for _, s in found], pa.list_(pa.float32()))], names=["doc_id", "label", "bucket", "share"])
@@ -167,7 +169,7 @@ def with_score(docs: DataFrame, weights: np.ndarray, bias: float, name: str = "s
 
     def score(batches):
         for batch in batches:
-            for run in slices(batch):
+            for run in slices(batch, most=RUN_BYTES):
                 texts = pc.fill_null(run.column("text"), "")
                 total, count = np.zeros(run.num_rows), np.zeros(run.num_rows)
                 for bucket, doc in features(texts):

@@ -17,6 +17,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ END_ID = 0
 #: FIXED VALUE: ASCII punctuation.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
-#: Distinct words a worker process keeps with their ids before its table starts anew.
+#: Words and parts of words that a worker process keeps with their ids before it forgets those met once.
 WORD_TABLE = 600_000
 
 
@@ -50,11 +51,27 @@ class WordTable:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         if self.tokenizer.token_to_id(self.MARK) != self.MARK_ID:
             raise ValueError(f"the vocabulary has no {self.MARK} with id {self.MARK_ID}")
-        self.reset()
-
-    def reset(self):
-        self.rows: dict[str, int] = {}
-        self.size, self.first, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+        self.model = self.tokenizer.model
+        # what the byte-level step makes of the letters below U+0100
+        letters = [chr(c) for c in range(256) if chr(c).isalpha()]
+        self.bytes = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters}
+        self.words = pa.array([""], pa.string())
+        self.first, self.size, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.empty(0, np.uint32)
+        self.hits = np.zeros(1, np.int32)   # batches that held the word
+
+    def _rows(self, words: pa.Array) -> np.ndarray:
+        """Rows of the words, -1 for those the table lacks."""
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def _forget(self) -> None:
+        """Keep the words that more than one batch held, at most half a table
+        of them, and halve their counts."""
+        least = max(2, int(np.partition(self.hits, -(WORD_TABLE // 2))[-(WORD_TABLE // 2)]) + 1) if len(self.hits) > WORD_TABLE // 2 else 2
+        self.hits[0] = np.iinfo(np.int32).max
+        kept = np.flatnonzero(self.hits >= least)
+        self.words = self.words.take(pa.array(kept))
+        self.ids, self.size = self._gather(kept)
+        self.first, self.hits = np.cumsum(self.size) - self.size, self.hits[kept] // 2
 
     def _segment(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = np.array(self.tokenizer.encode(self.MARK.join(words) + self.MARK, add_special_tokens=False).ids, np.uint32)
@@ -66,54 +83,60 @@ class WordTable:
         at = np.repeat(self.first[row] - (np.cumsum(size) - size), size) + np.arange(size.sum())
         return self.ids[at], size
 
-    def _append(self, words: list[str], ids: list[np.ndarray], size: np.ndarray) -> None:
+    def _append(self, words: pa.Array, ids: np.ndarray, size: np.ndarray) -> None:
+        self.words = pa.concat_arrays([self.words, words])
         self.first = np.append(self.first, len(self.ids) + np.cumsum(size) - size)
-        self.size = np.append(self.size, size)
-        self.ids = np.concatenate([self.ids, *ids])
-        for w in words:
-            self.rows[w] = len(self.rows)
+        self.size, self.ids = np.append(self.size, size), np.append(self.ids, ids)
+        self.hits = np.append(self.hits, np.zeros(len(words), np.int32))
 
-    def _add(self, words: list[str]) -> None:
+    def _add(self, words: pa.Array) -> np.ndarray:
+        """Rows of words that the table lacked."""
         # A word is its core and the punctuation after it, which the tokenizer parts from a letter or digit before; and an
         # ASCII core is lower-cased by it.  So words share the rows of their parts.
-        parts = []
-        for w in words:
+        cores, ends = [], []
+        for w in words.to_pylist():
             core = w.rstrip(PUNCTUATION)
             if not core or len(core) == len(w) or not core[-1].isalnum() or "<|" in w:
                 core = w
-            parts.append((core.lower() if core.isascii() and "<|" not in core else core, w[len(core):]))
-        new = [p for p in dict.fromkeys(p for pair in parts for p in pair) if p and p not in self.rows]
-        plain = [p for p in new if "<|" not in p]
+            ends.append(w[len(core):])
+            cores.append(core.lower() if core.isascii() and "<|" not in core else core)
+        cores, ends = pa.array(cores, pa.string()), pa.array(ends, pa.string())
+        every = pa.concat_arrays([cores, ends]).unique()
+        row = self._rows(every)
+        lacking = every.filter(pa.array(row < 0))
+        # letters below U+0100 are one piece for the merges: normalising and cutting would leave them as they are
+        parts = lacking.to_pylist()
+        alone = np.fromiter(("<|" in p or (p.isalpha() and max(p) < "\u0100") for p in parts), bool, len(parts))
+        own = [self.tokenizer.encode(p, add_special_tokens=False).ids if "<|" in p else [t.id for t in self.model.tokenize(p.lower().translate(self.bytes))]
+               for p, a in zip(parts, alone) if a]
+        plain = [p for p, a in zip(parts, alone) if not a]
         found = [self._segment(plain[k:k + 2000]) for k in range(0, len(plain), 2000)]
-        if found:
-            self._append(plain, [i for i, _ in found], np.concatenate([n for _, n in found]))
-        for w in new:
-            if "<|" in w:
-                ids = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32)
-                self._append([w], [ids], np.array([len(ids)]))
-        whole = [(w, core, end) for w, (core, end) in zip(words, parts) if w not in self.rows]
-        if whole:
-            nothing = self.rows.get("")
-            if nothing is None:
-                self._append([""], [], np.array([0]))
-                nothing = self.rows[""]
-            row = np.fromiter((self.rows[p] if p else nothing for _, core, end in whole for p in (core, end)), np.int64, 2 * len(whole))
-            ids, size = self._gather(row)
-            self._append([w for w, _, _ in whole], [ids], size.reshape(-1, 2).sum(axis=1))
+        ids = np.concatenate([np.fromiter((i for x in own for i in x), np.uint32), *(i for i, _ in found)])
+        size = np.concatenate([np.fromiter(map(len, own), np.int64, len(own)), *(n for _, n in found)])
+        order = np.argsort(~alone, kind="stable")
+        row[np.flatnonzero(row < 0)[order]] = len(self.words) + np.arange(len(order))
+        self._append(lacking.take(pa.array(order)), ids, size)
+        core, end = (row[pc.index_in(x, value_set=every).to_numpy(zero_copy_only=False)] for x in (cores, ends))
+        # a word that is its own core has its row now; the others are put together
+        whole = pc.not_equal(words, cores).to_numpy(zero_copy_only=False)
+        out = core.copy()
+        out[whole] = len(self.words) + np.arange(whole.sum())
+        if whole.any():
+            ids, size = self._gather(np.stack([core[whole], end[whole]], axis=1).ravel())
+            self._append(words.filter(pa.array(whole)), ids, size.reshape(-1, 2).sum(axis=1))
+        return out
 
     def lookup(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all the words, flat; number of ids of each word)."""
+        if len(self.words) > WORD_TABLE:
+            self._forget()
         coded = words.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.rows) > WORD_TABLE:
-            self.reset()
-        new = [w for w in distinct if w not in self.rows]
-        if new:
-            self._add(new)
-        if not len(words):
-            return np.empty(0, np.uint32), np.empty(0, np.int64)
-        row = np.fromiter(map(self.rows.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
-        return self._gather(row)
+        row = self._rows(coded.dictionary)
+        new = row < 0
+        if new.any():
+            row[new] = self._add(coded.dictionary.filter(pa.array(new)))
+        self.hits[row] += 1
+        return self._gather(row[coded.indices.to_numpy()])
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
@@ -133,7 +156,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     def cut(batches):
         table = per_worker(f"words_{zlib.crc32(tokenizer_json.encode())}", lambda: WordTable(tokenizer_json))
         seen, part = np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
-        for run in merged(batches, most=4_000_000):
+        for run in merged(batches, most=6_000_000):
             words, offsets = words_of(run.column("text"), lower=False)
             ids, size = table.lookup(words)
             upto = np.concatenate([[0], np.cumsum(size)])[offsets]

@@ -55,7 +55,7 @@ def test_words_share_rows_of_their_parts():
 
     with open(PATH, encoding="utf-8") as f:
         table = WordTable(f.read())
-    texts = ["don't Don't", "a's B'LL J̌ <|endoftext|>a <|ENDOFTEXT|> <|startoftext|>ΣΣ x\x1cy \x85 z\xa0w İ 12a!", "word, word. Word!! _x_ 'stop \"a\"", "... ...a a... 3. 3", "Ⅷ. ½! 中文。 é. É."]
+    texts = ["don't Don't", "a's B'LL J̌ <|endoftext|>a <|ENDOFTEXT|> <|startoftext|>ΣΣ x\x1cy \x85 z\xa0w İ 12a!", "word, word. Word!! _x_ 'stop \"a\"", "... ...a a... 3. 3", "Ⅷ. ½! 中文。 é. É.", "ß µ ª º ÀÉÎÕÜ naïveté ÿ Ÿ ǅ ﬁ İi e\u0301 " + " ".join(chr(c) * 2 for c in range(33, 400))]
     for t in texts:
         for w in t.split(" "):
             assert table.lookup(pa.array([w]))[0].tolist() == table.tokenizer.encode(w, add_special_tokens=False).ids, w
@@ -87,3 +87,18 @@ def test_pieces_against_the_library(spark):
 
 def test_no_documents(spark):
     assert pack_documents(no_docs(spark), PATH).count() == 0
+
+
+def test_forgotten_words_come_back(monkeypatch):
+    import pyarrow as pa
+
+    from strata.llm import complement_packing
+
+    monkeypatch.setattr(complement_packing, "WORD_TABLE", 6)
+    with open(PATH, encoding="utf-8") as f:
+        table = WordTable(f.read())
+    r = random.Random(0)
+    for _ in range(60):
+        words = [r.choice(["the", "the.", "of", "A", f"w{r.randrange(40)},", f"x{r.randrange(40)}", "..."]) for _ in range(5)]
+        ids, size = table.lookup(pa.array(words))
+        assert ids.tolist() == [i for w in words for i in table.tokenizer.encode(w, add_special_tokens=False).ids] and len(size) == 5

@@ -24,7 +24,7 @@ from strata.llm.common import merged, per_worker, whole_texts
 MARKER = "▁"
 
 #: Distinct chunks a worker process keeps with their ids before its table starts anew.
-CHUNK_TABLE = 500_000
+CHUNK_TABLE = 300_000
 
 _RUNS = re.compile(" *[^ ]+| +")
 
@@ -113,7 +113,7 @@ def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
 
     def encode(batches):
         table = per_worker(f"chunks_{zlib.crc32(model)}", lambda: ChunkTable(model))
-        for run in merged(batches):
+        for run in merged(batches, most=2_000_000):
             chunks, offsets = marked_words(run.column("text"))
             ids, size = table.lookup(chunks)
             upto = np.concatenate([[0], np.cumsum(size)])[offsets]

@@ -120,6 +120,18 @@ def m6(spark, sf):
     return rounded(M.grid_search(z, "y", "o_orderkey", ("ridge", "lasso", "elastic_net")))
 
 
+@register("m6_grid_search_forest")
+def m6b(spark, sf):
+    """All forest grid points on 5 folds; trees need no scaling."""
+    return rounded(M.grid_search(prepared(spark, sf)[0], "y", "o_orderkey", ("random_forest",)))
+
+
+@register("m6_grid_search_boosting")
+def m6c(spark, sf):
+    """All boosting grid points on 5 folds."""
+    return rounded(M.grid_search(prepared(spark, sf)[0], "y", "o_orderkey", ("gradient_boosting",)))
+
+
 @register("m7_cross_validate")
 def m7(spark, sf):
     d, _ = prepared(spark, sf)

@@ -87,3 +87,19 @@ def test_clusters_are_assigned(spark, method):
         bic = {r["k"]: r["bic"] for r in scan.collect()}
         assert min(bic, key=bic.get) == got["cluster"].nunique()
     assert model.transform(M.assemble(df.limit(3), ["a", "b"])).count() == 3
+
+
+def test_registered_grid_searches_cover_all_kinds(spark, monkeypatch):
+    import __spark_entry__ as E
+
+    asked = []
+
+    def search(df, label, key, kinds=tuple(M.GRIDS), **_):
+        asked.extend(kinds)
+        return df.sparkSession.createDataFrame([("", "", 0.0, 1)], "model string, params string, cv_rmse double, best int")
+
+    monkeypatch.setattr(M, "grid_search", search)
+    for name, query in E.queries().items():
+        if name.startswith("m6_"):
+            query(spark, "/root/testdata/sf0.001")
+    assert sorted(asked) == sorted(M.GRIDS)

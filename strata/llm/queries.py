@@ -18,6 +18,7 @@ from strata.llm.golomb_dedup import exact_dedup
 from strata.llm.list_asof import filter_captures
 from strata.llm.maxent_lm import score_texts
 from strata.llm.pivot_index import vector_links
+from strata.llm.simple8b import token_file_round_trip
 from strata.llm.subword_quality import classify_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +168,10 @@ def op7_chained_passages(spark, sf_dir):
     """Passages of at least 50 words that documents share, over every whole
     text of `documents`."""
     return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@register("op12_simple8b_tokens")
+def op12_simple8b_tokens(spark, sf_dir):
+    """ids of every whole text of `documents`, written to Simple-8b files in
+    ascending doc_id order and read back."""
+    return token_file_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)

@@ -46,6 +46,9 @@ WIDTHS = np.array([64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.ui
 BLOCK = 1024
 FILE_IDS = 4_000_000
 
+#: Ids that are packed at once (whole blocks).
+PACK_IDS = 256 * BLOCK
+
 #: FIXED VALUE: the id that ends a document.
 END_ID = 2
 
@@ -191,13 +194,15 @@ class ShardWriter:
         self.rest = ids[whole:]
 
     def _pack(self, ids: np.ndarray) -> None:
-        words, first, escapes = pack(ids, self.block)
-        words[(words >> np.uint64(60)) == 0] += np.uint64(self.n_escapes)
-        self.words.append(words)
-        self.first.append(first + self.n_words)
-        self.escapes.append(escapes)
-        self.n_words += len(words)
-        self.n_escapes += len(escapes)
+        step = PACK_IDS // self.block * self.block
+        for at in range(0, len(ids), step):
+            words, first, escapes = pack(ids[at:at + step], self.block)
+            words[(words >> np.uint64(60)) == 0] += np.uint64(self.n_escapes)
+            self.words.append(words)
+            self.first.append(first + self.n_words)
+            self.escapes.append(escapes)
+            self.n_words += len(words)
+            self.n_escapes += len(escapes)
 
     def content(self) -> bytes:
         self._pack(self.rest)
@@ -213,11 +218,12 @@ class ShardWriter:
         return body + np.array([zlib.crc32(body), 0], "<u4").tobytes()
 
 
-def read_shard(content: bytes) -> Shard:
+def read_shard(content: bytes | pa.Buffer) -> Shard:
     """The shard in a file's bytes; raises ValueError where they are none."""
-    if len(content) < 48 or content[:4] != MAGIC:
+    content = memoryview(content)
+    if len(content) < 48 or bytes(content[:4]) != MAGIC:
         raise ValueError("not a Simple-8b file")
-    if zlib.crc32(memoryview(content)[:-8]) != int(np.frombuffer(content, "<u4", 1, len(content) - 8)[0]):
+    if zlib.crc32(content[:-8]) != int(np.frombuffer(content, "<u4", 1, len(content) - 8)[0]):
         raise ValueError("this Simple-8b file is damaged")
     block = int(np.frombuffer(content, "<u4", 1, 4)[0])
     docs, n, words, escapes = map(int, np.frombuffer(content, "<u8", 4, 8))
@@ -315,7 +321,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
             writer, files = ShardWriter(block), files + 1
             return row
 
-        for run in merged(batches, most=6_000_000):
+        for run in merged(batches, most=4_000_000):
             found, sizes = coder.of(run.column("text"))
             ends = np.cumsum(sizes)
             ids = np.insert(found, ends, end_id)
@@ -356,7 +362,7 @@ def read_token_files(spark: SparkSession, folder: str, files: DataFrame, keep_id
     def read(batches):
         for batch in batches:
             for name, content in zip(batch.column("file"), batch.column("content")):
-                shard = read_shard(content.as_buffer().to_pybytes())
+                shard = read_shard(content.as_buffer())
                 ends = shard.ends.astype(np.int64)
                 # documents in runs of about a million ids, so that few are decoded at once
                 cuts = np.unique(np.append(np.searchsorted(ends, np.arange(1, int(ends[-1]) // 1_000_000 + 1) * 1_000_000), len(ends)))

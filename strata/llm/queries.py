@@ -18,6 +18,7 @@ from strata.llm.golomb_dedup import exact_dedup
 from strata.llm.list_asof import filter_captures
 from strata.llm.maxent_lm import score_texts
 from strata.llm.pivot_index import vector_links
+from strata.llm.rank_index import fill_in_middle, restored_text
 from strata.llm.simple8b import token_file_round_trip
 from strata.llm.subword_quality import classify_quality
 
@@ -175,3 +176,24 @@ def op12_simple8b_tokens(spark, sf_dir):
     """ids of every whole text of `documents`, written to Simple-8b files in
     ascending doc_id order and read back."""
     return token_file_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
+
+
+@register("op13_fill_in_middle", """
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+    u AS (SELECT doc_id, t, n, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS b,
+                 CAST('0x' || h[17:24] AS BIGINT) % 100 AS c, CAST('0x' || h[25:32] AS BIGINT) % 100 AS d FROM d),
+    f AS (SELECT doc_id, t, n, least(a, b) AS i, greatest(a, b) AS j,
+                 CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR c >= 90 THEN 'plain'
+                      WHEN d < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+    p AS (SELECT *, substring(t, 1, i) AS prefix, substring(t, i + 1, j - i) AS middle, substring(t, j + 1) AS suffix FROM f)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN i END AS prefix_chars, CASE WHEN form <> 'plain' THEN j - i END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                            ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+""")
+def op13_fill_in_middle(spark, sf_dir):
+    """Every whole text of `documents` in a fill-in-the-middle form, and the
+    text rebuilt from it, as digests."""
+    done = fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+                       digest(restored_text(F.col("output"), F.col("form"))).alias("restored_sha256"))

@@ -21,6 +21,7 @@ from strata.llm.pivot_index import vector_links
 from strata.llm.rank_index import fill_in_middle, restored_text
 from strata.llm.simple8b import token_file_round_trip
 from strata.llm.subword_quality import classify_quality
+from strata.llm.token_alignment import aligned_tokens, link_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -197,3 +198,13 @@ def op13_fill_in_middle(spark, sf_dir):
     digest = lambda c: F.sha2(c.cast("binary"), 256)
     return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
                        digest(restored_text(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+@register("op11_token_alignment")
+def op11_token_alignment(spark, sf_dir):
+    """Every whole text of `documents` under two tokenizers: their common
+    groups as a digest, and how usual the links in them are."""
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    aligned = aligned_tokens(table(spark, sf_dir, "documents"), *paths)
+    digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    return link_counts(aligned.withColumn("groups", digest).withColumnRenamed("groups", "groups_sha256"), *paths)

@@ -79,6 +79,14 @@ def m3b(spark, sf):
     return rounded(M.regression_metrics(m.transform(d.where("is_train = 0")), "y", "prediction"))
 
 
+@register("m3_fit_second_order")
+def m3c(spark, sf):
+    """Second-order boosting on the raw features, nulls included."""
+    d = cut_lineage(split_random(model_table(spark, sf).where("y IS NOT NULL"), "o_orderkey"))
+    m = M.fit_second_order(d.where("is_train = 1"), "y", "o_orderkey", FEATS)
+    return rounded(M.regression_metrics(m.predict(d.where("is_train = 0")), "y", "prediction"))
+
+
 def cls_table(spark, sf):
     df, feats = M.prepare_matrix(model_table(spark, sf).drop("y"), "o_orderstatus", keep=["o_orderkey"])
     from ..operators.scale import label_encode
@@ -123,13 +131,15 @@ def m6(spark, sf):
 @register("m6_grid_search_forest")
 def m6b(spark, sf):
     """All forest grid points on 5 folds; trees need no scaling."""
-    return rounded(M.grid_search(prepared(spark, sf)[0], "y", "o_orderkey", ("random_forest",)))
+    d, feats = prepared(spark, sf)
+    return rounded(M.grid_search(d, "y", "o_orderkey", ("random_forest",), features=feats))
 
 
 @register("m6_grid_search_boosting")
 def m6c(spark, sf):
     """All boosting grid points on 5 folds."""
-    return rounded(M.grid_search(prepared(spark, sf)[0], "y", "o_orderkey", ("gradient_boosting",)))
+    d, feats = prepared(spark, sf)
+    return rounded(M.grid_search(d, "y", "o_orderkey", ("gradient_boosting",), features=feats))
 
 
 @register("m7_cross_validate")

@@ -32,6 +32,7 @@ from ..functions.stats import fit_stats, group_quantiles, lit_or_null, rank_pct,
 from ..session import cut_lineage
 from .scale import label_encode, scale_standard
 from .select import NUMERIC, hash_unit
+from .trees import Boost, blocks_of, boost, fit_bins, forest_errors
 from .windows import subject_window
 
 
@@ -85,6 +86,15 @@ def fit_trees_reg(df: DataFrame, label: str, kind: str = "rf", features: str = "
     return tree_regressor(kind, label, features).fit(df)
 
 
+def fit_second_order(df: DataFrame, label: str, key: str, feats: Sequence[str], rounds: int = 100, depth: int = 6, rate: float = 0.1,
+                     l2: float = 1.0, gamma: float = 0.0, bins: int = 64):
+    """M3: second-order boosted regression on columns that may hold nulls:
+    L2-regularised leaves and gains, and for every split a learnt direction
+    for missing values (``trees.boost``)."""
+    edges = fit_bins(df, feats, bins)
+    return boost(blocks_of(df, edges, label, key), edges, [Boost(depth, rate, l2, gamma)], rounds)[0][0]
+
+
 def class_weights(df: DataFrame, y: str, out: str = "class_weight", manual: Mapping | None = None) -> DataFrame:
     """M5: balanced weight n / (k * n_c) per row (aggregate + join), or a
     manual class -> weight map."""
@@ -144,50 +154,86 @@ def size_and_sd(df: DataFrame, label: str) -> tuple[int, float]:
     return row[0], row[1] or 1.0
 
 
-def grid_estimator(kind: str, params: Mapping, label: str, n: float, sd: float, features: str = "features", seed: int = 42):
-    """The estimator of one grid point, for ``n`` rows and a label with
+def grid_estimator(kind: str, params: Mapping, label: str, n: float, sd: float, features: str = "features"):
+    """The linear estimator of one grid point, for ``n`` rows and a label with
     standard deviation ``sd`` (a ridge penalty alpha on the sum of squares is
-    alpha / n on their mean).  No depth limit is the deepest tree Spark
-    builds."""
-    common = {"featuresCol": features, "labelCol": label}
+    alpha / n on their mean)."""
     if kind == "ridge":
         return penalised(label, 0.0, params["alpha"] / n, sd, features)
     if kind == "lasso":
         return penalised(label, params["alpha"], 0.0, sd, features)
     if kind == "elastic_net":
         return penalised(label, params["alpha"] * params["l1_ratio"], params["alpha"] * (1 - params["l1_ratio"]), sd, features)
-    depth = 30 if params["max_depth"] is None else params["max_depth"]
-    if kind == "random_forest":
-        return RandomForestRegressor(**common, numTrees=params["n_estimators"], maxDepth=depth,
-                                     minInstancesPerNode=max(1, params["min_samples_split"] // 2), seed=seed)
-    return GBTRegressor(**common, maxIter=params["n_estimators"], stepSize=params["learning_rate"], maxDepth=depth, seed=seed)
+    raise ValueError(kind)
 
 
 def grid_search(df: DataFrame, label: str, key, kinds: Sequence[str] = tuple(GRIDS), k: int = 5,
-                grids: Mapping[str, Mapping] = GRIDS, features: str = "features") -> DataFrame:
+                grids: Mapping[str, Mapping] = GRIDS, features: str | Sequence[str] = "features") -> DataFrame:
     """M6: k-fold grid search over the regularisation, forest and boosting
     parameters: one row per kind and grid point with its parameters (JSON),
     mean RMSE over the folds and whether it is the best of its kind.  Folds
-    come from the key's hash; the folded matrix is written once."""
+    come from the key's hash; the folded matrix is written once.
+
+    ``features`` is a vector column, or, for forests and boosting alone, the
+    names of the feature columns.  Those kinds are staged (``trees``): one
+    forest per fold, grown to the end, holds all its grid points, and all
+    boosted models grow side by side, with the scores of fewer rounds read on
+    the way."""
+    spark = df.sparkSession
     f = cut_lineage(fold_column(df, key, k))
-    n, sd = size_and_sd(f, label)
-    n = n * (k - 1) / k
     rows = []
     for kind in kinds:
-        scores = []
-        for values in product(*grids[kind].values()):
-            params = dict(zip(grids[kind], values))
-            est = grid_estimator(kind, params, label, n, sd, features)
-            errors = []
-            for i in range(k):
-                pred = est.fit(f.where(F.col("fold") != i)).transform(f.where(F.col("fold") == i))
-                errors.append(pred.agg(F.sqrt(F.avg(F.pow(F.col(label) - F.col("prediction"), 2)))).first()[0])
-            errors = [e for e in errors if e is not None]
-            scores.append((kind, json.dumps(params), sum(errors) / len(errors) if errors else None))
-        low = min((s[2] for s in scores if s[2] is not None), default=None)
-        best = next((j for j, s in enumerate(scores) if s[2] == low), None)
-        rows += [(*s, int(j == best)) for j, s in enumerate(scores)]
-    return df.sparkSession.createDataFrame(rows, "model string, params string, cv_rmse double, best int")
+        points = [dict(zip(grids[kind], values)) for values in product(*grids[kind].values())]
+        score = {"random_forest": _forest_grid, "gradient_boosting": _boosting_grid}.get(kind, _linear_grid)
+        found = score(kind, f, label, key, points, k, features)
+        means = [sum(e) / len(e) if (e := [x for x in errors if x is not None]) else None for errors in found]
+        low = min((m for m in means if m is not None), default=None)
+        best = next((j for j, m in enumerate(means) if m == low), None)
+        rows += [(kind, json.dumps(p), m, int(j == best)) for j, (p, m) in enumerate(zip(points, means))]
+    return spark.createDataFrame(rows, "model string, params string, cv_rmse double, best int")
+
+
+def _linear_grid(kind: str, f: DataFrame, label: str, key, points: list, k: int, features: str) -> list[list]:
+    """RMSE of each point in each fold, one fit each."""
+    n, sd = size_and_sd(f, label)
+    n = n * (k - 1) / k
+    out = []
+    for params in points:
+        est = grid_estimator(kind, params, label, n, sd, features)
+        errors = []
+        for i in range(k):
+            pred = est.fit(f.where(F.col("fold") != i)).transform(f.where(F.col("fold") == i))
+            errors.append(pred.agg(F.sqrt(F.avg(F.pow(F.col(label) - F.col("prediction"), 2)))).first()[0])
+        out.append(errors)
+    return out
+
+
+def _feature_columns(f: DataFrame, features: str | Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """The features as columns; a vector column is taken apart."""
+    if not isinstance(features, str):
+        return f, list(features)
+    first = f.select(features).first()
+    names = [f"_f{i}" for i in range(len(first[0]) if first else 0)]
+    return f.select("*", *[vector_to_array(F.col(features))[i].alias(n) for i, n in enumerate(names)]), names
+
+
+def _forest_grid(kind: str, f: DataFrame, label: str, key, points: list, k: int, features: str | Sequence[str]) -> list[list]:
+    f, features = _feature_columns(f, features)
+    bins = fit_bins(f, features)
+    axis = lambda name: list(dict.fromkeys(p[name] for p in points))
+    got = forest_errors(blocks_of(f, bins, label, key, "fold"), bins, k, axis("n_estimators"), axis("max_depth"), axis("min_samples_split"))
+    return [got[p["n_estimators"], p["max_depth"], p["min_samples_split"]] for p in points]
+
+
+def _boosting_grid(kind: str, f: DataFrame, label: str, key, points: list, k: int, features: str | Sequence[str]) -> list[list]:
+    f, features = _feature_columns(f, features)
+    bins = fit_bins(f, features)
+    marks = sorted({p["n_estimators"] for p in points})
+    each = list(dict.fromkeys((p["learning_rate"], p["max_depth"]) for p in points))
+    models = [Boost(depth, rate, l2=0.0, fold=i) for rate, depth in each for i in range(k)]
+    _, scores = boost(blocks_of(f, bins, label, key, "fold"), bins, models, marks[-1], marks)
+    rmse = {at: math.sqrt(e / n) if n else None for at, (e, n) in scores.items()}
+    return [[rmse[each.index((p["learning_rate"], p["max_depth"])) * k + i, p["n_estimators"]] for i in range(k)] for p in points]
 
 
 def fold_column(df: DataFrame, key, k: int, label: str | None = None, seed: int = 42, out: str = "fold") -> DataFrame:

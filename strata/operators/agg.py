@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import safe_div
+from ..functions.gram import pair_correlations
 from ..functions.stats import group_quantiles, pair_corr, same_keys, t_pvalue
 
 _FNS = {
@@ -144,19 +145,19 @@ CORR_TILE = 300
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson correlation of every ordered pair (pairwise complete) in
-    long form (a, b, corr); the upper triangle is computed in aggregates of
-    CORR_TILE pairs (one, for up to 25 columns)."""
+    long form (a, b, corr), in one scan: one aggregate over the upper triangle
+    of up to CORR_TILE pairs (24 columns), a masked Gram matrix beyond
+    (``functions.gram``; NaN and infinite values are missing there)."""
     cols = list(cols)
+    if len(cols) * (len(cols) + 1) // 2 > CORR_TILE:
+        names = F.array(*map(F.lit, cols))
+        return pair_correlations(df, cols).select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), "corr")
+    x = [F.col(c).cast("double") for c in cols]
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    parts = []
-    for k in range(0, len(pairs), CORR_TILE):
-        tile = pairs[k:k + CORR_TILE]
-        x = [F.col(c).cast("double") for c in cols]
-        row = df.agg(*[(pair_corr(x[i], x[j]) if i < j else F.when(F.stddev_samp(x[i]) > 0, F.lit(1.0))).alias(f"c{i}_{j}") for i, j in tile])
-        entries = [F.struct(F.lit(cols[a]).alias("a"), F.lit(cols[b]).alias("b"), F.col(f"c{i}_{j}").alias("corr"))
-                   for i, j in tile for a, b in dict.fromkeys([(i, j), (j, i)])]
-        parts.append(row.select(F.explode(F.array(*entries)).alias("e")).select("e.a", "e.b", "e.corr"))
-    return reduce(DataFrame.unionAll, parts)
+    row = df.agg(*[(pair_corr(x[i], x[j]) if i < j else F.when(F.stddev_samp(x[i]) > 0, F.lit(1.0))).alias(f"c{i}_{j}") for i, j in pairs])
+    entries = [F.struct(F.lit(cols[a]).alias("a"), F.lit(cols[b]).alias("b"), F.col(f"c{i}_{j}").alias("corr"))
+               for i, j in pairs for a, b in dict.fromkeys([(i, j), (j, i)])]
+    return row.select(F.explode(F.array(*entries)).alias("e")).select("e.a", "e.b", "e.corr")
 
 
 def corr_with_target(df: DataFrame, cols: Sequence[str], target: str, min_obs: int = 10) -> DataFrame:

@@ -20,10 +20,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.nulls import finite
 from ..functions.stats import fit_stats, group_quantiles, lit_or_null, same_keys
 from ..session import cut_lineage
 
@@ -174,30 +176,124 @@ def impute_auto(df: DataFrame, key: str, cols: Sequence[str], features: Sequence
     return out
 
 
-def impute_iterative(df: DataFrame, cols: Sequence[str], rounds: int = 10, reg: float = 1e-3) -> DataFrame:
+#: FIXED VALUES: the gamma priors of Bayesian ridge, its iterations and its tolerance.
+_PRIOR, _ITERATIONS, _CHANGE = 1e-6, 300, 1e-3
+
+
+#: Sums of Gram matrices that reach the driver at once.
+GRAM_ROOTS = 16
+
+
+def bayesian_ridge(gram: np.ndarray, n: float) -> tuple[np.ndarray, float]:
+    """(coefficients, intercept) of Bayesian ridge regression from the Gram
+    matrix of (1, features, target) over n rows: noise and weight precisions
+    by evidence maximisation, on the eigenvalues of the centred features."""
+    mean = gram[0, 1:] / n
+    c = gram[1:, 1:] - n * np.outer(mean, mean)
+    xx, xy, yy = c[:-1, :-1], c[:-1, -1], max(c[-1, -1], 0.0)
+    values, vectors = np.linalg.eigh(xx)
+    values, along = np.maximum(values, 0.0), vectors.T @ xy
+    alpha, lam, coef = 1.0 / (yy / n + np.finfo(float).eps), 1.0, None
+    solve = lambda: vectors @ (along / (values + lam / alpha))
+    for _ in range(_ITERATIONS):
+        before, coef = coef, solve()
+        rest = max(yy - 2 * coef @ xy + coef @ xx @ coef, 0.0)
+        gamma = (alpha * values / (lam + alpha * values)).sum()
+        lam = (gamma + 2 * _PRIOR) / ((coef ** 2).sum() + 2 * _PRIOR)
+        alpha = (n - gamma + 2 * _PRIOR) / (rest + 2 * _PRIOR)
+        if before is not None and np.abs(before - coef).sum() < _CHANGE:
+            break
+    coef = solve()
+    return coef, float(mean[-1] - mean[:-1] @ coef)
+
+
+def _filled(x: np.ndarray, missing: np.ndarray, updates: list) -> np.ndarray:
+    """x after the round's updates so far: (column, coefficients of the other
+    columns, intercept), in order."""
+    x = x.copy()
+    for c, coef, intercept in updates:
+        rows = missing[:, c]
+        x[rows, c] = np.delete(x[rows], c, axis=1) @ coef + intercept
+    return x
+
+
+def impute_iterative(df: DataFrame, cols: Sequence[str], rounds: int = 10, tol: float = 1e-3) -> DataFrame:
     """Chained-equation imputation.  Start from the column means; in each
-    round, for each column (fewest missing first) fit a ridge regression on
-    the rows where it was observed, using the other columns' current values,
-    and replace its missing entries by the prediction.  Lineage is cut into
-    the checkpoint folder after every round."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
+    round, for each column (fewest missing first) fit a Bayesian ridge
+    regression on the rows where it was observed, using the other columns'
+    current values, and replace its missing entries by the prediction.  Ends
+    after ``rounds`` rounds, or when no row changes by more than ``tol`` times
+    the largest observed absolute value (summed over its columns).
+
+    A fit is one scan, which adds the Gram matrix of its rows; the driver sees
+    matrices of the columns only.  The table is written once a round.  NaN and
+    infinite values are missing; a column without values stays null, is used
+    as 0 and takes no part otherwise; a single column gets its mean.
+    """
+    import pyarrow as pa
 
     cols = list(cols)
-    shares = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in cols]).first()
-    order = sorted([c for c in cols if shares[c] > 0], key=lambda c: (shares[c], c))
-    st = fit_stats(df, {c: ["mean"] for c in cols})
-    cur = df.select("*", *[F.col(c).isNull().alias(f"_m_{c}") for c in cols])
-    cur = cur.select([F.coalesce(F.col(c).cast("double"), lit_or_null(st[(c, "mean")])).alias(c) if c in cols
-                      else F.col(c) for c in cur.columns])
-    for _ in range(rounds):
+    p = len(cols)
+    value = [finite(F.col(c).cast("double")) for c in cols]
+    first = df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(value)], *[F.count(v).alias(f"n{i}") for i, v in enumerate(value)],
+                   *[F.max(F.abs(v)).alias(f"a{i}") for i, v in enumerate(value)], F.count(F.lit(1)).alias("n")).first()
+    means = [first[f"m{i}"] for i in range(p)]
+    order = sorted((i for i in range(p) if 0 < first[f"n{i}"] < first["n"]), key=lambda i: (first["n"] - first[f"n{i}"], cols[i]))
+    enough = tol * max((first[f"a{i}"] for i in range(p) if first[f"a{i}"] is not None), default=0.0)
+    own = [f"_x{i}" for i in range(p)]
+    cur = df.select(*[F.col(f"`{c}`") for c in df.columns], *[F.coalesce(v, lit_or_null(m), F.lit(0.0)).alias(x) for v, m, x in zip(value, means, own)],
+                    *[v.isNull().alias(f"_m{i}") for i, v in enumerate(value)])
+    cur = cut_lineage(cur)
+
+    def matrices(batch):
+        return (np.stack([batch.column(x).to_numpy(zero_copy_only=False) for x in own], axis=1) if p else np.empty((batch.num_rows, 0)),
+                np.stack([batch.column(f"_m{i}").to_numpy(zero_copy_only=False) for i in range(p)], axis=1) if p else np.empty((batch.num_rows, 0), bool))
+
+    def gram_of(c: int, updates: list) -> tuple[np.ndarray, float]:
+        def add(batches):
+            total = np.zeros((p + 1, p + 1))
+            for batch in batches:
+                x, missing = matrices(batch)
+                rows = ~missing[:, c]
+                x = _filled(x[rows], missing[rows], updates) - centre
+                z = np.column_stack([np.ones(len(x)), np.delete(x, c, axis=1), x[:, c]])
+                total += z.T @ z
+            yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "gram": [total.tobytes()]}, pa.schema([("part", pa.int32()), ("gram", pa.binary())]))
+
+        def merge(key, t):
+            held = t.sort_by("part").column("gram")
+            return pa.table({"root": pa.array([key[0].as_py()], pa.int32()), "gram": pa.array([sum(np.frombuffer(g.as_py(), float) for g in held).tobytes()], pa.binary())})
+
+        # one matrix per task; as many as GRAM_ROOTS sums of them reach the driver
+        parts = cur.select(*own, *[f"_m{i}" for i in range(p)]).mapInArrow(add, "part int, gram binary")
+        roots = parts.groupBy((F.col("part") % GRAM_ROOTS).alias("root")).applyInArrow(merge, "root int, gram binary")
+        held = sorted((r["root"], r["gram"]) for r in roots.collect())
+        total = sum((np.frombuffer(g, float) for _, g in held), np.zeros((p + 1) ** 2)).reshape(p + 1, p + 1)
+        return total, total[0, 0]
+
+    centre = np.array([m or 0.0 for m in means])
+    for _ in range(rounds if p > 1 else 0):
+        updates: list = []
         for c in order:
-            others = [o for o in cols if o != c]
-            va = VectorAssembler(inputCols=others, outputCol="_x", handleInvalid="keep")
-            obs = va.transform(cur.where(~F.col(f"_m_{c}")))
-            model = LinearRegression(featuresCol="_x", labelCol=c, regParam=reg, elasticNetParam=0.0,
-                                     predictionCol="_pred").fit(obs)
-            pred = model.transform(va.transform(cur)).drop("_x")
-            cur = pred.withColumn(c, F.when(F.col(f"_m_{c}"), F.col("_pred")).otherwise(F.col(c))).drop("_pred")
-        cur = cut_lineage(cur)
-    return cur.drop(*[f"_m_{c}" for c in cols])
+            gram, n = gram_of(c, updates)
+            coef, intercept = bayesian_ridge(gram, n)
+            others = np.delete(centre, c)
+            updates.append((c, coef, intercept + centre[c] - others @ coef))
+        if not updates:
+            break
+
+        def step(batches):
+            for batch in batches:
+                x, missing = matrices(batch)
+                new = _filled(x, missing, updates)
+                cols_out = [batch.column(n) if n not in own else pa.array(new[:, own.index(n)]) for n in batch.schema.names if n != "_change"]
+                names = [n for n in batch.schema.names if n != "_change"]
+                yield pa.RecordBatch.from_arrays([*cols_out, pa.array(np.abs(new - x).sum(axis=1))], names=[*names, "_change"])
+
+        kept = cur.drop("_change")
+        schema = T.StructType([*kept.schema.fields, T.StructField("_change", T.DoubleType())])
+        cur = cut_lineage(kept.mapInArrow(step, schema))
+        if (cur.agg(F.max("_change")).first()[0] or 0.0) < enough:
+            break
+    places = {c: i for i, c in enumerate(cols)}
+    return cur.select(*[F.when(F.lit(means[places[c]] is not None), F.col(own[places[c]])).alias(c) if c in places else F.col(f"`{c}`") for c in df.columns])

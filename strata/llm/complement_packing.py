@@ -96,7 +96,8 @@ class WordTable:
         cores, ends = [], []
         for w in words.to_pylist():
             core = w.rstrip(PUNCTUATION)
-            if not core or len(core) == len(w) or not core[-1].isalnum() or "<|" in w:
+            # (lower-casing may leave a mark behind a letter, which the tokenizer joins with the punctuation)
+            if not core or len(core) == len(w) or not core[-1].lower()[-1].isalnum() or "<|" in w:
                 core = w
             ends.append(w[len(core):])
             cores.append(core.lower() if core.isascii() and "<|" not in core else core)

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -102,3 +103,17 @@ def test_forgotten_words_come_back(monkeypatch):
         words = [r.choice(["the", "the.", "of", "A", f"w{r.randrange(40)},", f"x{r.randrange(40)}", "..."]) for _ in range(5)]
         ids, size = table.lookup(pa.array(words))
         assert ids.tolist() == [i for w in words for i in table.tokenizer.encode(w, add_special_tokens=False).ids] and len(size) == 5
+
+
+def test_every_cased_letter_before_punctuation():
+    """A word may end in any letter that changes with its case, or in one that
+    several code points make lower."""
+    with open(PATH, encoding="utf-8") as f:
+        text = f.read()
+    table, library = WordTable(text), Tokenizer.from_file(PATH)
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).lower() != chr(c)]
+    words = [f"{a}{c}{p}" for c in letters for a, p in (("a", "."), ("", "!?"), ("X", "-1"))]
+    ids, size = table.lookup(pa.array(words))
+    upto = np.concatenate([[0], np.cumsum(size)])
+    wrong = [w for k, w in enumerate(words) if ids[upto[k]:upto[k + 1]].tolist() != library.encode(w, add_special_tokens=False).ids]
+    assert "\u0130" in letters and not wrong

@@ -123,11 +123,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS):
 
     Learns only from labelled documents with crc32(doc_id as text) mod 5 not
     0, of them at most `per_class` of each class, those that come first by a
-    hash of doc_id.  Without both classes the weights are 0 and the bias is
-    the log odds of the labels seen (0 without labels).
+    hash of doc_id.  A doc_id with labels of both classes is not learnt from;
+    of rows that repeat a doc_id, the one whose text has the smallest hash is.
+    One task trains on this bounded sample, and only the weights reach the
+    driver.  Without both classes the weights are 0 and the bias is 8 (only
+    class 1 seen), -8 (only class 0) or 0 (no labels).
     """
     usable = labels.select("doc_id", F.col("quality").alias("label")).filter("doc_id is not null and label in (0, 1)") \
-        .filter("crc32(cast(doc_id as string)) % 5 <> 0").dropDuplicates(["doc_id"])
+        .filter("crc32(cast(doc_id as string)) % 5 <> 0").groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("_most")) \
+        .filter("label = _most").drop("_most")
     chosen = None
     for label in (0, 1):
         part = usable.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
@@ -139,27 +143,27 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS):
         for batch in batches:
             for run in slices(batch, most=RUN_BYTES):
                 found = _compact(run.column("text"))
-                yield pa.RecordBatch.from_arrays([run.column("doc_id"), run.column("label"), pa.array([b for b, _ in found], pa.list_(pa.int32())),
-                                                  pa.array([s for _, s in found], pa.list_(pa.float32()))], names=["doc_id", "label", "bucket", "share"])
+                yield pa.RecordBatch.from_arrays([run.column("doc_id"), run.column("label"), run.column("_h"), pa.array([b.tobytes() for b, _ in found], pa.binary()),
+                                                  pa.array([s.tobytes() for _, s in found], pa.binary())], names=["doc_id", "label", "_h", "bucket", "share"])
+
+    def learn(batches):
+        rows = {}
+        for batch in batches:
+            for i, label, h, bucket, share in zip(*(c.to_pylist() for c in batch.columns)):
+                if i not in rows or h < rows[i][0]:
+                    rows[i] = (h, label, bucket, share)
+        y = np.array([rows[i][1] for i in sorted(rows)], np.int64)
+        weights, bias = np.zeros(1 << BUCKETS_LOG2, np.float32), float(len(y) and (8.0 if y[0] else -8.0))
+        if len(set(y.tolist())) == 2:
+            vectors, out, biases = train([(np.frombuffer(rows[i][2], np.int32), np.frombuffer(rows[i][3], np.float32)) for i in sorted(rows)], y)
+            weights, bias = (vectors @ (out[:, 1] - out[:, 0])).astype(np.float32), float(biases[1] - biases[0])
+        yield pa.RecordBatch.from_pydict({"weights": [weights.tobytes()], "bias": [bias]})
 
     kind = picked.schema["doc_id"].dataType.simpleString()
-    got = picked.select("doc_id", "text", F.col("label").cast("int")).mapInArrow(
-        shares, f"doc_id {kind}, label int, bucket array<int>, share array<float>").toArrow()
-    rows = sorted(zip(got["doc_id"].to_pylist(), range(got.num_rows)))
-    labels_seen = got["label"].to_numpy()
-    order, seen = [], set()
-    for i, k in rows:
-        if i not in seen:
-            seen.add(i)
-            order.append(k)
-    y = np.array([labels_seen[k] for k in order], np.int64)
-    weights = np.zeros(1 << BUCKETS_LOG2, np.float32)
-    if len(set(y.tolist())) < 2:
-        return weights, float(len(y) and (8.0 if y[0] else -8.0))
-    bucket, share = got["bucket"].combine_chunks(), got["share"].combine_chunks()
-    sample = [(bucket[k].values.to_numpy(), share[k].values.to_numpy()) for k in order]
-    vectors, out, bias = train(sample, y)
-    return vectors @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0])
+    sample = picked.select("doc_id", "text", F.col("label").cast("int"), F.xxhash64("text").alias("_h")).mapInArrow(
+        shares, f"doc_id {kind}, label int, _h long, bucket binary, share binary")
+    got = sample.repartition(1).mapInArrow(learn, "weights binary, bias double").first()
+    return np.frombuffer(got["weights"], np.float32), got["bias"]
 
 
 def with_score(docs: DataFrame, weights: np.ndarray, bias: float, name: str = "score") -> DataFrame:

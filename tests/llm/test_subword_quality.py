@@ -82,3 +82,23 @@ def test_training_lowers_the_loss():
     v, o, b = train(sample, y)
     p = np.array([s @ v[k] @ (o[:, 1] - o[:, 0]) + b[1] - b[0] for k, s in sample])
     assert ((p > 0) == (y == 1)).all()
+
+
+def test_contradicting_labels_and_repeated_rows(spark):
+    """Labels of both classes for a document are passed over, and the row
+    order of repeated documents does not matter."""
+    docs, labels = [], []
+    for i in range(60):
+        docs.append((i, ("fine words here " if i % 2 else "zz qq zz ") * (1 + i % 4)))
+        labels.append((i, i % 2))
+    docs += [(i, "another text of the same document") for i in range(0, 60, 5)]
+    more = [(i, 1 - i % 2) for i in range(0, 60, 7)]
+    fits = []
+    for turn in (1, -1):
+        d = spark.createDataFrame(docs[::turn], "doc_id long, text string").repartition(3)
+        fits.append(fit(d, spark.createDataFrame((labels + more)[::turn], "doc_id long, quality int")))
+        fits.append(fit(d, spark.createDataFrame([x for x in labels if x[0] % 7], "doc_id long, quality int")))
+    for w, b in fits[1:]:
+        assert (w == fits[0][0]).all() and b == fits[0][1]
+    only = spark.createDataFrame([(i, 1) for i in range(9)], "doc_id long, quality int")
+    assert fit(spark.createDataFrame(docs, "doc_id long, text string"), only)[1] == 8.0

@@ -450,9 +450,9 @@ def r5(spark, sf):
 
 
 @register("r6_carrier_adjust", f"""WITH {SCORED},
-f AS MATERIALIZED (SELECT avg(s) FILTER (WHERE e4_carrier = 1) / avg(s) FILTER (WHERE e4_carrier = 0) AS multiplier FROM cat)
+m AS (SELECT {K}, e4_carrier, s, avg(s) FILTER (WHERE e4_carrier = 1) OVER () / avg(s) FILTER (WHERE e4_carrier = 0) OVER () AS multiplier FROM cat)
 SELECT {K}, CASE WHEN e4_carrier = 1 THEN 'High_Genetic_Risk' WHEN e4_carrier = 0 THEN 'Low_Genetic_Risk' END AS genetic_risk_stratum,
-  round(CASE WHEN e4_carrier = 1 THEN s * multiplier ELSE s END, 6) AS genetic_adjusted_risk FROM cat CROSS JOIN f""")
+  round(CASE WHEN e4_carrier = 1 THEN s * multiplier ELSE s END, 6) AS genetic_adjusted_risk FROM m""")
 def r6(spark, sf):
     out = R.carrier_adjust(scored(spark, sf), "e4_carrier", "composite_risk_score")
     return rounded(out.select("l_orderkey", "l_linenumber", "genetic_risk_stratum", "genetic_adjusted_risk"))

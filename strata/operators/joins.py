@@ -13,9 +13,9 @@ The theta joins of the reference are rewritten as equi-joins:
 * J8 nearest match: no pairs at all; left and right rows are merged in value
   order and each left row looks back / ahead for the nearest right value
   (windows inside value ranges, carries across ranges from a small table).
-* J9 greedy one-to-one match: rows are sequentially dependent only inside a
-  chain of overlapping tolerance windows, so each chain (not each block) is
-  one pandas call.
+* J9 greedy one-to-one match: right rows are cut into value ranges of a
+  bounded size that work side by side; left rows that another range may serve
+  better go there in the next round, until none moves.
 """
 
 from __future__ import annotations
@@ -23,12 +23,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.stats import group_quantiles, same_keys
+from ..functions.stats import global_row_number, group_quantiles, same_keys
 from ..session import cut_lineage
 
 
@@ -150,69 +151,172 @@ def nearest_match(left: DataFrame, right: DataFrame, eq: Sequence[tuple[str, str
     return L.join(cut_lineage(best), [*blocks, "_v"]).select(F.col("_lk").alias(lkey), F.col("_m").alias(f"match_{rkey}"), F.col("_d").alias("diff"))
 
 
+#: Right rows of one value range of a block.
+RANGE_SLOTS = 50_000
+
+
+class _Slots:
+    """Free right rows of a range, in order of value and key."""
+
+    def __init__(self, values: list, keys: list):
+        self.values, self.keys = values, keys
+        # nearest free place at or after / at or before a place, found by halving the paths walked
+        self.after, self.before = list(range(len(values) + 1)), list(range(-1, len(values)))
+
+    @staticmethod
+    def _find(link: list, i: int) -> int:
+        while link[i] != i:
+            link[i] = link[link[i]]
+            i = link[i]
+        return i
+
+    def nearest(self, v: float, tol: float):
+        """(distance, key, place) of the nearest free row within tol (ties:
+        smallest key), or None."""
+        import bisect
+
+        values, best = self.values, None
+        p = bisect.bisect_left(values, v)
+        r = self._find(self.after, p)
+        if r < len(values) and values[r] <= v + tol:
+            best = (abs(values[r] - v), self.keys[r], r)
+        left = self._before(p)
+        if left >= 0 and values[left] >= v - tol:
+            # of equal values the first free one has the smallest key
+            left = self._find(self.after, bisect.bisect_left(values, values[left]))
+            found = (abs(values[left] - v), self.keys[left], left)
+            if best is None or found < best:
+                best = found
+        return best
+
+    def _before(self, p: int) -> int:
+        """The last free place before p; places are shifted by one, 0 is none."""
+        i = p
+        while self.before[i] != i - 1:
+            nxt = self.before[i] + 1
+            self.before[i] = self.before[nxt] if self.before[nxt] != nxt - 1 else self.before[i]
+            i = nxt
+        return i - 1
+
+    def take(self, place: int) -> None:
+        self.after[place] = place + 1
+        self.before[place + 1] = self.before[place]
+
+
 def greedy_match(left: DataFrame, right: DataFrame, eq: Sequence[tuple[str, str]], lkey: str, lorder: str,
                  lcol: str, rkey: str, rcol: str, tol: float) -> DataFrame:
-    """Sequential one-to-one matching.  Left rows in ``lorder`` each take
-    the nearest (ties -> smallest right key) still-unused right row of the
-    same block within ``tol``.
-
-    Two left rows compete only when their tolerance windows reach a common
-    right row, so right rows are cut into chains (a gap > 2 tol between
-    consecutive right values of a block starts a new chain), each left row is
-    routed to the one chain its window can reach (equi-join on value
-    buckets, no candidate pairs), and each chain is matched in one pandas
-    call with a sorted search.  Chains are independent, so the result equals
-    the fully sequential one.
+    """Sequential one-to-one matching.  Left rows in ``lorder`` (ties: by
+    key; null last) each take the nearest (ties -> smallest right key)
+    still-unused right row of the same block within ``tol``.  Rows without a
+    value or with a null block match nothing; keys must not be null.
+
+    Right rows of a block are cut into ranges of RANGE_SLOTS rows, in order of
+    value and key, and matching goes in rounds.  A left row is at the range
+    that can hold its nearest right row; each range serves the rows that are
+    there in their order.  A row whose nearest free right row there is farther
+    than another range may offer (a bound that only grows) goes to that range
+    for the next round, with what it saw.  Right rows thus keep the earliest
+    row that asked, and refused rows go on to their next nearest; as all right
+    rows rank left rows alike, this ends in the sequential result, in whatever
+    order ranges work.  A range's right rows are in memory, its left rows are
+    streamed; only the ranges of blocks with more than one reach the driver.
     """
-    blocks = [f"_b{i}" for i in range(len(eq))]
-    width = float(tol) if tol > 0 else 1.0
+    import bisect
+    import pickle
+
+    blocks, tol = [f"_b{i}" for i in range(len(eq))], float(tol)
+    has_block = reduce(lambda x, y: x & y, [F.col(b).isNotNull() for b in blocks], F.lit(True))
     R = right.select(*[F.col(b).alias(n) for (_, b), n in zip(eq, blocks)], F.col(rkey).alias("_rk"),
-                     F.col(rcol).cast("double").alias("_rv")).where(F.col("_rv").isNotNull())
+                     F.col(rcol).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v") & has_block)
     L = left.select(*[F.col(a).alias(n) for (a, _), n in zip(eq, blocks)], F.col(lkey).alias("_lk"),
-                    F.col(lorder).alias("_lo"), F.col(lcol).cast("double").alias("_lv")).where(F.col("_lv").isNotNull())
-    w = Window.partitionBy(*blocks).orderBy("_rv", "_rk")
-    chained = (R.withColumn("_gap", F.coalesce((F.col("_rv") - F.lag("_rv").over(w) > 2 * tol).cast("int"), F.lit(0)))
-               .withColumn("_chain", F.sum("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_gap"))
-    # chain extent, spread over the value buckets it touches (bounded by value range / tol)
-    ext = chained.groupBy(*blocks, "_chain").agg(F.min("_rv").alias("_cmin"), F.max("_rv").alias("_cmax"))
-    ext = ext.select(*[F.col(b).alias(f"_e{b}") for b in blocks], F.col("_chain").alias("_echain"), "_cmin", "_cmax",
-                     F.explode(F.sequence(F.floor((F.col("_cmin") - tol) / width).cast("long"),
-                                          F.floor((F.col("_cmax") + tol) / width).cast("long"))).alias("_ebk"))
-    Lb = L.withColumn("_bk", F.floor(F.col("_lv") / width).cast("long"))
-    cond = [F.col(b) == F.col(f"_e{b}") for b in blocks] + [F.col("_bk") == F.col("_ebk")]
-    routed = (Lb.join(ext, cond)
-              .where((F.col("_lv") >= F.col("_cmin") - tol) & (F.col("_lv") <= F.col("_cmax") + tol))
-              .select(*blocks, F.col("_echain").alias("_chain"), "_lk", "_lo", "_lv"))
-    schema = T.StructType([T.StructField(lkey, left.schema[lkey].dataType),
-                           T.StructField(f"match_{rkey}", right.schema[rkey].dataType),
-                           T.StructField("diff", T.DoubleType())])
-
-    def run(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        import bisect
-        if lp.empty or rp.empty:
-            return pd.DataFrame({lkey: [], f"match_{rkey}": [], "diff": []})
-        rp = rp.sort_values(["_rv", "_rk"])
-        vals = rp["_rv"].tolist()
-        keys = rp["_rk"].tolist()
-        free = [True] * len(vals)
-        out = []
-        for lk, v in lp.sort_values(["_lo", "_lk"])[["_lk", "_lv"]].itertuples(index=False):
-            i = bisect.bisect_left(vals, v - tol)
-            best = None
-            while i < len(vals) and vals[i] <= v + tol:
-                if free[i]:
-                    cand = (abs(vals[i] - v), keys[i], i)
-                    if best is None or cand < best:
-                        best = cand
-                i += 1
-            if best is not None:
-                free[best[2]] = False
-                out.append((lk, best[1], float(best[0])))
-        return pd.DataFrame(out, columns=[lkey, f"match_{rkey}", "diff"])
-
-    return (routed.groupBy(*blocks, "_chain")
-            .cogroup(chained.select(*blocks, "_chain", "_rk", "_rv").groupBy(*blocks, "_chain"))
-            .applyInPandas(run, schema))
+                    F.col(lorder).alias("_lo"), F.col(lcol).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v") & has_block)
+    ranges: dict[tuple, list] = {}
+    several = R.groupBy(*blocks).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > RANGE_SLOTS).drop("_n")
+    extents = []
+    if several.isEmpty():
+        R = R.withColumn("_q", F.lit(0))
+    else:
+        numbered = global_row_number(R.join(several, blocks, "left_semi"), blocks, ["_v", "_rk"], "_rn")
+        cut = numbered.select(*R.columns, F.floor((F.col("_rn") - 1) / RANGE_SLOTS).cast("int").alias("_q"))
+        extents = cut.groupBy(*blocks, "_q").agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.min("_rk").alias("k")).collect()
+        R = cut.unionByName(R.join(several, blocks, "left_anti").withColumn("_q", F.lit(0)))
+    for r in sorted(extents, key=lambda r: r["_q"]):
+        ranges.setdefault(tuple(r[b] for b in blocks), []).append((r["lo"], r["hi"], r["k"]))
+    edges = {b: ([x[0] for x in e], [x[1] for x in e]) for b, e in ranges.items()}
+
+    def best_range(block: tuple, v: float, seen: dict):
+        """(bound, range) where the nearest right row may be, or None."""
+        lows, highs = edges[block]
+        found = None
+        for q in range(bisect.bisect_left(highs, v - tol), bisect.bisect_right(lows, v + tol)):
+            lo, hi, k = ranges[block][q]
+            bound = seen.get(q, (max(0.0, lo - v, v - hi), k))
+            if bound is not None and (found is None or (bound, q) < found):
+                found = (bound, q)
+        return found
+
+    def place(batches):
+        for f in batches:
+            q = []
+            for *block, v in zip(*(f.column(c).to_pylist() for c in [*blocks, "_v"])):
+                at = best_range(tuple(block), v, {}) if tuple(block) in ranges else (None, 0)
+                q.append(at[1] if at else -1)
+            yield f.append_column("_q", pa.array(q, pa.int32()))
+
+    kinds = ", ".join(f"`{n}` {t}" for n, t in L.dtypes)
+    rows = (L.mapInArrow(place, f"{kinds}, _q int").where("_q >= 0") if ranges else L.withColumn("_q", F.lit(0)))
+    rows = rows.withColumn("_seen", F.lit(None).cast("binary"))
+    order = [*blocks, "_q", "_kind", F.asc_nulls_last("_lo"), "_lk", "_v", "_rk"]
+    key_type, seen_type = right.schema[rkey].dataType, T.BinaryType()
+    slots = R.select(*blocks, "_q", F.lit(0).alias("_kind"), F.lit(None).cast(L.schema["_lo"].dataType).alias("_lo"),
+                     F.lit(None).cast(L.schema["_lk"].dataType).alias("_lk"), "_v", "_rk", F.lit(None).cast(seen_type).alias("_seen"))
+    names = [*blocks, "_q", "_lk", "_lo", "_v", "_seen"]
+    schema = T.StructType([*[rows.schema[n] for n in names], T.StructField("_rk", key_type), T.StructField("_d", T.DoubleType()), T.StructField("_moved", T.BooleanType())])
+
+    types = to_arrow_schema(schema)
+
+    def serve(batches):
+        now, free, values, keys = None, None, [], []
+        for f in batches:
+            out = []
+            for row in zip(*(f.column(c).to_pylist() for c in [*blocks, "_q", "_kind", "_lk", "_lo", "_v", "_seen", "_rk"])):
+                block, q, kind, lk, lo, v, seen, rk = row[:len(blocks)], *row[len(blocks):]
+                if (block, q) != now:
+                    now, free, values, keys = (block, q), None, [], []
+                if kind == 0:
+                    values.append(v)
+                    keys.append(rk)
+                    continue
+                if free is None:
+                    free = _Slots(values, keys)
+                got = free.nearest(v, tol)
+                if block in ranges:
+                    known = pickle.loads(seen) if seen else {}
+                    known[q] = got[:2] if got else None
+                    other = best_range(block, v, known)
+                    if other is not None and other[1] != q:
+                        out.append((*block, other[1], lk, lo, v, pickle.dumps(known), None, None, True))
+                        continue
+                    seen = pickle.dumps({k: b for k, b in known.items() if k != q})
+                if got:
+                    free.take(got[2])
+                out.append((*block, q, lk, lo, v, seen, got[1] if got else None, got[0] if got else None, False))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), types)], schema=types)
+
+    result = None
+    while True:
+        asked = rows.select(*blocks, "_q", F.lit(1).alias("_kind"), "_lo", "_lk", "_v", F.lit(None).cast(key_type).alias("_rk"), "_seen")
+        served = slots.unionByName(asked).repartition(*blocks, "_q").sortWithinPartitions(*order).mapInArrow(serve, schema)
+        if not ranges:
+            result = served
+            break
+        served = cut_lineage(served)
+        if served.where("_moved").isEmpty():
+            result = served
+            break
+        rows = served.select(*names)
+    return result.where(F.col("_rk").isNotNull()).select(F.col("_lk").alias(lkey), F.col("_rk").alias(f"match_{rkey}"), F.col("_d").alias("diff"))
 
 
 def key_overlap(sources: Mapping[str, DataFrame], key: str) -> DataFrame:

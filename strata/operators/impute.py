@@ -7,11 +7,9 @@ coordinates); a donor must have the target present; the imputed value is the
 mean of the k nearest donors (ties -> smaller donor key); a receiver with no
 comparable donor gets the column mean.
 
-Scale: receivers (rows with a gap) and donors are cut into blocks of a bounded
-size, inside their group where there is one, and every pair of blocks is one
-``cogroup`` call that keeps the k best candidates per receiver and target, so
-the shuffle behind it carries k rows per receiver and donor block, never all
-pairs.
+Scale: donors are cut into boxes, and a receiver (a row with a gap) is sent
+only to boxes that can hold one of its k nearest donors (``neighbours.py``), in
+blocks of a bounded size.
 """
 
 from __future__ import annotations
@@ -19,15 +17,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.nulls import finite
 from ..functions.stats import fit_stats, group_quantiles, lit_or_null, same_keys
 from ..session import cut_lineage
+from .neighbours import nearest_donors
 
 
 def impute(df: DataFrame, cols: Sequence[str], how: str = "median") -> DataFrame:
@@ -60,55 +58,17 @@ def impute_by_group(df: DataFrame, group: str, cols: Sequence[str]) -> DataFrame
                      if c in cols else F.col(c) for c in df.columns])
 
 
-
-def _best_donors(features: list[str], targets: list[str], k: int, tile: int = 128):
-    """cogroup body: for every receiver of a block and every target it lacks,
-    the k nearest donors of the other block (ties -> smaller donor key)."""
-    n_feat = len(features)
-
-    def fn(recv: pd.DataFrame, donors: pd.DataFrame) -> pd.DataFrame:
-        # donors in key order: among equal distances the first k are the smallest keys
-        donors = donors.sort_values("_key", kind="stable")
-        rx_all, dx = recv[features].to_numpy(dtype=float), donors[features].to_numpy(dtype=float)
-        rkeys, dkeys = recv["_key"].to_numpy(), donors["_key"].to_numpy()
-        pdn, found = ~np.isnan(dx), []
-        for r0 in range(0, len(rx_all), tile):
-            rx = rx_all[r0:r0 + tile]
-            prn = ~np.isnan(rx)
-            both = prn[:, None, :] & pdn[None, :, :]
-            diff = np.where(both, rx[:, None, :] - dx[None, :, :], 0.0)
-            n_both = both.sum(axis=2)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                dist = np.sqrt((diff * diff).sum(axis=2) * n_feat / n_both)
-            dist[n_both == 0] = np.inf
-            for ti, t in enumerate(targets):
-                fi = features.index(t)
-                need, has = np.flatnonzero(~prn[:, fi]), np.flatnonzero(pdn[:, fi])
-                if not len(need) or not len(has):
-                    continue
-                d = dist[np.ix_(need, has)]
-                kk = min(k, d.shape[1])
-                kth = np.partition(d, kk - 1, axis=1)[:, kk - 1:kk]
-                closer, tied = d < kth, d == kth
-                tied &= np.cumsum(tied, axis=1) <= kk - closer.sum(axis=1, keepdims=True)
-                ri, ci = np.nonzero((closer | tied) & np.isfinite(d))
-                found.append(pd.DataFrame({"_rk": rkeys[r0:r0 + tile][need][ri], "_t": np.full(len(ri), ti, dtype="int32"),
-                                           "_dk": dkeys[has][ci], "_d": d[ri, ci], "_val": dx[has, fi][ci]}))
-        if not found:
-            return pd.DataFrame({"_rk": [], "_t": [], "_dk": [], "_d": [], "_val": []})
-        return pd.concat(found)
-    return fn
-
-
 def impute_knn(df: DataFrame, key: str, features: Sequence[str], targets: Sequence[str] | None = None,
-               k: int = 5, group: str | None = None, receiver_rows: int = 2000, donor_rows: int = 20000) -> DataFrame:
+               k: int = 5, group: str | None = None, receiver_rows: int = 1000, donor_rows: int = 5000, tested=None) -> DataFrame:
     """T3 (and T4 with ``group``): kNN imputation of ``targets`` (default all
-    features) from the other rows, or those of the same group; ``key`` is a
-    key of any type and must be unique and not null (an error else).  A group
-    that is null has no donors.
-
-    Compares every receiver with every donor of its group, block by block, in
-    one distributed job.
+    features, of which they must be a part) from the other rows, or those of
+    the same group; ``key`` is a key of any type and must be unique and not
+    null (an error else).  A group that is null has no donors.  NaN and infinite
+    values are missing as coordinates; null targets are filled.
+
+    Exact, but a receiver meets only the boxes of donors that can hold one of
+    its k nearest (``neighbours.py``); ``tested`` is an accumulator of the pairs
+    compared.
     """
     features = list(features)
     targets = list(targets or features)
@@ -120,24 +80,12 @@ def impute_knn(df: DataFrame, key: str, features: Sequence[str], targets: Sequen
     for t in targets:
         miss = miss | F.col(t).isNull()
     means = fit_stats(df, {t: ["mean"] for t in targets})
-    rows = base.select("_key", (F.col(group) if group else F.lit(0)).alias("_grp"), *[F.col(f).cast("double").alias(f) for f in features], miss.alias("_miss"))
+    xs = [f"_x{i}" for i in range(len(features))]
+    rows = base.select("_key", (F.col(group) if group else F.lit(0)).alias("_grp"),
+                       *[finite(F.col(f).cast("double")).alias(x) for f, x in zip(features, xs)], miss.alias("_miss"))
     rows = rows.where(F.col("_grp").isNotNull())
-    blocks = cut_lineage(rows.groupBy("_grp").agg(
-        F.greatest(F.lit(1), F.ceil(F.count_if("_miss") / receiver_rows)).cast("int").alias("_nr"),
-        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / donor_rows)).cast("int").alias("_nd")))
-    rows = rows.join(blocks, "_grp")
-    mine = F.xxhash64("_key")
-    recv = rows.where("_miss").withColumn("_r", F.pmod(mine, F.col("_nr")).cast("int")).withColumn("_dd", F.explode(F.expr("sequence(0, _nd - 1)")))
-    donors = rows.withColumn("_dd", F.pmod(mine, F.col("_nd")).cast("int")).withColumn("_r", F.explode(F.expr("sequence(0, _nr - 1)")))
-    cols = ["_grp", "_r", "_dd", "_key", *features]
-    recv, donors = recv.select(cols), donors.select(*[F.col(c).alias(c) for c in cols])
-    kind = base.schema["_key"].dataType
-    schema = T.StructType([T.StructField("_rk", kind), T.StructField("_t", T.IntegerType()), T.StructField("_dk", kind),
-                           T.StructField("_d", T.DoubleType()), T.StructField("_val", T.DoubleType())])
-    by = ["_grp", "_r", "_dd"]
-    cand = recv.groupBy(*by).cogroup(donors.groupBy(*by)).applyInPandas(_best_donors(features, targets, k), schema)
-    w = Window.partitionBy("_rk", "_t").orderBy("_d", "_dk")
-    fills = cand.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).groupBy("_rk", "_t").agg(F.avg("_val").alias("_fill"))
+    near = nearest_donors(rows, xs, [features.index(t) for t in targets], k, receiver_rows, donor_rows, tested)
+    fills = near.groupBy("_rk", "_t").agg(F.avg("_val").alias("_fill"))
     wide = fills.groupBy(F.col("_rk").alias("_key")).pivot("_t", list(range(len(targets)))).agg(F.first("_fill"))
     out = base.join(wide, "_key", "left")
     sel = []

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import agg as A
 from ..operators import windows as W
 from .basics import LI_NULL, li_null
-from .longitudinal import SCALE, VISITS, VISITS_NULL, visits
+from .longitudinal import SCALE, VISITS, VISITS_NULL, t_pvalue_sql, visits
 from .registry import register, rounded, table
 
 
@@ -155,17 +155,21 @@ def a13(spark, sf):
     return rounded(A.corr_pairs(li_null(spark, sf), ["l_quantity", "l_discount", "l_tax", "l_extendedprice"], 0.5))
 
 
-@register("a14_welch_t", """WITH s AS (SELECT count(*) FILTER (WHERE c_custkey % 2 = 0) AS n_a, avg(c_acctbal) FILTER (WHERE c_custkey % 2 = 0) AS mean_a,
+WELCH = """s AS (SELECT count(*) FILTER (WHERE c_custkey % 2 = 0) AS n_a, avg(c_acctbal) FILTER (WHERE c_custkey % 2 = 0) AS mean_a,
   var_samp(c_acctbal) FILTER (WHERE c_custkey % 2 = 0) AS var_a, count(*) FILTER (WHERE c_custkey % 2 = 1) AS n_b,
-  avg(c_acctbal) FILTER (WHERE c_custkey % 2 = 1) AS mean_b, var_samp(c_acctbal) FILTER (WHERE c_custkey % 2 = 1) AS var_b FROM customer)
-SELECT n_a, n_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round((mean_a - mean_b) / sqrt(var_a / n_a + var_b / n_b), 6) AS t_stat,
-  round(power(var_a / n_a + var_b / n_b, 2) / (power(var_a / n_a, 2) / (n_a - 1) + power(var_b / n_b, 2) / (n_b - 1)), 6) AS dof FROM s""")
+  avg(c_acctbal) FILTER (WHERE c_custkey % 2 = 1) AS mean_b, var_samp(c_acctbal) FILTER (WHERE c_custkey % 2 = 1) AS var_b FROM customer),
+w AS (SELECT *, (mean_a - mean_b) / sqrt(var_a / n_a + var_b / n_b) AS t,
+  power(var_a / n_a + var_b / n_b, 2) / (power(var_a / n_a, 2) / (n_a - 1) + power(var_b / n_b, 2) / (n_b - 1)) AS nu FROM s)"""
+WELCH_OUT = "n_a, n_b, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(t, 6) AS t_stat, round(nu, 6) AS dof"
+
+
+@register("a14_welch_t", f"WITH {WELCH} SELECT {WELCH_OUT} FROM w")
 def a14(spark, sf):
     c = table(spark, sf, "customer").withColumn("g", F.col("c_custkey") % 2)
     return rounded(A.welch_t(c, "g", "c_acctbal", 0, 1).drop("p_value"))
 
 
-@register("a14_welch_p")
+@register("a14_welch_p", f"WITH {WELCH} SELECT {WELCH_OUT}, round({t_pvalue_sql('t', 'nu')}, 6) AS p_value FROM w")
 def a14p(spark, sf):
     c = table(spark, sf, "customer").withColumn("g", F.col("c_custkey") % 2)
     return rounded(A.welch_t(c, "g", "c_acctbal", 0, 1))

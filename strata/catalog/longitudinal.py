@@ -212,7 +212,24 @@ def g3(spark, sf):
     return rounded(G.subject_slope(v, KEY, "t_months", "score").select("visit_id", "overall_slope"))
 
 
-TREND_SQL = f"""WITH {VISITS},
+def t_pvalue_sql(t: str, nu: str) -> str:
+    """Two-sided Student-t tail of the columns t and nu (doubles) in DuckDB SQL:
+    the incomplete beta function's continued fraction, 600 levels from the last
+    one up, on the side on which it converges."""
+    def side(a: str, b: str, x: str) -> str:
+        i = "floor(m / 2)"
+        fraction = (f"list_reduce(list_transform(range(600, 0, -1), lambda k: CAST(k AS DOUBLE)), lambda y, m: "
+                    f"CASE WHEN m % 2 = 1 THEN -({a} + {i}) * ({a} + {b} + {i}) * {x} ELSE {i} * ({b} - {i}) * {x} END "
+                    f"/ (({a} + m - 1) * ({a} + m)) / (1.0 + y), CAST(0 AS DOUBLE))")
+        return (f"exp(-{nu} / 2 * ln(1 + {t} * {t} / {nu}) + 0.5 * ln({t} * {t} / ({nu} + {t} * {t})) "
+                f"- (lgamma({nu} / 2) + lgamma(0.5) - lgamma({nu} / 2 + 0.5))) / ({a}) / (1.0 + {fraction})")
+
+    x, rest = f"({nu} / ({nu} + {t} * {t}))", f"({t} * {t} / ({nu} + {t} * {t}))"
+    return (f"CASE WHEN NOT {nu} > 0 THEN NULL WHEN {t} = 0 THEN 1.0 WHEN {x} < ({nu} / 2 + 1) / ({nu} / 2 + 2.5) "
+            f"THEN {side(f'{nu} / 2', '0.5', x)} ELSE 1.0 - {side('0.5', f'{nu} / 2', rest)} END")
+
+
+TREND_SUMS = f"""WITH {VISITS},
 h AS (SELECT subject, t_months - avg(t_months) OVER (PARTITION BY subject) AS t, score AS y,
   CAST(row_number() OVER ({WIN}) > floor(count(*) OVER (PARTITION BY subject) / 2) AS INTEGER) AS hf FROM visits),
 g AS (SELECT subject, count(*) AS n, count(DISTINCT t) AS nt, regr_slope(y, t) AS slope,
@@ -221,13 +238,26 @@ g AS (SELECT subject, count(*) AS n, count(DISTINCT t) AS nt, regr_slope(y, t) A
   avg(y) FILTER (WHERE hf = 0) AS m1, avg(y) FILTER (WHERE hf = 1) AS m2,
   var_samp(y) FILTER (WHERE hf = 0) AS v1, var_samp(y) FILTER (WHERE hf = 1) AS v2,
   count(*)::DOUBLE AS s0, sum(t) AS s1, sum(t*t) AS s2, sum(t*t*t) AS s3, sum(t*t*t*t) AS s4,
-  sum(y) AS sy, sum(t*y) AS sty, sum(t*t*y) AS st2y FROM h GROUP BY subject)
-SELECT subject, n, round(slope, 6) AS slope,
-  round(r * sqrt((n - 2) / ((1.0 - r + 1e-20) * (1.0 + r + 1e-20))), 6) AS t_slope,
-  round((m1 - m2) / nullif(sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2)), 0), 6) AS t_half,
-  round(CASE WHEN nt >= 3 THEN 100.0 * (s0 * (s2 * st2y - sty * s3) - s1 * (s1 * st2y - sty * s2) + sy * (s1 * s3 - s2 * s2))
-   / nullif(s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2), 0) END, 4) AS curvature
-FROM g"""
+  sum(y) AS sy, sum(t*y) AS sty, sum(t*t*y) AS st2y FROM h GROUP BY subject)"""
+
+T_SLOPE, T_HALF = (
+    "r * sqrt((n - 2) / ((1.0 - r + 1e-20) * (1.0 + r + 1e-20)))",
+    "(m1 - m2) / nullif(sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2)), 0)")
+CURVATURE = """CASE WHEN nt >= 3 THEN 100.0 * (s0 * (s2 * st2y - sty * s3) - s1 * (s1 * st2y - sty * s2) + sy * (s1 * s3 - s2 * s2))
+   / nullif(s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2), 0) END"""
+
+TREND_SQL = f"""{TREND_SUMS}
+SELECT subject, n, round(slope, 6) AS slope, round({T_SLOPE}, 6) AS t_slope, round({T_HALF}, 6) AS t_half, round({CURVATURE}, 4) AS curvature FROM g"""
+
+TREND_CLASS_SQL = f"""{TREND_SUMS},
+t AS (SELECT *, CASE WHEN n >= 3 THEN {T_SLOPE} END AS ts, CAST(n - 2 AS DOUBLE) AS us,
+  CASE WHEN n1 > 1 AND n2 > 1 THEN {T_HALF} END AS th, CAST(n1 + n2 - 2 AS DOUBLE) AS uh, {CURVATURE} AS curvature FROM g),
+p AS (SELECT *, {t_pvalue_sql("ts", "us")} AS p_value, {t_pvalue_sql("th", "uh")} AS p_half FROM t)
+SELECT subject, n, round(slope, 6) AS slope, round(p_value, 6) AS p_value, round(th, 6) AS t_half, round(p_half, 6) AS p_half, round(curvature, 4) AS curvature,
+  CASE WHEN n < 3 THEN 'insufficient_data' WHEN nt = 1 THEN 'constant_time'
+   WHEN p_value < 0.05 THEN CASE WHEN slope > 0.03 THEN 'progressive' WHEN slope < -0.03 THEN 'improving' ELSE 'stable' END
+   WHEN p_half < 0.1 THEN CASE WHEN m2 - m1 > 0.05 THEN 'progressive' WHEN m2 - m1 < -0.05 THEN 'improving' ELSE 'stable' END
+   WHEN abs(curvature) > 0.5 THEN 'nonlinear' ELSE 'stable' END AS pattern FROM p"""
 
 
 @register("g4_trend_moments", TREND_SQL)
@@ -237,10 +267,12 @@ def g4m(spark, sf):
     return rounded(m.select(KEY, "n", "slope", "t_slope", "t_half", F.round("curvature", 4).alias("curvature")))
 
 
-@register("g4_trend_class")
+@register("g4_trend_class", TREND_CLASS_SQL)
 def g4c(spark, sf):
     v = visits(spark, sf)
-    return rounded(G.classify_trend(v, KEY, ORDER, "t_months", "score"))
+    out = G.classify_trend(v, KEY, ORDER, "t_months", "score")
+    # the parabola's coefficient to 4 places, as its sums cancel
+    return rounded(out.withColumn("curvature", F.round("curvature", 4)))
 
 
 @register("g5_progression_pattern", f"""WITH {VISITS},

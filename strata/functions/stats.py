@@ -13,11 +13,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from .nulls import col_
@@ -187,57 +184,51 @@ def rank_pct(df: DataFrame, c: str, out: str, ascending: bool = True) -> DataFra
 
 
 # ---------------------------------------------------------------------------
-# Student-t tail probability (no scipy): regularized incomplete beta by
-# Lentz's continued fraction.
-
-def _betacf(a: float, b: float, x: float) -> float:
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 300):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        de = d * c
-        h *= de
-        if abs(de - 1.0) < 3e-16:
-            break
-    return h
-
-
-def betainc_reg(a: float, b: float, x: float) -> float:
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    lbt = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    if x < (a + 1.0) / (a + b + 2.0):
-        return math.exp(lbt) * _betacf(a, b, x) / a
-    return 1.0 - math.exp(lbt) * _betacf(b, a, 1.0 - x) / b
-
-
-def t_two_sided_p(t: float, dof: float) -> float | None:
-    if t is None or dof is None or not np.isfinite(t) or not np.isfinite(dof) or dof <= 0:
-        return None
-    return betainc_reg(dof / 2.0, 0.5, dof / (dof + t * t))
-
-
-@F.pandas_udf(T.DoubleType())
-def t_pvalue(t: pd.Series, dof: pd.Series) -> pd.Series:
-    """Two-sided Student-t p-value, vectorised over an Arrow batch."""
-    vals = [t_two_sided_p(a, b) if pd.notna(a) and pd.notna(b) else None for a, b in zip(t, dof)]
-    return pd.Series(vals, dtype="float64")
+#: FIXED VALUES: the largest number of levels of the continued fraction, and
+#: the shift from which Stirling's series of ln gamma (four terms) is used.
+_LEVELS, _SHIFT = 600, 8
+
+
+def ln_gamma(x: Column) -> Column:
+    """Natural logarithm of the gamma function for x > 0: Stirling's series at
+    x + 8, less the logarithm of the factors between."""
+    between = x
+    for i in range(1, _SHIFT):
+        between = between * (x + i)
+    y = x + _SHIFT
+    z = 1.0 / (y * y)
+    series = (1.0 / 12 - z * (1.0 / 360 - z * (1.0 / 1260 - z / 1680))) / y
+    return (y - 0.5) * F.ln(y) - y + 0.5 * math.log(2 * math.pi) + series - F.ln(between)
+
+
+def t_pvalue(t, dof) -> Column:
+    """Two-sided Student-t p-value as an expression: the regularised incomplete
+    beta function I_x(dof / 2, 1 / 2) at x = dof / (dof + t^2), by its continued
+    fraction from the last level up.  The fraction is taken on the side on which
+    it converges fast; levels grow with the square root of dof, to at most 600.
+    Null where t or dof is null or not finite, or dof is not positive."""
+    t, nu = col_(t).cast("double"), col_(dof).cast("double")
+    inf = float("inf")
+    valid = (F.abs(t) < inf) & (nu > 0) & (nu < inf)  # NaN is above infinity
+    t, nu = F.when(valid, t), F.when(valid, nu)
+    x, rest = nu / (nu + t * t), t * t / (nu + t * t)
+    low = x < (nu / 2 + 1) / (nu / 2 + 2.5)
+    half = F.lit(0.5)
+    p = F.struct(F.when(low, nu / 2).otherwise(half).alias("a"), F.when(low, half).otherwise(nu / 2).alias("b"),
+                 F.when(low, x).otherwise(rest).alias("x"))
+
+    def level(below: Column, m: Column) -> Column:
+        a, b, at, i = p["a"], p["b"], p["x"], F.floor(m / 2)
+        odd = -(a + i) * (a + b + i) * at / ((a + m - 1) * (a + m))
+        even = i * (b - i) * at / ((a + m - 1) * (a + m))
+        return F.try_divide(F.when(m % 2 == 1, odd).otherwise(even), 1.0 + below)
+
+    levels = F.least(F.lit(_LEVELS), 40 + 6 * F.ceil(F.sqrt(nu))).cast("int")
+    tail = F.aggregate(F.sequence(levels, F.lit(1), F.lit(-1)), F.lit(0.0), level)
+    # x^(dof/2) (1-x)^(1/2) / B(dof/2, 1/2), with ln x as a logarithm near 1
+    ln_front = -nu / 2 * F.log1p(t * t / nu) + half * F.ln(rest) - (ln_gamma(nu / 2) + 0.5 * math.log(math.pi) - ln_gamma(nu / 2 + 0.5))
+    part = F.try_divide(F.exp(ln_front) / p["a"], 1.0 + tail)
+    return F.when(t == 0, 1.0).otherwise(F.when(low, part).otherwise(1.0 - part))
 
 
 def global_row_number(df: DataFrame, groups: list[str], order: list, out: str = "row_no") -> DataFrame:

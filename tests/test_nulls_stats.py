@@ -70,11 +70,26 @@ def test_global_row_number_matches_window(spark):
     assert got["rn"].tolist() == exp["rn"].tolist()
 
 
-def test_t_pvalue_known_values():
+def tail_by_quadrature(t: float, dof: float) -> float:
+    """Two-sided Student-t tail: Simpson's rule over the angle atan(t / sqrt(dof))."""
+    from math import atan, exp, lgamma, pi, sqrt
+    th = np.linspace(atan(abs(t) / sqrt(dof)), pi / 2, 200001)
+    y = np.abs(np.cos(th)) ** (dof - 1)
+    area = (y[0] + y[-1] + 4 * y[1::2].sum() + 2 * y[2:-1:2].sum()) * (th[1] - th[0]) / 3
+    return 2 * exp(lgamma((dof + 1) / 2) - lgamma(dof / 2)) / sqrt(pi) * float(area)
+
+
+def test_t_pvalue_is_the_tail_integral(spark):
     # two-sided Student-t tails: t=2.228 with 10 dof is the 5 % point; t=0 gives 1
-    assert S.t_two_sided_p(2.228138852, 10) == pytest.approx(0.05, abs=1e-7)
-    assert S.t_two_sided_p(0.0, 5) == pytest.approx(1.0)
-    assert S.t_two_sided_p(1.959963985, 1e7) == pytest.approx(0.05, abs=1e-5)
+    pairs = [(2.228138852, 10.0), (0.0, 5.0), (1.959963985, 1e7), (-2.228138852, 10.0)]
+    pairs += [(t, d) for t in (0.01, 0.7, 1.5, 1.75, 4.0, 12.0) for d in (1.0, 2.0, 3.0, 7.5, 48.0, 333.3, 20000.0)]
+    odd = [(None, 3.0), (1.0, None), (float("nan"), 3.0), (float("inf"), 3.0), (1.0, float("nan")), (1.0, 0.0), (1.0, -2.0)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs + odd)], "i int, t double, d double")
+    got = [r["p"] for r in df.select("i", S.t_pvalue("t", "d").alias("p")).orderBy("i").collect()]
+    assert got[0] == pytest.approx(0.05, abs=1e-9) and got[1] == 1.0 and got[2] == pytest.approx(0.05, abs=1e-7) and got[3] == got[0]
+    for (t, d), p in zip(pairs[4:], got[4:]):
+        assert p == pytest.approx(tail_by_quadrature(t, d), abs=1e-8), (t, d)
+    assert got[len(pairs):] == [None] * len(odd)
 
 
 def test_row_stats_match_pandas(spark):

@@ -36,7 +36,9 @@ def q2(spark, sf):
     return rounded(Q.missing_report({"lineitem": li_null(spark, sf), "supplier": table(spark, sf, "supplier")}))
 
 
-@register("q3_id_candidates")
+@register("q3_id_candidates", """WITH c AS (SELECT 'l_orderkey' AS "column", count(DISTINCT l_orderkey) AS n_distinct FROM lineitem
+  UNION ALL SELECT 'l_partkey', count(DISTINCT l_partkey) FROM lineitem UNION ALL SELECT 'l_suppkey', count(DISTINCT l_suppkey) FROM lineitem)
+SELECT "column", n_distinct, CAST(row_number() OVER (ORDER BY n_distinct DESC, "column") = 1 AS INTEGER) AS is_best FROM c""")
 def q3(spark, sf):
     return Q.id_candidates(table(spark, sf, "lineitem"))
 

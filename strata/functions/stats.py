@@ -15,6 +15,7 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from .nulls import col_
@@ -251,6 +252,56 @@ def global_row_number(df: DataFrame, groups: list[str], order: list, out: str =
     return same_keys(rows, held, [*groups, "_p"]).withColumn(out, F.col("_at") + F.col("_shift")).drop("_at", "_p", "_shift")
 
 
+def _slots(df: DataFrame, c: str) -> tuple[Column, Column, Column] | None:
+    """A value as (long, double, string), one of them filled, so that values
+    of a column are equal exactly when their slots are; None for nested types."""
+    x, t = F.col(c), df.schema[c].dataType
+    whole, real, text = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
+    if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
+        whole = x.cast("long")
+    elif isinstance(t, T.DateType):
+        whole = F.unix_date(x).cast("long")
+    elif isinstance(t, T.TimestampType):
+        whole = F.unix_micros(x)
+    elif isinstance(t, (T.FloatType, T.DoubleType)):
+        real = x.cast("double")
+    elif isinstance(t, T.BinaryType):
+        text = F.hex(x)
+    elif t == T.StringType() or isinstance(t, (T.DecimalType, T.TimestampNTZType)):
+        text = x.cast("string")
+    else:
+        return None
+    return whole, real, text
+
+
+def distinct_counts(df: DataFrame, names: Mapping[str, str], approx: bool = False) -> list[DataFrame]:
+    """One-row frames with the distinct count of each column, under the given
+    names (nulls are not counted; NaN is a value, -0.0 equals 0.0).
+
+    Exact counts of all columns come from one scan and one shuffle: rows are
+    melted to (column, value), tasks drop repeated pairs before the shuffle, and
+    a value's hash, not its column, decides which task counts it.  Columns of
+    nested types, which have no such form, share one aggregate of their own."""
+    if approx:
+        return [df.agg(*[F.approx_count_distinct(c).alias(n) for c, n in names.items()])] if names else []
+    flat, nested = {}, []
+    for c in names:
+        slots = _slots(df, c)
+        if slots is None:
+            nested.append(c)
+        else:
+            flat[c] = slots
+    out = []
+    if flat:
+        entries = [F.struct(F.lit(i).alias("i"), a.alias("a"), b.alias("b"), t.alias("t")) for i, (a, b, t) in enumerate(flat.values())]
+        pairs = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*").where("a IS NOT NULL OR b IS NOT NULL OR t IS NOT NULL")
+        counts = pairs.distinct().groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+        out.append(counts.agg(*[F.coalesce(F.max(F.when(F.col("i") == i, F.col("n"))), F.lit(0)).alias(names[c]) for i, c in enumerate(flat)]))
+    if nested:
+        out.append(df.agg(*[F.count_distinct(F.col(c)).alias(names[c]) for c in nested]))
+    return out
+
+
 def pair_corr(x, y) -> Column:
     """Pearson correlation over rows where both are present (like ``corr``)
     but null instead of an ANSI divide-by-zero error for a constant side."""

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import safe_div
 from ..functions.gram import pair_correlations
-from ..functions.stats import group_quantiles, pair_corr, same_keys, t_pvalue
+from ..functions.stats import distinct_counts, group_quantiles, pair_corr, same_keys, t_pvalue
 
 _FNS = {
     "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "count": F.count, "sum": F.sum,
@@ -115,9 +115,8 @@ def pivot_count(df: DataFrame, index: str, columns: str, values: Sequence | None
 def distinct_profile(df: DataFrame, key: str, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """Distinct count of every column, rows, and records per subject."""
     cols = list(cols or df.columns)
-    cd = F.approx_count_distinct if approx else F.count_distinct
     per = df.groupBy(key).agg(F.count(F.lit(1)).alias("_r"))
-    a = df.agg(F.count(F.lit(1)).alias("rows"), *[cd(c).alias(f"{c}_distinct") for c in cols])
+    a = reduce(_one_row_concat, distinct_counts(df, {c: f"{c}_distinct" for c in cols}, approx), df.agg(F.count(F.lit(1)).alias("rows")))
     b = per.agg(F.avg("_r").alias("records_per_subject_mean"), F.max("_r").alias("records_per_subject_max"))
     return _one_row_concat(a, b)
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.stats import corrected_skew, pair_corr
+from ..functions.stats import corrected_skew, distinct_counts, pair_corr
 from .agg import _one_row_concat, corr_matrix
 from .select import NUMERIC
 
@@ -44,19 +44,6 @@ def length_range(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                                                 F.max(F.length(c)).alias(f"{c}_max_len"))])
 
 
-#: Distinct counts of one aggregate: Spark copies every row once for each of them.
-DISTINCT_BATCH = 8
-
-
-def distinct_counts(df: DataFrame, names: Mapping[str, str], approx: bool = False) -> list[DataFrame]:
-    """One-row frames with the distinct count of each column, under the given
-    names; exact counts in batches of DISTINCT_BATCH columns."""
-    if approx:
-        return [df.agg(*[F.approx_count_distinct(c).alias(n) for c, n in names.items()])] if names else []
-    cols = list(names)
-    return [df.agg(*[F.count_distinct(F.col(c)).alias(names[c]) for c in cols[i:i + DISTINCT_BATCH]]) for i in range(0, len(cols), DISTINCT_BATCH)]
-
-
 def profile_columns(df: DataFrame, cols: Sequence[str] | None = None, approx_distinct: bool = False) -> DataFrame:
     """Q1: one row per column: type, non-null count, null %, distinct count,
     numeric min / max / mean / std, string min / max length."""
@@ -118,7 +105,7 @@ def id_candidates(df: DataFrame, words: Sequence[str] = ID_WORDS) -> DataFrame:
     cands = [c for c in df.columns if any(w in c.lower() for w in words)]
     if not cands:
         return df.sparkSession.createDataFrame([], "column string, n_distinct long, is_best int")
-    row = df.agg(*[F.count_distinct(c).alias(f"d{i}") for i, c in enumerate(cands)])
+    row = reduce(_one_row_concat, distinct_counts(df, {c: f"d{i}" for i, c in enumerate(cands)}))
     long = row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"d{i}").alias("n_distinct"))
                                           for i, c in enumerate(cands)])).alias("e")).select("e.*")
     return _with_best(long)

@@ -323,6 +323,16 @@ def m19b(spark, sf):
     return M.cluster_auto(_cluster_input(spark, sf), CLUSTER_BY, "gmm")[0].select("o_orderkey", "cluster")
 
 
+@register("m20_fit_ward_auto")
+def m20w(spark, sf):
+    return rounded(M.cluster_auto(_cluster_input(spark, sf), CLUSTER_BY, "ward")[1])
+
+
+@register("m20_ward_assignment")
+def m20wa(spark, sf):
+    return M.cluster_auto(_cluster_input(spark, sf), CLUSTER_BY, "ward")[0].select("o_orderkey", "cluster")
+
+
 @register("m20_fit_bisecting_auto")
 def m20(spark, sf):
     return rounded(M.cluster_auto(_cluster_input(spark, sf), CLUSTER_BY, "bisecting")[1])

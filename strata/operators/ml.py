@@ -33,6 +33,7 @@ from ..session import cut_lineage
 from .scale import label_encode, scale_standard
 from .select import NUMERIC, hash_unit
 from .trees import Boost, blocks_of, boost, fit_bins, forest_errors
+from .ward import fit_ward
 from .windows import subject_window
 
 
@@ -497,8 +498,9 @@ def _best(rows: list[tuple], at: int, pick) -> int | None:
 
 def cluster_auto(df: DataFrame, feats: Sequence[str], method: str = "kmeans", ks: Sequence[int] = range(2, 8),
                  seed: int = 42) -> tuple[DataFrame, DataFrame, object]:
-    """Cluster with the best k.  k-means (best of 10 starts by cost)
-    and bisecting k-means take the k with the largest silhouette (squared
+    """Cluster with the best k.  k-means (best of 10 starts by cost),
+    Ward's agglomerative clustering (``ward``, one tree for every k) and
+    bisecting k-means take the k with the largest silhouette (squared
     Euclidean), Gaussian mixtures the one with the smallest BIC
     p ln n - 2 log L, p = k (d + d (d + 1) / 2) + k - 1.
 
@@ -507,6 +509,9 @@ def cluster_auto(df: DataFrame, feats: Sequence[str], method: str = "kmeans", ks
     ``transform`` assigns new rows.  The assembled matrix is written once."""
     a = cut_lineage(assemble(df.dropna(subset=list(feats)), feats))
     n, d, rows, models = a.count(), len(feats), [], {}
+    if method == "ward":
+        tree = fit_ward(a)
+        a = cut_lineage(tree.assign(a))
     for k in ks:
         if method == "gmm":
             m = GaussianMixture(k=k, seed=seed).fit(a)
@@ -517,6 +522,9 @@ def cluster_auto(df: DataFrame, feats: Sequence[str], method: str = "kmeans", ks
             starts = [KMeans(k=k, seed=seed + i).fit(a) for i in range(10)]
             m = min(starts, key=lambda x: x.summary.trainingCost)
             rows.append((int(k), _silhouette(m, a), float(m.summary.trainingCost)))
+        elif method == "ward":
+            m = tree.at(k)
+            rows.append((int(k), _silhouette(m, a)))
         else:
             m = BisectingKMeans(k=k, seed=seed).fit(a)
             rows.append((int(k), _silhouette(m, a)))

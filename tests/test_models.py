@@ -71,7 +71,7 @@ def test_progression_features(spark):
     assert got[("d", 1.0, 2.0)]["rate_of_change"] is None and got[("e", 2.0, 3.0)]["overall_slope"] == 0.0
 
 
-@pytest.mark.parametrize("method", ["kmeans", "gmm", "bisecting"])
+@pytest.mark.parametrize("method", ["kmeans", "gmm", "bisecting", "ward"])
 def test_clusters_are_assigned(spark, method):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(c, .2, size=(40, 2)) for c in ((0, 0), (5, 5), (0, 6))])

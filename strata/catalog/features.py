@@ -512,7 +512,12 @@ def r11(spark, sf):
     return rounded(R.stratum_metrics(s, ["risk_category", "hierarchical_stratum"]))
 
 
-@register("r12_consensus_stratum")
+LABEL_SQL = "regexp_extract({}, '(Low|Moderate|High|Critical)', 1)"
+
+
+@register("r12_consensus_stratum", f"""WITH {SCORED}, h AS (SELECT *, {HIER_SQL} AS hs, {THR_SQL} AS bs FROM cat),
+l AS (SELECT {K}, {LABEL_SQL.format('risk_category')} AS a, {LABEL_SQL.format('bs')} AS b, {LABEL_SQL.format('hs')} AS c FROM h)
+SELECT {K}, CASE WHEN a = b OR a = c THEN a WHEN b = c THEN b ELSE coalesce(a, b, c) END AS consensus_stratum FROM l""")
 def r12(spark, sf):
     s = _combined(spark, sf)
     lab = lambda c: F.regexp_extract(F.col(c), "(Low|Moderate|High|Critical)", 1)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import bin_right_closed, row_mean
 from ..functions.stats import fit_stats, lit_or_null
+from ..session import cut_lineage
 from .agg import value_counts
 
 # FIXED VALUES: composite weights and category cut points of the reference
@@ -127,7 +128,8 @@ def cluster_stratum(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = (2,
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.feature import VectorAssembler
 
-    data = VectorAssembler(inputCols=list(cols), outputCol="_f").transform(df.dropna(subset=list(cols)))
+    # written once: four fits and four evaluations read it
+    data = cut_lineage(VectorAssembler(inputCols=list(cols), outputCol="_f").transform(df.dropna(subset=list(cols))))
     best = None
     for k in ks:
         m = KMeans(k=k, seed=seed, featuresCol="_f", predictionCol="_c").fit(data)

@@ -80,7 +80,7 @@ def test_pruned_knn_equals_all_pairs_and_tests_few(spark):
     times fewer pairs than receivers x donors."""
     pdf, feats = clustered(12000), list("abcd")
     tested = spark.sparkContext.accumulator(0)
-    got = I.impute_knn(spark.createDataFrame(pdf), "key", feats, ["a", "d"], k=4, receiver_rows=500, donor_rows=1000, tested=tested).toPandas()
+    got = I.impute_knn(spark.createDataFrame(pdf), "key", feats, ["a", "d"], k=4, receiver_rows=60, donor_rows=1000, tested=tested).toPandas()
     x, keys = pdf[feats].to_numpy(float), pdf["key"].to_numpy()
     present, full = ~np.isnan(x), 0
     exp = pdf.set_index("key")

@@ -18,7 +18,7 @@ from itertools import product
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
+from pyspark.ml.clustering import BisectingKMeans, GaussianMixture
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 from ..functions.nulls import clip, finite
 from ..functions.stats import fit_stats, group_quantiles, lit_or_null, rank_pct, same_keys
 from ..session import cut_lineage
+from .kmeans import fit_kmeans
 from .scale import label_encode, scale_standard
 from .select import NUMERIC, hash_unit
 from .trees import Boost, blocks_of, boost, fit_bins, forest_errors
@@ -498,8 +499,8 @@ def _best(rows: list[tuple], at: int, pick) -> int | None:
 
 def cluster_auto(df: DataFrame, feats: Sequence[str], method: str = "kmeans", ks: Sequence[int] = range(2, 8),
                  seed: int = 42) -> tuple[DataFrame, DataFrame, object]:
-    """Cluster with the best k.  k-means (best of 10 starts by cost),
-    Ward's agglomerative clustering (``ward``, one tree for every k) and
+    """Cluster with the best k.  k-means (best of 10 starts by cost,
+    all starts and k advance side by side, see ``kmeans``), Ward's agglomerative clustering (``ward``, one tree for every k) and
     bisecting k-means take the k with the largest silhouette (squared
     Euclidean), Gaussian mixtures the one with the smallest BIC
     p ln n - 2 log L, p = k (d + d (d + 1) / 2) + k - 1.
@@ -512,6 +513,8 @@ def cluster_auto(df: DataFrame, feats: Sequence[str], method: str = "kmeans", ks
     if method == "ward":
         tree = fit_ward(a)
         a = cut_lineage(tree.assign(a))
+    elif method == "kmeans":
+        fitted = dict(zip(ks, fit_kmeans(a, list(ks), 10, seed=seed)))
     for k in ks:
         if method == "gmm":
             m = GaussianMixture(k=k, seed=seed).fit(a)
@@ -519,9 +522,8 @@ def cluster_auto(df: DataFrame, feats: Sequence[str], method: str = "kmeans", ks
             p = k * (d + d * (d + 1) / 2) + k - 1
             rows.append((int(k), ll, p * math.log(n) - 2 * ll))
         elif method == "kmeans":
-            starts = [KMeans(k=k, seed=seed + i).fit(a) for i in range(10)]
-            m = min(starts, key=lambda x: x.summary.trainingCost)
-            rows.append((int(k), _silhouette(m, a), float(m.summary.trainingCost)))
+            m, cost, score = fitted[k]
+            rows.append((int(k), score, cost))
         elif method == "ward":
             m = tree.at(k)
             rows.append((int(k), _silhouette(m, a)))

@@ -11,6 +11,7 @@ from ..functions.nulls import bin_right_closed, row_mean
 from ..functions.stats import fit_stats, lit_or_null
 from ..session import cut_lineage
 from .agg import value_counts
+from .kmeans import fit_kmeans
 
 # FIXED VALUES: composite weights and category cut points of the reference
 RISK_WEIGHTS = {"genetic": 0.20, "demographic": 0.15, "biomarker": 0.25, "neuroimaging": 0.25,
@@ -124,24 +125,13 @@ def cluster_stratum(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = (2,
     """K-means on the complete rows with k chosen by silhouette; clusters
     are renumbered by the mean of their first feature, and the three lowest
     get Low / Moderate / High (the reference labels three clusters only)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.feature import VectorAssembler
 
-    # written once: four fits and four evaluations read it
     data = cut_lineage(VectorAssembler(inputCols=list(cols), outputCol="_f").transform(df.dropna(subset=list(cols))))
-    best = None
-    for k in ks:
-        m = KMeans(k=k, seed=seed, featuresCol="_f", predictionCol="_c").fit(data)
-        pred = m.transform(data)
-        if pred.select("_c").distinct().limit(2).count() < 2:
-            s = float("-inf")
-        else:
-            s = ClusteringEvaluator(featuresCol="_f", predictionCol="_c").evaluate(pred)
-        if best is None or s > best[0]:
-            best = (s, m)
-    pred = best[1].transform(data)
-    centers = sorted(range(len(best[1].clusterCenters())), key=lambda i: best[1].clusterCenters()[i][0])
+    fitted = fit_kmeans(data, list(ks), 1, "_f", "_c", seed)
+    model = max(fitted, key=lambda m: float("-inf") if m[2] is None else m[2])[0]
+    pred = model.transform(data)
+    centers = sorted(range(len(model.centres)), key=lambda i: model.centres[i][0]) or [0]
     order = {c: r for r, c in enumerate(centers)}
     rank = F.element_at(F.create_map(*[x for c, r in order.items() for x in (F.lit(c), F.lit(r))]), F.col("_c"))
     labels = F.element_at(F.create_map(F.lit(0), F.lit("Low_Biomarker_Risk"), F.lit(1), F.lit("Moderate_Biomarker_Risk"),

@@ -128,6 +128,14 @@ def m6(spark, sf):
     return rounded(M.grid_search(z, "y", "o_orderkey", ("ridge", "lasso", "elastic_net")))
 
 
+@register("m6_grid_search_svr")
+def m6s(spark, sf):
+    """The linear support-vector grid on 5 folds, all models side by side."""
+    d, feats = prepared(spark, sf)
+    z = M.assemble(scale_standard(d.drop("features"), feats, suffix="_z"), [f"{c}_z" for c in feats])
+    return rounded(M.grid_search(z, "y", "o_orderkey", ("linear_svr",)))
+
+
 @register("m6_grid_search_forest")
 def m6b(spark, sf):
     """All forest grid points on 5 folds; trees need no scaling."""

@@ -33,6 +33,7 @@ from ..session import cut_lineage
 from .kmeans import fit_kmeans
 from .scale import label_encode, scale_standard
 from .select import NUMERIC, hash_unit
+from .support import Support, fit_support, held_out_errors
 from .trees import Boost, blocks_of, boost, fit_bins, forest_errors
 from .ward import fit_ward
 from .windows import subject_window
@@ -97,6 +98,12 @@ def fit_second_order(df: DataFrame, label: str, key: str, feats: Sequence[str],
     return boost(blocks_of(df, edges, label, key), edges, [Boost(depth, rate, l2, gamma)], rounds)[0][0]
 
 
+def fit_support_reg(df: DataFrame, label: str, C: float = 1.0, epsilon: float = 0.1, features: str = "features"):  # noqa: N803
+    """M6: linear support-vector regression (``support.fit_support``); rows
+    without a label are left out."""
+    return fit_support(df, label, [Support(C, epsilon)], features)[0]
+
+
 def class_weights(df: DataFrame, y: str, out: str = "class_weight", manual: Mapping | None = None) -> DataFrame:
     """M5: balanced weight n / (k * n_c) per row (aggregate + join), or a
     manual class -> weight map."""
@@ -139,6 +146,7 @@ GRIDS = {
     "lasso": {"alpha": [0.001, 0.01, 0.1, 1.0]},
     "elastic_net": {"alpha": [0.01, 0.1, 1.0], "l1_ratio": [0.1, 0.5, 0.9]},
     "random_forest": {"n_estimators": [50, 100, 200], "max_depth": [5, 10, None], "min_samples_split": [2, 5]},
+    "linear_svr": {"C": [0.1, 1.0, 10.0]},
     "gradient_boosting": {"n_estimators": [50, 100, 200], "learning_rate": [0.01, 0.1, 0.2], "max_depth": [3, 5, 7]},
 }
 
@@ -171,8 +179,8 @@ def grid_estimator(kind: str, params: Mapping, label: str, n: float, sd: float,
 
 def grid_search(df: DataFrame, label: str, key, kinds: Sequence[str] = tuple(GRIDS), k: int = 5,
                 grids: Mapping[str, Mapping] = GRIDS, features: str | Sequence[str] = "features") -> DataFrame:
-    """M6: k-fold grid search over the regularisation, forest and boosting
-    parameters: one row per kind and grid point with its parameters (JSON),
+    """M6: k-fold grid search over the regularisation, support-vector, forest
+    and boosting parameters: one row per kind and grid point with its parameters (JSON),
     mean RMSE over the folds and whether it is the best of its kind.  Folds
     come from the key's hash; the folded matrix is written once.
 
@@ -186,7 +194,8 @@ def grid_search(df: DataFrame, label: str, key, kinds: Sequence[str] = tuple(GRI
     rows = []
     for kind in kinds:
         points = [dict(zip(grids[kind], values)) for values in product(*grids[kind].values())]
-        score = {"random_forest": _forest_grid, "gradient_boosting": _boosting_grid}.get(kind, _linear_grid)
+        score = {"random_forest": _forest_grid, "gradient_boosting": _boosting_grid,
+                 "linear_svr": _support_grid}.get(kind, _linear_grid)
         found = score(kind, f, label, key, points, k, features)
         means = [sum(e) / len(e) if (e := [x for x in errors if x is not None]) else None for errors in found]
         low = min((m for m in means if m is not None), default=None)
@@ -238,6 +247,13 @@ def _boosting_grid(kind: str, f: DataFrame, label: str, key, points: list, k: in
     return [[rmse[each.index((p["learning_rate"], p["max_depth"])) * k + i, p["n_estimators"]] for i in range(k)] for p in points]
 
 
+def _support_grid(kind: str, f: DataFrame, label: str, key, points: list, k: int, features: str) -> list[list]:
+    """All points and folds advance side by side."""
+    models = [Support(p["C"], p.get("epsilon", 0.1), fold=i) for p in points for i in range(k)]
+    errors = held_out_errors(f, fit_support(f, label, models, features, "fold"), models, label, features, "fold")
+    return [errors[j * k:(j + 1) * k] for j in range(len(points))]
+
+
 def fold_column(df: DataFrame, key, k: int, label: str | None = None, seed: int = 42, out: str = "fold") -> DataFrame:
     """Deterministic fold ids: hash of the key mod k, or (stratified) the
     rank inside the class in hash order mod k."""

@@ -121,14 +121,14 @@ def threshold_stratum(df: DataFrame, c: str, lo: float = 0.33, hi: float = 0.67,
                          .when(F.col(c) <= tl, "Low_Biomarker_Risk").otherwise("Moderate_Biomarker_Risk"))
 
 
-def cluster_stratum(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = (2, 3, 4, 5), seed: int = 42) -> DataFrame:
-    """K-means on the complete rows with k chosen by silhouette; clusters
+def cluster_stratum(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = (2, 3, 4, 5), seed: int = 42, starts: int = 10) -> DataFrame:
+    """K-means (best of ``starts``) on the complete rows with k chosen by silhouette; clusters
     are renumbered by the mean of their first feature, and the three lowest
     get Low / Moderate / High (the reference labels three clusters only)."""
     from pyspark.ml.feature import VectorAssembler
 
     data = cut_lineage(VectorAssembler(inputCols=list(cols), outputCol="_f").transform(df.dropna(subset=list(cols))))
-    fitted = fit_kmeans(data, list(ks), 1, "_f", "_c", seed)
+    fitted = fit_kmeans(data, list(ks), starts, "_f", "_c", seed)
     model = max(fitted, key=lambda m: float("-inf") if m[2] is None else m[2])[0]
     pred = model.transform(data)
     centers = sorted(range(len(model.centres)), key=lambda i: model.centres[i][0]) or [0]

@@ -300,6 +300,12 @@ def g7(spark, sf):
     return G.change_points(visits(spark, sf), KEY, ORDER, "score")
 
 
+@register("g7_change_points_long")
+def g7b(spark, sf):
+    """One long series per kind of event; kernel sums by tiles."""
+    return G.change_points(table(spark, sf, "events"), "event_type", ["ts", "event_id"], "value", tile_from=1000)
+
+
 @register("g8_change_point_summary")
 def g8(spark, sf):
     return rounded(G.change_point_summary(G.change_points(visits(spark, sf), KEY, ORDER, "score")))

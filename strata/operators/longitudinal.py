@@ -2,9 +2,8 @@
 
 Per-subject loops of the reference become windows (ordered work) or
 ``groupBy`` aggregates (moments, slopes).  Only the change-point dynamic
-program (G7) runs per subject in pandas, and only on subjects whose series
-fit a configured size; trend p-values use a vectorised pandas UDF over the
-one-row-per-subject result.
+program (G7) runs per subject in pandas; the kernel sums of long series are
+made by many tasks before it.
 """
 
 from __future__ import annotations
@@ -20,6 +19,7 @@ from pyspark.sql import types as T
 from ..functions.nulls import clip, safe_div
 from ..functions.stats import fit_stats, pair_corr, t_pvalue
 from ..session import cut_lineage
+from .tiled_pelt import pelt_from_strips, strip_sums, tile_size
 from .windows import _as_list, subject_window
 
 
@@ -268,29 +268,66 @@ CP_SCHEMA = T.StructType([T.StructField("subject", T.StringType()), T.StructFiel
 
 
 def change_points(df: DataFrame, key: str, order, y: str, min_points: int = 5, penalty: float = 2.0,
-                  min_size: int = 2) -> DataFrame:
+                  min_size: int = 2, tile_from: int = 10_000) -> DataFrame:
     """Change points per subject with >= ``min_points`` non-null values:
     min-max normalise (``(v - min) / (max - min + 1e-8)``), PELT with the RBF
     cost, keep breakpoints strictly inside ``(0, n - 1)``.
 
-    The kernel cost needs the whole ordered series, so each subject is one
-    pandas call, whatever its length; memory grows linearly with the series.
-    Rows without a subject are no series.
+    A series of fewer than ``tile_from`` points is one pandas call.  The kernel
+    sums of longer ones are made by many tasks (``tiled_pelt``), and only the
+    recursion over them is one call, with memory linear in the series (up to
+    1,600 bytes a point; 5 million points at most, an Arrow column's limit).
+    Both give the same change points.  Rows without a subject are no series.
     """
     order = _as_list(order)
-    vals = df.where(F.col(y).isNotNull() & F.col(key).isNotNull())
+    by = [f"o{i}" for i in range(len(order))]
+    vals = (df.where(F.col(y).isNotNull() & F.col(key).isNotNull())
+            .select(F.col(key).alias("k"), *[F.col(o).alias(a) for o, a in zip(order, by)], F.col(y).cast("double").alias("y")))
+    long = vals.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(tile_from, min_points)).select("k")
+
+    def values(pdf: pd.DataFrame) -> np.ndarray:
+        v = pdf.sort_values(by)["y"].to_numpy(dtype=float)
+        return (v - v.min()) / (v.max() - v.min() + 1e-8)
+
+    def row(subject, n: int, ends: list[int]) -> pd.DataFrame:
+        cps = [c for c in ends if 0 < c < n - 1]
+        return pd.DataFrame({"subject": [str(subject)], "n_points": [n], "n_change_points": [len(cps)], "change_points": [cps]})
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) < min_points:
             return pd.DataFrame(columns=CP_SCHEMA.names, dtype=object)
-        pdf = pdf.sort_values(order)
-        v = pdf[y].to_numpy(dtype=float)
-        v = (v - v.min()) / (v.max() - v.min() + 1e-8)
-        cps = [c for c in pelt_rbf(v, penalty, min_size) if 0 < c < len(v) - 1]
-        return pd.DataFrame({"subject": [str(pdf[key].iloc[0])], "n_points": [len(v)],
-                             "n_change_points": [len(cps)], "change_points": [cps]})
-
-    return vals.select(key, *order, y).groupBy(key).applyInPandas(run, CP_SCHEMA)
+        v = values(pdf)
+        return row(pdf["k"].iloc[0], len(v), pelt_rbf(v, penalty, min_size))
+
+    if long.isEmpty():
+        return vals.groupBy("k").applyInPandas(run, CP_SCHEMA)
+
+    def written(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = values(pdf)
+        med = median_squared_distance(v)
+        return pd.DataFrame({"k": pdf["k"].iloc[:1], "tiles": [-(-len(v) // tile_size(len(v)))],
+                             "gamma": [1.0 / med if med != 0 else 1.0], "x": [v.tobytes()]})
+
+    def strip(pdf: pd.DataFrame) -> pd.DataFrame:
+        one = pdf.iloc[0]
+        got = strip_sums(np.frombuffer(one["x"]), one["gamma"], int(one["tile"]))
+        return pd.DataFrame({"k": pdf["k"].iloc[:1], "tile": [int(one["tile"])], "strip": [got.tobytes()]})
+
+    def walk(series: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        x, gamma = np.frombuffer(series["x"].iloc[0]), float(series["gamma"].iloc[0])
+        size, parts = tile_size(len(x)), parts.sort_values("tile")
+        strips = (np.frombuffer(s).reshape(len(x[t * size:(t + 1) * size]), t) for t, s in zip(parts["tile"], parts["strip"]))
+        return row(series["k"].iloc[0], len(x), pelt_from_strips(x, gamma, strips, penalty, min_size))
+
+    kind = T.StructField("k", vals.schema["k"].dataType)
+    whole = T.StructType([kind, T.StructField("tiles", T.IntegerType()), T.StructField("gamma", T.DoubleType()), T.StructField("x", T.BinaryType())])
+    piece = T.StructType([kind, T.StructField("tile", T.IntegerType()), T.StructField("strip", T.BinaryType())])
+    series = cut_lineage(vals.join(long, "k", "left_semi").groupBy("k").applyInPandas(written, whole))
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    strips = (series.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+              .repartition(spread, "k", "tile").groupBy("k", "tile").applyInPandas(strip, piece))     # a task per tile, whatever their bytes
+    short = vals.join(long, "k", "left_anti").groupBy("k").applyInPandas(run, CP_SCHEMA)
+    return short.unionByName(series.groupBy("k").cogroup(strips.groupBy("k")).applyInPandas(walk, CP_SCHEMA))
 
 
 def change_point_summary(cp: DataFrame) -> DataFrame:

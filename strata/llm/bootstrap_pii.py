@@ -177,29 +177,35 @@ def joined(spans: Column) -> Column:
 def redact(docs: DataFrame, **how) -> DataFrame:
     """`docs` with every span in text replaced by [KIND]; overlapping spans
     are replaced together, by the kind of the first.  n_chars, where there is
-    such a column, follows the text.  Only texts with spans meet the list of
-    spans; other rows and columns pass unchanged."""
-    spans = find_pii(docs.select("doc_id", "text"), **how)
-    spans = spans.select("text_key", F.concat("base", "more").alias("s")).filter("size(s) > 0").dropDuplicates(["text_key"])
-    spans = spans.select("text_key", F.explode("s").alias("s")).select("text_key", "s.*")
+    such a column, follows the text.  Texts meet their spans by two 64-bit
+    hashes (128 bits), and only texts with spans meet the list of spans; other
+    rows and columns, whatever their names, pass unchanged."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keys = F.xxhash64(text), F.xxhash64(F.lit(17), text)
+    free = max(map(len, docs.columns)) * "_"             # longer than any column's name with a letter before it
+    key, key2, spans_of = (f"{n}{free}" for n in ("k", "l", "s"))
+    # the second hash goes where find_pii carries an id along
+    spans = find_pii(docs.select(keys[1].alias("doc_id"), "text"), **how).withColumnsRenamed({"text_key": key, "doc_id": key2})
+    by = [key, key2]
+    spans = spans.select(*by, F.concat("base", "more").alias("s")).filter("size(s) > 0").dropDuplicates(by)
+    spans = spans.select(*by, F.explode("s").alias("s")).select(*by, "s.*")
     # overlapping spans become one; each knows where the one before it ended
-    so_far = Window.partitionBy("text_key").orderBy("start", "rank", "end")
+    so_far = Window.partitionBy(*by).orderBy("start", "rank", "end")
     spans = spans.withColumn("new", (F.col("start") >= F.coalesce(F.max("end").over(so_far.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
-    spans = spans.withColumn("island", F.sum("new").over(so_far)).groupBy("text_key", "island").agg(
+    spans = spans.withColumn("island", F.sum("new").over(so_far)).groupBy(*by, "island").agg(
         F.min(F.struct("start", "rank", "kind")).alias("first"), F.max("end").alias("stop"))
-    spans = spans.withColumn("after", F.coalesce(F.lag("stop").over(Window.partitionBy("text_key").orderBy("island")), F.lit(0).cast("long")))
-    spans = spans.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("island", "after", F.col("first.start").alias("start"), "stop", F.col("first.kind").alias("kind")))).alias("_spans"))
-    spans = cut_lineage(spans.withColumnRenamed("text_key", "_key"))
+    spans = spans.withColumn("after", F.coalesce(F.lag("stop").over(Window.partitionBy(*by).orderBy("island")), F.lit(0).cast("long")))
+    spans = cut_lineage(spans.groupBy(*by).agg(F.sort_array(F.collect_list(
+        F.struct("island", "after", F.col("first.start").alias("start"), "stop", F.col("first.kind").alias("kind")))).alias(spans_of)))
 
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    both = docs.withColumn("_key", key).join(spans, "_key", "left")
+    both = docs.withColumn(key, keys[0]).withColumn(key2, keys[1]).join(spans, by, "left")
 
     def between(after, until):
         return F.substring(F.col("text"), (after + 1).cast("int"), (until - after).cast("int"))
 
-    done = F.concat(F.array_join(F.transform("_spans", lambda s: F.concat(between(s["after"], s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))), ""),
-                    between(F.element_at("_spans", -1)["stop"], F.length("text")))
-    both = both.withColumn("text", F.when(F.col("_spans").isNotNull(), done).otherwise(F.col("text")))
+    done = F.concat(F.array_join(F.transform(spans_of, lambda s: F.concat(between(s["after"], s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))), ""),
+                    between(F.element_at(spans_of, -1)["stop"], F.length("text")))
+    both = both.withColumn("text", F.when(F.col(spans_of).isNotNull(), done).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return both.select(*docs.columns)
+        both = both.withColumn("n_chars", F.when(F.col(spans_of).isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return both.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -102,6 +102,16 @@ def test_redaction(spark):
     assert redact(odd).columns == odd.columns and redact(odd).count() == len(rows()) and redact(no_docs(spark)).count() == 0
 
 
+def test_redaction_with_clashing_columns(spark):
+    clash = ("_spans", "_key", "text_key", "s", "k", "start", "end", "kind", "island", "base", "a.b")
+    docs = docs_of(spark, ["mail a.b@c.de!", "clean", "mail a.b@c.de!"])
+    for c in clash:
+        docs = docs.withColumn(c, F.lit("kept"))
+    got = redact(docs).collect()
+    assert redact(docs).columns == docs.columns and sorted(r.text for r in got) == ["clean", "mail [EMAIL]!", "mail [EMAIL]!"]
+    assert all(r[c] == "kept" for r in got for c in clash)
+
+
 @pytest.mark.parametrize("kind", list(PLAIN))
 def test_all_kinds_have_a_rule(kind):
     assert kind in RULES and len(SCHEMA) > 2

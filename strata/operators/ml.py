@@ -12,9 +12,11 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from itertools import product
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
@@ -39,6 +41,18 @@ from .ward import fit_ward
 from .windows import subject_window
 
 
+#: fits that may run at the same time
+SIDE_BY_SIDE = 4
+
+
+def side_by_side(spark, fits: Sequence, run) -> list:
+    """``run(x)`` for every x, a few at a time: small fits leave most of a
+    cluster idle between their jobs.  Results are in the order of ``fits``, and
+    the first error is raised."""
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(run), fits))
+
+
 # -- M1 ---------------------------------------------------------------------------
 
 def prepare_matrix(df: DataFrame, target: str, exclude: Sequence[str] = (), max_missing: float = 0.5,
@@ -205,18 +219,18 @@ def grid_search(df: DataFrame, label: str, key, kinds: Sequence[str] = tuple(GRI
 
 
 def _linear_grid(kind: str, f: DataFrame, label: str, key, points: list, k: int, features: str) -> list[list]:
-    """RMSE of each point in each fold, one fit each."""
+    """RMSE of each point in each fold, one fit each, a few at a time."""
     n, sd = size_and_sd(f, label)
     n = n * (k - 1) / k
-    out = []
-    for params in points:
+
+    def error(one: tuple) -> float | None:
+        params, i = one
         est = grid_estimator(kind, params, label, n, sd, features)
-        errors = []
-        for i in range(k):
-            pred = est.fit(f.where(F.col("fold") != i)).transform(f.where(F.col("fold") == i))
-            errors.append(pred.agg(F.sqrt(F.avg(F.pow(F.col(label) - F.col("prediction"), 2)))).first()[0])
-        out.append(errors)
-    return out
+        pred = est.fit(f.where(F.col("fold") != i)).transform(f.where(F.col("fold") == i))
+        return pred.agg(F.sqrt(F.avg(F.pow(F.col(label) - F.col("prediction"), 2)))).first()[0]
+
+    errors = side_by_side(f.sparkSession, list(product(points, range(k))), error)
+    return [errors[j * k:(j + 1) * k] for j in range(len(points))]
 
 
 def _feature_columns(f: DataFrame, features: str | Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -270,16 +284,18 @@ def cross_validate(df: DataFrame, est, label: str, key, k: int = 5, metric: str
     """M7: k-fold scores: one row per fold plus mean / std rows (RMSE for
     regression, weighted F1 for classification)."""
     f = cut_lineage(fold_column(df, key, k, label if stratify else None))
-    rows = []
-    for i in range(k):
-        model = est.fit(f.where(F.col("fold") != i))
+    spark = df.sparkSession
+
+    def score(i: int) -> tuple[int, float]:
+        model = est.copy().fit(f.where(F.col("fold") != i))
         pred = model.transform(f.where(F.col("fold") == i))
         if metric == "rmse":
             v = regression_metrics(pred, label, prediction).where(F.col("metric") == "rmse").first()["value"]
         else:
             v = classification_metrics(pred, label, prediction).where(F.col("metric") == "f1_weighted").first()["value"]
-        rows.append((i, float(v)))
-    spark = df.sparkSession
+        return i, float(v)
+
+    rows = side_by_side(spark, list(range(k)), score)
     scores = spark.createDataFrame(rows, "fold int, score double")
     mean = sum(r[1] for r in rows) / k
     std = math.sqrt(sum((r[1] - mean) ** 2 for r in rows) / (k - 1)) if k > 1 else 0.0
@@ -432,20 +448,22 @@ def fit_stacking(df: DataFrame, label: str, key: str, bases: Mapping[str, object
                  features: str = "features", task: str = "regression") -> Stacking:
     """Out-of-fold predictions of every base model (k folds by key hash)
     train the model on top, ridge with alpha 0.1 or logistic regression; the
-    base models are then fitted anew on all rows.  The folded matrix is
-    written once; ``oof`` of the result holds the out-of-fold predictions."""
+    base models are fitted anew on all rows, all of them a few at a time.  The
+    folded matrix is written once; ``oof`` of the result holds the out-of-fold predictions."""
     f = cut_lineage(fold_column(df, key, k))
     n, sd = size_and_sd(f, label)
     bases = dict(bases or stacking_bases(label, task, n, sd, features))
+    each = [(name, i) for name in bases for i in (None, *range(k))]
+    models = dict(zip(each, side_by_side(df.sparkSession, each, lambda one: bases[one[0]].copy().fit(
+        f if one[1] is None else f.where(F.col("fold") != one[1])))))
     oof = f.select(key, label)
-    for name, est in bases.items():
-        parts = [est.fit(f.where(F.col("fold") != i)).transform(f.where(F.col("fold") == i)).select(key, F.col("prediction").alias(f"pred_{name}"))
-                 for i in range(k)]
+    for name in bases:
+        parts = [models[name, i].transform(f.where(F.col("fold") == i)).select(key, F.col("prediction").alias(f"pred_{name}")) for i in range(k)]
         oof = oof.join(cut_lineage(reduce(DataFrame.unionByName, parts)), key)
     meta_in = assemble(oof, [f"pred_{name}" for name in bases], "_meta")
     meta = (penalised(label, 0.0, 0.1 / n, sd, "_meta") if task == "regression"
             else LogisticRegression(featuresCol="_meta", labelCol=label, regParam=1.0 / n, standardization=False, maxIter=1000))
-    return Stacking(oof, {name: est.fit(f) for name, est in bases.items()}, meta.fit(meta_in))
+    return Stacking(oof, {name: models[name, None] for name in bases}, meta.fit(meta_in))
 
 
 def fit_experts(df: DataFrame, label: str, groups: Mapping[str, Sequence[str]], key: str, task: str = "regression") -> DataFrame:

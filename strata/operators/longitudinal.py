@@ -322,8 +322,8 @@ def change_points(df: DataFrame, key: str, order, y: str, min_points: int = 5, p
     kind = T.StructField("k", vals.schema["k"].dataType)
     whole = T.StructType([kind, T.StructField("tiles", T.IntegerType()), T.StructField("gamma", T.DoubleType()), T.StructField("x", T.BinaryType())])
     piece = T.StructType([kind, T.StructField("tile", T.IntegerType()), T.StructField("strip", T.BinaryType())])
-    series = cut_lineage(vals.join(long, "k", "left_semi").groupBy("k").applyInPandas(written, whole))
     spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    series = cut_lineage(vals.join(long, "k", "left_semi").repartition(spread, "k").groupBy("k").applyInPandas(written, whole))
     strips = (series.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
               .repartition(spread, "k", "tile").groupBy("k", "tile").applyInPandas(strip, piece))     # a task per tile, whatever their bytes
     short = vals.join(long, "k", "left_anti").groupBy("k").applyInPandas(run, CP_SCHEMA)

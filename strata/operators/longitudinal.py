@@ -12,9 +12,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.nulls import clip, safe_div
 from ..functions.stats import fit_stats, pair_corr, t_pvalue
@@ -188,14 +191,23 @@ def gap_guarded_change(df: DataFrame, key, order, days: str, y: str, min_gap: fl
 # ---------------------------------------------------------------------------
 # G7 change points: PELT with an RBF kernel cost on min-max normalised series.
 
+#: points of a series whose pairs are listed at once
+ALL_PAIRS = 500
+
+
 def median_squared_distance(x: np.ndarray) -> float:
-    """Median of (x_i - x_j)^2 over all pairs, in memory linear in ``x``: the
-    value at a rank is found by bisection over the bits of doubles, with the
-    pairs up to a value counted by binary searches in the sorted series."""
+    """Median of (x_i - x_j)^2 over all pairs.  Up to ALL_PAIRS points the
+    pairs are listed; for more, in memory linear in ``x``, the value at a rank
+    is found by bisection over the bits of doubles, with the pairs up to a
+    value counted by binary searches in the sorted series.  Both give the same."""
     x = np.sort(np.asarray(x, dtype=float))
     n, pairs = len(x), len(x) * (len(x) - 1) // 2
     if not pairs:
         return 0.0
+    if n <= ALL_PAIRS:
+        d = np.concatenate([x[i:] - x[:-i] for i in range(1, n)])
+        d = np.partition(d * d, [(pairs - 1) // 2, pairs // 2])
+        return float(d[pairs // 2]) if pairs % 2 else float(d[(pairs - 1) // 2] + d[pairs // 2]) / 2
     first = np.arange(n)
 
     def up_to(limit: float) -> int:
@@ -267,14 +279,34 @@ CP_SCHEMA = T.StructType([T.StructField("subject", T.StringType()), T.StructFiel
                           T.StructField("change_points", T.ArrayType(T.IntegerType()))])
 
 
+def _series(batches):
+    """(subjects, values, where each begins) of whole series from batches (k,
+    y) in which a series' rows follow each other."""
+    held = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        held = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
+        k = held.column("k")
+        new = pc.not_equal(k.slice(1), k.slice(0, max(len(k) - 1, 0)))
+        if pa.types.is_floating(k.type):
+            new = pc.and_(new, pc.invert(pc.and_(pc.is_nan(k.slice(1)), pc.is_nan(k.slice(0, max(len(k) - 1, 0))))))
+        cuts = np.flatnonzero(new.to_numpy()) + 1
+        if len(cuts):
+            whole, held = held.slice(0, int(cuts[-1])), held.slice(int(cuts[-1]))
+            starts = np.append(0, cuts[:-1])
+            yield whole.column("k").take(pa.array(starts)).to_pylist(), whole.column("y").to_numpy(), np.append(starts, len(whole))
+    if held is not None and len(held):
+        yield held.column("k").slice(0, 1).to_pylist(), held.column("y").to_numpy(), np.array([0, len(held)])
+
+
 def change_points(df: DataFrame, key: str, order, y: str, min_points: int = 5, penalty: float = 2.0,
                   min_size: int = 2, tile_from: int = 10_000) -> DataFrame:
     """Change points per subject with >= ``min_points`` non-null values:
     min-max normalise (``(v - min) / (max - min + 1e-8)``), PELT with the RBF
     cost, keep breakpoints strictly inside ``(0, n - 1)``.
 
-    A series of fewer than ``tile_from`` points is one pandas call.  The kernel
-    sums of longer ones are made by many tasks (``tiled_pelt``), and only the
+    Series of fewer than ``tile_from`` points are sorted within tasks, which
+    take one after the other from their batches.  The kernel sums of longer ones are made by many tasks (``tiled_pelt``), and only the
     recursion over them is one call, with memory linear in the series (up to
     1,600 bytes a point; 5 million points at most, an Arrow column's limit).
     Both give the same change points.  Rows without a subject are no series.
@@ -285,22 +317,34 @@ def change_points(df: DataFrame, key: str, order, y: str, min_points: int = 5, p
             .select(F.col(key).alias("k"), *[F.col(o).alias(a) for o, a in zip(order, by)], F.col(y).cast("double").alias("y")))
     long = vals.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(tile_from, min_points)).select("k")
 
-    def values(pdf: pd.DataFrame) -> np.ndarray:
-        v = pdf.sort_values(by)["y"].to_numpy(dtype=float)
+    def scaled(v: np.ndarray) -> np.ndarray:
         return (v - v.min()) / (v.max() - v.min() + 1e-8)
 
+    def values(pdf: pd.DataFrame) -> np.ndarray:
+        return scaled(pdf.sort_values(by)["y"].to_numpy(dtype=float))
+
     def row(subject, n: int, ends: list[int]) -> pd.DataFrame:
         cps = [c for c in ends if 0 < c < n - 1]
         return pd.DataFrame({"subject": [str(subject)], "n_points": [n], "n_change_points": [len(cps)], "change_points": [cps]})
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < min_points:
-            return pd.DataFrame(columns=CP_SCHEMA.names, dtype=object)
-        v = values(pdf)
-        return row(pdf["k"].iloc[0], len(v), pelt_rbf(v, penalty, min_size))
+    def run(batches):
+        for subjects, y_, cuts in _series(batches):
+            out = []
+            for k, i, j in zip(subjects, cuts[:-1].tolist(), cuts[1:].tolist()):
+                if j - i >= min_points:
+                    cps = [c for c in pelt_rbf(scaled(y_[i:j]), penalty, min_size) if 0 < c < j - i - 1]
+                    out.append((str(k), j - i, len(cps), cps))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), types)], schema=types)
+
+    types, spread = to_arrow_schema(CP_SCHEMA), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def one_by_one(rows: DataFrame) -> DataFrame:
+        rows = rows.repartition(spread, "k").sortWithinPartitions("k", *[F.asc_nulls_last(a) for a in by], "y")
+        return rows.select("k", "y").mapInArrow(run, CP_SCHEMA)
 
     if long.isEmpty():
-        return vals.groupBy("k").applyInPandas(run, CP_SCHEMA)
+        return one_by_one(vals)
 
     def written(pdf: pd.DataFrame) -> pd.DataFrame:
         v = values(pdf)
@@ -322,11 +366,10 @@ def change_points(df: DataFrame, key: str, order, y: str, min_points: int = 5, p
     kind = T.StructField("k", vals.schema["k"].dataType)
     whole = T.StructType([kind, T.StructField("tiles", T.IntegerType()), T.StructField("gamma", T.DoubleType()), T.StructField("x", T.BinaryType())])
     piece = T.StructType([kind, T.StructField("tile", T.IntegerType()), T.StructField("strip", T.BinaryType())])
-    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     series = cut_lineage(vals.join(long, "k", "left_semi").repartition(spread, "k").groupBy("k").applyInPandas(written, whole))
     strips = (series.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
               .repartition(spread, "k", "tile").groupBy("k", "tile").applyInPandas(strip, piece))     # a task per tile, whatever their bytes
-    short = vals.join(long, "k", "left_anti").groupBy("k").applyInPandas(run, CP_SCHEMA)
+    short = one_by_one(vals.join(long, "k", "left_anti"))
     return short.unionByName(series.groupBy("k").cogroup(strips.groupBy("k")).applyInPandas(walk, CP_SCHEMA))
 
 

@@ -50,3 +50,33 @@ def test_long_and_short_series_of_a_table(spark):
     plain = {r["subject"]: r for r in G.change_points(df, "k", "x", "y").collect()}
     assert set(plain) == {"1", "2", "3"} and tiled == plain and plain["1"]["n_points"] == 700 and plain["1"]["n_change_points"] > 3
     assert G.change_points(df.limit(0), "k", "x", "y").count() == 0
+
+
+@pytest.mark.parametrize("n", [2, 3, 6, 41, 200])
+def test_listed_pairs_and_bisection_give_the_same_median(monkeypatch, n):
+    for kind in ("noise", "steps", "ties", "walk"):
+        x = series(kind, n)
+        listed = G.median_squared_distance(x)
+        monkeypatch.setattr(G, "ALL_PAIRS", 1)
+        assert listed == G.median_squared_distance(x)
+        monkeypatch.undo()
+
+
+def test_many_short_series_take_little_time_each():
+    import time
+
+    x = series("walk", 10)
+    begin = time.process_time()
+    for _ in range(200):
+        G.median_squared_distance(x)
+    assert time.process_time() - begin < .2           # bisection alone: 2 ms and more each
+
+
+def test_series_run_over_batches():
+    import pyarrow as pa
+
+    k, y = [1] * 5 + [2] + [3] * 4, list(range(10))
+    for size in (1, 2, 3, 10):
+        batches = [pa.RecordBatch.from_pydict({"k": k[i:i + size], "y": [float(v) for v in y[i:i + size]]}) for i in range(0, 10, size)]
+        got = [(s, v[i:j].tolist()) for ks, v, cuts in G._series(batches) for s, i, j in zip(ks, cuts[:-1], cuts[1:])]
+        assert got == [(1, [0, 1, 2, 3, 4]), (2, [5]), (3, [6, 7, 8, 9])]

@@ -132,13 +132,15 @@ def nearest_match(left: DataFrame, right: DataFrame, eq: Sequence[tuple[str, str
     u = cut_lineage(u.repartitionByRange(*blocks, "_v").withColumn("_p", F.spark_partition_id()))
     here = F.when(F.col("_rk").isNotNull(), F.struct("_v", "_rk"))
     w = Window.partitionBy(*blocks, "_p").orderBy("_v")
+    back = Window.partitionBy(*blocks, "_p").orderBy(F.desc("_v"))
+    # looking ahead is looking back in descending order: a frame that ends at the last row is read anew for every row
     near = u.select("*", F.last(here, True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_prev"),
-                    F.first(here, True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("_next"))
+                    F.last(here, True).over(back.rowsBetween(Window.unboundedPreceding, 0)).alias("_next"))
     # every (block, partition) has a row here, also where it holds only left values
     per = u.groupBy(*blocks, "_p").agg(F.max(here).alias("_hi"), F.min(here).alias("_lo"))
-    wc = Window.partitionBy(*blocks).orderBy("_p")
+    wc, wb = Window.partitionBy(*blocks).orderBy("_p"), Window.partitionBy(*blocks).orderBy(F.desc("_p"))
     carry = per.select(*blocks, "_p", F.last("_hi", True).over(wc.rowsBetween(Window.unboundedPreceding, -1)).alias("_cp"),
-                       F.first("_lo", True).over(wc.rowsBetween(1, Window.unboundedFollowing)).alias("_cn"))
+                       F.last("_lo", True).over(wb.rowsBetween(Window.unboundedPreceding, -1)).alias("_cn"))
     near = near.join(carry, [*blocks, "_p"])
     p, n = F.coalesce("_prev", "_cp"), F.coalesce("_next", "_cn")
     dp, dn = F.col("_v") - p["_v"], n["_v"] - F.col("_v")

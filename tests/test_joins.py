@@ -82,3 +82,19 @@ def test_a_cluster_needs_a_shared_checkpoint_folder(monkeypatch):
     session.conf.get = lambda key, default: "hdfs:///shared"
     assert ensure_checkpoint_dir(session) == "hdfs:///shared" and set_to == ["hdfs:///shared"]
     assert is_local("local") and is_local("local[8]") and not is_local("local-cluster[3,2,1024]") and not is_local("yarn")
+
+
+def following_frames(plan: str) -> list[str]:
+    """Window frames of a plan that are read anew for every row."""
+    import re
+    return [f for f in re.findall(r"specifiedwindowframe\(RowFrame, ([^)]*\)?, unboundedfollowing\$\(\))\)", plan) if not f.startswith("unboundedpreceding")]
+
+
+def test_nearest_match_reads_no_frame_anew_for_every_row(spark, monkeypatch):
+    """A frame from a row to the last one costs the square of the partition's rows."""
+    plans = []
+    monkeypatch.setattr(J, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().analyzed().toString()) or df)
+    left, right = demo(5)
+    J.nearest_match(spark.createDataFrame(left), spark.createDataFrame(right), [("b", "rb")], "lid", "v", "rid", "rv", 2.0)
+    assert any("windowspecdefinition" in p for p in plans)
+    assert not [f for p in plans for f in following_frames(p)]

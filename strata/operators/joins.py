@@ -8,8 +8,8 @@ skewed partitions of sort-merge joins.
 The theta joins of the reference are rewritten as equi-joins:
 
 * J7 tolerance match ``|a - b| <= tol`` with equal block keys: equi-join on
-  (block, floor(value / tol)) against the three neighbouring buckets, then a
-  residual filter.
+  (block, bucket of values) against the buckets within ``tol``, then a
+  residual filter; tasks are cut by the pairs they compare.
 * J8 nearest match: no pairs at all; left and right rows are merged in value
   order and each left row looks back / ahead for the nearest right value
   (windows inside value ranges, carries across ranges from a small table).
@@ -20,6 +20,7 @@ The theta joins of the reference are rewritten as equi-joins:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -94,20 +95,59 @@ def outer_align(dfs: Sequence[DataFrame], key) -> DataFrame:
     return reduce(lambda a, b: a.join(b, _list(key), "full"), dfs)
 
 
+#: Buckets of values per tolerance: finer ones compare fewer pairs that do not match.
+FINE = 4
+#: Pairs of equal blocks and neighbouring buckets that one task of J7 compares, about.
+TASK_PAIRS = 4_000_000
+
+
 def tolerance_join(left: DataFrame, right: DataFrame, eq: Sequence[tuple[str, str]], lcol: str, rcol: str,
                    tol: float, diff: str = "diff") -> DataFrame:
     """Candidate pairs with equal block keys and ``|l - r| <= tol``.
 
-    Equi-join on (block, bucket) where bucket = floor(value / tol); the left
-    side is replicated to its three neighbouring buckets, which cover every
-    value within ``tol``; a residual filter keeps the exact matches."""
-    width = float(tol) if tol > 0 else 1.0
-    lb = left.withColumn("_bk", F.explode(F.array(*[F.floor(F.col(lcol) / width) + d for d in (-1, 0, 1)])))
-    rb = right.withColumn("_bk", F.floor(F.col(rcol) / width))
-    cond = [lb[a] == rb[b] for a, b in eq] + [lb["_bk"] == rb["_bk"]]
+    Equi-join on (block, bucket) where bucket = floor(value * FINE / tol); the
+    left side is replicated to the buckets that hold its values within
+    ``tol``; a residual filter keeps the exact matches.
+
+    Rows say little about this join's work, so its tasks are cut by pairs: a
+    bucket of more than TASK_PAIRS of them is cut into slices of right rows
+    (and of left rows, where there are more slices than right rows), and the
+    number of partitions follows from all pairs.  The partitions are set here,
+    as partitions that Spark coalesces by bytes leave all pairs to a few tasks."""
+    width = float(tol) / FINE if tol > 0 else 1.0
+    value = F.col(lcol).cast("double")
+    # the difference that is compared is rounded, so a right value may be this much farther
+    reach = F.lit(float(tol)) + (F.abs(value) + float(tol)) * 1e-15
+    lb = left.withColumn("_bk", F.explode(F.sequence(F.floor((value - reach) / width), F.floor((value + reach) / width))))
+    rb = right.withColumn("_bk", F.floor(F.col(rcol).cast("double") / width))
+    blocks = [f"_b{i}" for i in range(len(eq))]
+    nl = lb.groupBy(*[F.col(a).alias(n) for (a, _), n in zip(eq, blocks)], "_bk").agg(F.count(F.lit(1)).alias("_nl"))
+    nr = rb.groupBy(*[F.col(b).alias(n) for (_, b), n in zip(eq, blocks)], "_bk").agg(F.count(F.lit(1)).alias("_nr"))
+    cuts = F.ceil(F.col("_nl").cast("double") * F.col("_nr") / TASK_PAIRS)
+    both = nl.join(nr, [*blocks, "_bk"]).withColumn("_rs", F.least(cuts, F.col("_nr")))
+    both = cut_lineage(both.withColumn("_ls", F.ceil(cuts / F.col("_rs"))))
+    size = both.agg(F.sum(F.col("_nl").cast("double") * F.col("_nr") + F.col("_nl") * F.col("_rs") + F.col("_nr") * F.col("_ls"))).first()[0]
+    parts = max(1, math.ceil((size or 0) / TASK_PAIRS))
+    several = both.where("_rs > 1 or _ls > 1")
+    several = None if several.isEmpty() else several.select(*[F.col(n).alias(f"_s{n}") for n in blocks], F.col("_bk").alias("_sbk"), "_rs", "_ls")
+
+    def sliced(side: DataFrame, keys: Sequence[str], own: str, other: str, names: tuple[str, str]) -> DataFrame:
+        """``side`` with the number of its slice and once for each slice of the other side."""
+        if several is None:
+            return side.withColumns({n: F.lit(0) for n in names})
+        on = [side[k] == several[f"_s{n}"] for k, n in zip(keys, blocks)] + [side["_bk"] == several["_sbk"]]
+        row = F.xxhash64(*[side[f.name] for f in side.schema.fields if isinstance(f.dataType, T.AtomicType)])
+        mine = F.pmod(row, F.coalesce(F.col(own), F.lit(1))).cast("int")
+        every = F.explode(F.sequence(F.lit(0), (F.coalesce(F.col(other), F.lit(1)) - 1).cast("int")))
+        return side.join(several, on, "left").select(*[side[c] for c in side.columns], mine.alias(names[0]), every.alias(names[1]))
+
+    lkeys, rkeys = [a for a, _ in eq], [b for _, b in eq]
+    lb = sliced(lb, lkeys, "_ls", "_rs", ("_p", "_q")).repartition(parts, *lkeys, "_bk", "_p", "_q")
+    rb = sliced(rb, rkeys, "_rs", "_ls", ("_q", "_p")).repartition(parts, *rkeys, "_bk", "_p", "_q")
+    cond = [lb[a] == rb[b] for a, b in eq] + [lb[c] == rb[c] for c in ("_bk", "_p", "_q")]
     j = lb.join(rb, cond, "inner")
     j = j.where(F.abs(lb[lcol] - rb[rcol]) <= tol).withColumn(diff, F.abs(lb[lcol] - rb[rcol]))
-    return j.drop(lb["_bk"]).drop(rb["_bk"])
+    return j.drop(*[side[c] for side in (lb, rb) for c in ("_bk", "_p", "_q")])
 
 
 def nearest_match(left: DataFrame, right: DataFrame, eq: Sequence[tuple[str, str]], lkey: str, lcol: str,

@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from strata.operators import joins as J
 from tests.helpers import shuffle_partitions
@@ -98,3 +99,34 @@ def test_nearest_match_reads_no_frame_anew_for_every_row(spark, monkeypatch):
     J.nearest_match(spark.createDataFrame(left), spark.createDataFrame(right), [("b", "rb")], "lid", "v", "rid", "rv", 2.0)
     assert any("windowspecdefinition" in p for p in plans)
     assert not [f for p in plans for f in following_frames(p)]
+
+
+@pytest.mark.parametrize("pairs", [1, 7, 10_000])
+def test_tolerance_join_cut_into_slices_matches_brute_force(spark, monkeypatch, pairs):
+    monkeypatch.setattr(J, "TASK_PAIRS", pairs)
+    left, right = demo(3)
+    # rows that are equal but for the key, values that differ by the tolerance after rounding, gaps
+    left = pd.concat([left, pd.DataFrame({"lid": [900, 901, 902, 903], "b": [0, 0, 1, 1], "v": [60.0, 60.0, 2.0, np.nan]})])
+    right = pd.concat([right, pd.DataFrame({"rid": [900, 901, 902, 903], "rb": [0, 0, 1, 1], "rv": [60.0, 60.0, -1e-20, np.nan]})])
+    got = J.tolerance_join(spark.createDataFrame(left), spark.createDataFrame(right), [("b", "rb")], "v", "rv", 2.0)
+    assert got.columns == ["lid", "b", "v", "rid", "rb", "rv", "diff"]
+    got = sorted((r["lid"], r["rid"], r["diff"]) for r in got.collect())
+    assert got == sorted(brute_pairs(left, right, 2.0)[["lid", "rid", "diff"]].itertuples(index=False, name=None))
+    assert (902, 902) in [g[:2] for g in got]
+
+
+def test_tolerance_join_spreads_its_pairs_over_tasks(spark):
+    """A few rows with very many pairs: no task is left with most of them."""
+    left = spark.range(2000).coalesce(1).select(F.col("id").alias("lid"), F.lit(1).alias("b"), (F.col("id") % 7 / 10.0).alias("v"))
+    right = spark.range(20_000).coalesce(1).select(F.col("id").alias("rid"), F.lit(1).alias("rb"), (F.col("id") % 11 / 10.0).alias("rv"))
+    per = J.tolerance_join(left, right, [("b", "rb")], "v", "rv", 2.0).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in per) == 40_000_000
+    assert max(r["count"] for r in per) <= 20_000_000
+
+
+def test_quick_round_equals_round(spark):
+    from strata.catalog.registry import quick_round
+    x = F.when(F.col("id") % 3 == 0, (F.col("id") - 50_000) / 2e6).when(F.col("id") % 3 == 1, F.randn(1) * 10).otherwise(F.randn(2) * 1e9)
+    odd = spark.createDataFrame([(v,) for v in (None, float("nan"), float("inf"), -0.0, 1e-9, -1e-9, 0.0000005, -0.0000005, 1.0000005, 999.9999995)], "x double")
+    for df in (spark.range(100_000).select(x.alias("x")), odd):
+        assert df.select("x", F.round("x", 6).alias("a"), quick_round(F.col("x")).alias("b")).where("NOT (a <=> b)").isEmpty()

@@ -138,20 +138,18 @@ def cooccurrence_texture(px: DataFrame, levels: int = 256) -> DataFrame:
     w = Window.partitionBy("image_id", "y").orderBy("x")
     pairs = (g.withColumn("_nx", F.lead("x").over(w)).withColumn("_ng", F.lead("g").over(w))
              .where(F.col("_nx") == F.col("x") + 1))
-    both = pairs.select("image_id", F.col("g").alias("i"), F.col("_ng").alias("j")).unionByName(
-        pairs.select("image_id", F.col("_ng").alias("i"), F.col("g").alias("j")))
-    cnt = both.groupBy("image_id", "i", "j").agg(F.count(F.lit(1)).cast("double").alias("_c"))
-    tot = cnt.groupBy("image_id").agg(F.sum("_c").alias("_t"))
-    p = cnt.join(tot, "image_id").withColumn("p", F.col("_c") / F.col("_t"))
-    d = (F.col("i") - F.col("j")).cast("double")
-    mom = p.groupBy("image_id").agg(
+    # both directions of a pair in one reading; the counts are computed once and, as a matrix has at most
+    # levels^2 cells, a window over an image's cells gives total and mean
+    ways = F.explode(F.array(F.struct(F.col("g").alias("i"), F.col("_ng").alias("j")), F.struct(F.col("_ng").alias("i"), F.col("g").alias("j"))))
+    cnt = pairs.select("image_id", ways.alias("_e")).groupBy("image_id", F.col("_e.i").alias("i"), F.col("_e.j").alias("j")).agg(
+        F.count(F.lit(1)).cast("double").alias("_c"))
+    wi = Window.partitionBy("image_id")
+    p = cnt.withColumn("p", F.col("_c") / F.sum("_c").over(wi)).withColumn("_mu", F.sum(F.col("p") * F.col("i")).over(wi))
+    d, off = (F.col("i") - F.col("j")).cast("double"), F.col("i") - F.col("_mu")
+    out = p.groupBy("image_id").agg(
         F.sum(F.col("p") * d * d).alias("contrast"), F.sum(F.col("p") * F.abs(d)).alias("dissimilarity"),
         F.sum(F.col("p") / (1 + d * d)).alias("homogeneity"), F.sqrt(F.sum(F.col("p") * F.col("p"))).alias("energy"),
-        F.sum(F.col("p") * F.col("i")).alias("_mu"))
-    p2 = p.join(mom.select("image_id", "_mu"), "image_id")
-    cor = p2.groupBy("image_id").agg(F.sum(F.col("p") * F.pow(F.col("i") - F.col("_mu"), 2)).alias("_var"),
-                                     F.sum(F.col("p") * (F.col("i") - F.col("_mu")) * (F.col("j") - F.col("_mu"))).alias("_cov"))
-    out = mom.join(cor, "image_id")
+        F.sum(F.col("p") * F.pow(off, 2)).alias("_var"), F.sum(F.col("p") * off * (F.col("j") - F.col("_mu"))).alias("_cov"))
     return out.select("image_id", "contrast", "dissimilarity", "homogeneity", "energy",
                       F.when(F.col("_var") < 1e-15, 1.0).otherwise(F.col("_cov") / F.col("_var")).alias("correlation"))
 

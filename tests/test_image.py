@@ -60,3 +60,24 @@ def test_cooccurrence_matches_numpy(spark):
         assert out[img]["contrast"] == pytest.approx((P * (i - j) ** 2).sum())
         assert out[img]["homogeneity"] == pytest.approx((P / (1 + (i - j) ** 2)).sum())
         assert out[img]["energy"] == pytest.approx(np.sqrt((P ** 2).sum()))
+
+
+def test_cooccurrence_computes_its_counts_once(spark):
+    """A task held the sorts and tables of every copy of the counts at once."""
+    plan = I.cooccurrence_texture(spark.createDataFrame(image_frame(2)), 8)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [lead(") == 1
+
+
+def test_cooccurrence_with_missing_pixels_and_gaps(spark):
+    """Pairs with a missing pixel count in the total but in no moment."""
+    rows = [(1, 0, 0, 0.0), (1, 0, 1, 7.0), (1, 0, 2, None), (1, 0, 3, 3.0), (1, 0, 5, 4.0), (1, 1, 0, 7.0), (1, 1, 1, 7.0), (2, 0, 0, 5.0), (None, 0, 0, 1.0), (None, 0, 1, 2.0)]
+    out = I.cooccurrence_texture(spark.createDataFrame(rows, "image_id int, y int, x int, v double"), 8).collect()
+    assert [r["image_id"] for r in out] == [1]
+    cells = {(0, 7): 1, (7, 0): 1, (7, None): 1, (None, 7): 1, (None, 3): 1, (3, None): 1, (7, 7): 2}
+    p = {c: n / 8 for c, n in cells.items()}
+    full = {c: n for c, n in p.items() if None not in c}
+    mu = sum(n * i for (i, _), n in p.items() if i is not None)
+    assert out[0]["contrast"] == pytest.approx(sum(n * (i - j) ** 2 for (i, j), n in full.items()))
+    assert out[0]["energy"] == pytest.approx(sum(n * n for n in p.values()) ** 0.5)
+    var = sum(n * (i - mu) ** 2 for (i, _), n in p.items() if i is not None)
+    assert out[0]["correlation"] == pytest.approx(sum(n * (i - mu) * (j - mu) for (i, j), n in full.items()) / var)

@@ -51,6 +51,18 @@ def test_stacking_predicts_through_the_refitted_models(table):
     assert (c["prediction"] == c["c"]).mean() > 0.9
 
 
+def test_class_weights_leave_rows_in_their_tasks(spark):
+    from pyspark.sql import functions as F
+    from tests.helpers import _RESTORE
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    _RESTORE.append((key, spark.conf.get(key)))
+    spark.conf.set(key, "-1")       # as where the rows are many
+    df = spark.range(0, 800, 1, 8).withColumn("c", F.when(F.col("id") < 797, F.col("id") % 3))
+    got = M.class_weights(df, "c").withColumn("task", F.spark_partition_id()).collect()
+    assert {r.id: r["class_weight"] for r in got if r.c is None} == {797: None, 798: None, 799: None} and len(got) == 800
+    assert len({r.task for r in got}) == 8
+
+
 @pytest.mark.parametrize("kind", ["logistic", "rf", "svm", "gbt"])
 def test_classifier_kinds(table, kind):
     _, df = table

@@ -101,3 +101,12 @@ def test_training_goes_on_until_the_loss_falls_no_more(spark):
 
     trained = loss(maxent_lm.train_classes(counts))
     assert trained < .1                                # 15 updates: .27
+
+
+def test_frequent_words_are_told_apart_beyond_their_ending(spark):
+    """A cycle of 45 words with one ending: each word is sure, given the one
+    before, only where each is a class of its own."""
+    cycle = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}xx" for i in range(45)]
+    texts = [" ".join((cycle[i % 45:] + cycle[:i % 45]) * 4) for i in range(300)]
+    got = [r for r in score_texts(docs_of(spark, texts)).collect() if r.held_out]
+    assert got and all(r.score > -0.1 * r.n_tokens for r in got)    # 31 words of their own: -0.4

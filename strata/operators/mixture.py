@@ -1,0 +1,113 @@
+"""Gaussian mixtures of several sizes side by side.
+
+Spark's estimator draws the starts and makes the first step; from there on all
+models take each step of its algorithm in one job, which sends the sums that
+the step needs.  A model that has settled is left out of later jobs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+import numpy as np
+from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel
+from pyspark.ml.common import _py2java
+from pyspark.ml.linalg import DenseMatrix, Vectors
+from pyspark.sql import DataFrame
+
+from ..functions.sums import Slab, batch_sums, slabs_of
+
+#: FIXED VALUES: those of Spark's estimator.
+ROUNDS, TOLERANCE = 100, 0.01
+EPSILON = np.finfo(float).eps
+#: rows that are looked at together
+ROWS = 8192
+
+
+def density(mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, float]:
+    """(r, u): the log density at x is u - |r (x - mean)|^2 / 2; directions
+    without variance are left out."""
+    values, vectors = np.linalg.eigh(cov)
+    used = values > EPSILON * values.max() * len(mean)
+    if not used.any():
+        raise ValueError("Covariance matrix has no non-zero singular values")
+    r = vectors[:, used] / np.sqrt(values[used])
+    return r.T, -0.5 * (len(mean) * np.log(2 * np.pi) + np.log(values[used]).sum())
+
+
+def products(x: np.ndarray) -> np.ndarray:
+    """Of rows as columns: 1, the coordinates and all their products."""
+    d, n = x.shape
+    return np.concatenate([np.ones((1, n)), x, (x[:, None] * x[None]).reshape(d * d, n)])
+
+
+def step_sums(x: np.ndarray, models: list) -> np.ndarray:
+    """Of rows as columns, for every model (weights, means, densities): the
+    log likelihood, then each component's sums of ``products``."""
+    d = len(x)
+    total = [np.zeros(1 + len(m[0]) * (1 + d + d * d)) for m in models]
+    for start in range(0, x.shape[1], ROWS):
+        rows = x[:, start:start + ROWS]
+        held = products(rows)
+        for out, (weights, means, parts) in zip(total, models):
+            p = np.empty((len(weights), rows.shape[1]))
+            for i, (r, u) in enumerate(parts):
+                z = r @ (rows - means[i][:, None])
+                p[i] = EPSILON + weights[i] * np.exp(u - 0.5 * np.einsum("ij,ij->j", z, z))
+            whole = p.sum(axis=0)
+            out[0] += np.log(whole).sum()
+            out[1:] += ((p / whole) @ held.T).ravel()
+    return np.concatenate(total)
+
+
+def updated(sums: np.ndarray, k: int, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights, means and covariances from the sums of one model."""
+    s = sums.reshape(k, 1 + d + d * d)
+    n = s[:, 0]
+    means = s[:, 1:1 + d] / n[:, None]
+    cov = s[:, 1 + d:].reshape(k, d, d) / n[:, None, None] - means[:, :, None] * means[:, None]
+    return n / n.sum(), means, cov
+
+
+def as_model(spark, weights: np.ndarray, means: np.ndarray, cov: np.ndarray) -> GaussianMixtureModel:
+    sc = spark.sparkContext
+    jvm, gateway = sc._jvm, sc._gateway
+    parts = gateway.new_array(jvm.org.apache.spark.ml.stat.distribution.MultivariateGaussian, len(weights))
+    w = gateway.new_array(gateway.jvm.double, len(weights))
+    d = means.shape[1]
+    for i in range(len(weights)):
+        c = (cov[i] + cov[i].T) / 2
+        parts[i] = jvm.org.apache.spark.ml.stat.distribution.MultivariateGaussian(
+            _py2java(sc, Vectors.dense(means[i].tolist())), _py2java(sc, DenseMatrix(d, d, c.ravel(order="F").tolist())))
+        w[i] = float(weights[i])
+    made = GaussianMixture()
+    return GaussianMixtureModel(jvm.org.apache.spark.ml.clustering.GaussianMixtureModel(made.uid, w, parts))
+
+
+def fit_mixtures(a: DataFrame, ks: Sequence[int], features: str = "features", seed: int = 42) -> list[tuple[GaussianMixtureModel, float]]:
+    """(model, log likelihood) for every number of components, as Spark's
+    ``GaussianMixture`` fits them."""
+    state, last, done = {}, {}, {}
+    for k in ks:
+        m = GaussianMixture(k=k, seed=seed, featuresCol=features, maxIter=1).fit(a)
+        state[k] = (np.array(m.weights), np.array([g.mean.toArray() for g in m.gaussians]), np.array([g.cov.toArray() for g in m.gaussians]))
+        last[k] = float(m.summary.logLikelihood)
+    d = next((s[1].shape[1] for s in state.values()), 1)
+    slabs = slabs_of(a, features, np.zeros(d))
+    active = list(ks)
+    for _ in range(ROUNDS - 1):
+        models = [(state[k][0], state[k][1], [density(*g) for g in zip(state[k][1], state[k][2])]) for k in active]
+        cuts = np.cumsum([0] + [1 + k * (1 + d + d * d) for k in active])
+
+        def part(batch, models=models):
+            return sum(step_sums(s.x, models) for s in Slab.of(batch, d))
+
+        sums = batch_sums(slabs, int(cuts[-1]), part)
+        for k, i, j in zip(active, cuts, cuts[1:]):
+            state[k] = updated(sums[i + 1:j], k, d)
+            done[k] = not abs(sums[i] - last[k]) > TOLERANCE
+            last[k] = float(sums[i])
+        active = [k for k in active if not done[k]]
+        if not active:
+            break
+    return [(as_model(a.sparkSession, *state[k]), last[k]) for k in ks]

@@ -1,0 +1,37 @@
+"""Mixtures side by side, against Spark's estimator."""
+
+import numpy as np
+import pytest
+from pyspark.ml.clustering import GaussianMixture
+
+from strata.functions.sums import batch_sums
+from strata.operators import mixture
+from strata.operators import ml as M
+from strata.operators.mixture import fit_mixtures
+
+
+@pytest.fixture(scope="module")
+def vectors(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(c, s, size=(150, 2)) for c, s in (((0, 0), .4), ((3, 1), .8), ((0, 4), .6))])
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in x] + [(1.0, 1.0)] * 20, "a double, b double").repartition(3)
+    return M.assemble(df, ["a", "b"]).cache()
+
+
+def test_models_are_those_of_the_estimator(vectors):
+    for k, (m, ll) in zip((2, 3, 5), fit_mixtures(vectors, [2, 3, 5], seed=7)):
+        want = GaussianMixture(k=k, seed=7).fit(vectors)
+        assert ll == pytest.approx(want.summary.logLikelihood, abs=1e-6)
+        assert np.allclose(m.weights, want.weights, atol=1e-7)
+        for g, h in zip(m.gaussians, want.gaussians):
+            assert np.allclose(g.mean.toArray(), h.mean.toArray(), atol=1e-6) and np.allclose(g.cov.toArray(), h.cov.toArray(), atol=1e-6)
+        got, other = (f.transform(vectors).select("a", "b", "prediction").collect() for f in (m, want))
+        assert sorted(got) == sorted(other)
+
+
+def test_a_step_of_all_models_is_one_pass(spark, vectors, monkeypatch):
+    passes = []
+    monkeypatch.setattr(mixture, "batch_sums", lambda *args: passes.append(1) or batch_sums(*args))
+    fit_mixtures(vectors, [2, 3, 5], seed=7)
+    steps = [GaussianMixture(k=k, seed=7).fit(vectors).summary.numIter for k in (2, 3, 5)]
+    assert len(passes) == max(steps) - 1 < sum(steps) - 3       # the estimator makes the first ones; before, it made each step of each model
